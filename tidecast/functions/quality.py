@@ -25,13 +25,13 @@ def bad_ticker(t: Column) -> Column:
 
 def bad_date_string(s: Column) -> Column:
     """V2: not a ``YYYY-MM-DD`` calendar date."""
-    return F.try_to_date(s, F.lit("yyyy-MM-dd")).isNull() | ~s.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.try_to_date(s, "yyyy-MM-dd").isNull() | ~s.rlike(r"^\d{4}-\d{2}-\d{2}$")
 
 
 def bad_date_range(start: Column, end: Column) -> Column:
     """V3: start after end (only meaningful when both parse)."""
-    a = F.try_to_date(start, F.lit("yyyy-MM-dd"))
-    b = F.try_to_date(end, F.lit("yyyy-MM-dd"))
+    a = F.try_to_date(start, "yyyy-MM-dd")
+    b = F.try_to_date(end, "yyyy-MM-dd")
     return F.coalesce(a > b, F.lit(False))
 
 
