@@ -144,7 +144,8 @@ def outcome(test_size: float = config.DEFAULT_TEST_SIZE) -> tuple[Column, Column
 def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
               latest_models: DataFrame | None = None, horizons=None,
               test_size: float = config.DEFAULT_TEST_SIZE,
-              lookback_days: int = config.TRAIN_LOOKBACK_DAYS) -> TrainResult:
+              lookback_days: int = config.TRAIN_LOOKBACK_DAYS,
+              materialize=None) -> TrainResult:
     """B1: validate -> staleness -> window -> features -> split -> fit ->
     metrics, for all requests at once.
 
@@ -152,6 +153,10 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     date ("today" of the run).  ``now``: the run instant (staleness check and
     ``trained_at``), default the driver clock.  ``latest_models``: the
     registry's latest versions (A10) for the staleness check, or None.
+    ``materialize``: optional ``DataFrame -> DataFrame`` applied to the
+    per-request outcome table before it fans out into ``models`` and
+    ``run_log`` (a job passes a reliable checkpoint so that writing both
+    does not run the training plan twice).
 
     Returns lazy ``models`` (registry rows) and ``run_log`` (one row per
     request: completed / skipped / failed with an error code).
@@ -161,6 +166,8 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     clean, rejected = quality.split_valid(req, quality.request_rules())
     clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days"))
     checked = freshness.needs_training(clean, latest_models, now_c)
+    if materialize is not None:  # the registry may change under a job that appends to it
+        checked = materialize(checked)
     stale = checked.where(F.col("needs_training")).select(*KEYS)
     skipped = checked.where(~F.col("needs_training"))
 
@@ -175,6 +182,8 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     else:
         joined = stale.join(keyed, list(KEYS), "left")
     joined = joined.withColumns({"error_code": code, "error": msg})
+    if materialize is not None:
+        joined = materialize(joined)
     done = joined.where(F.col("error_code").isNull())
     models = model_columns(done, now_c)
 

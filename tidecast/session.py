@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "tidecast") -> SparkSession:
+                  app_name: str = "tidecast", checkpoint: str | None = None) -> SparkSession:
     """A session with the settings the library is tuned for.
 
     On a cluster, pass ``master=None`` and let spark-submit decide; the
@@ -33,6 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", os.environ.get("TIDECAST_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
@@ -44,20 +46,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names storage every executor can reach; we
-    only set our own (a fresh scratch folder) when it is unset, as in
+    only pick our own (a fresh scratch folder) when it is unset, as in
     local tests.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    local = tempfile.mkdtemp(prefix="tidecast-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = tempfile.mkdtemp(prefix="tidecast-ckpt-")
+    sc.setCheckpointDir(conf_dir)
+    return conf_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
