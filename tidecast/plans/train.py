@@ -169,39 +169,40 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     if materialize is not None:  # the registry may change under a job that appends to it
         checked = materialize(checked)
     stale = checked.where(F.col("needs_training")).select(*KEYS)
-    skipped = checked.where(~F.col("needs_training"))
 
     hs = sorted(set(horizons)) if horizons is not None else distinct_horizons(clean)
     window = training_window(prices, as_of, lookback_days)
-    keyed = fit_and_score(split_rows(window, hs, requested_horizons(stale), test_size)) \
-        if hs else None
-
     code, msg = outcome(test_size)
-    if keyed is None:
-        joined = stale.withColumns({c: F.lit(None).cast("long") for c in ("n_feat", "n", "n_bad")})
+    if hs:
+        keyed = fit_and_score(split_rows(window, hs, requested_horizons(stale), test_size))
+        # one outcome row per clean request: a single pass over the training plan
+        outcomes = checked.join(keyed, list(KEYS), "left")
     else:
-        joined = stale.join(keyed, list(KEYS), "left")
-    joined = joined.withColumns({"error_code": code, "error": msg})
+        outcomes = checked.withColumns({c: F.lit(None).cast("long") for c in ("n_feat", "n", "n_bad")})
+    stale_c = F.col("needs_training")
+    outcomes = outcomes.withColumns({
+        "error_code": F.when(stale_c, code),
+        "error": F.when(stale_c, msg).otherwise(F.lit("Model is already trained and up-to-date.")),
+    })
     if materialize is not None:
-        joined = materialize(joined)
-    done = joined.where(F.col("error_code").isNull())
+        outcomes = materialize(outcomes)
+    done = outcomes.where(stale_c & F.col("error_code").isNull())
     models = model_columns(done, now_c)
 
-    failed_log = joined.where(F.col("error_code").isNotNull()).select(
-        *KEYS, F.lit(config.STATUS_FAILED).alias("status"), "error_code", "error",
-        F.lit(None).cast("string").alias("version"), F.lit(None).cast("timestamp").alias("trained_at"))
-    done_log = models.select(
-        *KEYS, F.lit(config.STATUS_COMPLETED).alias("status"),
-        F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error"),
-        "version", "trained_at")
-    skipped_log = skipped.select(
-        *KEYS, F.lit(config.STATUS_SKIPPED).alias("status"),
-        F.lit(None).cast("string").alias("error_code"),
-        F.lit("Model is already trained and up-to-date.").alias("error"), "version", "trained_at")
+    status = (F.when(~stale_c, F.lit(config.STATUS_SKIPPED))
+              .when(F.col("error_code").isNull(), F.lit(config.STATUS_COMPLETED))
+              .otherwise(F.lit(config.STATUS_FAILED)))
+    completed = stale_c & F.col("error_code").isNull()
+    run_log = outcomes.select(
+        *KEYS, status.alias("status"), "error_code", "error",
+        F.when(~stale_c, F.col("version"))
+        .when(completed, versions.version_string(F.col("ticker"), F.col("forecast_days"), now_c))
+        .alias("version"),
+        F.when(~stale_c, F.col("trained_at")).when(completed, now_c).alias("trained_at"))
     rejected_log = rejected.select(
         "ticker", F.col("forecast_days").try_cast("int").alias("forecast_days"),
         F.lit(config.STATUS_FAILED).alias("status"), F.lit(config.INVALID_REQUEST).alias("error_code"),
         F.concat(F.lit("invalid: "), F.array_join("violations", ", ")).alias("error"),
         F.lit(None).cast("string").alias("version"), F.lit(None).cast("timestamp").alias("trained_at"))
-    run_log = done_log.unionByName(skipped_log).unionByName(failed_log).unionByName(rejected_log)
+    run_log = run_log.unionByName(rejected_log)
     return TrainResult(models, run_log)

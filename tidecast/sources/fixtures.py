@@ -39,7 +39,8 @@ def requests(spark: SparkSession, sf_dir: str, horizons=HORIZONS) -> DataFrame:
     sup = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     tick = sup.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
     grid = tick.select("ticker", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("forecast_days"))
-    extra = spark.createDataFrame([(NO_DATA_TICKER, 5)], "ticker string, forecast_days int")
+    # a Range leaf (not a local RDD) keeps plans canonical, so repeated uses share exchanges
+    extra = spark.range(1).select(F.lit(NO_DATA_TICKER).alias("ticker"), F.lit(5).alias("forecast_days"))
     return grid.unionByName(extra)
 
 
