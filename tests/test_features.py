@@ -72,3 +72,13 @@ def test_slots_by_tier(spark):
     assert (got[5].x0, got[5].x1, got[5].x2, got[5].x3) == (f.lag1, f.lag5, f.ma5, f.ma20)
     assert (got[10].x0, got[10].x1, got[10].x2, got[10].x3) == (f.lag5, f.lag20, f.ma20, f.ma100)
     assert (got[30].x0, got[30].x1, got[30].x2, got[30].x3) == (f.lag20, f.lag100, f.ma100, 0.0)
+
+
+def test_daily_close_takes_last_tick(spark):
+    from datetime import datetime
+    from tidecast.sources import daily_close
+    ticks = spark.createDataFrame(
+        [("A", datetime(2021, 1, 4, 10), 1.0), ("A", datetime(2021, 1, 4, 15), 2.0),
+         ("A", datetime(2021, 1, 5, 9), 3.0)], "ticker string, ts timestamp, price double")
+    got = sorted((r.date, r.close) for r in daily_close(ticks).collect())
+    assert got == [(date(2021, 1, 4), 2.0), (date(2021, 1, 5), 3.0)]
