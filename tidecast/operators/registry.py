@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import quality, versions
+from ..functions.instants import utc_instant
 
 VERSION_KEY = ("ticker", "forecast_days", "trained_at")
 MODEL_KEY = ("ticker", "forecast_days")
@@ -68,12 +69,7 @@ def _lookups(requests: DataFrame) -> DataFrame:
 
 def _instant(v):
     """A Column, a ``datetime`` or a ``'yyyy-MM-dd HH:mm:ss'`` UTC string."""
-    from pyspark.sql import Column
-    if isinstance(v, Column):
-        return v
-    if isinstance(v, str):
-        return F.to_timestamp(F.lit(v))
-    return F.lit(v).cast("timestamp")
+    return utc_instant(v)
 
 
 def _second(ts):

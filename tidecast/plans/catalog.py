@@ -9,6 +9,7 @@ centred moments are rendered with 9 significant digits.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import calendar, quality, versions
+from ..functions.instants import ensure_utc, utc_instant
 from ..operators import business_calendar, evaluate, features, forecast, freshness, ols, registry, split
 from ..sources import fixtures
 from ..sources.prices import fixture_prices
@@ -231,7 +233,7 @@ def q_registry_get(spark, sf):
 
 def q_registry_delete(spark, sf):
     reg = fixtures.registry(spark, sf)
-    r2 = reg.models.where(F.col("trained_at") == F.to_timestamp(F.lit(fixtures.RUN2_TRAINED_AT)))
+    r2 = reg.models.where(F.col("trained_at") == utc_instant(fixtures.RUN2_TRAINED_AT))
     look = _lookups(r2.where(F.col("forecast_days").isin(5, fixtures.DELETED_HORIZON)))
     _, outcome = registry.delete(reg.models, look, fixtures.DELETED_AT, reg.tombstones)
     return outcome.select("ticker", _i64("forecast_days").alias("forecast_days"), "last_trained_time",
@@ -259,14 +261,14 @@ def q_version_strings(spark, sf):
 def q_needs_training(spark, sf):
     reg = fixtures.registry(spark, sf)
     lat = registry.latest(reg.models, reg.tombstones)
-    out = freshness.needs_training(fixtures.requests(spark, sf), lat, F.to_timestamp(F.lit(fixtures.NOW)))
+    out = freshness.needs_training(fixtures.requests(spark, sf), lat, utc_instant(fixtures.NOW))
     return out.select("ticker", _i64("forecast_days").alias("forecast_days"), "version", "needs_training")
 
 
 def q_skip_report(spark, sf):
     reg = fixtures.registry(spark, sf)
     lat = registry.latest(reg.models, reg.tombstones)
-    s = freshness.skip_report(fixtures.requests(spark, sf), lat, F.to_timestamp(F.lit(fixtures.NOW)))
+    s = freshness.skip_report(fixtures.requests(spark, sf), lat, utc_instant(fixtures.NOW))
     return s.select("ticker", _i64("forecast_days").alias("forecast_days"), "version", "status",
                     *_metric_projection(s), "last_train_date")
 
@@ -420,41 +422,53 @@ def q_forecast_report(spark, sf):
     return report.forecast_report(f, models)
 
 
+def _utc_session(fn):
+    """Timestamps render in the session zone; the catalog pins it to UTC."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ensure_utc(spark)
+        return fn(spark, sf)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "features": q_features,
-        "features_in_range": q_features_in_range,
-        "latest_date": q_latest_date,
-        "sufficiency_guard": q_sufficiency_guard,
-        "training_window": q_training_window,
-        "targets_multi_horizon": q_targets_multi_horizon,
-        "feature_slots": q_feature_slots,
-        "last_fold_split": q_last_fold_split,
-        "all_folds_split": q_all_folds_split,
-        "ols_moments": q_ols_moments,
-        "ols_coefficients": q_ols_coefficients,
-        "model_metrics": q_model_metrics,
-        "last_train_date": q_last_train_date,
-        "train_all_models": q_train_all_models,
-        "registry_list": q_registry_list,
-        "registry_count": q_registry_count,
-        "registry_latest": q_registry_latest,
-        "registry_get": q_registry_get,
-        "registry_delete": q_registry_delete,
-        "version_strings": q_version_strings,
-        "needs_training": q_needs_training,
-        "skip_report": q_skip_report,
-        "business_calendar": q_business_calendar,
-        "next_business_days": q_next_business_days,
-        "last_business_day": q_last_business_day,
-        "history_tail": q_history_tail,
-        "serving_features": q_serving_features,
-        "single_prediction": q_single_prediction,
-        "recursive_forecast": q_recursive_forecast,
-        "history_plus_forecast": q_history_plus_forecast,
-        "forecast_all": q_forecast_all,
-        "quality_violations": q_quality_violations,
-        "row_guards": q_row_guards,
-        "run_log": q_run_log,
-        "forecast_report": q_forecast_report,
-    }
+    return {name: _utc_session(fn) for name, fn in _QUERIES.items()}
+
+
+_QUERIES = {
+    "features": q_features,
+    "features_in_range": q_features_in_range,
+    "latest_date": q_latest_date,
+    "sufficiency_guard": q_sufficiency_guard,
+    "training_window": q_training_window,
+    "targets_multi_horizon": q_targets_multi_horizon,
+    "feature_slots": q_feature_slots,
+    "last_fold_split": q_last_fold_split,
+    "all_folds_split": q_all_folds_split,
+    "ols_moments": q_ols_moments,
+    "ols_coefficients": q_ols_coefficients,
+    "model_metrics": q_model_metrics,
+    "last_train_date": q_last_train_date,
+    "train_all_models": q_train_all_models,
+    "registry_list": q_registry_list,
+    "registry_count": q_registry_count,
+    "registry_latest": q_registry_latest,
+    "registry_get": q_registry_get,
+    "registry_delete": q_registry_delete,
+    "version_strings": q_version_strings,
+    "needs_training": q_needs_training,
+    "skip_report": q_skip_report,
+    "business_calendar": q_business_calendar,
+    "next_business_days": q_next_business_days,
+    "last_business_day": q_last_business_day,
+    "history_tail": q_history_tail,
+    "serving_features": q_serving_features,
+    "single_prediction": q_single_prediction,
+    "recursive_forecast": q_recursive_forecast,
+    "history_plus_forecast": q_history_plus_forecast,
+    "forecast_all": q_forecast_all,
+    "quality_violations": q_quality_violations,
+    "row_guards": q_row_guards,
+    "run_log": q_run_log,
+    "forecast_report": q_forecast_report,
+}

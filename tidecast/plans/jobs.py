@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.instants import ensure_utc
 from ..operators import registry
 from ..session import cut_lineage
 from ..sources import registry_store as store
@@ -30,6 +31,7 @@ def run_training(spark: SparkSession, prices: DataFrame, requests: DataFrame, re
                  test_size: float = config.DEFAULT_TEST_SIZE) -> DataFrame:
     """Train stale requests, append new versions and one run-log row per
     request (with the job's duration).  Returns the run log as written."""
+    ensure_utc(spark)
     started = time.time()
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     as_of = as_of or now.date().isoformat()
@@ -47,6 +49,7 @@ def run_forecast(spark: SparkSession, prices: DataFrame, requests: DataFrame, re
                  history_days: int = config.FORECAST_HISTORY_DAYS) -> DataFrame:
     """Forecast every request with its latest model; writes forecasts
     partitioned by horizon and returns the per-request status."""
+    ensure_utc(spark)
     res = forecast_all(prices, requests, latest_models(spark, registry_root), as_of, history_days)
     store.write_forecasts(res.forecasts, out_path)
     return res.status
@@ -56,6 +59,7 @@ def run_delete(spark: SparkSession, requests: DataFrame, registry_root: str,
                deleted_at: datetime | None = None) -> DataFrame:
     """Delete versions ``(ticker, forecast_days, last_trained_time)``;
     appends tombstones and returns the per-request outcome."""
+    ensure_utc(spark)
     deleted_at = deleted_at or datetime.now(timezone.utc).replace(tzinfo=None)
     models, tombs = store.read_models(spark, registry_root), store.read_tombstones(spark, registry_root)
     new_tombs, outcome = registry.delete(models, requests, deleted_at, tombs)

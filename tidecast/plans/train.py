@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import quality, versions
+from ..functions.instants import utc_instant
 from ..operators import evaluate, features, freshness, ols, split
 
 KEYS = ("ticker", "forecast_days")
@@ -30,11 +31,7 @@ def _date(v) -> Column:
 
 
 def _instant(v) -> Column:
-    if isinstance(v, Column):
-        return v
-    if isinstance(v, str):
-        return F.to_timestamp(F.lit(v))
-    return F.lit(v).cast("timestamp")
+    return utc_instant(v)
 
 
 def training_window(prices: DataFrame, as_of, lookback_days: int = config.TRAIN_LOOKBACK_DAYS) -> DataFrame:

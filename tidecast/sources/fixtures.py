@@ -17,6 +17,7 @@ from collections import namedtuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.instants import utc_instant
 from .prices import fixture_prices
 
 # --- fixed values: fixture parameters ----------------------------------------
@@ -53,5 +54,5 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
     models = r1.models.unionByName(r2.models)
     tombs = (r2.models.where(F.col("forecast_days") == DELETED_HORIZON)
              .select("ticker", "forecast_days", "trained_at",
-                     F.to_timestamp(F.lit(DELETED_AT)).alias("deleted_at")))
+                     utc_instant(DELETED_AT).alias("deleted_at")))
     return Registry(models, tombs)
