@@ -38,18 +38,22 @@ def models_with_history(latest_models: DataFrame, prices: DataFrame,
 
 
 def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFrame,
-                 as_of=None, history_days: int = config.FORECAST_HISTORY_DAYS) -> ForecastResult:
+                 as_of=None, history_days: int = config.FORECAST_HISTORY_DAYS,
+                 materialize=None) -> ForecastResult:
     """B2: ``forecasts`` (ticker, forecast_days, step, date, predicted_price)
     and ``status`` (one row per request: ok / error with a code).
 
     Error codes: INVALID_REQUEST (V1/V5), MODEL_NOT_FOUND (J2: no usable
     model), INSUFFICIENT_DATA (no data, or fewer than 10 feature rows in
-    the serving window).
+    the serving window).  ``materialize`` (e.g. a reliable checkpoint) is
+    applied to the per-model serving state, which both outputs read.
     """
     req = requests.select("ticker", "forecast_days")
     clean, rejected = quality.split_valid(req, quality.request_rules())
     clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days")).distinct()
     joined = models_with_history(latest_models, prices, history_days, as_of, clean)
+    if materialize is not None:
+        joined = materialize(joined)
     with_model = clean.join(
         latest_models.select(*KEYS, "version"), list(KEYS), "left")
     counts = joined.select(*KEYS, "n_hist")
