@@ -9,7 +9,7 @@ from tests.conftest import SF001
 
 import __spark_entry__ as entry
 
-TABLES = ("lineitem", "supplier", "orders")
+TABLES = ("lineitem", "supplier", "orders", "customer", "events")
 
 
 def _norm(v):

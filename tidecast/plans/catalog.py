@@ -422,6 +422,38 @@ def q_forecast_report(spark, sf):
     return report.forecast_report(f, models)
 
 
+# --- second and third sources: hot keys through a join, short histories -------------
+
+def _segment_models(spark, sf):
+    return train.train_all(fixtures.segment_prices(spark, sf), fixtures.segment_requests(spark, sf),
+                           fixtures.AS_OF, now=fixtures.NOW, horizons=fixtures.HORIZONS).models
+
+
+def q_segment_models(spark, sf):
+    return _model_projection(_segment_models(spark, sf))
+
+
+def q_segment_forecast(spark, sf):
+    res = fplan.forecast_all(fixtures.segment_prices(spark, sf), fixtures.segment_requests(spark, sf),
+                             _segment_models(spark, sf), fixtures.AS_OF, fixtures.HISTORY_DAYS)
+    return res.forecasts.select("ticker", _i64("forecast_days").alias("forecast_days"), _i64("step").alias("step"),
+                                "date", F.round("predicted_price", 2).alias("predicted_price"))
+
+
+def q_event_run_log(spark, sf):
+    prices = fixtures.event_prices(spark, sf)
+    req = prices.select("ticker").distinct().select("ticker", F.lit(5).alias("forecast_days"))
+    res = train.train_all(prices, req, fixtures.EVENTS_AS_OF, now=fixtures.EVENTS_NOW, horizons=[5],
+                          materialize=None)
+    days = prices.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_days"))
+    rows = train.split_rows(train.training_window(prices, fixtures.EVENTS_AS_OF), [5],
+                            train.requested_horizons(req))
+    feats = rows.groupBy("ticker").agg(F.max("n_feat").alias("n_feat"))
+    log = res.run_log.join(feats, "ticker", "left").join(days, "ticker", "left")
+    return log.select("ticker", _i64("forecast_days").alias("forecast_days"), "status", "error_code",
+                      _i64(F.coalesce("n_feat", F.lit(0))).alias("n_feature_rows"), _i64("n_days").alias("n_days"))
+
+
 def _utc_session(fn):
     """Timestamps render in the session zone; the catalog pins it to UTC."""
     @functools.wraps(fn)
@@ -471,4 +503,7 @@ _QUERIES = {
     "row_guards": q_row_guards,
     "run_log": q_run_log,
     "forecast_report": q_forecast_report,
+    "segment_models": q_segment_models,
+    "segment_forecast": q_segment_forecast,
+    "event_run_log": q_event_run_log,
 }

@@ -114,14 +114,15 @@ def _tier_names() -> str:
             f"ELSE '{j(config.LONG_TERM_FEATURES)}' END")
 
 
-def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True) -> list[tuple[str, str]]:
+def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True,
+               src: str = "prices", req: str = "req") -> list[tuple[str, str]]:
     """CTEs ending in ``{tag}_fit``: ticker, forecast_days, w0..w3, intercept,
     mae, r2, mape, max_ae, train_samples, test_samples, last_train_date.
     Intermediate: ``{tag}_feat``, ``{tag}_nfeat``, ``{tag}_xy``, ``{tag}_split``."""
     t = tag
-    where_req = " AND ticker IN (SELECT ticker FROM req)" if restrict else ""
+    where_req = f" AND ticker IN (SELECT ticker FROM {req})" if restrict else ""
     ctes = [
-        (f"{t}_win", f"SELECT * FROM prices WHERE date <= DATE '{as_of}' "
+        (f"{t}_win", f"SELECT * FROM {src} WHERE date <= DATE '{as_of}' "
                      f"AND date >= DATE '{as_of}' - {config.TRAIN_LOOKBACK_DAYS}{where_req}"),
         (f"{t}_feat", features_sql(f"{t}_win")),
         (f"{t}_nfeat", f"SELECT ticker, count(*) AS n_feat FROM {t}_feat GROUP BY ticker"),
@@ -129,7 +130,7 @@ def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True)
             f"SELECT ticker, {h} AS forecast_days, date, price, {FEATS}, "
             f"lead(price, {h}) OVER ({W}) AS target FROM {t}_feat" for h in fx.HORIZONS)),
     ]
-    req_pairs = (" AND EXISTS (SELECT 1 FROM req r WHERE r.ticker = g.ticker "
+    req_pairs = (f" AND EXISTS (SELECT 1 FROM {req} r WHERE r.ticker = g.ticker "
                  "AND r.forecast_days = g.forecast_days)") if restrict else ""
     ctes.append((f"{t}_xy", f"SELECT * FROM {t}_tgt g WHERE price IS NOT NULL AND "
                             + " AND ".join(f"{c} IS NOT NULL" for c in config.FEATURE_COLUMNS)
@@ -178,6 +179,14 @@ def models_cte(tag: str, trained_at: str) -> tuple[str, str]:
                              f"{_tier_names()} AS features, * EXCLUDE (ticker, forecast_days) FROM {tag}_fit")
 
 
+SEGMENT_PRICES = ("SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close\n"
+                  "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+SEGMENT_REQUESTS = (f"SELECT DISTINCT c_mktsegment AS ticker, CAST(v.h AS INTEGER) AS forecast_days FROM customer "
+                    f"CROSS JOIN (VALUES {', '.join(f'({h})' for h in fx.HORIZONS)}) v(h)")
+EVENT_PRICES = ("SELECT event_type AS ticker, CAST(ts AS DATE) AS date, max(value) AS close\n"
+                "FROM events GROUP BY 1, 2")
+
+
 def base() -> list[tuple[str, str]]:
     return [("prices", PRICES), ("req", REQUESTS)]
 
@@ -214,10 +223,10 @@ STALE = ("CASE WHEN l.trained_at IS NULL THEN true "
          "ELSE timezone('UTC', l.trained_at) < k.close_before END")
 
 
-def serving_ctes(days: int, tag: str = "sv") -> list[tuple[str, str]]:
+def serving_ctes(days: int, tag: str = "sv", src: str = "prices") -> list[tuple[str, str]]:
     return [
         (f"{tag}_src", f"SELECT ticker, date, close, max(date) OVER (PARTITION BY ticker) AS latest_date "
-                       f"FROM prices WHERE date <= DATE '{fx.AS_OF}'"),
+                       f"FROM {src} WHERE date <= DATE '{fx.AS_OF}'"),
         (f"{tag}_rng", f"SELECT * FROM {tag}_src WHERE date >= latest_date - {days}"),
         (f"{tag}_feat", features_sql(f"{tag}_rng", carry="latest_date, ")),
         (f"{tag}_tail", f"SELECT * FROM (SELECT ticker, date, price, latest_date, "
@@ -249,12 +258,13 @@ def _pred(a: str, p: str = "") -> str:
             f"ELSE {tier(config.LONG_TERM_FEATURES)} END")
 
 
-def forecast_ctes() -> list[tuple[str, str]]:
+def forecast_ctes(head: list[tuple[str, str]] | None = None, src: str = "prices",
+                  req: str = "req") -> list[tuple[str, str]]:
     """Year-end models (trained at NOW), serving history over HISTORY_DAYS,
     the recursion and its dates -> ``fc(ticker, forecast_days, step, date, predicted_price)``."""
     max_h = max(fx.HORIZONS)
-    return (base() + train_ctes("ye", fx.AS_OF) + [models_cte("ye", fx.NOW)]
-            + serving_ctes(fx.HISTORY_DAYS) + [
+    return ((base() if head is None else head) + train_ctes("ye", fx.AS_OF, src=src, req=req)
+            + [models_cte("ye", fx.NOW)] + serving_ctes(fx.HISTORY_DAYS, src=src) + [
                 ("mh", "SELECT m.ticker, m.forecast_days, m.version, m.w0, m.w1, m.w2, m.w3, m.intercept, "
                        "h.latest_date, h.n_hist, h.hist FROM ye_models m JOIN sv_hist h USING (ticker)"),
                 ("rec", f"SELECT ticker, forecast_days, 0 AS step, hist AS acc, w0, w1, w2, w3, intercept "
@@ -519,4 +529,23 @@ LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days
 LEFT JOIN r2_fit f ON f.ticker = r.ticker AND f.forecast_days = r.forecast_days
 LEFT JOIN r2_nfeat nf ON nf.ticker = r.ticker
 CROSS JOIN clock k""")
+    seg = [("seg_prices", SEGMENT_PRICES), ("seg_req", SEGMENT_REQUESTS)]
+    segm = seg + train_ctes("ye", fx.AS_OF, src="seg_prices", req="seg_req") + [models_cte("ye", fx.NOW)]
+    q["segment_models"] = _with(segm, f"SELECT {model_proj()} FROM ye_models")
+    q["segment_forecast"] = _with(forecast_ctes(seg, src="seg_prices", req="seg_req"),
+                                  "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
+                                  "CAST(step AS BIGINT) AS step, date, round(predicted_price, 2) AS predicted_price "
+                                  "FROM fc")
+    ev = [("ev_prices", EVENT_PRICES),
+          ("ev_req", "SELECT DISTINCT event_type AS ticker, 5 AS forecast_days FROM events")]
+    evt = ev + train_ctes("ev", fx.EVENTS_AS_OF, src="ev_prices", req="ev_req")
+    q["event_run_log"] = _with(evt, f"""SELECT r.ticker, CAST(r.forecast_days AS BIGINT) AS forecast_days,
+  CASE WHEN f.ticker IS NULL THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN f.ticker IS NULL THEN
+    CASE WHEN coalesce(nf.n_feat, 0) < {config.MIN_FEATURE_ROWS} THEN '{config.INSUFFICIENT_DATA}'
+         ELSE '{config.TRAINING_FAILED}' END END AS error_code,
+  CAST(coalesce(nf.n_feat, 0) AS BIGINT) AS n_feature_rows,
+  CAST((SELECT count(*) FROM ev_prices p WHERE p.ticker = r.ticker) AS BIGINT) AS n_days
+FROM ev_req r LEFT JOIN ev_fit f ON f.ticker = r.ticker AND f.forecast_days = r.forecast_days
+LEFT JOIN ev_nfeat nf ON nf.ticker = r.ticker""")
     return q

@@ -51,9 +51,9 @@ def requested_horizons(requests: DataFrame) -> DataFrame:
 
 
 def distinct_horizons(requests: DataFrame) -> list[int]:
+    # validated horizons lie in 1..MAX_HORIZON, so this is at most 365 integers
     rows = (requests.select(F.col("forecast_days").cast("int").alias("h"))
-            .where(F.col("h").between(1, config.MAX_HORIZON)).distinct()
-            .limit(config.MAX_HORIZON + 1).collect())
+            .where(F.col("h").between(1, config.MAX_HORIZON)).distinct().collect())
     return sorted(r.h for r in rows)
 
 

@@ -32,10 +32,37 @@ RUN2_AS_OF = AS_OF
 RUN2_TRAINED_AT = "2001-12-31 21:45:00"   # UTC; 16:45 New York (EST)
 DELETED_HORIZON = 10                 # run-2 versions of this horizon are deleted
 DELETED_AT = "2002-01-02 15:00:00"
+EVENTS_AS_OF = "2024-01-31"          # events cover 30 days of January 2024
+EVENTS_NOW = "2024-01-31 22:00:00"
 
 Registry = namedtuple("Registry", ["models", "tombstones"])
 
 
+def segment_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second source: one series per market segment, the day's largest
+    order.  Five keys hold all orders, so this is the hot-key case: the
+    join is on customer keys and the daily ``max`` runs partial (map side)
+    before the shuffle on (segment, date)."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return (o.join(c, o.o_custkey == c.c_custkey)
+            .groupBy(F.col("c_mktsegment").alias("ticker"), F.to_date("o_orderdate").alias("date"))
+            .agg(F.max("o_totalprice").alias("close")))
+
+
+def segment_requests(spark: SparkSession, sf_dir: str, horizons=HORIZONS) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    seg = c.select(F.col("c_mktsegment").alias("ticker")).distinct()
+    return seg.select("ticker", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("forecast_days"))
+
+
+def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short-history source: one series per event type over 30 days."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return (e.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"))
+            .agg(F.max("value").alias("close")))
+
+
 def requests(spark: SparkSession, sf_dir: str, horizons=HORIZONS) -> DataFrame:
     sup = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     tick = sup.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
