@@ -161,10 +161,10 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     now_c = _instant(now if now is not None else datetime.utcnow().replace(microsecond=0))
     req = requests.select(F.col("ticker"), F.col("forecast_days"))
     clean, rejected = quality.split_valid(req, quality.request_rules())
-    clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days"))
+    clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days")).distinct()
+    # staleness is decided once: the outcome table below carries it, so a
+    # job that appends to the registry never re-reads it for the run log
     checked = freshness.needs_training(clean, latest_models, now_c)
-    if materialize is not None:  # the registry may change under a job that appends to it
-        checked = materialize(checked)
     stale = checked.where(F.col("needs_training")).select(*KEYS)
 
     hs = sorted(set(horizons)) if horizons is not None else distinct_horizons(clean)
