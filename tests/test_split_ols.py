@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
-from tidecast.operators import features, ols, split
+from tidecast.operators import ols, split
 from tidecast.plans import train
 from tidecast.sources import fixtures
 from tidecast.sources.prices import fixture_prices

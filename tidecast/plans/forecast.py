@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import quality
 from ..operators import forecast as fc
-from ..operators import registry
 
 KEYS = ("ticker", "forecast_days")
 
@@ -81,7 +80,3 @@ def history_plus_forecast(history_tail: DataFrame, forecasts: DataFrame) -> Data
     f = forecasts.select("ticker", "forecast_days", "step", "date",
                          F.col("predicted_price").alias("price"), F.lit("forecast").alias("kind"))
     return h.unionByName(f, allowMissingColumns=True)
-
-
-def latest_usable(models: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
-    return registry.latest(models, tombstones)
