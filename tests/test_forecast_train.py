@@ -119,3 +119,24 @@ def test_forecast_status_codes(spark):
     fr2 = fplan.forecast_all(prices, req, models, history_days=10)
     assert {r.error_code for r in fr2.status.collect()} == {"INSUFFICIENT_DATA"}
     assert fr.forecasts.count() == 10
+
+
+def test_training_is_invariant_to_other_series(spark):
+    a = _series("A", 220)
+    b = [("B", d, c * 3.0 + 1.0) for _, d, c in _series("B", 260)]
+    req = spark.createDataFrame([("A", 5), ("A", 30)], "ticker string, forecast_days int")
+    alone = train.train_all(frame(spark, a), req, "2020-12-31", now="2020-12-31 22:00:00").models
+    mixed = train.train_all(frame(spark, a + b), req, "2020-12-31", now="2020-12-31 22:00:00").models
+    cols = ["forecast_days", "w0", "w1", "w2", "w3", "intercept", "mae", "r2", "mape", "max_ae",
+            "train_samples", "test_samples", "last_train_date"]
+    assert sorted(alone.select(*cols).collect()) == sorted(mixed.select(*cols).collect())
+
+
+def test_forecast_is_invariant_to_other_series(spark):
+    a = _series("A", 220)
+    b = [("B", d, c + 50.0) for _, d, c in _series("B", 240)]
+    req = spark.createDataFrame([("A", 10)], "ticker string, forecast_days int")
+    m = train.train_all(frame(spark, a), req, "2020-12-31", now="2020-12-31 22:00:00").models
+    one = fplan.forecast_all(frame(spark, a), req, m, history_days=900).forecasts
+    two = fplan.forecast_all(frame(spark, a + b), req, m, history_days=900).forecasts
+    assert sorted(one.collect()) == sorted(two.collect())

@@ -29,3 +29,16 @@ def test_request_stream_trains_and_forecasts(spark, tmp_path):
                               trigger={"availableNow": True})
     q2.awaitTermination(300)
     assert spark.read.parquet(out).count() == 5 + 30
+
+
+def test_replayed_training_batch_is_skipped(spark, tmp_path):
+    from datetime import datetime
+    from tidecast.plans import jobs
+    prices = frame(spark, _series("A", 220))
+    req = spark.createDataFrame([("A", 5)], schema.REQUESTS)
+    root = str(tmp_path / "registry")
+    first = jobs.run_training(spark, prices, req, root, as_of="2020-12-31", now=datetime(2020, 12, 31, 22))
+    again = jobs.run_training(spark, prices, req, root, as_of="2020-12-31", now=datetime(2020, 12, 31, 22, 1))
+    assert [r.status for r in first.collect()] == ["completed"]
+    assert [r.status for r in again.collect()] == ["skipped"]
+    assert store.read_models(spark, root).count() == 1
