@@ -129,7 +129,7 @@ def outcome(test_size: float = config.DEFAULT_TEST_SIZE) -> tuple[Column, Column
             .when(n <= k, F.lit(config.TRAINING_FAILED))
             .when(F.col("n_bad") > 0, F.lit(config.TRAINING_FAILED)))
     msg = (F.when(n_feat < config.MIN_FEATURE_ROWS, F.format_string(
-                "Insufficient stock data for ticker '%s'. Required at least %d records, found %d.",
+                "Insufficient price data for ticker '%s'. Required at least %d records, found %d.",
                 F.col("ticker"), F.lit(config.MIN_FEATURE_ROWS), n_feat))
            .when(n == 0, F.lit("X and y cannot be empty"))
            .when(n <= k, F.format_string(
