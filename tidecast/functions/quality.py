@@ -84,3 +84,16 @@ def price_rules() -> dict[str, Column]:
     return {"ticker": bad_ticker(F.col("ticker")),
             "date": F.col("date").isNull(),
             "close": F.coalesce(non_finite(F.col("close")), F.lit(False))}
+
+
+def price_table_report(prices: DataFrame) -> DataFrame:
+    """Per ticker: rows, extra rows on an already-seen date (the one-row-per-
+    day assumption that bounds every window), non-finite closes (V9) and
+    the ticker rule (V1).  One grouped aggregate: partial per task, so a hot
+    ticker is counted map-side."""
+    return prices.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.count(F.lit(1)) - F.count_distinct("date")).alias("n_duplicate_days"),
+        F.count_if(F.coalesce(non_finite(F.col("close")), F.lit(False))).alias("n_bad_close"),
+        F.count_if(F.col("date").isNull()).alias("n_null_date"),
+        F.max(bad_ticker(F.col("ticker"))).alias("bad_ticker"))

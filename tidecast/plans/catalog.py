@@ -381,6 +381,12 @@ def q_quality_violations(spark, sf):
     return r.select("request_id", F.array_join(v, ",").alias("violations"), (F.size(v) == 0).alias("valid"))
 
 
+def q_price_quality(spark, sf):
+    r = quality.price_table_report(fixture_prices(spark, sf))
+    return r.select("ticker", *[_i64(c).alias(c) for c in ("n_rows", "n_duplicate_days", "n_bad_close",
+                                                           "n_null_date")], "bad_ticker")
+
+
 def q_row_guards(spark, sf):
     rows = train.split_rows(train.training_window(fixture_prices(spark, sf), fixtures.AS_OF),
                             fixtures.HORIZONS,
@@ -501,6 +507,7 @@ _QUERIES = {
     "forecast_all": q_forecast_all,
     "quality_violations": q_quality_violations,
     "row_guards": q_row_guards,
+    "price_quality": q_price_quality,
     "run_log": q_run_log,
     "forecast_report": q_forecast_report,
     "segment_models": q_segment_models,

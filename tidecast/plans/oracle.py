@@ -529,6 +529,12 @@ LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days
 LEFT JOIN r2_fit f ON f.ticker = r.ticker AND f.forecast_days = r.forecast_days
 LEFT JOIN r2_nfeat nf ON nf.ticker = r.ticker
 CROSS JOIN clock k""")
+    q["price_quality"] = _with(b, f"""SELECT ticker, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count(*) - count(DISTINCT date) AS BIGINT) AS n_duplicate_days,
+  CAST(count(*) FILTER (WHERE isnan(close) OR isinf(close)) AS BIGINT) AS n_bad_close,
+  CAST(count(*) FILTER (WHERE date IS NULL) AS BIGINT) AS n_null_date,
+  bool_or({BAD_TICKER}) AS bad_ticker
+FROM prices GROUP BY ticker""")
     seg = [("seg_prices", SEGMENT_PRICES), ("seg_req", SEGMENT_REQUESTS)]
     segm = seg + train_ctes("ye", fx.AS_OF, src="seg_prices", req="seg_req") + [models_cte("ye", fx.NOW)]
     q["segment_models"] = _with(segm, f"SELECT {model_proj()} FROM ye_models")
