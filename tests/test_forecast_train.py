@@ -140,3 +140,16 @@ def test_forecast_is_invariant_to_other_series(spark):
     one = fplan.forecast_all(frame(spark, a), req, m, history_days=900).forecasts
     two = fplan.forecast_all(frame(spark, a + b), req, m, history_days=900).forecasts
     assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_calendar_table_dates_equal_rule_dates(spark):
+    from tidecast.operators import business_calendar
+    prices = fixture_prices(spark, SF001)
+    req = fixtures.requests(spark, SF001)
+    models = train.train_all(prices, req, fixtures.AS_OF, now=fixtures.NOW, horizons=fixtures.HORIZONS).models
+    mh = fplan.models_with_history(models, prices, fixtures.HISTORY_DAYS, fixtures.AS_OF)
+    span = spark.createDataFrame([(date(2001, 1, 1), date(2002, 12, 31))], "start date, end date")
+    cal = business_calendar.calendar_between(span)
+    by_rule = forecast.recursive_forecast(mh).collect()
+    by_table = forecast.recursive_forecast(mh, cal).collect()
+    assert len(by_rule) == 450 and sorted(by_rule) == sorted(by_table)

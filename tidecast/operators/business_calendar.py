@@ -42,13 +42,15 @@ def calendar_for(df: DataFrame, date_col: str = "date", pad_days: int = 0) -> Da
 
 
 def next_business_days_via_calendar(df: DataFrame, cal: DataFrame, date_col: str = "latest_date",
-                                    n_col: str = "forecast_days") -> DataFrame:
-    """J4 with a (possibly user-supplied) calendar table: equi-join on
-    ``bd_index``; adds ``step`` and ``date`` rows.  The calendar must cover
-    the dates involved."""
+                                    n_col: str = "forecast_days", step_col: str | None = None) -> DataFrame:
+    """J4 with a (possibly user-supplied) calendar table: equi-joins on
+    ``bd_index``.  Adds ``step`` (exploded 1..n, or taken from ``step_col``)
+    and ``date``.  The calendar must cover the dates involved; it is a
+    dimension table (one row per day), and the joins are left to AQE."""
     start = cal.select(F.col("date").alias(date_col), F.col("bd_index").alias("_start"))
     based = df.join(start, date_col, "inner")
-    steps = based.withColumn("step", F.explode(F.sequence(F.lit(1), F.col(n_col))))
+    steps = (based.withColumn("step", F.explode(F.sequence(F.lit(1), F.col(n_col))))
+             if step_col is None else based.withColumnRenamed(step_col, "step"))
     targets = cal.where("is_business_day").select(F.col("bd_index").alias("_target"), "date")
     return (steps.join(targets, steps["_start"] + steps["step"] == targets["_target"], "inner")
             .drop("_start", "_target"))

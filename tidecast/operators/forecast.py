@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import calendar
 from . import features
+from .business_calendar import next_business_days_via_calendar
 
 KEYS = ("ticker", "forecast_days")
 
@@ -109,18 +110,28 @@ def next_prediction(arr: Column, forecast_days: Column) -> Column:
             .otherwise(tier(config.LONG_TERM_FEATURES)))
 
 
-def recursive_forecast(df: DataFrame) -> DataFrame:
+def recursive_forecast(df: DataFrame, business_calendar: DataFrame | None = None) -> DataFrame:
     """Rows ``(ticker, forecast_days, latest_date, hist, w0..w3, intercept)``
     -> one row per step ``(ticker, forecast_days, step, date, predicted_price)``.
 
     Each step predicts from the newest prices and appends the prediction as
     the newest price; dates are the next ``forecast_days`` business days
-    after ``latest_date`` (T2).
+    after ``latest_date`` (T2): by the built-in US rules, or - given a
+    calendar table ``(date, is_business_day, bd_index)`` such as
+    ``business_calendar.calendar_between`` or a user's own - by the J4
+    equi-join on ``bd_index``.
     """
     fd = F.col("forecast_days")
     grown = F.aggregate(F.sequence(F.lit(1), fd), F.col("hist"),
                         lambda acc, _: F.concat(acc, F.array(next_prediction(acc, fd))))
     preds = F.slice(grown, F.size("hist") + 1, fd)
+    if business_calendar is not None:
+        steps = df.select("ticker", "forecast_days", "latest_date",
+                          F.posexplode(preds).alias("_pos", "predicted_price"))
+        steps = steps.select("ticker", "forecast_days", "latest_date", (F.col("_pos") + 1).alias("step"),
+                             "predicted_price")
+        dated = next_business_days_via_calendar(steps, business_calendar, step_col="step")
+        return dated.select("ticker", "forecast_days", "step", "date", "predicted_price")
     dates = calendar.next_business_days(F.col("latest_date"), fd)
     zipped = F.arrays_zip(preds.alias("p"), dates.alias("d"))
     return (df.select("ticker", "forecast_days", F.posexplode(zipped).alias("_pos", "_z"))

@@ -38,7 +38,7 @@ def models_with_history(latest_models: DataFrame, prices: DataFrame,
 
 def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFrame,
                  as_of=None, history_days: int = config.FORECAST_HISTORY_DAYS,
-                 materialize=None) -> ForecastResult:
+                 materialize=None, business_calendar: DataFrame | None = None) -> ForecastResult:
     """B2: ``forecasts`` (ticker, forecast_days, step, date, predicted_price)
     and ``status`` (one row per request: ok / error with a code).
 
@@ -46,6 +46,7 @@ def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFram
     model), INSUFFICIENT_DATA (no data, or fewer than 10 feature rows in
     the serving window).  ``materialize`` (e.g. a reliable checkpoint) is
     applied to the per-model serving state, which both outputs read.
+    ``business_calendar`` replaces the built-in US business-day rules.
     """
     req = requests.select("ticker", "forecast_days")
     clean, rejected = quality.split_valid(req, quality.request_rules())
@@ -69,7 +70,7 @@ def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFram
         F.lit(None).cast("string").alias("version"), F.lit("error").alias("status"),
         F.lit(config.INVALID_REQUEST).alias("error_code")))
     usable = joined.where(F.col("n_hist") >= config.MIN_FEATURE_ROWS)
-    return ForecastResult(fc.recursive_forecast(usable), status)
+    return ForecastResult(fc.recursive_forecast(usable, business_calendar), status)
 
 
 def history_plus_forecast(history_tail: DataFrame, forecasts: DataFrame) -> DataFrame:
