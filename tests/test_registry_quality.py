@@ -40,12 +40,13 @@ def test_bad_datetimes(spark, s):
     assert df.select(quality.bad_datetime_string(F.col("s")).alias("b")).first().b is True
 
 
-def test_good_datetime(spark):
-    df = spark.createDataFrame([("2023-01-01-12:00:00",)], "s string")
+@pytest.mark.parametrize("s", ["2023-01-01-12:00:00", "2023-1-1-1:2:3"])
+def test_good_datetime(spark, s):
+    df = spark.createDataFrame([(s,)], "s string")
     assert df.select(quality.bad_datetime_string(F.col("s")).alias("b")).first().b is False
 
 
-@pytest.mark.parametrize("t,bad", [("", True), (" ", True), (None, True), ("A" * 11, True),
+@pytest.mark.parametrize("t,bad", [("", True), (" ", True), ("\t", True), (None, True), ("A" * 11, True),
                                    ("A" * 10, False), ("AAPL", False)])
 def test_ticker_rule(spark, t, bad):
     df = spark.createDataFrame([(t,)], "t string")
@@ -54,7 +55,8 @@ def test_ticker_rule(spark, t, bad):
 
 @pytest.mark.parametrize("s,bad", [("", True), ("invalid-date", True), ("2023/01/01", True),
                                    ("01-01-2023", True), ("2023-13-01", True), ("2023-01-32", True),
-                                   ("2023-01-01", False)])
+                                   ("2023-01-01", False), ("2023-1-1", False), ("2023-02-29", True),
+                                   (" 2023-01-01", True)])
 def test_date_rule(spark, s, bad):
     df = spark.createDataFrame([(s,)], "s string")
     assert df.select(quality.bad_date_string(F.col("s")).alias("b")).first().b is bad

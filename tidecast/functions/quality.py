@@ -17,28 +17,43 @@ from .. import config
 from ..schema import MODEL_REQUIRED
 
 
+# --- fixed values: accepted text formats (strptime-style: 4-digit year,
+# 1-2 digit month/day/hour/minute/second) ------------------------------------
+DATE_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}$"
+DATETIME_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}-\d{1,2}:\d{1,2}:\d{1,2}$"
+DATE_PATTERN = "yyyy-M-d"
+DATETIME_PATTERN = "yyyy-M-d-H:m:s"
+
+
 def bad_ticker(t: Column) -> Column:
-    """V1: null, blank, or longer than 10 characters."""
-    return F.coalesce(t.isNull() | (F.trim(t) == "") | (F.length(t) > config.MAX_TICKER_LENGTH),
+    """V1: null, blank (whitespace only), or longer than 10 characters."""
+    return F.coalesce(t.isNull() | t.rlike(r"^\s*$") | (F.length(t) > config.MAX_TICKER_LENGTH),
                       F.lit(True))
 
 
+def parse_date_text(s: Column) -> Column:
+    """``YYYY-MM-DD`` (one-digit month/day accepted) -> date, null if invalid."""
+    return F.when(s.rlike(DATE_TEXT), F.try_to_date(s, DATE_PATTERN))
+
+
+def parse_datetime_text(s: Column) -> Column:
+    """``YYYY-MM-DD-HH:MM:SS`` -> timestamp (wall clock), null if invalid."""
+    return F.when(s.rlike(DATETIME_TEXT), F.try_to_timestamp(s, F.lit(DATETIME_PATTERN)))
+
+
 def bad_date_string(s: Column) -> Column:
     """V2: not a ``YYYY-MM-DD`` calendar date."""
-    return F.try_to_date(s, "yyyy-MM-dd").isNull() | ~s.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return parse_date_text(s).isNull()
 
 
 def bad_date_range(start: Column, end: Column) -> Column:
     """V3: start after end (only meaningful when both parse)."""
-    a = F.try_to_date(start, "yyyy-MM-dd")
-    b = F.try_to_date(end, "yyyy-MM-dd")
-    return F.coalesce(a > b, F.lit(False))
+    return F.coalesce(parse_date_text(start) > parse_date_text(end), F.lit(False))
 
 
 def bad_datetime_string(s: Column) -> Column:
     """V4: not ``YYYY-MM-DD-HH:MM:SS``."""
-    return (F.try_to_timestamp(s, F.lit("yyyy-MM-dd-HH:mm:ss")).isNull()
-            | ~s.rlike(r"^\d{4}-\d{2}-\d{2}-\d{2}:\d{2}:\d{2}$"))
+    return parse_datetime_text(s).isNull()
 
 
 def bad_horizon(h: Column, max_horizon: int = config.MAX_HORIZON) -> Column:

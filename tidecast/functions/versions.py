@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
+from .quality import parse_datetime_text
 
 # --- fixed values: formats -------------------------------------------------
 VERSION_TIME_FORMAT = "yyyyMMddHHmmss"
@@ -54,7 +55,7 @@ def version_prefix(ticker: Column, forecast_days: Column) -> Column:
 
 def parse_api_datetime(s: Column) -> Column:
     """``YYYY-MM-DD-HH:MM:SS`` (New York wall clock) -> UTC instant, null if invalid."""
-    return _from_local(F.try_to_timestamp(s, F.lit(API_DATETIME_FORMAT)))
+    return _from_local(parse_datetime_text(s))
 
 
 def api_datetime(instant: Column) -> Column:
@@ -64,4 +65,4 @@ def api_datetime(instant: Column) -> Column:
 
 def api_datetime_to_version_time(s: Column) -> Column:
     """``YYYY-MM-DD-HH:MM:SS`` -> ``YYYYMMDDHHMMSS`` (null if invalid)."""
-    return F.date_format(F.try_to_timestamp(s, F.lit(API_DATETIME_FORMAT)), VERSION_TIME_FORMAT)
+    return F.date_format(parse_datetime_text(s), VERSION_TIME_FORMAT)

@@ -312,12 +312,16 @@ def _quality_src() -> str:
 FROM orders"""
 
 
-BAD_TICKER = "(ticker IS NULL OR trim(ticker) = '' OR length(ticker) > 10)"
+BAD_TICKER = "(ticker IS NULL OR regexp_matches(ticker, '^\\s*$') OR length(ticker) > 10)"
 BAD_H = "(forecast_days IS NULL OR forecast_days < 1 OR forecast_days > 365)"
 
 
+def _date_text(s: str) -> str:
+    return f"CASE WHEN regexp_matches({s}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') THEN try_strptime({s}, '%Y-%m-%d') END"
+
+
 def _bad_date(s: str) -> str:
-    return f"(try_strptime({s}, '%Y-%m-%d') IS NULL OR NOT regexp_matches({s}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$'))"
+    return f"({_date_text(s)} IS NULL)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -489,9 +493,9 @@ LEFT JOIN (SELECT ticker, forecast_days, count(*) AS steps, max(date) AS last_da
   printf('%.2f%%', m.mape * 100) AS mape_label
 FROM fc f JOIN ye_models m ON m.ticker = f.ticker AND m.forecast_days = f.forecast_days""")
 
-    bad_dt = ("(try_strptime(trained_time, '%Y-%m-%d-%H:%M:%S') IS NULL OR NOT regexp_matches(trained_time, "
-              "'^\\d{4}-\\d{2}-\\d{2}-\\d{2}:\\d{2}:\\d{2}$'))")
-    rng = ("coalesce(try_strptime(start_date, '%Y-%m-%d') > try_strptime(end_date, '%Y-%m-%d'), false)")
+    bad_dt = ("(CASE WHEN regexp_matches(trained_time, '^\\d{4}-\\d{1,2}-\\d{1,2}-\\d{1,2}:\\d{1,2}:\\d{1,2}$') "
+              "THEN try_strptime(trained_time, '%Y-%m-%d-%H:%M:%S') END IS NULL)")
+    rng = f"coalesce({_date_text('start_date')} > {_date_text('end_date')}, false)"
     v = (f"concat_ws(',', CASE WHEN {BAD_TICKER} THEN 'ticker' END, CASE WHEN {BAD_H} THEN 'forecast_days' END, "
          f"CASE WHEN {_bad_date('start_date')} THEN 'start_date' END, "
          f"CASE WHEN {_bad_date('end_date')} THEN 'end_date' END, CASE WHEN {rng} THEN 'date_range' END, "
