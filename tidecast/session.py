@@ -55,6 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor can reach "
+                               "(a machine-local folder would not survive a lost executor)")
         conf_dir = tempfile.mkdtemp(prefix="tidecast-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
