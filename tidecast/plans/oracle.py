@@ -8,7 +8,8 @@ array filters.  Shared with the library are only the fixed values
 (``config``, ``fixtures``) and the elimination stages of the normal
 equations (``functions.linalg``), which are plain arithmetic.
 
-Tables ``lineitem supplier orders`` are views registered by the caller.
+Tables ``lineitem supplier orders customer events`` are views registered
+by the caller.
 """
 
 from __future__ import annotations
