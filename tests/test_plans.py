@@ -53,3 +53,23 @@ def test_forecast_plan_has_no_python(spark, price_table):
     plan = _plan(fr.forecasts)
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
     assert fr.forecasts.count() == 450
+
+
+def test_bucketed_prices_are_not_shuffled(spark, tmp_path):
+    from tidecast.sources import write_bucketed_prices
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_bucketed_prices(fixture_prices(spark, SF001), "prices_bucketed_test", 8, path=str(tmp_path / "pb"))
+        pb = read_prices(spark, "prices_bucketed_test", fmt="table")
+        res = train.train_all(pb, fixtures.requests(spark, SF001), fixtures.AS_OF, now=fixtures.NOW,
+                              horizons=fixtures.HORIZONS)
+        formatted = res.models._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "Bucketed: true" in formatted
+        # the only ticker-only exchange left is the small requested-horizons side
+        exchanges = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", formatted)
+        assert len([e for e in exchanges if e.startswith("ticker#") and "forecast_days" not in e]) == 1
+        assert res.models.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS prices_bucketed_test")

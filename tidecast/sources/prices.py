@@ -38,6 +38,25 @@ def read_prices(spark: SparkSession, source: str, fmt: str = "parquet",
     return normalize_prices(raw, **columns)
 
 
+def write_bucketed_prices(prices: DataFrame, table: str, num_buckets: int, path: str | None = None,
+                          mode: str = "overwrite") -> None:
+    """Store prices as a catalog table bucketed (and sorted) by ticker.
+
+    Every job here clusters by ``ticker`` (the request join, the feature,
+    split and moment windows, the serving history).  Reading a table
+    bucketed on ``ticker`` satisfies that clustering at the scan, so the
+    price rows are not shuffled at all; only the small request side is
+    exchanged to the bucket count.  Pick ``num_buckets`` so one bucket is a
+    comfortable task (e.g. total size / 256 MB).  The ``repartition`` makes
+    one file per bucket.
+    """
+    w = (normalize_prices(prices).repartition(num_buckets, "ticker")
+         .write.mode(mode).bucketBy(num_buckets, "ticker").sortBy("ticker", "date").format("parquet"))
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
+
+
 def daily_close(ticks: DataFrame, ts: str = "ts", ticker: str = "ticker",
                 price: str = "price") -> DataFrame:
     """Reduce several rows per ticker and day to the day's last price.
