@@ -153,3 +153,11 @@ def test_calendar_table_dates_equal_rule_dates(spark):
     by_rule = forecast.recursive_forecast(mh).collect()
     by_table = forecast.recursive_forecast(mh, cal).collect()
     assert len(by_rule) == 450 and sorted(by_rule) == sorted(by_table)
+
+
+def test_unlisted_horizon_is_rejected(spark):
+    prices = frame(spark, _series("A", 200))
+    req = spark.createDataFrame([("A", 5), ("A", 7)], "ticker string, forecast_days int")
+    res = train.train_all(prices, req, "2020-12-31", now="2020-12-31 22:00:00", horizons=[5])
+    log = {r.forecast_days: (r.status, r.error_code) for r in res.run_log.collect()}
+    assert log == {5: ("completed", None), 7: ("failed", "INVALID_REQUEST")}

@@ -162,6 +162,11 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     req = requests.select(F.col("ticker"), F.col("forecast_days"))
     clean, rejected = quality.split_valid(req, quality.request_rules())
     clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days")).distinct()
+    if horizons is not None:  # a job laid out for fixed horizons rejects the others
+        listed = F.col("forecast_days").isin([int(h) for h in horizons])
+        unlisted = clean.where(~listed).withColumn("violations", F.array(F.lit("forecast_days not in job horizons")))
+        rejected = rejected.unionByName(unlisted)
+        clean = clean.where(listed)
     # staleness is decided once: the outcome table below carries it, so a
     # job that appends to the registry never re-reads it for the run log
     checked = freshness.needs_training(clean, latest_models, now_c)
