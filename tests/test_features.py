@@ -82,3 +82,12 @@ def test_daily_close_takes_last_tick(spark):
          ("A", datetime(2021, 1, 5, 9), 3.0)], "ticker string, ts timestamp, price double")
     got = sorted((r.date, r.close) for r in daily_close(ticks).collect())
     assert got == [(date(2021, 1, 4), 2.0), (date(2021, 1, 5), 3.0)]
+
+
+def test_feature_count_by_horizon(spark):
+    df = spark.createDataFrame([(h,) for h in (1, 5, 10, 20, 30)], "h int")
+    got = {r.h: r.f for r in df.select("h", features.tier_features(F.col("h")).alias("f")).collect()}
+    assert {h: len(f) for h, f in got.items()} == {1: 4, 5: 4, 10: 4, 20: 4, 30: 3}
+    assert "lag1" in got[5] and "ma5" in got[5]
+    assert "lag5" in got[10] and "ma20" in got[20]
+    assert "lag20" in got[30] and "ma100" in got[30]
