@@ -4,9 +4,9 @@ Written independently of the Spark code paths: windows and unions per
 horizon instead of ``inline``, ``row_number``/``count`` instead of running
 sums, a grouped fit joined back instead of window moments, a recursive CTE
 instead of an array fold, a generated calendar joined by range instead of
-array filters.  Shared with the library are only the fixed values
-(``config``, ``fixtures``) and the elimination stages of the normal
-equations (``functions.linalg``), which are plain arithmetic.
+array filters, and the normal equations solved by Cholesky where the
+library eliminates.  The oracle shares only the fixed values (``config``,
+``fixtures``) with the library.
 
 Tables ``lineitem supplier orders customer events`` are views registered
 by the caller.
@@ -15,7 +15,6 @@ by the caller.
 from __future__ import annotations
 
 from .. import config
-from ..functions import linalg
 from ..sources import fixtures as fx
 
 TZ = config.MARKET_TIMEZONE
@@ -115,6 +114,35 @@ def _tier_names() -> str:
             f"ELSE '{j(config.LONG_TERM_FEATURES)}' END")
 
 
+def cholesky_stages(p: int = 4, tol: float = 1e-12) -> list[list[tuple[str, str]]]:
+    """Normal equations by Cholesky (C = L L^T, forward then back
+    substitution) - a different route from the library's elimination.  A
+    column whose remaining diagonal ``d_j`` is at most ``tol * c_jj`` is
+    left out (its coefficient is 0), the same rank rule."""
+    def c(i, j):
+        return f"c{min(i, j)}{max(i, j)}"
+    stages: list[list[tuple[str, str]]] = []
+    for j in range(p):
+        d = c(j, j) + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+        stages.append([(f"ok{j}", f"({d}) > {tol!r} * {c(j, j)}")])
+        stage = [(f"l{j}{j}", f"CASE WHEN ok{j} THEN sqrt({d}) END")]
+        stages.append(stage)
+        below = []
+        for i in range(j + 1, p):
+            num = c(i, j) + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            below.append((f"l{i}{j}", f"CASE WHEN ok{j} THEN ({num}) / l{j}{j} ELSE 0.0 END"))
+        if below:
+            stages.append(below)
+    for j in range(p):
+        num = f"b{j}" + "".join(f" - l{j}{k} * z{k}" for k in range(j))
+        stages.append([(f"z{j}", f"CASE WHEN ok{j} THEN ({num}) / l{j}{j} ELSE 0.0 END")])
+    for j in reversed(range(p)):
+        num = f"z{j}" + "".join(f" - l{i}{j} * w{i}" for i in range(j + 1, p))
+        stages.append([(f"w{j}", f"CASE WHEN ok{j} THEN ({num}) / l{j}{j} ELSE 0.0 END")])
+    stages.append([("intercept", "my" + "".join(f" - w{i} * m{i}" for i in range(p)))])
+    return stages
+
+
 def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True,
                src: str = "prices", req: str = "req") -> list[tuple[str, str]]:
     """CTEs ending in ``{tag}_fit``: ticker, forecast_days, w0..w3, intercept,
@@ -148,7 +176,7 @@ def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True,
     ctes.append((f"{t}_mom", f"SELECT ticker, forecast_days, count(*) AS n, {moms} FROM {t}_split "
                              f"WHERE NOT is_test GROUP BY ticker, forecast_days"))
     prev = f"{t}_mom"
-    for s, stage in enumerate(linalg.solve_stages(4)):
+    for s, stage in enumerate(cholesky_stages()):
         name = f"{t}_s{s}"
         ctes.append((name, f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage)} FROM {prev}"))
         prev = name
