@@ -91,3 +91,15 @@ def test_feature_count_by_horizon(spark):
     assert "lag1" in got[5] and "ma5" in got[5]
     assert "lag5" in got[10] and "ma20" in got[20]
     assert "lag20" in got[30] and "ma100" in got[30]
+
+
+def test_read_prices_from_csv_and_timestamps(spark, tmp_path):
+    from datetime import datetime
+    from tidecast.sources import read_prices
+    raw = spark.createDataFrame([("A", datetime(2021, 1, 4, 16, 0), 10.5), ("A", datetime(2021, 1, 5, 16, 0), 11.0)],
+                                "symbol string, ts timestamp, px double")
+    raw.write.option("header", "true").csv(str(tmp_path / "csv"))
+    df = read_prices(spark, str(tmp_path / "csv"), fmt="csv", options={"header": "true"},
+                     ticker="symbol", date="ts", close="px")
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "date", "double"]
+    assert sorted((r.date, r.close) for r in df.collect()) == [(date(2021, 1, 4), 10.5), (date(2021, 1, 5), 11.0)]

@@ -110,3 +110,13 @@ def test_delete(spark, models):
     assert tombs.count() == 1
     assert sorted((r.status, r.error_code, r.version) for r in out.collect()) == [
         ("error", "MODEL_NOT_FOUND", None), ("success", None, "AAPL_linear_7day_20230101120000")]
+
+
+def test_get_resolves_same_second_versions_to_newest(spark, models):
+    extra = spark.createDataFrame([_model("AAPL", 7, datetime(2023, 1, 1, 17, 0, 0, 500000), mae=9.0)], schema.MODEL)
+    extra = extra.withColumn("version", versions.version_string(F.col("ticker"), F.col("forecast_days"),
+                                                                F.col("trained_at")))
+    req = spark.createDataFrame([("AAPL", 7, "2023-01-01-12:00:00")],
+                                "ticker string, forecast_days int, last_trained_time string")
+    got = registry.get(models.unionByName(extra), req).collect()
+    assert len(got) == 1 and got[0].mae == 9.0

@@ -96,12 +96,20 @@ def get(models: DataFrame, requests: DataFrame, tombstones: DataFrame | None = N
             .when(F.col("m.ticker").isNull(), F.lit(config.MODEL_NOT_FOUND))
             .when(F.col("m._corrupt"), F.lit(config.MODEL_CORRUPTED)))
     model_cols = [c for c in cand.columns if c not in ("ticker", "forecast_days", "_sec", "_corrupt")]
-    return joined.select(
+    out = joined.select(
         F.col("r.ticker").alias("ticker"), F.col("r.forecast_days").alias("forecast_days"),
         F.col("r.last_trained_time").alias("last_trained_time"),
         F.when(code.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
         code.alias("error_code"),
         *[F.when(code.isNull(), F.col(f"m.{c}")).alias(c) for c in model_cols])
+    # versions are addressed to the second: several saves in one second
+    # resolve to the newest, one row per look-up
+    keys = ["ticker", "forecast_days", "last_trained_time"]
+    rest = [c for c in out.columns if c not in keys]
+    return (out.groupBy(*keys)
+            .agg(F.max_by(F.struct(*rest), F.coalesce(F.col("trained_at"), F.lit(0).cast("timestamp")))
+                 .alias("_r"))
+            .select(*keys, "_r.*"))
 
 
 def delete(models: DataFrame, requests: DataFrame, deleted_at,
