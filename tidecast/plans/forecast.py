@@ -57,18 +57,25 @@ def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFram
     with_model = clean.join(
         latest_models.select(*KEYS, "version"), list(KEYS), "left")
     counts = joined.select(*KEYS, "n_hist")
+    n_hist = F.coalesce(F.col("n_hist"), F.lit(0))
+    message = (F.when(F.col("error_code") == config.MODEL_NOT_FOUND, F.format_string(
+                   "No trained model found for ticker '%s' with %d-day forecast.", F.col("ticker"),
+                   F.col("forecast_days")))
+               .when(F.col("error_code") == config.INSUFFICIENT_DATA, F.format_string(
+                   "Insufficient price data for ticker '%s'. Required at least %d records, found %d.",
+                   F.col("ticker"), F.lit(config.MIN_FEATURE_ROWS), n_hist)))
     status = (with_model.join(counts, list(KEYS), "left")
-              .select(*KEYS, "version",
-                      F.when(F.col("version").isNull(), F.lit(config.MODEL_NOT_FOUND))
-                      .when(F.coalesce(F.col("n_hist"), F.lit(0)) < config.MIN_FEATURE_ROWS,
-                            F.lit(config.INSUFFICIENT_DATA)).alias("error_code")))
+              .withColumn("error_code", F.when(F.col("version").isNull(), F.lit(config.MODEL_NOT_FOUND))
+                          .when(n_hist < config.MIN_FEATURE_ROWS, F.lit(config.INSUFFICIENT_DATA))))
     status = status.select(*KEYS, "version",
                            F.when(F.col("error_code").isNull(), F.lit("ok"))
-                           .otherwise(F.lit("error")).alias("status"), "error_code")
+                           .otherwise(F.lit("error")).alias("status"), "error_code",
+                           message.alias("error"))
     status = status.unionByName(rejected.select(
         "ticker", F.col("forecast_days").try_cast("int").alias("forecast_days"),
         F.lit(None).cast("string").alias("version"), F.lit("error").alias("status"),
-        F.lit(config.INVALID_REQUEST).alias("error_code")))
+        F.lit(config.INVALID_REQUEST).alias("error_code"),
+        F.concat(F.lit("invalid: "), F.array_join("violations", ", ")).alias("error")))
     usable = joined.where(F.col("n_hist") >= config.MIN_FEATURE_ROWS)
     return ForecastResult(fc.recursive_forecast(usable, business_calendar), status)
 
