@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema
 
@@ -23,11 +24,17 @@ def _path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def empty(spark: SparkSession, struct) -> DataFrame:
+    """An empty frame of ``struct`` built from a JVM leaf (a local Python
+    list would be scanned by Python workers in every plan that uses it)."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in struct.fields])
+
+
 def _read(spark: SparkSession, path: str, struct) -> DataFrame:
     try:
         return spark.read.schema(struct).parquet(path)
     except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], struct)
+        return empty(spark, struct)
 
 
 def _conform(df: DataFrame, struct) -> DataFrame:
