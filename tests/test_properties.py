@@ -97,3 +97,44 @@ def test_next_business_days_are_the_first_n_after(spark, days, n):
         before = [x for x in bd if x < r.d]
         assert r.nb == after
         assert r.lb == before[-1]
+
+
+def _py_bad(s, fmt):
+    from datetime import datetime
+    try:
+        datetime.strptime(s, fmt)
+        return False
+    except ValueError:
+        return True
+
+
+date_like = st.one_of(
+    st.text(alphabet="0123456789-", min_size=0, max_size=12),
+    st.builds(lambda y, m, d: f"{y}-{m}-{d}", st.integers(0, 9999).map(lambda y: f"{y:04d}"),
+              st.integers(0, 13).map(str) | st.integers(0, 13).map(lambda m: f"{m:02d}"),
+              st.integers(0, 32).map(str) | st.integers(0, 32).map(lambda d: f"{d:02d}")))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(date_like, min_size=20, max_size=60))
+def test_date_rule_agrees_with_strptime(spark, values):
+    from tidecast.functions import quality
+    values = [v for v in values if not v.startswith("0000")]  # year 0 is outside Python's range
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r.b for r in df.select(quality.bad_date_string(F.col("s")).alias("b")).collect()]
+    assert got == [_py_bad(v, "%Y-%m-%d") for v in values]
+
+
+datetime_like = st.builds(
+    lambda d, h, mi, s: f"{d}-{h}:{mi}:{s}",
+    st.builds(lambda y, m, d: f"{y:04d}-{m:02d}-{d:02d}", st.integers(1990, 2030), st.integers(1, 12), st.integers(1, 28)),
+    st.integers(0, 25).map(str), st.integers(0, 61).map(str), st.integers(0, 61).map(lambda x: f"{x:02d}"))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(datetime_like, min_size=20, max_size=60))
+def test_datetime_rule_agrees_with_strptime(spark, values):
+    from tidecast.functions import quality
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r.b for r in df.select(quality.bad_datetime_string(F.col("s")).alias("b")).collect()]
+    assert got == [_py_bad(v, "%Y-%m-%d-%H:%M:%S") for v in values]
