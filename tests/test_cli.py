@@ -27,3 +27,17 @@ def test_cli_round_trip(spark, tmp_path, capsys):
     assert store.read_tombstones(spark, reg).count() == 1
     out = capsys.readouterr().out
     assert "INSUFFICIENT_DATA" in out and "success" in out
+
+
+def test_run_log_ids(spark, tmp_path):
+    from datetime import datetime
+    from tidecast.plans import jobs
+    prices = str(tmp_path / "prices")
+    fixture_prices(spark, SF001).write.parquet(prices)
+    from tidecast.sources import read_prices
+    req = spark.createDataFrame([("S1", 5), ("S2", 5)], "ticker string, forecast_days int")
+    log = jobs.run_training(spark, read_prices(spark, prices), req, str(tmp_path / "reg"), as_of="2001-12-31",
+                            now=datetime(2001, 12, 31, 22)).collect()
+    assert len({r.run_id for r in log}) == 1 and len({r.task_id for r in log}) == 2
+    assert all(r.submitted_at == datetime(2001, 12, 31, 22) for r in log)
+    assert cli.main(["runs", "--registry", str(tmp_path / "reg"), "--task-id", log[0].task_id], spark) == 0

@@ -58,6 +58,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--as-of", help="data cut-off date (default: today)")
     p.add_argument("--history-days", type=int, default=config.FORECAST_HISTORY_DAYS)
     p.add_argument("--out", help="forecast output folder")
+    p.add_argument("--task-id", action="append", help="runs: only these task or run ids")
     p.add_argument("--show", type=int, default=50, help="rows to print")
     args = p.parse_args(argv)
     spark = spark or build_session()
@@ -76,7 +77,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             _show(jobs.run_forecast(spark, prices, req, args.registry, args.out, as_of=args.as_of,
                                     history_days=args.history_days), args.show)
     elif args.command == "runs":
-        _show(store.read_run_log(spark, args.registry).orderBy(F.col("trained_at").desc_nulls_last()), args.show)
+        log = store.read_run_log(spark, args.registry)
+        if args.task_id:
+            log = log.where(F.col("task_id").isin(args.task_id) | F.col("run_id").isin(args.task_id))
+        # the task result: status plus the metrics of the version it produced or kept
+        metrics = store.read_models(spark, args.registry).select(
+            *registry.VERSION_KEY, "mae", "r2", "mape", "max_ae", "train_samples", "test_samples",
+            "last_train_date")
+        result = log.join(metrics, list(registry.VERSION_KEY), "left")
+        _show(result.orderBy(F.col("submitted_at").desc_nulls_last(), "ticker", "forecast_days"), args.show)
     elif args.command == "models":
         models = registry.list_models(store.read_models(spark, args.registry),
                                       store.read_tombstones(spark, args.registry))

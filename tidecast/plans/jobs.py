@@ -8,13 +8,14 @@ lost executor costs a recomputation of at most one stage.
 from __future__ import annotations
 
 import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.instants import ensure_utc
+from ..functions.instants import ensure_utc, utc_instant
 from ..operators import registry
 from ..session import cut_lineage
 from ..sources import registry_store as store
@@ -39,8 +40,16 @@ def run_training(spark: SparkSession, prices: DataFrame, requests: DataFrame, re
                     latest_models=latest_models(spark, registry_root), horizons=horizons,
                     test_size=test_size, materialize=cut_lineage)
     store.append_models(res.models, registry_root)
-    # the run log reads the checkpointed outcomes: writing it does not retrain
-    log = res.run_log.withColumn("duration_seconds", F.lit(time.time() - started))
+    # the run log reads the checkpointed outcomes: writing it does not retrain.
+    # run_id names the job; task_id (one per request) is derived from it.
+    run_id = str(uuid.uuid4())
+    log = res.run_log.withColumns({
+        "run_id": F.lit(run_id),
+        "task_id": F.sha2(F.concat_ws("|", F.lit(run_id), F.col("ticker"),
+                                      F.col("forecast_days").cast("string")), 256).substr(1, 32),
+        "duration_seconds": F.lit(time.time() - started),
+        "submitted_at": utc_instant(now),
+    })
     store.append_run_log(log, registry_root)
     return log
 

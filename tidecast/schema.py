@@ -62,6 +62,8 @@ TOMBSTONE = T.StructType([
 ])
 
 RUN_LOG = T.StructType([
+    T.StructField("run_id", T.StringType(), True),
+    T.StructField("task_id", T.StringType(), True),
     T.StructField("ticker", T.StringType(), True),
     T.StructField("forecast_days", T.IntegerType(), True),
     T.StructField("status", T.StringType(), True),
@@ -70,6 +72,7 @@ RUN_LOG = T.StructType([
     T.StructField("version", T.StringType(), True),
     T.StructField("trained_at", T.TimestampType(), True),
     T.StructField("duration_seconds", T.DoubleType(), True),
+    T.StructField("submitted_at", T.TimestampType(), True),
 ])
 
 FORECAST = T.StructType([
