@@ -73,3 +73,10 @@ def test_bucketed_prices_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS prices_bucketed_test")
+
+
+def test_shuffle_partitions_for():
+    from tidecast.session import shuffle_partitions_for
+    assert shuffle_partitions_for(10 * 1024 ** 2, 8) == 16
+    assert shuffle_partitions_for(3 * 10 ** 12, 16000) == 32000
+    assert shuffle_partitions_for(100 * 1024 ** 4, 16000) == 819200

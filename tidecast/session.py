@@ -42,6 +42,18 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def shuffle_partitions_for(shuffled_bytes: int, total_cores: int,
+                           target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for a job whose largest
+    shuffle moves ``shuffled_bytes`` (for training: the price rows in the
+    look-back window, about 30 bytes a row): partitions of ~``target_bytes``
+    so a window task's sort and spill stay well inside executor memory, and
+    never fewer than two waves of tasks over the cluster.  AQE then merges
+    partitions that turn out small."""
+    by_size = -(-int(shuffled_bytes) // int(target_bytes))
+    return max(2 * int(total_cores), by_size)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
