@@ -103,3 +103,12 @@ def test_read_prices_from_csv_and_timestamps(spark, tmp_path):
                      ticker="symbol", date="ts", close="px")
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "date", "double"]
     assert sorted((r.date, r.close) for r in df.collect()) == [(date(2021, 1, 4), 10.5), (date(2021, 1, 5), 11.0)]
+
+
+def test_unreadable_source_is_data_fetch_failed(spark, tmp_path):
+    import pytest
+    from tidecast.errors import DataFetchError
+    from tidecast.sources import read_prices
+    with pytest.raises(DataFetchError) as e:
+        read_prices(spark, str(tmp_path / "missing"))
+    assert e.value.code == "DATA_FETCH_FAILED"

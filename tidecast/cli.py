@@ -87,8 +87,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         result = log.join(metrics, list(registry.VERSION_KEY), "left")
         _show(result.orderBy(F.col("submitted_at").desc_nulls_last(), "ticker", "forecast_days"), args.show)
     elif args.command == "models":
-        models = registry.list_models(store.read_models(spark, args.registry),
-                                      store.read_tombstones(spark, args.registry))
+        stored, tombs = store.read_models(spark, args.registry), store.read_tombstones(spark, args.registry)
+        models = registry.list_models(stored, tombs)
+        skipped = registry.corrupt(stored, tombs).count()
+        if skipped:
+            print(f"skipped {skipped} incomplete model version(s)", file=sys.stderr)
         _show(models.select("ticker", "forecast_days", "version", "mae", "r2", "mape", "max_ae", "features",
                             "coefficients", "intercept", "train_samples", "test_samples", "last_train_date"),
               args.show)

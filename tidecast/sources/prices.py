@@ -7,9 +7,11 @@ the three-column projection down into the scan.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import DataFetchError
 from ..schema import require_columns
 
 
@@ -28,13 +30,16 @@ def read_prices(spark: SparkSession, source: str, fmt: str = "parquet",
                 options: dict | None = None, **columns) -> DataFrame:
     """Read prices from a path (``fmt`` = parquet/orc/csv/json/...) or, with
     ``fmt="table"``, from a catalog table."""
-    if fmt == "table":
-        raw = spark.table(source)
-    else:
-        reader = spark.read.format(fmt)
-        for k, v in (options or {}).items():
-            reader = reader.option(k, v)
-        raw = reader.load(source)
+    try:
+        if fmt == "table":
+            raw = spark.table(source)
+        else:
+            reader = spark.read.format(fmt)
+            for k, v in (options or {}).items():
+                reader = reader.option(k, v)
+            raw = reader.load(source)
+    except AnalysisException as e:  # missing path/table, unreadable format
+        raise DataFetchError(source, e) from e
     return normalize_prices(raw, **columns)
 
 
