@@ -42,3 +42,27 @@ def test_replayed_training_batch_is_skipped(spark, tmp_path):
     assert [r.status for r in first.collect()] == ["completed"]
     assert [r.status for r in again.collect()] == ["skipped"]
     assert store.read_models(spark, root).count() == 1
+
+
+def test_latest_snapshot_tracks_appends_and_deletes(spark, tmp_path):
+    from datetime import datetime
+    from pyspark.sql import functions as F
+    from tidecast.plans import jobs
+    prices = frame(spark, _series("A", 220) + _series("B", 220))
+    req = spark.createDataFrame([("A", 5), ("B", 5)], schema.REQUESTS)
+    root = str(tmp_path / "registry")
+    jobs.run_training(spark, prices, req, root, as_of="2020-12-31", now=datetime(2020, 12, 30, 22))
+    jobs.run_training(spark, prices, req, root, as_of="2020-12-31", now=datetime(2020, 12, 31, 22))
+    snap = store.read_latest_snapshot(spark, root)
+    assert snap is not None and snap.count() == 2
+    assert {r.trained_at for r in snap.collect()} == {datetime(2020, 12, 31, 22)}
+    assert store.read_models(spark, root).count() == 4
+    # delete A's newest version: the snapshot falls back to the older one
+    dreq = spark.createDataFrame([("A", 5, "2020-12-31-17:00:00")],
+                                 "ticker string, forecast_days int, last_trained_time string")
+    out = jobs.run_delete(spark, dreq, root).collect()
+    assert [r.status for r in out] == ["success"]
+    lat = {r.ticker: r.trained_at for r in jobs.latest_models(spark, root).collect()}
+    assert lat == {"A": datetime(2020, 12, 30, 22), "B": datetime(2020, 12, 31, 22)}
+    full = {r.ticker: r.trained_at for r in jobs.latest_models(spark, root, use_snapshot=False).collect()}
+    assert full == lat

@@ -23,7 +23,12 @@ from .forecast import forecast_all
 from .train import train_all
 
 
-def latest_models(spark: SparkSession, root: str) -> DataFrame:
+def latest_models(spark: SparkSession, root: str, use_snapshot: bool = True) -> DataFrame:
+    """Latest usable version per key: the newest snapshot when there is one
+    (O(keys) rows), else computed from the whole history."""
+    snap = store.read_latest_snapshot(spark, root) if use_snapshot else None
+    if snap is not None:
+        return snap
     return registry.latest(store.read_models(spark, root), store.read_tombstones(spark, root))
 
 
@@ -36,10 +41,12 @@ def run_training(spark: SparkSession, prices: DataFrame, requests: DataFrame, re
     started = time.time()
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     as_of = as_of or now.date().isoformat()
-    res = train_all(prices, requests, as_of, now=now,
-                    latest_models=latest_models(spark, registry_root), horizons=horizons,
+    current = latest_models(spark, registry_root)
+    res = train_all(prices, requests, as_of, now=now, latest_models=current, horizons=horizons,
                     test_size=test_size, materialize=cut_lineage)
     store.append_models(res.models, registry_root)
+    # new snapshot = latest of (previous latest + this run's versions): O(keys)
+    store.write_latest_snapshot(registry.latest(current.unionByName(res.models)), registry_root)
     # the run log reads the checkpointed outcomes: writing it does not retrain.
     # run_id names the job; task_id (one per request) is derived from it.
     run_id = str(uuid.uuid4())
@@ -76,4 +83,6 @@ def run_delete(spark: SparkSession, requests: DataFrame, registry_root: str,
     new_tombs, outcome = registry.delete(models, requests, deleted_at, tombs)
     outcome = cut_lineage(outcome)
     store.append_tombstones(new_tombs, registry_root)
+    # a deleted latest version falls back to an older one: rebuild from history
+    store.write_latest_snapshot(latest_models(spark, registry_root, use_snapshot=False), registry_root)
     return outcome

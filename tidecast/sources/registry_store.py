@@ -4,7 +4,12 @@ Layout under one registry root (any Hadoop-compatible path):
 
 * ``models/``     append-only model versions (``schema.MODEL``);
 * ``tombstones/`` append-only deletions (``schema.TOMBSTONE``);
-* ``run_log/``    append-only training run records (``schema.RUN_LOG``).
+* ``run_log/``    append-only training run records (``schema.RUN_LOG``);
+* ``latest/snapshot=<n>/`` the latest usable version per key, rewritten
+  after each append or delete, so readers touch O(keys) rows instead of
+  the whole history.  Readers take the newest complete snapshot; a job
+  that dies before writing one leaves the previous snapshot, whose keys
+  then look stale and are retrained - never a wrong model.
 
 Appends go through Spark's file commit protocol: a failed or retried job
 leaves no partial version visible, which is what the temp-file-and-rename
@@ -68,3 +73,41 @@ def append_run_log(run_log: DataFrame, root: str) -> None:
 def write_forecasts(forecasts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Forecasts partitioned by horizon (readers prune by ``forecast_days``)."""
     _conform(forecasts, schema.FORECAST).write.mode(mode).partitionBy("forecast_days").parquet(path)
+
+
+# --- latest snapshot ---------------------------------------------------------------
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _snapshot_paths(spark: SparkSession, root: str) -> list[str]:
+    """Complete snapshots (with ``_SUCCESS``), oldest first (metadata only)."""
+    fs, base = _fs(spark, _path(root, "latest"))
+    if not fs.exists(base):
+        return []
+    out = []
+    for st in fs.listStatus(base):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("snapshot=") and \
+                fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(name.split("=", 1)[1]), st.getPath().toString()))
+    return [p for _, p in sorted(out)]
+
+
+def read_latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    paths = _snapshot_paths(spark, root)
+    return spark.read.schema(schema.MODEL).parquet(paths[-1]) if paths else None
+
+
+def write_latest_snapshot(latest: DataFrame, root: str) -> str:
+    """Write a new snapshot numbered after the newest one; returns its path."""
+    spark = latest.sparkSession
+    paths = _snapshot_paths(spark, root)
+    n = int(paths[-1].rsplit("=", 1)[1]) + 1 if paths else 1
+    path = _path(root, f"latest/snapshot={n:012d}")
+    _conform(latest, schema.MODEL).write.mode("errorifexists").parquet(path)
+    return path
+
