@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tidecast", checkpoint: str | None = None) -> SparkSession:
     """A session with the settings the library is tuned for.
 
@@ -22,9 +22,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    local = bool(master and master.startswith("local"))
+    if shuffle_partitions is None and local:
+        shuffle_partitions = 8
+    if shuffle_partitions is not None:  # on a cluster, leave spark-submit's setting alone
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -35,7 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     )
     if checkpoint:
         builder = builder.config("spark.checkpoint.dir", checkpoint)
-    if master and master.startswith("local"):
+    if local:
         builder = builder.config("spark.driver.memory", os.environ.get("TIDECAST_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
