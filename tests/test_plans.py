@@ -80,3 +80,14 @@ def test_shuffle_partitions_for():
     assert shuffle_partitions_for(10 * 1024 ** 2, 8) == 16
     assert shuffle_partitions_for(3 * 10 ** 12, 16000) == 32000
     assert shuffle_partitions_for(100 * 1024 ** 4, 16000) == 819200
+
+
+def test_few_stale_tickers_become_a_pushed_scan_filter(spark, price_table):
+    p = read_prices(spark, price_table)
+    req = spark.createDataFrame([("S1", 5), ("S2", 5)], "ticker string, forecast_days int")
+    res = train.train_all(p, req, fixtures.AS_OF, now=fixtures.NOW, horizons=[5], materialize=lambda d: d)
+    formatted = res.models._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(r"PushedFilters: \[[^\]]*In\(ticker, \[S1,S2\]\)", formatted) or \
+        re.search(r"PushedFilters: \[[^\]]*In\(ticker, \[S2,S1\]\)", formatted)
+    assert res.models.count() == 2

@@ -35,6 +35,10 @@ MAPE_EPSILON = 2.220446049250313e-16  # float64 machine epsilon, MAPE floor
 MODEL_TYPE = "LinearRegression"
 VERSION_KIND = "linear"        # version string: {ticker}_linear_{h}day_{yyyyMMddHHmmss}
 MAX_TICKER_LENGTH = 10
+# A job whose stale requests name at most this many tickers filters the price
+# scan with a literal IN list (pushed to Parquet, prunes buckets) instead of a
+# join; the count is checked before the list is collected.
+LITERAL_TICKER_FILTER_MAX = 1000
 
 # --- fixed values: time -----------------------------------------------------
 MARKET_TIMEZONE = "America/New_York"

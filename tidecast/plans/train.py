@@ -5,7 +5,9 @@ Plan shape (see ``explain``): the requested-ticker join shuffles prices by
 over ``(ticker, forecast_days)``, the moment windows and the metrics
 aggregate all reuse that partitioning (local sorts only).  Nothing is
 collected except the list of distinct horizons (at most ``MAX_HORIZON``
-integers, needed to lay out the ``lead`` columns).
+integers, needed to lay out the ``lead`` columns) and, in jobs, a stale-
+ticker list whose size is checked first (at most
+``LITERAL_TICKER_FILTER_MAX``, turned into a pushed-down scan filter).
 """
 
 from __future__ import annotations
@@ -170,10 +172,23 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     # staleness is decided once: the outcome table below carries it, so a
     # job that appends to the registry never re-reads it for the run log
     checked = freshness.needs_training(clean, latest_models, now_c)
+    if materialize is not None:  # one row per request: cheap to pin down first
+        checked = materialize(checked)
     stale = checked.where(F.col("needs_training")).select(*KEYS)
 
-    hs = sorted(set(horizons)) if horizons is not None else distinct_horizons(clean)
+    hs = distinct_horizons(stale) if horizons is None else sorted({int(h) for h in horizons})
+    few_tickers = None
+    if materialize is not None and hs:
+        # one bounded look at the stale tickers: none -> skip the price plan;
+        # a few -> a literal scan filter; many (> the bound) -> the join
+        seen = stale.select("ticker").distinct().limit(config.LITERAL_TICKER_FILTER_MAX + 1).collect()
+        if not seen:
+            hs = []
+        elif len(seen) <= config.LITERAL_TICKER_FILTER_MAX:
+            few_tickers = [r.ticker for r in seen]
     window = training_window(prices, as_of, lookback_days)
+    if few_tickers is not None:  # pushed to the scan: row-group skipping, bucket pruning
+        window = window.where(F.col("ticker").isin(few_tickers))
     code, msg = outcome(test_size)
     if hs:
         keyed = fit_and_score(split_rows(window, hs, requested_horizons(stale), test_size))
