@@ -194,8 +194,11 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
         keyed = fit_and_score(split_rows(window, hs, requested_horizons(stale), test_size))
         # one outcome row per clean request: a single pass over the training plan
         outcomes = checked.join(keyed, list(KEYS), "left")
-    else:
-        outcomes = checked.withColumns({c: F.lit(None).cast("long") for c in ("n_feat", "n", "n_bad")})
+    else:  # nothing to fit: same columns, all null
+        nulls = {c: "long" for c in ("n_feat", "n", "n_bad", "train_samples", "test_samples")}
+        nulls.update({c: "double" for c in ("w0", "w1", "w2", "w3", "intercept", "mae", "r2", "mape", "max_ae")})
+        nulls["last_train_date"] = "date"
+        outcomes = checked.withColumns({c: F.lit(None).cast(t) for c, t in nulls.items()})
     stale_c = F.col("needs_training")
     outcomes = outcomes.withColumns({
         "error_code": F.when(stale_c, code),
