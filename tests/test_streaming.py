@@ -46,7 +46,6 @@ def test_replayed_training_batch_is_skipped(spark, tmp_path):
 
 def test_latest_snapshot_tracks_appends_and_deletes(spark, tmp_path):
     from datetime import datetime
-    from pyspark.sql import functions as F
     from tidecast.plans import jobs
     prices = frame(spark, _series("A", 220) + _series("B", 220))
     req = spark.createDataFrame([("A", 5), ("B", 5)], schema.REQUESTS)
