@@ -91,3 +91,20 @@ def test_few_stale_tickers_become_a_pushed_scan_filter(spark, price_table):
     assert re.search(r"PushedFilters: \[[^\]]*In\(ticker, \[S1,S2\]\)", formatted) or \
         re.search(r"PushedFilters: \[[^\]]*In\(ticker, \[S2,S1\]\)", formatted)
     assert res.models.count() == 2
+
+
+def test_single_ticker_forecast_prunes_the_scan(spark, price_table, tmp_path):
+    from datetime import datetime
+    from tidecast.plans import jobs
+    p = read_prices(spark, price_table)
+    req = spark.createDataFrame([("S1", 5)], "ticker string, forecast_days int")
+    root = str(tmp_path / "reg")
+    jobs.run_training(spark, p, req, root, as_of=fixtures.AS_OF, now=datetime(2001, 12, 31, 22))
+    box = {}
+    fr = fplan.forecast_all(p, req, jobs.latest_models(spark, root), fixtures.AS_OF, fixtures.HISTORY_DAYS,
+                            materialize=lambda d: box.setdefault("j", d))
+    formatted = box["j"]._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    # a one-name IN list is rewritten to equality; it reaches the price scan
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(ticker,S1\)[^\]]*LessThanOrEqual\(date", formatted)
+    assert fr.forecasts.count() == 5

@@ -51,6 +51,12 @@ def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFram
     req = requests.select("ticker", "forecast_days")
     clean, rejected = quality.split_valid(req, quality.request_rules())
     clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days")).distinct()
+    if materialize is not None:
+        # jobs: a bounded look at the requested tickers; a few become a literal
+        # scan filter (row-group skipping, bucket pruning) instead of a join
+        seen = clean.select("ticker").distinct().limit(config.LITERAL_TICKER_FILTER_MAX + 1).collect()
+        if len(seen) <= config.LITERAL_TICKER_FILTER_MAX:
+            prices = prices.where(F.col("ticker").isin([r.ticker for r in seen]))
     joined = models_with_history(latest_models, prices, history_days, as_of, clean)
     if materialize is not None:
         joined = materialize(joined)
