@@ -138,3 +138,35 @@ def test_datetime_rule_agrees_with_strptime(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "s string")
     got = [r.b for r in df.select(quality.bad_datetime_string(F.col("s")).alias("b")).collect()]
     assert got == [_py_bad(v, "%Y-%m-%d-%H:%M:%S") for v in values]
+
+
+versions_st = st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), st.sampled_from([5, 10]),
+                                 st.integers(0, 50), st.booleans(), st.booleans()),
+                       min_size=1, max_size=25, unique_by=lambda t: (t[0], t[1], t[2]))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(versions_st)
+def test_latest_with_tombstones_matches_python(spark, rows):
+    """rows: (ticker, horizon, minute offset, deleted?, complete?)"""
+    from datetime import datetime, timedelta
+    from tidecast import schema
+    from tidecast.operators import registry
+    base = datetime(2023, 1, 2, 15, 0)
+    models, tombs = [], []
+    for t, h, m, deleted, complete in rows:
+        at = base + timedelta(minutes=m)
+        models.append((t, h, "LinearRegression", f"{t}-{h}-{m}", at, ["lag1"], {"lag1": 0.1}, 0.1, 0.0, 0.0, 0.0,
+                       1.0 if complete else None, 1.0, 0.5, 0.1, 2.0, 10, 2, date(2023, 1, 1)))
+        if deleted:
+            tombs.append((t, h, at, base + timedelta(days=1)))
+    mdf = spark.createDataFrame(models, schema.MODEL)
+    tdf = spark.createDataFrame(tombs, schema.TOMBSTONE)
+    got = {(r.ticker, r.forecast_days): r.version for r in registry.latest(mdf, tdf).collect()}
+    exp = {}
+    for t, h, m, deleted, complete in rows:
+        if deleted or not complete:
+            continue
+        if (t, h) not in exp or m > exp[(t, h)][0]:
+            exp[(t, h)] = (m, f"{t}-{h}-{m}")
+    assert got == {k: v for k, (_, v) in exp.items()}
