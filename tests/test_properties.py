@@ -170,3 +170,68 @@ def test_latest_with_tombstones_matches_python(spark, rows):
         if (t, h) not in exp or m > exp[(t, h)][0]:
             exp[(t, h)] = (m, f"{t}-{h}-{m}")
     assert got == {k: v for k, (_, v) in exp.items()}
+
+
+def _py_fixed_holiday(d):
+    return any(d.month == m and d.day == dd and d.year >= a and (b is None or d.year <= b)
+               for _, m, dd, a, b in config.FIXED_DATE_HOLIDAYS)
+
+
+def _py_floating_holiday(d):
+    for _, m, wd, nth, a, b in config.FLOATING_HOLIDAYS:
+        if d.month != m or d.weekday() != wd or d.year < a or (b is not None and d.year > b):
+            continue
+        if nth > 0 and (d.day - 1) // 7 + 1 == nth:
+            return True
+        if nth < 0 and (d + timedelta(days=7)).month != m:
+            return True
+    return False
+
+
+def _py_business_day(d):
+    holiday = (_py_fixed_holiday(d) or _py_floating_holiday(d)
+               or (d.weekday() == 4 and _py_fixed_holiday(d + timedelta(days=1)))
+               or (d.weekday() == 0 and _py_fixed_holiday(d - timedelta(days=1))))
+    return d.weekday() < 5 and not holiday
+
+
+def _py_stale(trained, now):
+    from datetime import datetime, timezone
+    from zoneinfo import ZoneInfo
+    ny = ZoneInfo(config.MARKET_TIMEZONE)
+
+    def close(day):
+        return datetime(day.year, day.month, day.day, 16, 30, tzinfo=ny).astimezone(timezone.utc).replace(tzinfo=None)
+    if trained is None:
+        return True
+    today = now.replace(tzinfo=timezone.utc).astimezone(ny).date()
+    if _py_business_day(today):
+        return trained < close(today) < now
+    before = today - timedelta(days=1)
+    while not _py_business_day(before):
+        before -= timedelta(days=1)
+    return trained < close(before)
+
+
+instants = st.datetimes(min_value=__import__("datetime").datetime(1990, 1, 1),
+                        max_value=__import__("datetime").datetime(2040, 12, 31))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(instants, st.integers(-200_000, 200_000)), min_size=10, max_size=40))
+def test_staleness_matches_python(spark, pairs):
+    from datetime import timedelta as td
+    from tidecast.operators import freshness
+    rows = [(now.replace(microsecond=0), (now + td(minutes=off)).replace(microsecond=0)) for now, off in pairs]
+    df = spark.createDataFrame(rows, "now timestamp, trained timestamp")
+    got = [r.s for r in df.select(freshness.is_stale(F.col("trained"), F.col("now")).alias("s")).collect()]
+    assert got == [_py_stale(t, n) for n, t in rows]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.dates(min_value=date(1960, 1, 1), max_value=date(2060, 12, 31)), min_size=20, max_size=80))
+def test_business_day_rule_matches_python(spark, days):
+    from tidecast.functions import calendar
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = [r.b for r in df.select(calendar.is_business_day(F.col("d")).alias("b")).collect()]
+    assert got == [_py_business_day(d) for d in days]
