@@ -65,3 +65,18 @@ def test_latest_snapshot_tracks_appends_and_deletes(spark, tmp_path):
     assert lat == {"A": datetime(2020, 12, 30, 22), "B": datetime(2020, 12, 31, 22)}
     full = {r.ticker: r.trained_at for r in jobs.latest_models(spark, root, use_snapshot=False).collect()}
     assert full == lat
+
+
+def test_prune_snapshots_keeps_newest(spark, tmp_path):
+    from datetime import datetime
+    from tidecast.plans import jobs
+    prices = frame(spark, _series("A", 220))
+    req = spark.createDataFrame([("A", 5)], schema.REQUESTS)
+    root = str(tmp_path / "registry")
+    for day in (28, 29, 30):
+        jobs.run_training(spark, prices, req, root, as_of="2020-12-31", now=datetime(2020, 12, day, 22))
+    removed = store.prune_snapshots(spark, root, keep=1)
+    assert len(removed) == 2
+    snap = store.read_latest_snapshot(spark, root).collect()
+    assert [r.trained_at for r in snap] == [datetime(2020, 12, 30, 22)]
+    assert store.read_models(spark, root).count() == 3

@@ -111,3 +111,18 @@ def write_latest_snapshot(latest: DataFrame, root: str) -> str:
     _conform(latest, schema.MODEL).write.mode("errorifexists").parquet(path)
     return path
 
+
+def prune_snapshots(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Retention for ``latest/``: remove all but the ``keep`` newest complete
+    snapshots (history, tombstones and run log are never touched).  Call it
+    from a maintenance job, not while another job may still be reading an
+    old snapshot.  Returns the removed paths."""
+    if keep < 1:
+        raise ValueError("keep at least one snapshot")
+    paths = _snapshot_paths(spark, root)
+    removed = paths[:-keep]
+    for path in removed:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    return removed
+
