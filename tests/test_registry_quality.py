@@ -120,3 +120,12 @@ def test_get_resolves_same_second_versions_to_newest(spark, models):
                                 "ticker string, forecast_days int, last_trained_time string")
     got = registry.get(models.unionByName(extra), req).collect()
     assert len(got) == 1 and got[0].mae == 9.0
+
+
+def test_delete_same_second_versions_one_outcome(spark, models):
+    extra = spark.createDataFrame([_model("AAPL", 7, datetime(2023, 1, 1, 17, 0, 0, 500000))], schema.MODEL)
+    req = spark.createDataFrame([("AAPL", 7, "2023-01-01-12:00:00")],
+                                "ticker string, forecast_days int, last_trained_time string")
+    tombs, out = registry.delete(models.unionByName(extra), req, "2023-02-01 00:00:00")
+    assert tombs.count() == 2
+    assert [(r.status, r.version) for r in out.collect()] == [("success", "AAPL_linear_7day_20230101120000")]

@@ -132,12 +132,14 @@ def delete(models: DataFrame, requests: DataFrame, deleted_at,
     code = (F.when(F.size("violations") > 0, F.lit(config.INVALID_REQUEST))
             .when(F.col("_stored").isNull(), F.lit(config.MODEL_NOT_FOUND)))
     ts = _instant(deleted_at)
+    # every version saved within the addressed second is tombstoned; the
+    # request still gets one outcome row
     outcome = joined.select(
         "ticker", "forecast_days", "last_trained_time",
         F.when(code.isNull(), F.lit("success")).otherwise(F.lit("error")).alias("status"),
         code.alias("error_code"),
         F.when(code.isNull(), versions.version_string(F.col("ticker"), F.col("forecast_days"),
-                                                      F.col("_stored"))).alias("version"))
+                                                      F.col("_stored"))).alias("version")).distinct()
     new_tombs = joined.where(code.isNull()).select(
         "ticker", "forecast_days", F.col("_stored").alias("trained_at"),
         ts.alias("deleted_at"))
