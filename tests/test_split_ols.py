@@ -131,3 +131,4 @@ def test_collinear_slot_gets_zero(spark):
     fit = ols.predict(df.join(ols.fit(df).drop("n"), ["ticker", "forecast_days"])).toPandas()
     assert np.allclose(fit.yhat, fit.y, atol=1e-9)
     assert fit.w1.iloc[0] == 0.0 and fit.w3.iloc[0] == 0.0
+

@@ -22,57 +22,59 @@ from __future__ import annotations
 PIVOT_TOLERANCE = 1e-12
 
 
-def _a(k: int, i: int, j: int) -> str:
+def _a(k: int, i: int, j: int, sfx: str = "") -> str:
     i, j = min(i, j), max(i, j)
-    return f"c{i}{j}" if k == 0 else f"a{k}_{i}{j}"
+    return f"c{i}{j}{sfx}" if k == 0 else f"a{k}_{i}{j}{sfx}"
 
 
-def _r(k: int, i: int) -> str:
-    return f"b{i}" if k == 0 else f"r{k}_{i}"
+def _r(k: int, i: int, sfx: str = "") -> str:
+    return f"b{i}{sfx}" if k == 0 else f"r{k}_{i}{sfx}"
 
 
-def _ok(k: int, tol: float) -> str:
-    return f"{_a(k, k, k)} > {tol!r} * c{k}{k}"
+def _ok(k: int, tol: float, sfx: str = "") -> str:
+    return f"{_a(k, k, k, sfx)} > {tol!r} * c{k}{k}{sfx}"
 
 
-def solve_stages(p: int = 4, tol: float = PIVOT_TOLERANCE) -> list[list[tuple[str, str]]]:
-    """Stages of ``(name, sql_expression)``; the last stage yields
-    ``w0..w{p-1}`` (earlier stages) and ``intercept``."""
+def solve_stages(p: int = 4, tol: float = PIVOT_TOLERANCE, suffix: str = "") -> list[list[tuple[str, str]]]:
+    """Stages of ``(name, sql_expression)``; the last stages yield
+    ``w0..w{p-1}`` and ``intercept``.  ``suffix`` is appended to every
+    column read or written, so several systems can be solved side by side."""
+    x = suffix
     stages: list[list[tuple[str, str]]] = []
     for k in range(p - 1):
-        piv = _a(k, k, k)
-        ok = _ok(k, tol)
+        piv = _a(k, k, k, x)
+        ok = _ok(k, tol, x)
         stage = []
         for i in range(k + 1, p):
             for j in range(i, p):
-                stage.append((_a(k + 1, i, j),
-                              f"CASE WHEN {ok} THEN {_a(k, i, j)} - {_a(k, k, i)} * {_a(k, k, j)} / {piv} "
-                              f"ELSE {_a(k, i, j)} END"))
-            stage.append((_r(k + 1, i),
-                          f"CASE WHEN {ok} THEN {_r(k, i)} - {_a(k, k, i)} * {_r(k, k)} / {piv} "
-                          f"ELSE {_r(k, i)} END"))
+                stage.append((_a(k + 1, i, j, x),
+                              f"CASE WHEN {ok} THEN {_a(k, i, j, x)} - {_a(k, k, i, x)} * {_a(k, k, j, x)} / {piv} "
+                              f"ELSE {_a(k, i, j, x)} END"))
+            stage.append((_r(k + 1, i, x),
+                          f"CASE WHEN {ok} THEN {_r(k, i, x)} - {_a(k, k, i, x)} * {_r(k, k, x)} / {piv} "
+                          f"ELSE {_r(k, i, x)} END"))
         stages.append(stage)
     for k in reversed(range(p)):
-        piv = _a(k, k, k)
-        rest = "".join(f" - {_a(k, k, j)} * w{j}" for j in range(k + 1, p))
-        stages.append([(f"w{k}", f"CASE WHEN {_ok(k, tol)} THEN ({_r(k, k)}{rest}) / {piv} ELSE 0.0 END")])
-    stages.append([("intercept", "my" + "".join(f" - w{i} * m{i}" for i in range(p)))])
+        piv = _a(k, k, k, x)
+        rest = "".join(f" - {_a(k, k, j, x)} * w{j}{x}" for j in range(k + 1, p))
+        stages.append([(f"w{k}{x}", f"CASE WHEN {_ok(k, tol, x)} THEN ({_r(k, k, x)}{rest}) / {piv} ELSE 0.0 END")])
+    stages.append([(f"intercept{x}", f"my{x}" + "".join(f" - w{i}{x} * m{i}{x}" for i in range(p)))])
     return stages
 
 
-def temp_columns(p: int = 4) -> list[str]:
+def temp_columns(p: int = 4, suffix: str = "") -> list[str]:
     """Intermediate names produced by ``solve_stages`` (to drop afterwards)."""
     names = []
-    for stage in solve_stages(p)[: p - 1]:
+    for stage in solve_stages(p, suffix=suffix)[: p - 1]:
         names.extend(n for n, _ in stage)
     return names
 
 
-def moment_names(p: int = 4) -> list[str]:
-    return ([f"c{i}{j}" for i in range(p) for j in range(i, p)]
-            + [f"b{i}" for i in range(p)] + [f"m{i}" for i in range(p)] + ["my"])
+def moment_names(p: int = 4, suffix: str = "") -> list[str]:
+    return ([f"c{i}{j}{suffix}" for i in range(p) for j in range(i, p)]
+            + [f"b{i}{suffix}" for i in range(p)] + [f"m{i}{suffix}" for i in range(p)] + [f"my{suffix}"])
 
 
-def prediction_sql(p: int = 4, prefix: str = "") -> str:
+def prediction_sql(p: int = 4, prefix: str = "", suffix: str = "") -> str:
     """``intercept + sum w_i * x_i``."""
-    return f"{prefix}intercept" + "".join(f" + {prefix}w{i} * x{i}" for i in range(p))
+    return f"{prefix}intercept{suffix}" + "".join(f" + {prefix}w{i}{suffix} * x{i}{suffix}" for i in range(p))

@@ -90,7 +90,11 @@ def split_rows(prices: DataFrame, horizons, requested: DataFrame | None = None,
 def fit_and_score(rows: DataFrame) -> DataFrame:
     """A3-A9 per key: coefficients fitted on train rows, metrics on test rows,
     plus counts the run log needs (``n_feat``, ``n``, ``n_bad``)."""
-    fitted = ols.predict(ols.fit_over_rows(rows))
+    return _score(ols.predict(ols.fit_over_rows(rows)))
+
+
+def _score(fitted: DataFrame) -> DataFrame:
+    """Per-key aggregate of scored rows (one hash aggregate, no sort)."""
     bad = F.lit(False)
     for c in ("x0", "x1", "x2", "x3", "y"):
         bad = bad | quality.non_finite(F.col(c))
