@@ -35,6 +35,7 @@ def summary(name: str, text: str, full: bool) -> None:
     print(f"== {name} ==")
     print(tree if full else "\n".join(l for l in tree.splitlines()
                                       if re.search(r"Exchange|Window|Sort |Join|Aggregate|Scan|Generate", l)))
+    print("bucketed scan:", re.findall(r"Bucketed: (\w+)", text))
     print("exchanges:", re.findall(r"Arguments: (hashpartitioning\([^)]*\))", text))
     print("pushed:", re.findall(r"PushedFilters: (.*)", text))
     print("read schema:", re.findall(r"ReadSchema: (.*)", text))
@@ -53,9 +54,14 @@ def main() -> None:
     prices = read_prices(spark, path)
     req = fixtures.requests(spark, sf)
     res = train.train_all(prices, req, fixtures.AS_OF, now=fixtures.NOW, horizons=fixtures.HORIZONS)
-    summary("train_all (models)", formatted(res.models), full)
+    summary("train_all (models), Parquet price table", formatted(res.models), full)
     fr = fplan.forecast_all(prices, req, res.models, fixtures.AS_OF, fixtures.HISTORY_DAYS)
-    summary("forecast_all (forecasts)", formatted(fr.forecasts), full)
+    summary("forecast_all (forecasts), Parquet price table", formatted(fr.forecasts), full)
+    from tidecast.sources import write_bucketed_prices
+    write_bucketed_prices(fixture_prices(spark, sf), "explain_prices", 16, path=path + "_bucketed")
+    bucketed = read_prices(spark, "explain_prices", fmt="table")
+    res_b = train.train_all(bucketed, req, fixtures.AS_OF, now=fixtures.NOW, horizons=fixtures.HORIZONS)
+    summary("train_all (models), bucketed price table", formatted(res_b.models), full)
 
 
 if __name__ == "__main__":
