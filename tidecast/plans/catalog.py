@@ -422,6 +422,13 @@ def q_run_log(spark, sf):
                               "error_code", "version")
 
 
+def q_model_card(spark, sf):
+    m = report.metrics_labels(_year_end_models(spark, sf))
+    return m.select("ticker", _i64("forecast_days").alias("forecast_days"), "version", "mae_label", "r2_label",
+                    "mape_label", "max_ae_label", _i64("train_samples").alias("train_samples"),
+                    _i64("test_samples").alias("test_samples"))
+
+
 def q_forecast_report(spark, sf):
     models = _year_end_models(spark, sf)
     f = _forecasts(spark, sf).forecasts
@@ -510,6 +517,7 @@ _QUERIES = {
     "price_quality": q_price_quality,
     "run_log": q_run_log,
     "forecast_report": q_forecast_report,
+    "model_card": q_model_card,
     "segment_models": q_segment_models,
     "segment_forecast": q_segment_forecast,
     "event_run_log": q_event_run_log,

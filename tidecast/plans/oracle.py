@@ -427,6 +427,10 @@ WHERE n > {K} AND i <= n - ({K} - f.fold + 1) * floor(n / {K + 1}) + floor(n / {
                 + ", ".join(f"round({p}{w}, 6) AS {w}" for w in fit_cols.split(", "))
                 + f", round({p}intercept, 2) AS intercept, {_metrics_proj(p)}, {p}last_train_date")
     q["train_all_models"] = _with(ye, f"SELECT {model_proj()} FROM ye_models")
+    q["model_card"] = _with(ye, """SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, version,
+  printf('$%.2f', mae) AS mae_label, printf('%.4f', r2) AS r2_label, printf('%.2f%%', mape * 100) AS mape_label,
+  printf('$%.2f', max_ae) AS max_ae_label, CAST(train_samples AS BIGINT) AS train_samples,
+  CAST(test_samples AS BIGINT) AS test_samples FROM ye_models""")
 
     reg = b + registry_ctes()
     q["registry_list"] = _with(reg, "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, version, "
