@@ -29,6 +29,7 @@ def _rows(cols, recs):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
+    c.execute("SET TimeZone = 'Asia/Tokyo'")  # the oracle must not depend on the session zone
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return c
