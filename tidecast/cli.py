@@ -47,7 +47,8 @@ def _show(df: DataFrame, n: int) -> None:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    p = argparse.ArgumentParser(prog="tidecast")
+    p = argparse.ArgumentParser(prog="tidecast", description=__doc__,
+                                formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("command", choices=["train", "runs", "forecast", "models", "get", "delete"])
     p.add_argument("--registry", required=True, help="registry root folder")
     p.add_argument("--prices", help="price source (path or table)")
