@@ -235,3 +235,25 @@ def test_business_day_rule_matches_python(spark, days):
     df = spark.createDataFrame([(d,) for d in days], "d date")
     got = [r.b for r in df.select(calendar.is_business_day(F.col("d")).alias("b")).collect()]
     assert got == [_py_business_day(d) for d in days]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(6, 400), min_size=1, max_size=6), st.sampled_from([0.2, 0.25, 0.5, 0.34]))
+def test_split_folds_match_definition(spark, lengths, test_size):
+    from tidecast.operators import split
+    k = split.n_splits_for(test_size)
+    lengths = [n for n in lengths if n > k]
+    if not lengths:
+        return
+    rows = [(f"T{i}", 5, date(2000, 1, 1) + timedelta(days=d)) for i, n in enumerate(lengths) for d in range(n)]
+    df = spark.createDataFrame(rows, "ticker string, forecast_days int, date date")
+    last = split.last_fold(df, test_size).collect()
+    folds = split.all_folds(df, test_size).collect()
+    for i, n in enumerate(lengths):
+        ts = n // (k + 1)
+        got_test = sorted(r.i for r in last if r.ticker == f"T{i}" and r.is_test)
+        assert got_test == list(range(n - ts + 1, n + 1))
+        for f, start in enumerate(range(n - k * ts, n, ts), start=1):
+            tr = sorted(r.i for r in folds if r.ticker == f"T{i}" and r.fold == f and r.role == "train")
+            te = sorted(r.i for r in folds if r.ticker == f"T{i}" and r.fold == f and r.role == "test")
+            assert tr == list(range(1, start + 1)) and te == list(range(start + 1, start + ts + 1))
