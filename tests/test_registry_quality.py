@@ -129,3 +129,15 @@ def test_delete_same_second_versions_one_outcome(spark, models):
     tombs, out = registry.delete(models.unionByName(extra), req, "2023-02-01 00:00:00")
     assert tombs.count() == 2
     assert [(r.status, r.version) for r in out.collect()] == [("success", "AAPL_linear_7day_20230101120000")]
+
+
+def test_fall_back_hour_versions_share_one_name(spark):
+    # 05:30 and 06:30 UTC on 2021-11-07 are both 01:30 in New York (EDT, then EST)
+    rows = [_model("X", 5, datetime(2021, 11, 7, 5, 30), mae=1.0), _model("X", 5, datetime(2021, 11, 7, 6, 30), mae=2.0)]
+    df = spark.createDataFrame(rows, schema.MODEL)
+    req = spark.createDataFrame([("X", 5, "2021-11-07-01:30:00")],
+                                "ticker string, forecast_days int, last_trained_time string")
+    got = registry.get(df, req).collect()
+    assert len(got) == 1 and got[0].mae == 2.0  # the newest save of that name, as an overwrite would leave
+    tombs, _ = registry.delete(df, req, "2021-11-08 00:00:00")
+    assert tombs.count() == 2

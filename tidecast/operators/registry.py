@@ -59,7 +59,9 @@ def _lookups(requests: DataFrame) -> DataFrame:
     -> version key, with rule violations (V1, V4, V5)."""
     return requests.select(
         "ticker", "forecast_days", "last_trained_time",
-        versions.parse_api_datetime(F.col("last_trained_time")).alias("trained_at"),
+        # canonical New York wall-clock second the request names
+        F.date_format(quality.parse_datetime_text(F.col("last_trained_time")),
+                      versions.API_DATETIME_FORMAT).alias("_wall"),
         quality.violations({
             "ticker": quality.bad_ticker(F.col("ticker")),
             "forecast_days": quality.bad_horizon(F.col("forecast_days")),
@@ -72,12 +74,14 @@ def _instant(v):
     return utc_instant(v)
 
 
-def _second(ts):
-    return F.date_trunc("second", ts)
+def _wall(ts):
+    """A version's New York wall-clock second, the way its name addressed it
+    (both instants of the repeated fall-back hour share one)."""
+    return versions.api_datetime(ts)
 
 
 def get(models: DataFrame, requests: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
-    """Point look-ups by (ticker, horizon, trained-at to the second).
+    """Point look-ups by (ticker, horizon, New York wall-clock second).
 
     Every request yields one row: ``status`` ``ok`` with the model, or
     ``error_code`` ``INVALID_REQUEST`` / ``MODEL_NOT_FOUND`` /
@@ -85,12 +89,12 @@ def get(models: DataFrame, requests: DataFrame, tombstones: DataFrame | None = N
     """
     look = _lookups(requests)
     cand = live(models, tombstones).withColumns({
-        "_sec": _second(F.col("trained_at")),
+        "_sec": _wall(F.col("trained_at")),
         "_corrupt": quality.incomplete_model()})
     joined = look.alias("r").join(
         cand.alias("m"),
         (F.col("r.ticker") == F.col("m.ticker")) & (F.col("r.forecast_days") == F.col("m.forecast_days"))
-        & (_second(F.col("r.trained_at")) == F.col("m._sec")) & (F.size(F.col("r.violations")) == 0),
+        & (F.col("r._wall") == F.col("m._sec")) & (F.size(F.col("r.violations")) == 0),
         "left")
     code = (F.when(F.size(F.col("r.violations")) > 0, F.lit(config.INVALID_REQUEST))
             .when(F.col("m.ticker").isNull(), F.lit(config.MODEL_NOT_FOUND))
@@ -123,11 +127,11 @@ def delete(models: DataFrame, requests: DataFrame, deleted_at,
     look = _lookups(requests)
     cand = live(models, tombstones).select(
         F.col("ticker").alias("_t"), F.col("forecast_days").alias("_h"),
-        F.col("trained_at").alias("_stored"), _second(F.col("trained_at")).alias("_sec"))
+        F.col("trained_at").alias("_stored"), _wall(F.col("trained_at")).alias("_sec"))
     joined = look.join(
         cand,
         (look.ticker == cand._t) & (look.forecast_days == cand._h)
-        & (_second(look.trained_at) == cand._sec) & (F.size(look.violations) == 0),
+        & (look._wall == cand._sec) & (F.size(look.violations) == 0),
         "left")
     code = (F.when(F.size("violations") > 0, F.lit(config.INVALID_REQUEST))
             .when(F.col("_stored").isNull(), F.lit(config.MODEL_NOT_FOUND)))

@@ -77,9 +77,10 @@ def _api(ts: str) -> str:
     return f"strftime({_ny(ts)}, '%Y-%m-%d-%H:%M:%S')"
 
 
-def _api_to_utc(s: str) -> str:
-    """'YYYY-MM-DD-HH:MM:SS' New York -> naive UTC (NULL if malformed)."""
-    return f"timezone('UTC', timezone('{TZ}', try_strptime({s}, '%Y-%m-%d-%H:%M:%S')))"
+def _api_canon(s: str) -> str:
+    """'YYYY-MM-DD-HH:MM:SS' (one-digit fields allowed) -> canonical text, NULL if malformed."""
+    return (f"CASE WHEN regexp_matches({s}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}-\\d{{1,2}}:\\d{{1,2}}:\\d{{1,2}}$') "
+            f"THEN strftime(try_strptime({s}, '%Y-%m-%d-%H:%M:%S'), '%Y-%m-%d-%H:%M:%S') END")
 
 
 # --- base views -------------------------------------------------------------------
@@ -327,7 +328,7 @@ def _lookup_result(lookups: str) -> str:
   CASE WHEN m.ticker IS NULL THEN '{config.MODEL_NOT_FOUND}' END AS error_code,
   m.version, round(m.mae, 2) AS mae
 FROM ({lookups}) q LEFT JOIN live m ON m.ticker = q.ticker AND m.forecast_days = q.forecast_days
-  AND date_trunc('second', m.trained_at) = {_api_to_utc('q.last_trained_time')}"""
+  AND {_api('m.trained_at')} = {_api_canon('q.last_trained_time')}"""
 
 
 def _quality_src() -> str:
@@ -451,7 +452,7 @@ WHERE n > {K} AND i <= n - ({K} - f.fold + 1) * floor(n / {K + 1}) + floor(n / {
   CASE WHEN m.ticker IS NULL THEN '{config.MODEL_NOT_FOUND}' END AS error_code,
   CASE WHEN m.ticker IS NOT NULL THEN {_version('q.ticker', 'q.forecast_days', 'm.trained_at')} END AS version
 FROM ({dels}) q LEFT JOIN live m ON m.ticker = q.ticker AND m.forecast_days = q.forecast_days
-  AND date_trunc('second', m.trained_at) = {_api_to_utc('q.last_trained_time')}""")
+  AND {_api('m.trained_at')} = {_api_canon('q.last_trained_time')}""")
     pat = r"^(.+)_linear_(\d+)day_(\d{14})$"
     local = f"strptime(regexp_extract(version, '{pat}', 3), '%Y%m%d%H%M%S')"
     q["version_strings"] = _with(reg, f"""SELECT version, regexp_extract(version, '{pat}', 1) AS parsed_ticker,
