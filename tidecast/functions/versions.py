@@ -37,7 +37,9 @@ def version_string(ticker: Column, forecast_days: Column, trained_at: Column) ->
 
 def parse_version(version: Column) -> Column:
     """T5: ``struct<ticker string, forecast_days int, trained_at timestamp>``;
-    fields are null when the string does not match or the time is invalid."""
+    fields are null when the string does not match or the time is invalid.
+    A wall-clock time in the repeated fall-back hour names two instants; the
+    earlier is returned (registry look-ups compare names, so they find both)."""
     matched = version.rlike(VERSION_PATTERN)
 
     def part(i: int) -> Column:
