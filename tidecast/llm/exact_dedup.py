@@ -49,10 +49,12 @@ def run_stream(keys_path: str, n_files: int, spark, micro_batches: int = 2) -> D
     """Streams the written KEYS table through ``keep_first`` until it is drained
     and returns the final state (read from the state store's checkpoint)."""
     own = spark.newSession()  # streaming settings stay out of the caller's session
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # open files follow running tasks, not state
     per_batch = max(1, math.ceil(n_files / micro_batches))
     stream = own.readStream.schema(KEYS).option("maxFilesPerTrigger", per_batch).parquet(keys_path)
     place = shared_path(spark, "dedup-state")
