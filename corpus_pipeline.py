@@ -15,10 +15,15 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from tidecast.llm import exact_dedup, mixture  # noqa: E402
+from tidecast.llm import exact_dedup, mixture, quality_rules  # noqa: E402
 from tidecast.llm.common import shared_table, table  # noqa: E402
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
     return exact_dedup.drop_copies(docs)
@@ -30,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", keep_quality),
     ("exact_dedup", drop_exact_copies),
     ("mix_sources", mix_sources),
 ]
