@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixture, quality_rules
+from . import exact_dedup, mixture, quality_rules, secret_scan
 from .common import table
 from .oracle import ORACLES
 
@@ -21,13 +21,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op9_mix_sources)}
+    return {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op6_secret_scan, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
