@@ -15,7 +15,7 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from tidecast.llm import exact_dedup, mixture, quality_rules  # noqa: E402
+from tidecast.llm import exact_dedup, jaccard_join, mixture, quality_rules  # noqa: E402
 from tidecast.llm.common import shared_table, table  # noqa: E402
 
 
@@ -29,6 +29,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity 0.75 or more the one with the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
     return mixture.mixed_documents(docs)
@@ -37,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", keep_quality),
     ("exact_dedup", drop_exact_copies),
+    ("near_copies", one_of_near_copies),
     ("mix_sources", mix_sources),
 ]
 
