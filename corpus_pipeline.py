@@ -15,7 +15,7 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from tidecast.llm import exact_dedup, jaccard_join, mixture, quality_rules  # noqa: E402
+from tidecast.llm import exact_dedup, jaccard_join, mixture, piece_codec, quality_rules  # noqa: E402
 from tidecast.llm.common import shared_table, table  # noqa: E402
 
 
@@ -39,11 +39,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture.mixed_documents(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids and round_trip of every document in the mix."""
+    return piece_codec.encode(docs)
+
+
 STAGES = [
     ("quality", keep_quality),
     ("exact_dedup", drop_exact_copies),
     ("near_copies", one_of_near_copies),
     ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
 ]
 
 ORACLE_SQL = None  # the trained stages have no SQL form
