@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixture, piece_codec, quality_rules, secret_scan
+from . import exact_dedup, jaccard_join, mixture, neighbours, piece_codec, quality_rules, secret_scan
 from .common import table
 from .oracle import ORACLES
 
@@ -38,9 +39,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op6_secret_scan, op7_jaccard_join, op8_piece_codec,
-                                    op9_mix_sources)}
+                                    op9_mix_sources, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
