@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 48              # units of more characters are relaxed with a heap
 INDEX_CHARS = 400_000  # characters that one suffix array indexes
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 6 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -323,8 +323,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
                 values, offsets = encode_batch(texts, vocabulary)
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-                flat = values.tolist()
-                same = [decode(flat[a:b], vocabulary) == t.replace(SPACE, " ")
+                same = [decode(values[a:b].tolist(), vocabulary) == t.replace(SPACE, " ")
                         for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(offsets), pa.int32()), listed, pa.array(same, pa.bool_())],
