@@ -47,7 +47,7 @@ SEGMENTS, DELETION_SEGMENTS = 0.40, 0.30  # segments per largest size of a band
 RUN_COST = 32        # a run is hot with more than so many open pairs per member
 BUCKET_BYTES = 16 << 20
 CHUNK = 8192         # texts whose signatures are packed together
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def band_of(n: int) -> int:
