@@ -8,11 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, lm_score, mixture, neighbours, piece_codec, quality_rules, secret_scan
+from . import exact_dedup, jaccard_join, lm_score, mixture, neighbours, piece_codec, quality_rules, secret_scan, url_filter
 from .common import table
 from .oracle import ORACLES
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_score, op4_quality_rules, op5_exact_dedup, op6_secret_scan, op7_jaccard_join, op8_piece_codec,
+    return {f.__name__: f for f in (op1_url_filter, op2_lm_score, op4_quality_rules, op5_exact_dedup, op6_secret_scan, op7_jaccard_join, op8_piece_codec,
                                     op9_mix_sources, op10_neighbours)}
 
 
