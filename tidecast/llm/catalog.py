@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, lm_score, mixture, neighbours, piece_codec, quality_rules, secret_scan, url_filter
+from . import exact_dedup, jaccard_join, license_scan, lm_score, mixture, neighbours, piece_codec, quality_rules, secret_scan, url_filter
 from .common import table
 from .oracle import ORACLES
 
@@ -21,6 +21,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_lm_score, op4_quality_rules, op5_exact_dedup, op6_secret_scan, op7_jaccard_join, op8_piece_codec,
+    return {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_license_scan, op4_quality_rules, op5_exact_dedup, op6_secret_scan, op7_jaccard_join, op8_piece_codec,
                                     op9_mix_sources, op10_neighbours)}
 
 
