@@ -122,7 +122,7 @@ def test_constant_series_gives_mean_and_zero_slopes(spark):
     assert fit.intercept == 7.0
 
 
-def test_collinear_slot_gets_zero(spark):
+def test_collinear_slots_get_the_least_norm_solution(spark):
     # x1 = 2 * x0 exactly: the second pivot vanishes, fitted values still exact
     rows = [("C", 5, _day(i), float(i), 2.0 * i, float(i * i % 7), 0.0, 3.0 + 2.0 * i)
             for i in range(20)]
@@ -130,5 +130,28 @@ def test_collinear_slot_gets_zero(spark):
                                      "x0 double, x1 double, x2 double, x3 double, y double")
     fit = ols.predict(df.join(ols.fit(df).drop("n"), ["ticker", "forecast_days"])).toPandas()
     assert np.allclose(fit.yhat, fit.y, atol=1e-9)
-    assert fit.w1.iloc[0] == 0.0 and fit.w3.iloc[0] == 0.0
+    w = fit[["w0", "w1", "w2", "w3"]].iloc[0].to_numpy()
+    x = np.array([r[3:7] for r in rows])
+    y = np.array([r[7] for r in rows])
+    want = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=1e-12)[0]
+    assert np.allclose(w, want, atol=1e-9) and w[3] == 0.0
+
+
+@pytest.mark.parametrize("kind", ["line", "all_equal", "constant", "two_pairs", "few_rows"])
+def test_rank_deficient_fits_match_lstsq(spark, kind):
+    t = np.arange(3 if kind == "few_rows" else 24, dtype=float)
+    rng = np.random.default_rng(1)
+    wave = np.sin(t) * 3 + t % 5
+    x = {"line": np.stack([150 + t - k for k in (0, 1, 5, 20)], 1), "all_equal": np.stack([wave] * 4, 1),
+         "constant": np.stack([np.full_like(t, 7.0)] * 4, 1),
+         "two_pairs": np.stack([wave, 2 * wave - 1, t, 3 * t + 4], 1),
+         "few_rows": rng.normal(size=(3, 4))}[kind]
+    y = 5 + x @ np.array([0.5, -1.0, 2.0, 0.25]) + rng.normal(size=len(t))
+    rows = [("C", 5, _day(i), *map(float, x[i]), float(y[i])) for i in range(len(t))]
+    df = spark.createDataFrame(rows, "ticker string, forecast_days int, date string, "
+                                     "x0 double, x1 double, x2 double, x3 double, y double")
+    [fit] = ols.fit(df).collect()
+    want = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=1e-9)[0]
+    assert np.allclose([fit.w0, fit.w1, fit.w2, fit.w3], want, atol=1e-7)
+    assert fit.intercept == pytest.approx(y.mean() - x.mean(0) @ want, abs=1e-6)
 
