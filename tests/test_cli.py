@@ -29,6 +29,22 @@ def test_cli_round_trip(spark, tmp_path, capsys):
     assert "INSUFFICIENT_DATA" in out and "success" in out
 
 
+def test_cli_prints_and_writes_every_row(spark, tmp_path, capsys):
+    from datetime import date, datetime
+    from tidecast import schema
+    rows = [(f"T{i}", 5, "linear", f"v{i}", datetime(2024, 1, 2, 22), ["lag1"], {"lag1": 1.0}, 1.0, 0.0, 0.0, 0.0,
+             1.0, 1.0, 1.0, 1.0, 1.0, 50, 10, date(2024, 1, 2)) for i in range(60)]
+    reg = str(tmp_path / "registry")
+    frame = spark.createDataFrame([r[:len(schema.MODEL.fields)] for r in rows], schema.MODEL)
+    store.append_models(frame, reg)
+    capsys.readouterr()
+    assert cli.main(["models", "--registry", reg], spark) == 0
+    assert len([x for x in capsys.readouterr().out.splitlines() if x.startswith("{")]) == frame.where(
+        "version is not null").count() == 60
+    assert cli.main(["models", "--registry", reg, "--out", str(tmp_path / "m"), "--show", "3"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 60
+
+
 def test_run_log_ids(spark, tmp_path):
     from datetime import datetime
     from tidecast.plans import jobs

@@ -160,4 +160,4 @@ def test_unlisted_horizon_is_rejected(spark):
     req = spark.createDataFrame([("A", 5), ("A", 7)], "ticker string, forecast_days int")
     res = train.train_all(prices, req, "2020-12-31", now="2020-12-31 22:00:00", horizons=[5])
     log = {r.forecast_days: (r.status, r.error_code) for r in res.run_log.collect()}
-    assert log == {5: ("completed", None), 7: ("failed", "INVALID_REQUEST")}
+    assert log == {5: ("completed", None), 7: ("failed", "HORIZON_NOT_LISTED")}

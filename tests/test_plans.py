@@ -5,6 +5,8 @@ import re
 import pytest
 
 from tests.conftest import SF001
+from tidecast.operators import features
+from tidecast.operators import forecast as fc
 from tidecast.plans import forecast as fplan
 from tidecast.plans import train
 from tidecast.sources import fixtures
@@ -82,29 +84,24 @@ def test_shuffle_partitions_for():
     assert shuffle_partitions_for(100 * 1024 ** 4, 16000) == 819200
 
 
-def test_few_stale_tickers_become_a_pushed_scan_filter(spark, price_table):
-    p = read_prices(spark, price_table)
-    req = spark.createDataFrame([("S1", 5), ("S2", 5)], "ticker string, forecast_days int")
-    res = train.train_all(p, req, fixtures.AS_OF, now=fixtures.NOW, horizons=[5], materialize=lambda d: d)
-    formatted = res.models._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert re.search(r"PushedFilters: \[[^\]]*In\(ticker, \[S1,S2\]\)", formatted) or \
-        re.search(r"PushedFilters: \[[^\]]*In\(ticker, \[S2,S1\]\)", formatted)
-    assert res.models.count() == 2
-
-
-def test_single_ticker_forecast_prunes_the_scan(spark, price_table, tmp_path):
-    from datetime import datetime
-    from tidecast.plans import jobs
+def test_serving_cuts_history_below_the_windows(spark, price_table):
+    """No window runs over full history, and the oldest date any series needs bounds the scan."""
+    plan = fc.serving_frame(read_prices(spark, price_table), 180, fixtures.AS_OF)._jdf.queryExecution()
+    optimized = plan.optimizedPlan().toString()
+    windows = [m.start() for m in re.finditer(r"Window \[", optimized)]
+    cut = optimized.index("date_sub(latest_date")
+    assert windows and all(w < cut for w in windows)  # a parent is printed above its child
+    formatted = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(date,ScalarSubquery", formatted)
+
+
+def test_fan_out_equals_the_requested_pairs(spark, price_table):
+    """With 40 horizons, one per ticker, a row makes one row and not forty."""
     p = read_prices(spark, price_table)
-    req = spark.createDataFrame([("S1", 5)], "ticker string, forecast_days int")
-    root = str(tmp_path / "reg")
-    jobs.run_training(spark, p, req, root, as_of=fixtures.AS_OF, now=datetime(2001, 12, 31, 22))
-    box = {}
-    fr = fplan.forecast_all(p, req, jobs.latest_models(spark, root), fixtures.AS_OF, fixtures.HISTORY_DAYS,
-                            materialize=lambda d: box.setdefault("j", d))
-    formatted = box["j"]._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    # a one-name IN list is rewritten to equality; it reaches the price scan
-    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(ticker,S1\)[^\]]*LessThanOrEqual\(date", formatted)
-    assert fr.forecasts.count() == 5
+    tickers = [r.ticker for r in p.select("ticker").distinct().orderBy("ticker").limit(10).collect()]
+    req = spark.createDataFrame([(t, 4 * i + k) for i, t in enumerate(tickers) for k in (1,)], "ticker string, forecast_days int")
+    rows = train.split_rows(train.training_window(p, fixtures.AS_OF), range(1, 41), train.requested_horizons(req))
+    optimized = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in optimized[:optimized.index("Generate")]  # filtered before the rows fan out
+    feats = features.build_features(train.training_window(p, fixtures.AS_OF), tickers=req)
+    assert rows.count() == feats.count()

@@ -42,8 +42,18 @@ def _requests(spark: SparkSession, args) -> DataFrame:
     return spark.createDataFrame(rows, "ticker string, forecast_days int, last_trained_time string")
 
 
-def _show(df: DataFrame, n: int) -> None:
-    df.show(n, truncate=False)
+def _result(df: DataFrame, args, out: str | None) -> None:
+    """The whole result: to ``out`` as Parquet (with ``--show N`` rows as a
+    preview), else every row as a JSON line, streamed partition by partition."""
+    if out:
+        df.write.mode("overwrite").parquet(out)
+        df = df.sparkSession.read.parquet(out)
+        if args.show:
+            df.show(args.show, truncate=False)
+        return
+    text = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+    for row in text.toLocalIterator():
+        print(row["row"])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -58,9 +68,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--request", action="append", help="TICKER:HORIZON[:YYYY-MM-DD-HH:MM:SS]")
     p.add_argument("--as-of", help="data cut-off date (default: today)")
     p.add_argument("--history-days", type=int, default=config.FORECAST_HISTORY_DAYS)
-    p.add_argument("--out", help="forecast output folder")
+    p.add_argument("--out", help="folder for the result (forecast: the forecasts)")
+    p.add_argument("--status-out", help="forecast: folder for the status of every request")
+    p.add_argument("--max-horizon", type=int, default=config.MAX_HORIZON, help="largest horizon a request may name")
     p.add_argument("--task-id", action="append", help="runs: only these task or run ids")
-    p.add_argument("--show", type=int, default=50, help="rows to print")
+    p.add_argument("--show", type=int, default=0, help="with --out: rows to preview")
     args = p.parse_args(argv)
     spark = spark or build_session()
     now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
@@ -71,13 +83,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         prices = read_prices(spark, args.prices, fmt=args.prices_format)
         req = _requests(spark, args).select("ticker", "forecast_days")
         if args.command == "train":
-            _show(jobs.run_training(spark, prices, req, args.registry, as_of=args.as_of, now=now), args.show)
+            _result(jobs.run_training(spark, prices, req, args.registry, as_of=args.as_of, now=now,
+                                      max_horizon=args.max_horizon), args, args.out)
         else:
             if not args.out:
                 p.error("--out is required")
-            _show(jobs.run_forecast(spark, prices, req, args.registry, args.out, as_of=args.as_of,
-                                    history_days=args.history_days), args.show)
-    elif args.command == "runs":
+            _result(jobs.run_forecast(spark, prices, req, args.registry, args.out, as_of=args.as_of,
+                                      history_days=args.history_days, max_horizon=args.max_horizon),
+                    args, args.status_out)
+        return 0
+    store.require_root(spark, args.registry)
+    if args.command == "runs":
         log = store.read_run_log(spark, args.registry)
         if args.task_id:
             log = log.where(F.col("task_id").isin(args.task_id) | F.col("run_id").isin(args.task_id))
@@ -86,22 +102,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             *registry.VERSION_KEY, "mae", "r2", "mape", "max_ae", "train_samples", "test_samples",
             "last_train_date")
         result = log.join(metrics, list(registry.VERSION_KEY), "left")
-        _show(result.orderBy(F.col("submitted_at").desc_nulls_last(), "ticker", "forecast_days"), args.show)
+        _result(result.orderBy(F.col("submitted_at").desc_nulls_last(), "ticker", "forecast_days"), args, args.out)
     elif args.command == "models":
         stored, tombs = store.read_models(spark, args.registry), store.read_tombstones(spark, args.registry)
         models = registry.list_models(stored, tombs)
         skipped = registry.corrupt(stored, tombs).count()
         if skipped:
             print(f"skipped {skipped} incomplete model version(s)", file=sys.stderr)
-        _show(models.select("ticker", "forecast_days", "version", "mae", "r2", "mape", "max_ae", "features",
-                            "coefficients", "intercept", "train_samples", "test_samples", "last_train_date"),
-              args.show)
-        _show(models.agg(F.count(F.lit(1)).alias("count")), 1)
+        _result(models.select("ticker", "forecast_days", "version", "mae", "r2", "mape", "max_ae", "features",
+                              "coefficients", "intercept", "train_samples", "test_samples", "last_train_date"),
+                args, args.out)
+        print(f"{models.count()} model version(s)", file=sys.stderr)
     elif args.command == "get":
-        _show(registry.get(store.read_models(spark, args.registry), _requests(spark, args),
-                           store.read_tombstones(spark, args.registry)), args.show)
+        _result(registry.get(store.read_models(spark, args.registry), _requests(spark, args),
+                             store.read_tombstones(spark, args.registry)), args, args.out)
     elif args.command == "delete":
-        _show(jobs.run_delete(spark, _requests(spark, args), args.registry, deleted_at=now), args.show)
+        _result(jobs.run_delete(spark, _requests(spark, args), args.registry, deleted_at=now), args, args.out)
     return 0
 
 

@@ -35,10 +35,7 @@ MAPE_EPSILON = 2.220446049250313e-16  # float64 machine epsilon, MAPE floor
 MODEL_TYPE = "LinearRegression"
 VERSION_KIND = "linear"        # version string: {ticker}_linear_{h}day_{yyyyMMddHHmmss}
 MAX_TICKER_LENGTH = 10
-# A job whose stale requests name at most this many tickers filters the price
-# scan with a literal IN list (pushed to Parquet, prunes buckets) instead of a
-# join; the count is checked before the list is collected.
-LITERAL_TICKER_FILTER_MAX = 1000
+FILES_BEFORE_SNAPSHOT = 64     # model files outside the snapshot that make a job write a new one
 
 # --- fixed values: time -----------------------------------------------------
 MARKET_TIMEZONE = "America/New_York"
@@ -52,6 +49,9 @@ INSUFFICIENT_DATA = "INSUFFICIENT_DATA"
 DATA_FETCH_FAILED = "DATA_FETCH_FAILED"
 TRAINING_FAILED = "TRAINING_FAILED"
 INVALID_REQUEST = "INVALID_REQUEST"
+# outcome codes of this library alone
+HORIZON_NOT_LISTED = "HORIZON_NOT_LISTED"   # valid, but the job was laid out for other horizons
+DUPLICATE_DAYS = "DUPLICATE_DAYS"           # the price source has several rows for a day of the series
 
 STATUS_PENDING = "pending"
 STATUS_IN_PROGRESS = "in_progress"

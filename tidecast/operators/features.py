@@ -51,6 +51,17 @@ def feature_columns(price: str = "close") -> list[Column]:
     return cols
 
 
+def count_repeated_days(prices: DataFrame) -> DataFrame:
+    """Adds ``n_dup``: how many rows of the ticker fall on a day that an earlier row has.
+
+    Every operator takes one row per ticker and day (P2); the count rides on
+    the windows' own sort, so the check costs no exchange."""
+    w = series_window()
+    again = F.coalesce(F.lag("date").over(w) == F.col("date"), F.lit(False)).cast("int")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return prices.withColumn("_again", again).withColumn("n_dup", F.sum("_again").over(whole)).drop("_again")
+
+
 def build_features(prices: DataFrame, start=None, end=None,
                    tickers: DataFrame | None = None, warm_up: bool = True,
                    carry: tuple[str, ...] = ()) -> DataFrame:
@@ -98,9 +109,9 @@ def add_targets(features: DataFrame, horizons: Iterable[int], keep_invalid: bool
         *[c.over(w).alias(n) for n, c in (extra or {}).items()])
     pairs = F.array(*[F.struct(F.lit(h).alias("forecast_days"), F.col(f"_t{h}").alias("target"))
                       for h in hs])
+    if restricted:  # before the rows fan out: a row makes one row per horizon its ticker asked for
+        pairs = F.filter(pairs, lambda p: F.array_contains("horizons", p["forecast_days"]))
     long = with_leads.select(*keep, *carried, *(extra or {}).keys(), F.inline(pairs))
-    if restricted:
-        long = long.where(F.array_contains("horizons", F.col("forecast_days")))
     valid = F.lit(True)
     for c in list(config.REQUIRED_COLUMNS) + ["target"]:
         valid = valid & F.col(c).isNotNull()

@@ -30,15 +30,22 @@ def serving_frame(prices: DataFrame, history_days: int = config.FORECAST_HISTORY
     ``[latest_date - history_days, latest_date]`` of each series, with
     ``latest_date`` and the frame's row count ``n_hist`` on every row.
 
-    ``as_of`` back-dates the data (``date <= as_of``).  The latest date is a
-    whole-partition window in the same (ticker, date) ordering as the
-    feature windows, so the plan keeps one exchange and one sort.
+    ``as_of`` back-dates the data (``date <= as_of``).  The latest dates come
+    from a partial aggregate (one row per ticker and task); prices are cut to
+    the serving range by a join with them, below the windows, and the oldest
+    date that any series needs is a scalar bound on the scan, so older
+    partitions and row groups are skipped and full history is neither sorted
+    nor buffered.
     """
     src = prices if as_of is None else prices.where(F.col("date") <= _date(as_of))
+    latest = src.groupBy("ticker").agg(F.max("date").alias("latest_date"))
+    oldest = latest.agg(F.date_sub(F.min("latest_date"), history_days)).scalar()
+    ends = latest.select(F.col("ticker").alias("_of"), "latest_date")
+    recent = src.where(F.col("date") >= oldest)
+    ranged = (recent.join(ends, F.col("ticker") == F.col("_of")).drop("_of")
+              .where(F.col("date") >= F.date_sub(F.col("latest_date"), history_days)))
     whole = features.series_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    with_latest = src.withColumn("latest_date", F.max("date").over(whole))
-    ranged = with_latest.where(F.col("date") >= F.date_sub(F.col("latest_date"), history_days))
-    feats = features.build_features(ranged, carry=("latest_date",))
+    feats = features.build_features(features.count_repeated_days(ranged), carry=("latest_date", "n_dup"))
     return feats.withColumns({
         "rn": F.row_number().over(features.series_window()),
         "n_hist": F.count(F.lit(1)).over(whole),
@@ -51,7 +58,7 @@ def history_tail(prices: DataFrame, history_days: int = config.FORECAST_HISTORY_
     (``rn_desc`` = 1 is the newest)."""
     f = serving_frame(prices, history_days, as_of)
     return (f.where(F.col("rn") > F.col("n_hist") - tail)
-            .select("ticker", "date", "price", "latest_date", "n_hist",
+            .select("ticker", "date", "price", "latest_date", "n_hist", "n_dup",
                     (F.col("n_hist") - F.col("rn") + 1).alias("rn_desc")))
 
 
@@ -64,9 +71,9 @@ def history_arrays(prices: DataFrame, history_days: int = config.FORECAST_HISTOR
     """
     t = history_tail(prices, history_days, as_of, tail)
     return (t.groupBy("ticker")
-            .agg(F.max("latest_date").alias("latest_date"), F.max("n_hist").alias("n_hist"),
+            .agg(F.max("latest_date").alias("latest_date"), F.max("n_hist").alias("n_hist"), F.max("n_dup").alias("n_dup"),
                  F.sort_array(F.collect_list(F.struct("date", "price"))).alias("_h"))
-            .select("ticker", "latest_date", "n_hist",
+            .select("ticker", "latest_date", "n_hist", "n_dup",
                     F.transform("_h", lambda s: s["price"]).alias("hist")))
 
 
@@ -139,10 +146,12 @@ def recursive_forecast(df: DataFrame, business_calendar: DataFrame | None = None
                     F.col("_z.d").alias("date"), F.col("_z.p").alias("predicted_price")))
 
 
-def single_prediction(df: DataFrame) -> DataFrame:
-    """R2: one prediction per model from its serving features; the
-    prediction date (next business day) is reported, not used."""
+def single_prediction(df: DataFrame, date: str | None = None) -> DataFrame:
+    """R2: one prediction per model row (any version) from its serving features,
+    with the names of the features used.  ``date`` names a column that is
+    echoed; without one the next business day is reported."""
     fd = F.col("forecast_days")
-    return df.select("ticker", "forecast_days", "version",
-                     F.element_at(calendar.next_business_days(F.col("latest_date"), 1), 1).alias("date"),
-                     next_prediction(F.col("hist"), fd).alias("predicted_price"))
+    day = F.col(date) if date else F.element_at(calendar.next_business_days(F.col("latest_date"), 1), 1)
+    return df.select("ticker", "forecast_days", "version", day.alias("date"),
+                     next_prediction(F.col("hist"), fd).alias("predicted_price"),
+                     features.tier_features(fd).alias("features_used"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import calendar
+from ..functions import calendar, quality
 from . import registry
 
 
@@ -36,7 +36,7 @@ def needs_training(requests: DataFrame, latest_models: DataFrame | None, now: Co
         return requests.withColumns({"version": F.lit(None).cast("string"),
                                      "trained_at": F.lit(None).cast("timestamp"),
                                      "needs_training": F.lit(True)})
-    lm = latest_models.select(*registry.MODEL_KEY, "version", "trained_at")
+    lm = latest_models.where(~quality.incomplete_model()).select(*registry.MODEL_KEY, "version", "trained_at")
     out = requests.join(lm, list(registry.MODEL_KEY), "left")
     return out.withColumn("needs_training", is_stale(F.col("trained_at"), now))
 

@@ -42,16 +42,18 @@ def count_models(models: DataFrame, tombstones: DataFrame | None = None) -> Data
 
 
 def latest(models: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
-    """A10: newest usable version per (ticker, forecast_days), by ``trained_at``.
+    """A10: newest live version per (ticker, forecast_days), by ``trained_at``.
 
-    ``max_by`` is an algebraic aggregate, so even a key with a very long
-    version history is reduced map-side before the shuffle.
+    The newest version is chosen first and judged afterwards: if it is
+    incomplete (``quality.incomplete_model``) the key has no usable model, and
+    no older version stands in for it.  The newest instant per key is a hash
+    aggregate reduced before the shuffle; the rows are then picked by a semi
+    join; of several rows of one version (a replayed append) one stays.
     """
-    usable = list_models(models, tombstones)
-    cols = usable.columns
-    return (usable.groupBy(*MODEL_KEY)
-            .agg(F.max_by(F.struct(*cols), "trained_at").alias("_m"))
-            .select("_m.*"))
+    kept = live(models, tombstones)
+    newest = kept.groupBy(*MODEL_KEY).agg(F.max("trained_at").alias("trained_at"))
+    rows = kept.join(newest, list(VERSION_KEY), "left_semi")
+    return rows.dropDuplicates(list(VERSION_KEY)).select(*models.columns)
 
 
 def _lookups(requests: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections import namedtuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, outcomes
 from ..functions import quality
 from ..operators import forecast as fc
 
@@ -38,40 +38,37 @@ def models_with_history(latest_models: DataFrame, prices: DataFrame,
 
 def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFrame,
                  as_of=None, history_days: int = config.FORECAST_HISTORY_DAYS,
-                 materialize=None, business_calendar: DataFrame | None = None) -> ForecastResult:
+                 materialize=None, business_calendar: DataFrame | None = None,
+                 max_horizon: int = config.MAX_HORIZON) -> ForecastResult:
     """B2: ``forecasts`` (ticker, forecast_days, step, date, predicted_price)
     and ``status`` (one row per request: ok / error with a code).
 
-    Error codes: INVALID_REQUEST (V1/V5), MODEL_NOT_FOUND (J2: no usable
-    model), INSUFFICIENT_DATA (no data, or fewer than 10 feature rows in
-    the serving window).  ``materialize`` (e.g. a reliable checkpoint) is
+    Error codes: INVALID_REQUEST (V1/V5), MODEL_NOT_FOUND (J2: no stored
+    model), MODEL_CORRUPTED (the newest stored model is incomplete; no older
+    one is taken instead), INSUFFICIENT_DATA (no data, or fewer than 10
+    feature rows in the serving window).  ``materialize`` (e.g. a reliable checkpoint) is
     applied to the per-model serving state, which both outputs read.
     ``business_calendar`` replaces the built-in US business-day rules.
     """
     req = requests.select("ticker", "forecast_days")
-    clean, rejected = quality.split_valid(req, quality.request_rules())
+    clean, rejected = quality.split_valid(req, quality.request_rules(max_horizon=max_horizon))
     clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days")).distinct()
-    if materialize is not None:
-        # jobs: a bounded look at the requested tickers; a few become a literal
-        # scan filter (row-group skipping, bucket pruning) instead of a join
-        seen = clean.select("ticker").distinct().limit(config.LITERAL_TICKER_FILTER_MAX + 1).collect()
-        if len(seen) <= config.LITERAL_TICKER_FILTER_MAX:
-            prices = prices.where(F.col("ticker").isin([r.ticker for r in seen]))
-    joined = models_with_history(latest_models, prices, history_days, as_of, clean)
+    newest = latest_models.select(*KEYS, "version", quality.incomplete_model().alias("unusable"))
+    joined = models_with_history(latest_models.where(~quality.incomplete_model()), prices, history_days, as_of, clean)
     if materialize is not None:
         joined = materialize(joined)
-    with_model = clean.join(
-        latest_models.select(*KEYS, "version"), list(KEYS), "left")
-    counts = joined.select(*KEYS, "n_hist")
+    with_model = clean.join(newest, list(KEYS), "left")
+    counts = joined.select(*KEYS, "n_hist", "n_dup")
     n_hist = F.coalesce(F.col("n_hist"), F.lit(0))
-    message = (F.when(F.col("error_code") == config.MODEL_NOT_FOUND, F.format_string(
-                   "No trained model found for ticker '%s' with %d-day forecast.", F.col("ticker"),
-                   F.col("forecast_days")))
-               .when(F.col("error_code") == config.INSUFFICIENT_DATA, F.format_string(
-                   "Insufficient price data for ticker '%s'. Required at least %d records, found %d.",
-                   F.col("ticker"), F.lit(config.MIN_FEATURE_ROWS), n_hist)))
+    message = (F.when(F.col("error_code") == config.MODEL_NOT_FOUND,
+                      outcomes.no_model(F.col("ticker"), F.col("forecast_days")))
+               .when(F.col("error_code") == config.MODEL_CORRUPTED, outcomes.unusable_model(F.col("version")))
+               .when(F.col("error_code") == config.DUPLICATE_DAYS, outcomes.several_rows_a_day(F.col("n_dup")))
+               .when(F.col("error_code") == config.INSUFFICIENT_DATA, outcomes.too_short(F.col("ticker"), n_hist)))
     status = (with_model.join(counts, list(KEYS), "left")
-              .withColumn("error_code", F.when(F.col("version").isNull(), F.lit(config.MODEL_NOT_FOUND))
+              .withColumn("error_code", F.when(F.col("unusable").isNull(), F.lit(config.MODEL_NOT_FOUND))
+                          .when(F.col("unusable"), F.lit(config.MODEL_CORRUPTED))
+                          .when(F.col("n_dup") > 0, F.lit(config.DUPLICATE_DAYS))
                           .when(n_hist < config.MIN_FEATURE_ROWS, F.lit(config.INSUFFICIENT_DATA))))
     status = status.select(*KEYS, "version",
                            F.when(F.col("error_code").isNull(), F.lit("ok"))
@@ -81,11 +78,21 @@ def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFram
         "ticker", F.col("forecast_days").try_cast("int").alias("forecast_days"),
         F.lit(None).cast("string").alias("version"), F.lit("error").alias("status"),
         F.lit(config.INVALID_REQUEST).alias("error_code"),
-        F.concat(F.lit("invalid: "), F.array_join("violations", ", ")).alias("error")))
-    usable = joined.where(F.col("n_hist") >= config.MIN_FEATURE_ROWS)
+        outcomes.invalid(F.col("violations")).alias("error")))
+    usable = joined.where((F.col("n_hist") >= config.MIN_FEATURE_ROWS) & (F.col("n_dup") == 0))
     return ForecastResult(fc.recursive_forecast(usable, business_calendar), status)
 
 
+def predict_named(prices: DataFrame, models: DataFrame, requests: DataFrame,
+                  history_days: int = config.FORECAST_HISTORY_DAYS, as_of=None) -> DataFrame:
+    """R2 for a request table ``(ticker, version, date)``: the prediction of the
+    named model version, the given date echoed; a version that is not stored
+    or not usable gives no row."""
+    named = models.where(~quality.incomplete_model()).join(requests.select("ticker", "version", "date"), ["ticker", "version"])
+    hist = fc.history_arrays(prices.join(requests.select("ticker").distinct(), "ticker", "left_semi"), history_days, as_of)
+    return fc.single_prediction(named.join(hist, "ticker"), date="date")
+
+
 def history_plus_forecast(history_tail: DataFrame, forecasts: DataFrame) -> DataFrame:
     """The serving history and the forecast of each key in one frame
     (``kind`` = history / forecast)."""

@@ -5,20 +5,20 @@ Plan shape (see ``explain``): the requested-ticker join shuffles prices by
 over ``(ticker, forecast_days)``, the moment windows and the metrics
 aggregate all reuse that partitioning (local sorts only).  Nothing is
 collected except the list of distinct horizons (at most ``MAX_HORIZON``
-integers, needed to lay out the ``lead`` columns) and, in jobs, a stale-
-ticker list whose size is checked first (at most
-``LITERAL_TICKER_FILTER_MAX``, turned into a pushed-down scan filter).
+integers, needed to lay out the ``lead`` columns).  Jobs and queries run the
+same plan: the request table is always joined.
 """
 
 from __future__ import annotations
 
 from collections import namedtuple
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .. import outcomes as texts
 from ..functions import quality, versions
 from ..functions.instants import utc_instant
 from ..operators import evaluate, features, freshness, ols, split
@@ -66,12 +66,12 @@ def split_rows(prices: DataFrame, horizons, requested: DataFrame | None = None,
     ``is_test = null`` so every key keeps its counts for the run log."""
     k = split.n_splits_for(test_size)
     base = prices if requested is None else prices.join(requested, "ticker", "inner")
-    carry = ("horizons",) if requested is not None else ()
-    feats = features.build_features(base, carry=carry)
+    carry = ("horizons", "n_dup") if requested is not None else ("n_dup",)
+    feats = features.build_features(features.count_repeated_days(base), carry=carry)
     long = features.add_targets(feats, horizons, keep_invalid=True)
     fd = F.col("forecast_days")
     slotted = long.select(
-        "ticker", "forecast_days", "date", "valid",
+        "ticker", "forecast_days", "date", "valid", "n_dup",
         *features.slot_columns(fd, F.col), F.col("target").alias("y"))
     # One window node: running and whole-key counts share the (key, date) sort.
     wk = Window.partitionBy(*KEYS).orderBy("date")
@@ -101,6 +101,7 @@ def _score(fitted: DataFrame) -> DataFrame:
     return fitted.groupBy(*KEYS).agg(
         F.max("n_feat").alias("n_feat"),
         F.max("n").alias("n"),
+        F.max("n_dup").alias("n_dup"),
         F.count_if(F.col("valid") & bad).alias("n_bad"),
         *[F.max(f"w{i}").alias(f"w{i}") for i in range(config.N_SLOTS)],
         F.max("intercept").alias("intercept"),
@@ -131,16 +132,15 @@ def outcome(test_size: float = config.DEFAULT_TEST_SIZE) -> tuple[Column, Column
     k = split.n_splits_for(test_size)
     n_feat = F.coalesce(F.col("n_feat"), F.lit(0))
     n = F.coalesce(F.col("n"), F.lit(0))
-    code = (F.when(n_feat < config.MIN_FEATURE_ROWS, F.lit(config.INSUFFICIENT_DATA))
+    code = (F.when(F.col("n_dup") > 0, F.lit(config.DUPLICATE_DAYS))
+            .when(n_feat < config.MIN_FEATURE_ROWS, F.lit(config.INSUFFICIENT_DATA))
             .when(n <= k, F.lit(config.TRAINING_FAILED))
             .when(F.col("n_bad") > 0, F.lit(config.TRAINING_FAILED)))
-    msg = (F.when(n_feat < config.MIN_FEATURE_ROWS, F.format_string(
-                "Insufficient price data for ticker '%s'. Required at least %d records, found %d.",
-                F.col("ticker"), F.lit(config.MIN_FEATURE_ROWS), n_feat))
-           .when(n == 0, F.lit("X and y cannot be empty"))
-           .when(n <= k, F.format_string(
-                "Not enough data points (%d) to perform TimeSeriesSplit with %d splits.", n, F.lit(k)))
-           .when(F.col("n_bad") > 0, F.lit("Input contains NaN or infinity.")))
+    msg = (F.when(F.col("n_dup") > 0, texts.several_rows_a_day(F.col("n_dup")))
+           .when(n_feat < config.MIN_FEATURE_ROWS, texts.too_short(F.col("ticker"), n_feat))
+           .when(n == 0, texts.no_training_rows())
+           .when(n <= k, texts.too_few_for_folds(n, k))
+           .when(F.col("n_bad") > 0, texts.not_finite()))
     return code, msg
 
 
@@ -148,7 +148,7 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
               latest_models: DataFrame | None = None, horizons=None,
               test_size: float = config.DEFAULT_TEST_SIZE,
               lookback_days: int = config.TRAIN_LOOKBACK_DAYS,
-              materialize=None) -> TrainResult:
+              materialize=None, max_horizon: int = config.MAX_HORIZON) -> TrainResult:
     """B1: validate -> staleness -> window -> features -> split -> fit ->
     metrics, for all requests at once.
 
@@ -159,19 +159,21 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     ``materialize``: optional ``DataFrame -> DataFrame`` applied to the
     per-request outcome table before it fans out into ``models`` and
     ``run_log`` (a job passes a reliable checkpoint so that writing both
-    does not run the training plan twice).
+    does not run the training plan twice).  ``max_horizon``: the largest
+    horizon that a valid request may name.
 
     Returns lazy ``models`` (registry rows) and ``run_log`` (one row per
     request: completed / skipped / failed with an error code).
     """
-    now_c = _instant(now if now is not None else datetime.utcnow().replace(microsecond=0))
+    now_c = _instant(now if now is not None else datetime.now(timezone.utc).replace(microsecond=0))
     req = requests.select(F.col("ticker"), F.col("forecast_days"))
-    clean, rejected = quality.split_valid(req, quality.request_rules())
+    clean, rejected = quality.split_valid(req, quality.request_rules(max_horizon=max_horizon))
+    rejected = rejected.withColumns({"code": F.lit(config.INVALID_REQUEST), "why": texts.invalid(F.col("violations"))})
     clean = clean.select("ticker", F.col("forecast_days").cast("int").alias("forecast_days")).distinct()
     if horizons is not None:  # a job laid out for fixed horizons rejects the others
         listed = F.col("forecast_days").isin([int(h) for h in horizons])
-        unlisted = clean.where(~listed).withColumn("violations", F.array(F.lit("forecast_days not in job horizons")))
-        rejected = rejected.unionByName(unlisted)
+        unlisted = clean.where(~listed).withColumns({"code": F.lit(config.HORIZON_NOT_LISTED), "why": texts.not_listed()})
+        rejected = rejected.drop("violations").unionByName(unlisted)
         clean = clean.where(listed)
     # staleness is decided once: the outcome table below carries it, so a
     # job that appends to the registry never re-reads it for the run log
@@ -181,32 +183,23 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     stale = checked.where(F.col("needs_training")).select(*KEYS)
 
     hs = distinct_horizons(stale) if horizons is None else sorted({int(h) for h in horizons})
-    few_tickers = None
-    if materialize is not None and hs:
-        # one bounded look at the stale tickers: none -> skip the price plan;
-        # a few -> a literal scan filter; many (> the bound) -> the join
-        seen = stale.select("ticker").distinct().limit(config.LITERAL_TICKER_FILTER_MAX + 1).collect()
-        if not seen:
-            hs = []
-        elif len(seen) <= config.LITERAL_TICKER_FILTER_MAX:
-            few_tickers = [r.ticker for r in seen]
+    if materialize is not None and hs and stale.isEmpty():
+        hs = []  # every request is fresh: no price plan at all
     window = training_window(prices, as_of, lookback_days)
-    if few_tickers is not None:  # pushed to the scan: row-group skipping, bucket pruning
-        window = window.where(F.col("ticker").isin(few_tickers))
     code, msg = outcome(test_size)
     if hs:
         keyed = fit_and_score(split_rows(window, hs, requested_horizons(stale), test_size))
         # one outcome row per clean request: a single pass over the training plan
         outcomes = checked.join(keyed, list(KEYS), "left")
     else:  # nothing to fit: same columns, all null
-        nulls = {c: "long" for c in ("n_feat", "n", "n_bad", "train_samples", "test_samples")}
+        nulls = {c: "long" for c in ("n_feat", "n", "n_dup", "n_bad", "train_samples", "test_samples")}
         nulls.update({c: "double" for c in ("w0", "w1", "w2", "w3", "intercept", "mae", "r2", "mape", "max_ae")})
         nulls["last_train_date"] = "date"
         outcomes = checked.withColumns({c: F.lit(None).cast(t) for c, t in nulls.items()})
     stale_c = F.col("needs_training")
     outcomes = outcomes.withColumns({
         "error_code": F.when(stale_c, code),
-        "error": F.when(stale_c, msg).otherwise(F.lit("Model is already trained and up-to-date.")),
+        "error": F.when(stale_c, msg).otherwise(texts.fresh()),
     })
     if materialize is not None:
         outcomes = materialize(outcomes)
@@ -225,8 +218,7 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
         F.when(~stale_c, F.col("trained_at")).when(completed, now_c).alias("trained_at"))
     rejected_log = rejected.select(
         "ticker", F.col("forecast_days").try_cast("int").alias("forecast_days"),
-        F.lit(config.STATUS_FAILED).alias("status"), F.lit(config.INVALID_REQUEST).alias("error_code"),
-        F.concat(F.lit("invalid: "), F.array_join("violations", ", ")).alias("error"),
+        F.lit(config.STATUS_FAILED).alias("status"), F.col("code").alias("error_code"), F.col("why").alias("error"),
         F.lit(None).cast("string").alias("version"), F.lit(None).cast("timestamp").alias("trained_at"))
     run_log = run_log.unionByName(rejected_log)
     return TrainResult(models, run_log)

@@ -93,5 +93,5 @@ def missing_columns(df: DataFrame, required=config.REQUIRED_COLUMNS) -> list[str
 def require_columns(df: DataFrame, required=config.REQUIRED_COLUMNS) -> DataFrame:
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"DataFrame is missing required columns: {', '.join(missing)}")
+        raise ValueError(f"columns not found: {', '.join(missing)}")
     return df

@@ -63,15 +63,16 @@ def write_bucketed_prices(prices: DataFrame, table: str, num_buckets: int, path:
 
 
 def daily_close(ticks: DataFrame, ts: str = "ts", ticker: str = "ticker",
-                price: str = "price") -> DataFrame:
-    """Reduce several rows per ticker and day to the day's last price.
+                price: str = "price", day: str | None = None) -> DataFrame:
+    """Reduce several rows per ticker and day to the day's last price (by
+    ``ts``, which may be a struct with tie-breaks if ``day`` names the time).
 
     ``max_by`` is a partial aggregate keyed by ``(ticker, date)``: a ticker
     holding a third of all rows is spread over the shuffle by its dates and
     reduced map-side, and afterwards holds one row per day, which bounds
     every later window partition by the date range.
     """
-    return (ticks.groupBy(F.col(ticker).cast("string").alias("ticker"), F.to_date(F.col(ts)).alias("date"))
+    return (ticks.groupBy(F.col(ticker).cast("string").alias("ticker"), F.to_date(F.col(day or ts)).alias("date"))
             .agg(F.max_by(F.col(price).cast("double"), F.col(ts)).alias("close")))
 
 

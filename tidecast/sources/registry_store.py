@@ -5,11 +5,12 @@ Layout under one registry root (any Hadoop-compatible path):
 * ``models/``     append-only model versions (``schema.MODEL``);
 * ``tombstones/`` append-only deletions (``schema.TOMBSTONE``);
 * ``run_log/``    append-only training run records (``schema.RUN_LOG``);
-* ``latest/snapshot=<n>/`` the latest usable version per key, rewritten
-  after each append or delete, so readers touch O(keys) rows instead of
-  the whole history.  Readers take the newest complete snapshot; a job
-  that dies before writing one leaves the previous snapshot, whose keys
-  then look stale and are retrained - never a wrong model.
+* ``latest/snapshot=<time>-<id>/`` a cache: the newest live version per key
+  over the model files listed in ``covered/snapshot=<time>-<id>/``.  Readers
+  take the newest complete snapshot, read the model files it does not list
+  beside it, and apply all tombstones, so neither a late writer nor a
+  missing snapshot can hide a version or bring a deleted one back.  Names
+  are unique, so writers never collide.
 
 Appends go through Spark's file commit protocol: a failed or retried job
 leaves no partial version visible, which is what the temp-file-and-rename
@@ -18,11 +19,14 @@ of the single-file store gave.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..errors import RegistryNotFound
 
 
 def _path(root: str, name: str) -> str:
@@ -36,10 +40,16 @@ def empty(spark: SparkSession, struct) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, struct) -> DataFrame:
-    try:
-        return spark.read.schema(struct).parquet(path)
-    except AnalysisException:  # nothing written yet
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):  # nothing written yet; any other fault rises
         return empty(spark, struct)
+    return spark.read.schema(struct).parquet(path)
+
+
+def require_root(spark: SparkSession, root: str) -> None:
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        raise RegistryNotFound(root)
 
 
 def _conform(df: DataFrame, struct) -> DataFrame:
@@ -72,7 +82,10 @@ def append_run_log(run_log: DataFrame, root: str) -> None:
 
 def write_forecasts(forecasts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Forecasts partitioned by horizon (readers prune by ``forecast_days``)."""
-    _conform(forecasts, schema.FORECAST).write.mode(mode).partitionBy("forecast_days").parquet(path)
+    # rebalance gathers a horizon's rows into few files and, unlike a plain
+    # repartition by the column, splits a horizon that holds most of them
+    rows = _conform(forecasts, schema.FORECAST).hint("rebalance", F.col("forecast_days"))
+    rows.write.mode(mode).partitionBy("forecast_days").parquet(path)
 
 
 # --- latest snapshot ---------------------------------------------------------------
@@ -93,21 +106,45 @@ def _snapshot_paths(spark: SparkSession, root: str) -> list[str]:
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("snapshot=") and \
                 fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(name.split("=", 1)[1]), st.getPath().toString()))
+            out.append((name, st.getPath().toString()))
     return [p for _, p in sorted(out)]
 
 
-def read_latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+def model_files(spark: SparkSession, root: str) -> list[str]:
+    """The data files of ``models/`` (the listing that any read makes)."""
+    return sorted(read_models(spark, root).inputFiles())
+
+
+def _covered(spark: SparkSession, root: str) -> tuple[str, set[str]] | None:
     paths = _snapshot_paths(spark, root)
-    return spark.read.schema(schema.MODEL).parquet(paths[-1]) if paths else None
+    if not paths:
+        return None
+    listed = spark.read.schema("file string").parquet(_path(root, f"covered/{paths[-1].rsplit('/', 1)[1]}"))
+    return paths[-1], {r.file for r in listed.collect()}
 
 
-def write_latest_snapshot(latest: DataFrame, root: str) -> str:
-    """Write a new snapshot numbered after the newest one; returns its path."""
+def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """The newest snapshot and the versions in model files that it does not cover."""
+    found = _covered(spark, root)
+    if found is None:
+        return None
+    path, listed = found
+    since = [f for f in model_files(spark, root) if f not in listed]
+    reader = spark.read.schema(schema.MODEL)
+    return reader.parquet(path), reader.parquet(*since) if since else None
+
+
+def uncovered_files(spark: SparkSession, root: str) -> int:
+    found = _covered(spark, root)
+    return len(set(model_files(spark, root)) - (found[1] if found else set()))
+
+
+def write_snapshot(latest: DataFrame, files: list[str], root: str) -> str:
+    """Write a snapshot over the model files ``files``; returns its path."""
     spark = latest.sparkSession
-    paths = _snapshot_paths(spark, root)
-    n = int(paths[-1].rsplit("=", 1)[1]) + 1 if paths else 1
-    path = _path(root, f"latest/snapshot={n:012d}")
+    name = f"snapshot={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.parquet(_path(root, f"covered/{name}"))
+    path = _path(root, f"latest/{name}")  # complete only once its file list is
     _conform(latest, schema.MODEL).write.mode("errorifexists").parquet(path)
     return path
 

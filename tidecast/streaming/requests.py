@@ -3,12 +3,14 @@
 Each micro-batch runs the batch job over *all* requests in the batch at
 once (one plan, no per-request loop).  Offsets live in the query's
 checkpoint; a batch replayed after a failure is harmless for training,
-because the staleness check skips versions the first attempt already
-appended, and forecasts are written per epoch under ``epoch=<id>``.
+because the staleness check reads the model files themselves and skips
+versions that the first attempt appended, and forecasts and statuses are
+written per epoch under ``epoch=<id>``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -22,7 +24,13 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
 
 
-def train_on_requests(requests: DataFrame, prices: DataFrame, registry_root: str,
+def _read(prices: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """Prices as of now: a path-based frame lists its files once, so a long-running
+    stream passes a reader, which every micro-batch calls."""
+    return prices() if callable(prices) else prices
+
+
+def train_on_requests(requests: DataFrame, prices: DataFrame | Callable[[], DataFrame], registry_root: str,
                       checkpoint_location: str, as_of=None, horizons=None,
                       trigger: dict | None = None) -> StreamingQuery:
     """Start a query that trains each micro-batch of requests (run log and
@@ -31,8 +39,8 @@ def train_on_requests(requests: DataFrame, prices: DataFrame, registry_root: str
         if batch.isEmpty():
             return
         now = _now()
-        jobs.run_training(batch.sparkSession, prices, batch.select("ticker", "forecast_days"), registry_root,
-                          as_of=as_of or now.date().isoformat(), now=now, horizons=horizons)
+        jobs.run_training(batch.sparkSession, _read(prices), batch.select("ticker", "forecast_days"), registry_root,
+                          as_of=as_of or jobs.market_day(now), now=now, horizons=horizons)
 
     w = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_location)
     if trigger:
@@ -40,17 +48,22 @@ def train_on_requests(requests: DataFrame, prices: DataFrame, registry_root: str
     return w.start()
 
 
-def forecast_on_requests(requests: DataFrame, prices: DataFrame, registry_root: str, out_path: str,
+def forecast_on_requests(requests: DataFrame, prices: DataFrame | Callable[[], DataFrame], registry_root: str, out_path: str,
                          checkpoint_location: str, as_of=None,
                          history_days: int = config.FORECAST_HISTORY_DAYS,
-                         trigger: dict | None = None) -> StreamingQuery:
+                         trigger: dict | None = None, status_path: str | None = None) -> StreamingQuery:
     """Start a query that forecasts each micro-batch of requests with the
-    latest registered models; output under ``out_path/epoch=<id>``."""
+    latest registered models; output under ``out_path/epoch=<id>``, the status
+    of every request under ``status_path/epoch=<id>`` (by default the output
+    path with ``_status``)."""
+    statuses = (status_path or f"{out_path.rstrip('/')}_status").rstrip("/")
+
     def handle(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        jobs.run_forecast(batch.sparkSession, prices, batch.select("ticker", "forecast_days"), registry_root,
-                          f"{out_path.rstrip('/')}/epoch={epoch_id}", as_of=as_of, history_days=history_days)
+        jobs.run_forecast(batch.sparkSession, _read(prices), batch.select("ticker", "forecast_days"), registry_root,
+                          f"{out_path.rstrip('/')}/epoch={epoch_id}", as_of=as_of, history_days=history_days,
+                          status_path=f"{statuses}/epoch={epoch_id}")
 
     w = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_location)
     if trigger:
