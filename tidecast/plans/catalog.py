@@ -10,7 +10,9 @@ centred moments are rendered with 9 significant digits.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,12 @@ from .. import config
 from ..functions import calendar, quality, versions
 from ..functions.instants import ensure_utc, utc_instant
 from ..operators import business_calendar, evaluate, features, forecast, freshness, ols, registry, split
-from ..sources import fixtures
-from ..sources.prices import fixture_prices
+from ..schema import missing_columns
+from ..session import checkpoint_dir, cut_lineage
+from ..sources import fixtures, registry_store
+from ..sources.prices import daily_close, fixture_prices
 from . import forecast as fplan
-from . import report, train
+from . import jobs, report, train
 
 MA = ("ma5", "ma20", "ma100")
 LAG = ("lag1", "lag5", "lag20", "lag100")
@@ -273,6 +277,76 @@ def q_skip_report(spark, sf):
                     *_metric_projection(s), "last_train_date")
 
 
+def q_needs_training_instants(spark, sf):
+    """T8 before and after the close of a business day, on a weekend and on a holiday."""
+    reg = fixtures.registry(spark, sf)
+    lat = cut_lineage(registry.latest(reg.models, reg.tombstones))
+    out = None
+    for now in fixtures.INSTANTS:
+        one = freshness.needs_training(fixtures.requests(spark, sf), lat, utc_instant(now)).select(
+            F.lit(now).alias("now"), "ticker", _i64("forecast_days").alias("forecast_days"), "needs_training")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- corrupt versions; the registry in files ------------------------------------------
+
+def q_registry_corrupt(spark, sf):
+    """Newest version first, judged afterwards; what a forecast says about it."""
+    reg = fixtures.registry(spark, sf)
+    broken = ((F.col("trained_at") == utc_instant(fixtures.RUN2_TRAINED_AT)) & (F.col("forecast_days") == 30)
+              & (F.substring("ticker", 2, 9).cast("int") % 3 == 0))
+    models = reg.models.withColumn("intercept", F.when(~broken, F.col("intercept")))
+    newest = cut_lineage(registry.latest(models, reg.tombstones))
+    status = fplan.forecast_all(fixture_prices(spark, sf), fixtures.requests(spark, sf), newest, fixtures.AS_OF,
+                                fixtures.HISTORY_DAYS).status
+    return status.select("ticker", _i64("forecast_days").alias("forecast_days"), "version", "status", "error_code")
+
+
+def q_registry_files(spark, sf):
+    """Two training jobs, a delete and a snapshot in the shared folder, then the newest versions as read."""
+    root = f"{checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    prices, req = fixture_prices(spark, sf), fixtures.requests(spark, sf)
+    for as_of, now in ((fixtures.RUN1_AS_OF, fixtures.RUN1_TRAINED_AT), (fixtures.RUN2_AS_OF, fixtures.RUN2_TRAINED_AT)):
+        jobs.run_training(spark, prices, req, root, as_of=as_of, now=datetime.fromisoformat(now), horizons=fixtures.HORIZONS)
+    jobs.compact(spark, root)
+    second = registry_store.read_models(spark, root).where(
+        (F.col("trained_at") == utc_instant(fixtures.RUN2_TRAINED_AT)) & (F.col("forecast_days") == fixtures.DELETED_HORIZON))
+    jobs.run_delete(spark, _lookups(second), root, deleted_at=datetime.fromisoformat(fixtures.DELETED_AT))
+    m = jobs.latest_models(spark, root)
+    return m.select("ticker", _i64("forecast_days").alias("forecast_days"), "version",
+                    _ts("trained_at").alias("trained_at"))
+
+
+# --- rank-deficient fits ----------------------------------------------------------------
+
+def _line_models(spark, sf):
+    return train.train_all(fixtures.line_prices(spark, sf), fixtures.segment_requests(spark, sf), fixtures.AS_OF,
+                           now=fixtures.NOW, horizons=fixtures.HORIZONS).models
+
+
+def q_ols_collinear(spark, sf):
+    """Series that rise by one a row: all centred features are equal."""
+    m = _line_models(spark, sf)
+    return m.select("ticker", _i64("forecast_days").alias("forecast_days"),
+                    *[F.round(f"w{i}", 6).alias(f"w{i}") for i in range(4)], F.round("intercept", 2).alias("intercept"))
+
+
+def q_forecast_collinear(spark, sf):
+    res = fplan.forecast_all(fixtures.line_prices(spark, sf), fixtures.segment_requests(spark, sf),
+                             _line_models(spark, sf), fixtures.AS_OF, fixtures.HISTORY_DAYS)
+    return res.forecasts.select("ticker", _i64("forecast_days").alias("forecast_days"), _i64("step").alias("step"),
+                                "date", F.round("predicted_price", 2).alias("predicted_price"))
+
+
+def q_daily_close(spark, sf):
+    """Raw ticks reduced to the last price of the day."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_type").alias("ticker"), F.struct("ts", "event_id").alias("ts"), F.col("value").alias("price"))
+    ticks = e.withColumn("day", F.col("ts.ts"))
+    return daily_close(ticks, day="day")
+
+
 # --- T1 T2 T3 J4 ----------------------------------------------------------------
 
 def q_business_calendar(spark, sf):
@@ -316,7 +390,19 @@ def _models_with_history(spark, sf):
 def q_single_prediction(spark, sf):
     p = forecast.single_prediction(_models_with_history(spark, sf))
     return p.select("ticker", _i64("forecast_days").alias("forecast_days"), "version", "date",
-                    F.round("predicted_price", 2).alias("predicted_price"))
+                    F.round("predicted_price", 2).alias("predicted_price"),
+                    F.array_join("features_used", ",").alias("features_used"))
+
+
+def q_predict_named(spark, sf):
+    """Requests name the first run's versions (not the newest) and a date of their own."""
+    reg = fixtures.registry(spark, sf)
+    named = reg.models.where((F.col("trained_at") == utc_instant(fixtures.RUN1_TRAINED_AT)) & (F.col("forecast_days") == 30))
+    req = named.select("ticker", "version", F.date_add(F.lit(fixtures.AS_OF).cast("date"), F.length("ticker")).alias("date"))
+    p = fplan.predict_named(fixture_prices(spark, sf), reg.models, req, fixtures.HISTORY_DAYS, fixtures.AS_OF)
+    return p.select("ticker", _i64("forecast_days").alias("forecast_days"), "version", "date",
+                    F.round("predicted_price", 2).alias("predicted_price"),
+                    F.array_join("features_used", ",").alias("features_used"))
 
 
 def _forecasts(spark, sf):
@@ -382,32 +468,44 @@ def q_quality_violations(spark, sf):
 
 
 def q_price_quality(spark, sf):
-    r = quality.price_table_report(fixture_prices(spark, sf))
+    """Raw rows, as a source might deliver them: several a day, NaN and infinite
+    closes, missing dates and tickers that are too long."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    raw = li.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string"),
+                 F.when(F.col("l_suppkey") % 4 == 0, F.lit("-LONG-NAME")).otherwise(F.lit(""))).alias("ticker"),
+        F.when(F.col("l_linenumber") < 6, F.to_date("l_shipdate")).alias("date"),
+        F.when(F.col("l_tax") == 0, F.lit(float("nan"))).when(F.col("l_discount") == 0, F.lit(float("inf")))
+        .otherwise(F.col("l_extendedprice")).alias("close"))
+    r = quality.price_table_report(raw)
     return r.select("ticker", *[_i64(c).alias(c) for c in ("n_rows", "n_duplicate_days", "n_bad_close",
                                                            "n_null_date")], "bad_ticker")
 
 
+def _guarded_prices(spark, sf) -> DataFrame:
+    """Fixture prices with NaN closes in some series, and rows that repeat a day in others."""
+    p = fixture_prices(spark, sf)
+    number = F.substring("ticker", 2, 9).cast("int")
+    late = F.col("date") >= F.lit("2001-06-01").cast("date")
+    spoiled = p.withColumn("close", F.when((number % 5 == 0) & late & (F.dayofmonth("date") == 13), F.lit(float("nan")))
+                           .otherwise(F.col("close")))
+    again = p.where((number % 7 == 3) & late & (F.dayofmonth("date") == 21))
+    return spoiled.unionByName(again)
+
+
 def q_row_guards(spark, sf):
-    rows = train.split_rows(train.training_window(fixture_prices(spark, sf), fixtures.AS_OF),
-                            fixtures.HORIZONS,
-                            train.requested_horizons(fixtures.requests(spark, sf)))
-    counts = rows.groupBy("ticker", "forecast_days").agg(
-        F.max("n_feat").alias("n_feat"), F.max("n").alias("n"))
     req = fixtures.requests(spark, sf)
-    out = req.join(counts, ["ticker", "forecast_days"], "left")
+    keyed = train.fit_and_score(train.split_rows(train.training_window(_guarded_prices(spark, sf), fixtures.AS_OF),
+                                                 fixtures.HORIZONS, train.requested_horizons(req)))
+    out = req.join(keyed, ["ticker", "forecast_days"], "left")
     code, _ = train.outcome()
-    missing = ",".join(features_missing(spark, sf))
-    return out.withColumn("n_bad", F.lit(0)).select(
+    few = features.build_features(fixture_prices(spark, sf)).drop("lag5", "ma20")  # V6: schema metadata only
+    return out.select(
         "ticker", _i64("forecast_days").alias("forecast_days"),
         _i64(F.coalesce("n_feat", F.lit(0))).alias("n_feature_rows"),
-        _i64(F.coalesce("n", F.lit(0))).alias("n_xy"),
-        code.alias("error_code"), F.lit(missing).alias("missing_columns"))
-
-
-def features_missing(spark, sf) -> list[str]:
-    """V6 on the feature frame's schema (metadata only)."""
-    from ..schema import missing_columns
-    return missing_columns(features.build_features(fixture_prices(spark, sf)))
+        _i64(F.coalesce("n", F.lit(0))).alias("n_xy"), _i64(F.coalesce("n_bad", F.lit(0))).alias("n_bad"),
+        _i64(F.coalesce("n_dup", F.lit(0))).alias("n_dup"),
+        code.alias("error_code"), F.lit(",".join(missing_columns(few))).alias("missing_columns"))
 
 
 def q_run_log(spark, sf):
@@ -521,4 +619,11 @@ _QUERIES = {
     "segment_models": q_segment_models,
     "segment_forecast": q_segment_forecast,
     "event_run_log": q_event_run_log,
+    "needs_training_instants": q_needs_training_instants,
+    "registry_corrupt": q_registry_corrupt,
+    "registry_files": q_registry_files,
+    "ols_collinear": q_ols_collinear,
+    "forecast_collinear": q_forecast_collinear,
+    "predict_named": q_predict_named,
+    "daily_close": q_daily_close,
 }

@@ -144,8 +144,19 @@ def cholesky_stages(p: int = 4, tol: float = 1e-12) -> list[list[tuple[str, str]
     return stages
 
 
+def rank_one_stages(p: int = 4) -> list[list[tuple[str, str]]]:
+    """The pseudo-inverse of a covariance matrix of rank one is itself over its
+    squared trace, so the least-norm solution is ``C b / tr(C)^2``."""
+    def c(i, j):
+        return f"c{min(i, j)}{max(i, j)}"
+    trace = " + ".join(c(i, i) for i in range(p))
+    return [[(f"w{i}", "(" + " + ".join(f"{c(i, j)} * b{j}" for j in range(p)) + f") / (({trace}) * ({trace}))")
+             for i in range(p)],
+            [("intercept", "my" + "".join(f" - w{i} * m{i}" for i in range(p)))]]
+
+
 def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True,
-               src: str = "prices", req: str = "req") -> list[tuple[str, str]]:
+               src: str = "prices", req: str = "req", solver=cholesky_stages) -> list[tuple[str, str]]:
     """CTEs ending in ``{tag}_fit``: ticker, forecast_days, w0..w3, intercept,
     mae, r2, mape, max_ae, train_samples, test_samples, last_train_date.
     Intermediate: ``{tag}_feat``, ``{tag}_nfeat``, ``{tag}_xy``, ``{tag}_split``."""
@@ -177,7 +188,7 @@ def train_ctes(tag: str, as_of: str, restrict: bool = True, guard: bool = True,
     ctes.append((f"{t}_mom", f"SELECT ticker, forecast_days, count(*) AS n, {moms} FROM {t}_split "
                              f"WHERE NOT is_test GROUP BY ticker, forecast_days"))
     prev = f"{t}_mom"
-    for s, stage in enumerate(cholesky_stages()):
+    for s, stage in enumerate(solver()):
         name = f"{t}_s{s}"
         ctes.append((name, f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage)} FROM {prev}"))
         prev = name
@@ -289,11 +300,11 @@ def _pred(a: str, p: str = "") -> str:
 
 
 def forecast_ctes(head: list[tuple[str, str]] | None = None, src: str = "prices",
-                  req: str = "req") -> list[tuple[str, str]]:
+                  req: str = "req", solver=cholesky_stages) -> list[tuple[str, str]]:
     """Year-end models (trained at NOW), serving history over HISTORY_DAYS,
     the recursion and its dates -> ``fc(ticker, forecast_days, step, date, predicted_price)``."""
     max_h = max(fx.HORIZONS)
-    return ((base() if head is None else head) + train_ctes("ye", fx.AS_OF, src=src, req=req)
+    return ((base() if head is None else head) + train_ctes("ye", fx.AS_OF, src=src, req=req, solver=solver)
             + [models_cte("ye", fx.NOW)] + serving_ctes(fx.HISTORY_DAYS, src=src) + [
                 ("mh", "SELECT m.ticker, m.forecast_days, m.version, m.w0, m.w1, m.w2, m.w3, m.intercept, "
                        "h.latest_date, h.n_hist, h.hist FROM ye_models m JOIN sv_hist h USING (ticker)"),
@@ -502,7 +513,7 @@ FROM (SELECT CAST(unnest(generate_series((SELECT min(date) FROM prices), (SELECT
                                       + " FROM sv_hist")
     fc = forecast_ctes()
     q["single_prediction"] = _with(fc, f"""SELECT m.ticker, CAST(m.forecast_days AS BIGINT) AS forecast_days, m.version,
-  n.date, round({_pred('m.hist', 'm.')}, 2) AS predicted_price
+  n.date, round({_pred('m.hist', 'm.')}, 2) AS predicted_price, {_tier_names()} AS features_used
 FROM mh m JOIN nbd n ON n.ticker = m.ticker AND n.step = 1""")
     q["recursive_forecast"] = _with(fc, "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
                                         "CAST(step AS BIGINT) AS step, date, round(predicted_price, 2) AS predicted_price "
@@ -537,15 +548,24 @@ FROM fc f JOIN ye_models m ON m.ticker = f.ticker AND m.forecast_days = f.foreca
          f"CASE WHEN isnan(close) OR isinf(close) THEN 'close' END)")
     q["quality_violations"] = f"SELECT request_id, {v} AS violations, {v} = '' AS valid FROM ({_quality_src()})"
 
-    r2g = b + train_ctes("r2", fx.AS_OF)
-    q["row_guards"] = _with(r2g + [("xyn", "SELECT ticker, forecast_days, count(*) AS n FROM r2_xy "
-                                           "GROUP BY ticker, forecast_days")], f"""SELECT r.ticker,
+    number = "CAST(substr(ticker, 2) AS INTEGER)"
+    guarded = b + [("gp", f"""SELECT ticker, date, CASE WHEN {number} % 5 = 0 AND date >= DATE '2001-06-01' AND day(date) = 13
+    THEN CAST('NaN' AS DOUBLE) ELSE close END AS close FROM prices
+  UNION ALL SELECT * FROM prices WHERE {number} % 7 = 3 AND date >= DATE '2001-06-01' AND day(date) = 21""")]
+    bad = " OR ".join(f"isnan({c}) OR isinf({c})" for c in ("x0", "x1", "x2", "x3", "y"))
+    q["row_guards"] = _with(guarded + train_ctes("r2", fx.AS_OF, src="gp")[:6] + [
+        ("xyn", f"SELECT ticker, forecast_days, count(*) AS n, count(*) FILTER (WHERE {bad}) AS n_bad FROM r2_slots "
+                "GROUP BY ticker, forecast_days"),
+        ("dups", "SELECT ticker, count(*) - count(DISTINCT date) AS n_dup FROM r2_win GROUP BY ticker")], f"""SELECT r.ticker,
   CAST(r.forecast_days AS BIGINT) AS forecast_days, CAST(coalesce(f.n_feat, 0) AS BIGINT) AS n_feature_rows,
-  CAST(coalesce(x.n, 0) AS BIGINT) AS n_xy,
-  CASE WHEN coalesce(f.n_feat, 0) < {config.MIN_FEATURE_ROWS} THEN '{config.INSUFFICIENT_DATA}'
-       WHEN coalesce(x.n, 0) <= {K} THEN '{config.TRAINING_FAILED}' END AS error_code,
-  '' AS missing_columns
+  CAST(coalesce(x.n, 0) AS BIGINT) AS n_xy, CAST(coalesce(x.n_bad, 0) AS BIGINT) AS n_bad,
+  CAST(CASE WHEN f.n_feat IS NULL THEN 0 ELSE coalesce(d.n_dup, 0) END AS BIGINT) AS n_dup,
+  CASE WHEN f.n_feat IS NOT NULL AND d.n_dup > 0 THEN '{config.DUPLICATE_DAYS}'
+       WHEN coalesce(f.n_feat, 0) < {config.MIN_FEATURE_ROWS} THEN '{config.INSUFFICIENT_DATA}'
+       WHEN coalesce(x.n, 0) <= {K} OR x.n_bad > 0 THEN '{config.TRAINING_FAILED}' END AS error_code,
+  'lag5,ma20' AS missing_columns
 FROM req r LEFT JOIN r2_nfeat f ON f.ticker = r.ticker
+LEFT JOIN dups d ON d.ticker = r.ticker
 LEFT JOIN xyn x ON x.ticker = r.ticker AND x.forecast_days = r.forecast_days""")
 
     rl = reg + [clock_cte(), ("rreq", "SELECT * FROM req UNION ALL SELECT DISTINCT o_orderpriority, 5 FROM orders"),
@@ -567,12 +587,16 @@ LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days
 LEFT JOIN r2_fit f ON f.ticker = r.ticker AND f.forecast_days = r.forecast_days
 LEFT JOIN r2_nfeat nf ON nf.ticker = r.ticker
 CROSS JOIN clock k""")
-    q["price_quality"] = _with(b, f"""SELECT ticker, CAST(count(*) AS BIGINT) AS n_rows,
+    raw = [("raw", """SELECT concat('S', CAST(l_suppkey AS VARCHAR), CASE WHEN l_suppkey % 4 = 0 THEN '-LONG-NAME' ELSE '' END) AS ticker,
+  CASE WHEN l_linenumber < 6 THEN CAST(l_shipdate AS DATE) END AS date,
+  CASE WHEN l_tax = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_discount = 0 THEN CAST('Infinity' AS DOUBLE)
+       ELSE l_extendedprice END AS close FROM lineitem""")]
+    q["price_quality"] = _with(raw, f"""SELECT ticker, CAST(count(*) AS BIGINT) AS n_rows,
   CAST(count(*) - count(DISTINCT date) AS BIGINT) AS n_duplicate_days,
   CAST(count(*) FILTER (WHERE isnan(close) OR isinf(close)) AS BIGINT) AS n_bad_close,
   CAST(count(*) FILTER (WHERE date IS NULL) AS BIGINT) AS n_null_date,
   bool_or({BAD_TICKER}) AS bad_ticker
-FROM prices GROUP BY ticker""")
+FROM raw GROUP BY ticker""")
     seg = [("seg_prices", SEGMENT_PRICES), ("seg_req", SEGMENT_REQUESTS)]
     segm = seg + train_ctes("ye", fx.AS_OF, src="seg_prices", req="seg_req") + [models_cte("ye", fx.NOW)]
     q["segment_models"] = _with(segm, f"SELECT {model_proj()} FROM ye_models")
@@ -592,4 +616,36 @@ FROM prices GROUP BY ticker""")
   CAST((SELECT count(*) FROM ev_prices p WHERE p.ticker = r.ticker) AS BIGINT) AS n_days
 FROM ev_req r LEFT JOIN ev_fit f ON f.ticker = r.ticker AND f.forecast_days = r.forecast_days
 LEFT JOIN ev_nfeat nf ON nf.ticker = r.ticker""")
+    stale_at = "\nUNION ALL\n".join(
+        f"SELECT '{now}' AS now, r.ticker, CAST(r.forecast_days AS BIGINT) AS forecast_days, {STALE} AS needs_training "
+        f"FROM req r LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days CROSS JOIN clock{i} k"
+        for i, now in enumerate(fx.INSTANTS))
+    q["needs_training_instants"] = _with(reg + [(f"clock{i}", clock_cte(now)[1]) for i, now in enumerate(fx.INSTANTS)], stale_at)
+    corrupt = (f"(l.trained_at = TIMESTAMP '{fx.RUN2_TRAINED_AT}' AND l.forecast_days = 30 "
+               "AND CAST(substr(l.ticker, 2) AS INTEGER) % 3 = 0)")
+    q["registry_corrupt"] = _with(reg + serving_ctes(fx.HISTORY_DAYS), f"""SELECT ticker, forecast_days, version,
+  CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS status, error_code
+FROM (SELECT r.ticker, CAST(r.forecast_days AS BIGINT) AS forecast_days, l.version,
+  CASE WHEN l.version IS NULL THEN '{config.MODEL_NOT_FOUND}' WHEN {corrupt} THEN '{config.MODEL_CORRUPTED}'
+       WHEN coalesce(h.n_hist, 0) < {config.MIN_FEATURE_ROWS} THEN '{config.INSUFFICIENT_DATA}' END AS error_code
+  FROM (SELECT DISTINCT ticker, forecast_days FROM req) r
+  LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days
+  LEFT JOIN sv_hist h ON h.ticker = r.ticker)""")
+    q["registry_files"] = q["registry_latest"]
+    line = [("seg_prices", SEGMENT_PRICES), ("seg_req", SEGMENT_REQUESTS),
+            ("line", "SELECT ticker, date, CAST(150 + row_number() OVER (PARTITION BY ticker ORDER BY date) AS DOUBLE) AS close FROM seg_prices")]
+    lined = line + train_ctes("ye", fx.AS_OF, src="line", req="seg_req", solver=rank_one_stages)
+    q["ols_collinear"] = _with(lined, "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
+                                      + ", ".join(f"round(w{i}, 6) AS w{i}" for i in range(4))
+                                      + ", round(intercept, 2) AS intercept FROM ye_fit")
+    q["forecast_collinear"] = _with(forecast_ctes(line, src="line", req="seg_req", solver=rank_one_stages),
+                                    "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
+                                    "CAST(step AS BIGINT) AS step, date, round(predicted_price, 2) AS predicted_price FROM fc")
+    q["predict_named"] = _with(reg + serving_ctes(fx.HISTORY_DAYS), f"""SELECT m.ticker,
+  CAST(m.forecast_days AS BIGINT) AS forecast_days, m.version,
+  DATE '{fx.AS_OF}' + CAST(length(m.ticker) AS INTEGER) AS date,
+  round({_pred('h.hist', 'm.')}, 2) AS predicted_price, {_tier_names()} AS features_used
+FROM r1_models m JOIN sv_hist h ON h.ticker = m.ticker WHERE m.forecast_days = 30""")
+    q["daily_close"] = """SELECT event_type AS ticker, CAST(ts AS DATE) AS date, value AS close FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1"""
     return q

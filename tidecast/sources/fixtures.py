@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import utc_instant
@@ -32,6 +32,8 @@ RUN2_AS_OF = AS_OF
 RUN2_TRAINED_AT = "2001-12-31 21:45:00"   # UTC; 16:45 New York (EST)
 DELETED_HORIZON = 10                 # run-2 versions of this horizon are deleted
 DELETED_AT = "2002-01-02 15:00:00"
+# UTC: business day before its close, after it, Saturday, New Year's Day, long after both runs
+INSTANTS = ("2001-12-31 17:00:00", "2001-12-31 21:50:00", "2001-12-29 18:00:00", "2002-01-01 23:00:00", "2002-03-05 22:30:00")
 EVENTS_AS_OF = "2024-01-31"          # events cover 30 days of January 2024
 EVENTS_NOW = "2024-01-31 22:00:00"
 
@@ -56,6 +58,12 @@ def segment_requests(spark: SparkSession, sf_dir: str, horizons=HORIZONS) -> Dat
     return seg.select("ticker", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("forecast_days"))
 
 
+def line_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that rise by one with every day on which their segment has an order."""
+    days = segment_prices(spark, sf_dir).select("ticker", "date")
+    return days.withColumn("close", 150.0 + F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+
+
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-history source: one series per event type over 30 days."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
