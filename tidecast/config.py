@@ -53,8 +53,6 @@ INVALID_REQUEST = "INVALID_REQUEST"
 HORIZON_NOT_LISTED = "HORIZON_NOT_LISTED"   # valid, but the job was laid out for other horizons
 DUPLICATE_DAYS = "DUPLICATE_DAYS"           # the price source has several rows for a day of the series
 
-STATUS_PENDING = "pending"
-STATUS_IN_PROGRESS = "in_progress"
 STATUS_COMPLETED = "completed"
 STATUS_FAILED = "failed"
 STATUS_SKIPPED = "skipped"

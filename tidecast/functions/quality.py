@@ -95,12 +95,6 @@ def request_rules(ticker: str = "ticker", forecast_days: str = "forecast_days",
             "forecast_days": bad_horizon(F.col(forecast_days), max_horizon)}
 
 
-def price_rules() -> dict[str, Column]:
-    return {"ticker": bad_ticker(F.col("ticker")),
-            "date": F.col("date").isNull(),
-            "close": F.coalesce(non_finite(F.col("close")), F.lit(False))}
-
-
 def price_table_report(prices: DataFrame) -> DataFrame:
     """Per ticker: rows, extra rows on an already-seen date (the one-row-per-
     day assumption that bounds every window), non-finite closes (V9) and

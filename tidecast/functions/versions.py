@@ -17,7 +17,6 @@ from .quality import parse_datetime_text
 # --- fixed values: formats -------------------------------------------------
 VERSION_TIME_FORMAT = "yyyyMMddHHmmss"
 API_DATETIME_FORMAT = "yyyy-MM-dd-HH:mm:ss"
-DATE_FORMAT = "yyyy-MM-dd"
 VERSION_PATTERN = r"^(.+)_linear_(\d+)day_(\d{14})$"
 
 

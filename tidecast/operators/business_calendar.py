@@ -30,7 +30,7 @@ def calendar_between(span: DataFrame, start: str = "start", end: str = "end") ->
     offsets = per_year.select(
         "year", (F.sum("_total").over(Window.orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
                  - F.col("_total")).alias("_offset"))
-    return (in_year.join(F.broadcast(offsets), "year")
+    return (in_year.join(offsets, "year")
             .select("date", "weekday", "is_holiday", "is_business_day",
                     (F.col("_in_year") + F.col("_offset")).alias("bd_index")))
 

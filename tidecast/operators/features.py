@@ -155,7 +155,3 @@ def select_slots(targets: DataFrame) -> DataFrame:
     fd = F.col("forecast_days")
     return targets.select("ticker", "forecast_days", "date",
                           *slot_columns(fd, F.col), F.col("target").alias("y"))
-
-
-def n_features(forecast_days: Column) -> Column:
-    return F.when(forecast_days <= config.MEDIUM_TERM_MAX_HORIZON, F.lit(4)).otherwise(F.lit(3))

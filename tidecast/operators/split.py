@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from numbers import Real
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -59,14 +59,16 @@ def last_fold(df: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE, keys=K
 def all_folds(df: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE, keys=KEYS) -> DataFrame:
     """One row per (row, fold it belongs to) with ``role`` train/test.
 
-    Fan-out is at most ``n_splits`` per row (a parameter, not data), so the
-    result is bounded by ``n_splits x`` the input.
+    Folds a row does not belong to are dropped before the rows fan out.
+    Fan-out is at most ``n_splits`` per row (a parameter, not data).
     """
     k = n_splits_for(test_size)
     out = number_rows(df, keys).where(F.col("n") > k)
     ts = F.floor(F.col("n") / F.lit(k + 1))
-    out = out.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    start = F.col("n") - (F.lit(k) - F.col("fold") + 1) * ts
-    role = (F.when(F.col("i") <= start, F.lit("train"))
-            .when(F.col("i") <= start + ts, F.lit("test")))
-    return out.withColumn("role", role).where(F.col("role").isNotNull())
+    def member(fold: Column) -> Column:
+        start = F.col("n") - (F.lit(k) - fold + 1) * ts
+        role = F.when(F.col("i") <= start, F.lit("train")).when(F.col("i") <= start + ts, F.lit("test"))
+        return F.struct(fold.alias("fold"), role.alias("role"))
+
+    roles = F.filter(F.transform(F.sequence(F.lit(1), F.lit(k)), member), lambda m: m["role"].isNotNull())
+    return out.select("*", F.inline(roles))
