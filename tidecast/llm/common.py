@@ -37,6 +37,23 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MARKS = 1 << 20  # values of the key hash below: bounds what is broadcast
+
+
+def mark(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARKS)).cast("int")
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be among ``keys`` (one column), and those
+    whose key cannot be.  Decided by a hash with MARKS values, whose set is broadcast, so
+    wide rows that a join would not keep are spared its shuffle; beyond some millions of
+    keys nearly all rows are in the first part and the join does all the work."""
+    marks = F.broadcast(keys.select(mark(keys[keys.columns[0]]).alias("__mark")).distinct())
+    same = mark(key) == F.col("__mark")
+    return rows.join(marks, same, "left_semi"), rows.join(marks, same, "left_anti")
+
+
 def crc_mod(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor`` (a null id counts as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

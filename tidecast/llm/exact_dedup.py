@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_path, shared_table
+from .common import SPACES, parted, shared_path, shared_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = "row_id long, doc_id long, digest string, locator string"
@@ -90,7 +90,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, mi
     # full bytes of every hit against the content that the state points to
     shared = first.where("group_size > 1").select("digest", F.col("keep_id").alias("at"))
     texts = base.select("doc_id", norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    hits = texts.join(shared, "digest")
+    hits, _ = parted(texts, "digest", shared)
+    hits = hits.join(shared, "digest")
     content = hits.where(F.col("doc_id").eqNullSafe(F.col("at"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
     unequal = shared_table(hits.join(content, "digest").where(F.col("norm") != F.col("kept_norm"))
                            .select("digest").distinct(), "dedup-unequal")
@@ -118,16 +119,19 @@ def _by_text(texts: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops, all columns kept."""
-    result = exact_dedup(docs)
+    result = shared_table(exact_dedup(docs), "dedup-result")
+    gone = result.where("not kept").select("doc_id")
+    wide = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    doubtful, stay = parted(wide, "__id", gone)
     kept = result.where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__of", sha256(normalised(F.col("text"))))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("__keep"))) & (F.col("__of") == F.col("__sha"))
+    rows = doubtful.withColumn("__of", sha256(normalised(F.col("text"))))
+    same = (F.col("__id").eqNullSafe(F.col("__keep"))) & (F.col("__of") == F.col("__sha"))
     out = rows.join(kept, same, "left_semi")
     # rows that repeat an id and its text: one stays
     again = (result.groupBy("doc_id", "text_sha256").count().where("count > 1")
              .select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")))
     if again.isEmpty():
-        return out.select(*docs.columns)
+        return stay.select(*docs.columns).unionByName(out.select(*docs.columns))
     single = out.join(again, same, "left_anti")
     repeated = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__of"])
-    return single.unionByName(repeated).select(*docs.columns)
+    return stay.select(*docs.columns).unionByName(single.unionByName(repeated).select(*docs.columns))

@@ -27,6 +27,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod, shared_table
 
@@ -72,17 +73,21 @@ def describe(text: bytes) -> list[float]:
             len(set(words)) / max(1, n), sum(map(eq, words, words[1:])) / max(1, n), hist[33:].max() / chars]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every row's text."""
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
+def statistics(docs: DataFrame, prefix: str = "", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id (or the columns ``keep``) and the statistics of every row's text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")) if keep is None else docs.select(*keep)
+    names = [prefix + s for s in STATISTICS]
+    schema = StructType([*rows.schema.fields, *[StructField(s, DoubleType()) for s in names]])
+    kept = rows.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = np.array([describe(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T)], ["doc_id", *STATISTICS])
+            found = np.array([describe(t) for t in batch.column(len(kept)).to_pylist()]).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found.T)], [*kept, *names])
 
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(batches, schema)
+    text = F.coalesce(docs["text"], F.lit("")).cast("binary").alias("__text")
+    given = [F.col("doc_id").cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]
+    return docs.select(*given, text).mapInArrow(batches, schema)
 
 
 @dataclass(frozen=True)
@@ -92,10 +97,11 @@ class Rule:
     tests: tuple[tuple[str, bool, float], ...]
     weight: float = 0.0
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         found = F.lit(True)
         for name, at_most, threshold in self.tests:
-            found = found & (F.col(name) <= threshold if at_most else F.col(name) > threshold)
+            value = F.col(prefix + name)
+            found = found & (value <= threshold if at_most else value > threshold)
         return found
 
 
@@ -104,11 +110,11 @@ class Ensemble:
     rules: tuple[Rule, ...]
     bias: float
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         """The probability of label 1 as one column expression over the statistics."""
         total = F.lit(self.bias)
         for rule in self.rules:
-            total = total + F.when(rule.column(), F.lit(rule.weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(prefix), F.lit(rule.weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -186,6 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, all columns kept.
 
-    Rows are matched by id; of rows that share an id, all stay if any is good."""
-    good = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__good"))
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__good")), "left_semi").select(*docs.columns)
+    Every row is judged by its own text where it lies; no text is shuffled."""
+    model = fit(shared_table(statistics(docs), "quality-statistics"), train_rows(labels))
+    judged = statistics(docs, prefix="__quality_", keep=tuple(docs.columns))
+    return judged.where(model.score("__quality_") >= 0.5).select(*docs.columns)
