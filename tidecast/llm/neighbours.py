@@ -43,8 +43,8 @@ VISITORS = 64        # nodes that meet in one group of a pass
 PASSES = 4           # NN-descent passes at most; it ends before when few links change
 SETTLED = 0.02
 ENTRIES = 512        # entry nodes (twice as many at most): bounded, so they are sent to every task
-BEAM = 320
-EXPAND = 64          # beam nodes a query expands in a step
+BEAM = 512
+EXPAND = 96          # beam nodes a query expands in a step
 STEPS = 16
 COPIES = 16          # smallest vec_ids that a node keeps for an answer of up to COPIES - 1 places
 
