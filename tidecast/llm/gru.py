@@ -50,7 +50,11 @@ def shaped(values: np.ndarray) -> Params:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def states(p: Params, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -76,15 +80,26 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _log_total(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp(x))) of each row; the maximum is only taken off where exp could overflow."""
+    if not len(x) or x.max() < 60:
+        return np.log(np.exp(x).sum(axis=-1))
+    top = x.max(axis=-1)
+    return np.log(np.exp(x - top[:, None]).sum(axis=-1)) + top
+
+
 def log_probability(p: Params, h: np.ndarray, targets: np.ndarray, grads: Params | None = None):
     """Natural log-probabilities of ``targets`` [n] in the states ``h`` [n, HIDDEN]; with
     ``grads`` also adds the output weights' gradients of the summed loss and returns that of h."""
     cls, member = np.divmod(targets, MEMBERS)
     rows = np.arange(len(targets))
-    by_class = _log_softmax(h @ p["c"] + p["cb"])
-    out = by_class[rows, cls].astype(np.float64)
+    by_class = h @ p["c"] + p["cb"]
     dh = None
-    if grads is not None:
+    if grads is None:
+        out = (by_class[rows, cls] - _log_total(by_class)).astype(np.float64)
+    else:
+        by_class = _log_softmax(by_class)
+        out = by_class[rows, cls].astype(np.float64)
         d = np.exp(by_class)
         d[rows, cls] -= 1
         grads["c"] += h.T @ d
@@ -97,9 +112,12 @@ def log_probability(p: Params, h: np.ndarray, targets: np.ndarray, grads: Params
         if not len(at):
             continue
         mine, inner = h[at], np.arange(len(at))
-        within = _log_softmax(mine @ p["w"][c] + p["wb"][c])
-        out[at] += within[inner, member[at]]
-        if grads is not None:
+        within = mine @ p["w"][c] + p["wb"][c]
+        if grads is None:
+            out[at] += within[inner, member[at]] - _log_total(within)
+        else:
+            within = _log_softmax(within)
+            out[at] += within[inner, member[at]]
             d = np.exp(within)
             d[inner, member[at]] -= 1
             grads["w"][c] += mine.T @ d

@@ -177,7 +177,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     kind = pa.list_(pa.struct([("template", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 1):
+        for part in chunks(batches, 1, 8 << 20):
             found = scan_batch(part.column(1).to_pylist(), plans, containment)
             named = [[dict(zip(("template", "start", "end", "containment"), m, strict=True)) for m in ms] for ms in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(named, kind)], ["doc_id", "matches"])

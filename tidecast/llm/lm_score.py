@@ -38,6 +38,7 @@ from .shingles import hashed_words, words
 FREQUENT = 32_768
 ROUNDS = 3
 TRAIN_SHARE = 0.04  # of the training texts, in each round
+PIECE_BYTES = 8 << 20
 HELD_OUT = 2        # remainder of crc32(doc_id) modulo 7
 
 
@@ -49,7 +50,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(text) -> word (64-bit hash), c.  Words are counted per batch before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 0):
+        for part in chunks(batches, 0, PIECE_BYTES):
             hashes, _ = hashed_words([words(t) for t in part.column(0).to_pylist()])
             word, count = np.unique(hashes.view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count, pa.int64())], ["word", "c"])
@@ -86,7 +87,7 @@ def train_model(texts: DataFrame, frequent: Frequent, start: gru.Params, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             streams = []
-            for part in chunks(batches, 0):
+            for part in chunks(batches, 0, PIECE_BYTES):
                 hashes, lengths = hashed_words([words(t) for t in part.column(0).to_pylist()])
                 ids, _ = frequent.look_up(hashes)
                 streams.append(np.insert(ids, np.cumsum(lengths), gru.END))
@@ -121,7 +122,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, share: float = TRAIN_
     base_unit, outside_unit, end_log = math.log10(n + v + 1), math.log10(outside + kinds + 1), math.log10(ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 1):
+        for part in chunks(batches, 1, PIECE_BYTES):
             hashes, lengths = hashed_words([words(t) for t in part.column(1).to_pylist()])
             ids, found = frequent.look_up(hashes)
             of = np.repeat(np.arange(len(lengths)), lengths)
