@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,19 @@ def parted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataF
     return rows.join(marks, same, "left_semi"), rows.join(marks, same, "left_anti")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """While it holds, Python tasks get at most so many rows at once (wide rows of
+    thousands of texts would else pile up in both processes); restored afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc_mod(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor`` (a null id counts as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

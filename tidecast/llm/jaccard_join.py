@@ -39,15 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import arrow_rows, parted, shared_table
 from .components import connected
-from .shingles import WIDTH, mix, shingle_sets, words
+from .shingles import WIDTH, distinct, mix, shingle_sets, words
 
 SEGMENTS, DELETION_SEGMENTS = 0.40, 0.30  # segments per largest size of a band
 RUN_COST = 32        # a run is hot with more than so many open pairs per member
 BUCKET_BYTES = 16 << 20
+ARROW_ROWS = 1000     # rows that a Python task receives at once
 CHUNK = 8192         # texts whose signatures are packed together
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def band_of(n: int) -> int:
@@ -69,40 +70,71 @@ def roles(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(shingles: np.ndarray, band: int, level: int) -> tuple[np.ndarray, int]:
-    """The signatures of a set in a band, and how many differences they bear less one
-    difference each (the capacity).  Level 1 adds the one-deletion neighbourhoods."""
-    m = segments(band, level)
-    seed = (band * 4 + level + 1) * 0x9E3779B97F4A7C15
-    salt, place = np.uint64(seed % 2**64), np.uint64(3 * seed % 2**64)
-    placed = mix(shingles ^ salt)
-    at = (placed >> np.uint64(32)) % np.uint64(m)
-    at = at.astype(np.int64)
-    value = mix(placed + salt)
-    sums = np.zeros(m, np.uint64)
+def _placed(sets: list[np.ndarray], bands: np.ndarray, level: int):
+    """Segment and value of every shingle of every set in its band, all sets in a row."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    of = np.repeat(np.arange(len(sets)), lengths)
+    parts = np.array([segments(b, level) for b in bands.tolist()], np.int64)
+    first = np.r_[0, np.cumsum(parts)]
+    seed = (bands.astype(np.uint64) * np.uint64(4) + np.uint64(level + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    salt = seed[of]
+    placed = mix(np.concatenate(sets) ^ salt)
+    at = first[of] + ((placed >> np.uint64(32)) % parts[of].astype(np.uint64)).astype(np.int64)
+    return of, parts, first, seed, at, placed + salt
+
+
+def capacities(sets: list[np.ndarray], bands: np.ndarray, level: int) -> np.ndarray:
+    """How many differences the usable segments of each set stand for in its band."""
+    if not len(sets):
+        return np.zeros(0, np.int64)
+    _, _, first, _, at, _ = _placed(sets, bands, level)
+    size = np.minimum(np.bincount(at, minlength=first[-1]), level + 1)
+    return np.add.reduceat(size, first[:-1])
+
+
+def signatures(sets: list[np.ndarray], bands: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of all sets in their bands, and whose each is.  Level 1 adds the
+    one-deletion neighbourhoods of segments with two or more shingles."""
+    if not len(sets):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    of, parts, first, seed, at, raw = _placed(sets, bands, level)
+    value = mix(raw)
+    sums = np.zeros(first[-1], np.uint64)
     np.add.at(sums, at, value)
-    size = np.bincount(at, minlength=m)
+    size = np.bincount(at, minlength=first[-1])
+    whose = np.repeat(np.arange(len(sets)), parts)
+    base = mix((np.arange(first[-1]) - first[whose]).astype(np.uint64) + seed[whose] * np.uint64(3))
     used = np.flatnonzero(size)
-    base = mix(np.arange(m, dtype=np.uint64) + place)
-    keys = mix(sums[used] + base[used])
+    keys, owner = mix(sums[used] + base[used]), whose[used]
     if not level:
-        return keys, len(used)
+        return keys, owner
     more = size[at] > 1
     deleted = mix(sums[at[more]] - value[more] + base[at[more]])
-    return np.concatenate([keys, deleted]), int(np.minimum(size, 2).sum())
+    return np.concatenate([keys, deleted]), np.concatenate([owner, of[more]])
+
+
+def rooms(sets: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per set what its usable segments bear beyond its need, in its own band and the one
+    below (a large number where it has no such role)."""
+    out = np.full((2, len(sets)), 1 << 30, np.int64)
+    todo = [(low, i, band, most) for i, s in enumerate(sets) if len(s) for low, (band, most) in enumerate(roles(len(s)))]
+    if todo:
+        low, at, band, most = (np.array(x) for x in zip(*todo, strict=True))
+        out[low, at] = capacities([sets[i] for i in at.tolist()], band, level) - most - 1
+    return out[0], out[1]
 
 
 def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that a piece has at most CHUNK texts and about BATCH_BYTES of them."""
+def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a piece has at most CHUNK texts and about ``most`` bytes of them."""
     for batch in batches:
         column, start, held = batch.column(text), 0, 0
         sizes = [len(v) if v is not None else 0 for v in (x.as_buffer() for x in column)]
         for i, size in enumerate(sizes):
-            if i > start and (i - start >= CHUNK or held + size > BATCH_BYTES):
+            if i > start and (i - start >= CHUNK or held + size > most):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -124,14 +156,11 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 1):
             sets = shingle_sets([words(t) for t in part.column(1).to_pylist()])
-            slack = []
-            for s in sets:
-                room = [signatures(s, band, 0)[1] - most - 1 for band, most in roles(len(s))] if len(s) else []
-                slack.append((room + [1 << 30, 1 << 30])[:2])
+            own, low = rooms(sets, 0)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.array([s[0] for s in slack], pa.int32()), pa.array([s[1] for s in slack], pa.int32())],
+                 pa.array(own, pa.int32()), pa.array(low, pa.int32())],
                 ["doc_id", "n_shingles", "set_key", "slack", "slack_low"])
     return _texts(docs).mapInArrow(run, SETS)
 
@@ -140,48 +169,49 @@ def pack(texts: DataFrame, level: int, buckets: int) -> DataFrame:
     """The signatures of all texts (binary column ``text``) as (bucket, body)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0):
-            ids: dict[bytes, int] = {}
-            sizes, keys, members = [], [], []
-            for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]):
-                if not len(s) or (key := set_key(s)) in ids:
-                    continue
-                ids[key] = len(sizes)
-                for low, (band, _) in enumerate(roles(len(s))):
-                    found, _ = signatures(s, band, level)
-                    keys.append(found)
-                    members.append(np.full(len(found), 2 * len(sizes) + low, np.uint16))
-                sizes.append(len(s))
-            if not sizes:
+            known: dict[bytes, np.ndarray] = {}
+            for x in shingle_sets([words(t) for t in part.column(0).to_pylist()]):
+                if len(x):
+                    known.setdefault(set_key(x), x)
+            if not known:
                 continue
-            key, member = np.concatenate(keys), np.concatenate(members)
-            id_list, size = np.array(list(ids), dtype="V16"), np.array(sizes, np.uint32)
+            sets = list(known.values())
+            size = np.array([len(x) for x in sets], np.uint32)
+            todo = [(i, low, band) for i, n in enumerate(size.tolist()) for low, (band, _) in enumerate(roles(n))]
+            which, low, band = (np.array(x, np.int64) for x in zip(*todo, strict=True))
+            key, owner = signatures([sets[i] for i in which.tolist()], band, level)
+            member = (2 * which + low)[owner].astype(np.uint16)
+            usable = (capacities(sets, np.array([band_of(n) for n in size.tolist()]), level)).astype(np.uint32)
+            id_list = np.array(list(known), dtype="V16")
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             key, member, bucket = key[order], member[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             names, bodies = [], []
             for k, m, b in zip(np.split(key, cuts), np.split(member, cuts), bucket[np.r_[0, cuts]], strict=True):
-                here, local = np.unique(m >> 1, return_inverse=True)
+                here = distinct(m >> 1)
+                local = np.searchsorted(here, m >> 1)
                 local = (2 * local + (m & 1)).astype(np.uint16)
                 head = np.array([len(here), len(k)], np.uint32)
                 names.append(int(b))
-                bodies.append(b"".join(x.tobytes() for x in (head, id_list[here], size[here], k, local)))
+                bodies.append(b"".join(x.tobytes() for x in (head, id_list[here], size[here], usable[here], k, local)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
     return texts.select("text").mapInArrow(run, "bucket int, body binary")
 
 
-RUNS = "bucket int, ids binary, sizes binary, starts binary, members binary"
+RUNS = "bucket int, ids binary, sizes binary, usable binary, starts binary, members binary"
 
 
 def _runs_of(bucket: int, bodies: list[bytes]) -> dict | None:
     """The runs of equal signatures in a bucket that two or more entities share."""
-    keys, members, ids, sizes, base = [], [], [], [], 0
+    keys, members, ids, sizes, usable, base = [], [], [], [], [], 0
     for body in bodies:
         n_ids, n = np.frombuffer(body, np.uint32, 2).tolist()
         ids.append(np.frombuffer(body, "V16", n_ids, 8))
         sizes.append(np.frombuffer(body, np.uint32, n_ids, 8 + 16 * n_ids))
-        keys.append(np.frombuffer(body, np.uint64, n, 8 + 20 * n_ids))
-        members.append(np.frombuffer(body, np.uint16, n, 8 + 20 * n_ids + 8 * n).astype(np.int64) + 2 * base)
+        usable.append(np.frombuffer(body, np.uint32, n_ids, 8 + 20 * n_ids))
+        keys.append(np.frombuffer(body, np.uint64, n, 8 + 24 * n_ids))
+        members.append(np.frombuffer(body, np.uint16, n, 8 + 24 * n_ids + 8 * n).astype(np.int64) + 2 * base)
         base += n_ids
     key, member = np.concatenate(keys), np.concatenate(members)
     order = np.argsort(key)
@@ -191,20 +221,19 @@ def _runs_of(bucket: int, bodies: list[bytes]) -> dict | None:
     key, member = key[keep], member[keep]
     if not len(key):
         return None
-    rows, inverse = np.unique(member >> 1, return_inverse=True)
+    rows = distinct(member >> 1)
     name, first, of = np.unique(np.concatenate(ids)[rows], return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[rows][first]
-    entity = 2 * of[inverse] + (member & 1)
+    size, usable = np.concatenate(sizes)[rows][first], np.concatenate(usable)[rows][first]
+    entity = 2 * of[np.searchsorted(rows, member >> 1)] + (member & 1)
     run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-    pair = np.unique(np.stack([run, entity], 1), axis=0)  # copies of a set in several chunks count once
-    run, entity = pair[:, 0], pair[:, 1]
+    run, entity = np.divmod(distinct(run * (2 * len(name)) + entity), 2 * len(name))  # copies in several pieces count once
     count = np.bincount(run)
     run_ok = (count > 1)[run]
     run, entity = run[run_ok], entity[run_ok]
     if not len(run):
         return None
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    return {"bucket": bucket, "ids": name.tobytes(), "sizes": size.astype(np.uint32).tobytes(),
+    return {"bucket": bucket, "ids": name.tobytes(), "sizes": size.tobytes(), "usable": usable.tobytes(),
             "starts": starts.astype(np.int64).tobytes(), "members": entity.astype(np.int32).tobytes()}
 
 
@@ -215,17 +244,26 @@ def collect_runs(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, RUNS)
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open(row: dict) -> tuple[np.ndarray, ...]:
     return (np.frombuffer(row["ids"], "V16"), np.frombuffer(row["sizes"], np.uint32).astype(np.int64),
-            np.frombuffer(row["starts"], np.int64), np.frombuffer(row["members"], np.int32).astype(np.int64))
+            np.frombuffer(row["usable"], np.uint32).astype(np.int64), np.frombuffer(row["starts"], np.int64), np.frombuffer(row["members"], np.int32).astype(np.int64))
+
+
+def _least_shared(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """How many signatures two similar sets share at least: the usable segments of the
+    smaller less the most differences (for one-deletion signatures this is no bound)."""
+    smaller = np.where(sizes[a] <= sizes[b], a, b)
+    return usable[smaller] - (sizes[a] + sizes[b]) // 7
 
 
 def first_partners(runs: DataFrame) -> DataFrame:
-    """(a, b): every entity b with the first entity a of those runs that it shares most often."""
+    """(a, b): for an entity b the first entity a of those runs that it shares most often, if
+    they share enough to look similar.  A first guess that need not be complete."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes, starts, members = _open(row)
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "usable", "starts", "members")}
+                ids, sizes, usable, starts, members = _open(row)
                 entity = members >> 1
                 lead = np.repeat(np.minimum.reduceat(entity, starts), np.diff(np.r_[starts, len(entity)]))
                 near = (entity != lead) & (4 * np.minimum(sizes[entity], sizes[lead]) >= 3 * np.maximum(sizes[entity], sizes[lead]))
@@ -238,28 +276,40 @@ def first_partners(runs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.tobytes() for x in ids[at[best]]], pa.binary()),
                      pa.array([x.tobytes() for x in ids[of[best]]], pa.binary()),
-                     pa.array(shared[best], pa.int64())], ["a", "b", "shared"])
-    found = runs.mapInArrow(run, "a binary, b binary, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    best = found.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best"))
-    return best.select(F.col("best.a").alias("a"), "b")
-
-
-def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, lost_each: int) -> DataFrame:
-    """All pairs of a run in different components, and what hot runs cost their members:
-    rows (a, b, low, lost), pairs with b and costs without."""
-    named = runs.select("bucket", F.explode(F.expr(
-        "transform(sequence(0, cast(octet_length(ids) / 16 as int) - 1), i -> struct(i as at, substring(ids, i * 16 + 1, 16) as id))"
-    )).alias("x")).select("bucket", "x.at", "x.id")
+                     pa.array(shared[best], pa.int64()),
+                     pa.array(_least_shared(at[best], of[best], sizes, usable), pa.int64())], ["a", "b", "shared", "least"])
+    found = runs.mapInArrow(run, "a binary, b binary, shared long, least long").groupBy("a", "b").agg(
+        F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    best = found.groupBy("b").agg(F.max(F.struct("shared", "a", "least")).alias("best"))
+    return best.where("3 * best.shared >= best.least").select(F.col("best.a").alias("a"), "b")
+
+
+def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: int) -> DataFrame:
+    """All pairs of a run in different components, a no larger than b, with how many of the
+    bucket's runs they share and must share at least; and what hot runs cost their members:
+    rows (a, b, low, n, least), pairs with b and costs without."""
+    lost_each = 1 + level
+
+    def name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, ids in zip(batch.column(0), batch.column(1), strict=True):
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids.as_buffer()) // 16, [None, ids.as_buffer()])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), bucket.as_py(), np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)),
+                     ids.cast(pa.binary())], ["bucket", "at", "id"])
+
+    named = runs.select("bucket", "ids").mapInArrow(name_rows, "bucket int, at int, id binary")
     known = named.join(components, named["id"] == components["node"]).groupBy("bucket").agg(
         F.collect_list(F.struct("at", "component")).alias("known")).withColumnRenamed("bucket", "of")
     joined = runs.join(known, F.col("bucket") == F.col("of"), "left").drop("of")
 
-    def pairs_of(row: dict):
-        ids, sizes, starts, members = _open(row)
+    def pairs_of(row: dict, known: pa.Scalar):
+        ids, sizes, usable, starts, members = _open(row)
         group = np.arange(len(ids))
         numbers: dict[bytes, int] = {}
-        for x in row["known"] or []:
-            group[x["at"]] = numbers.setdefault(x["component"], len(ids) + len(numbers))
+        if known.is_valid:
+            at, component = known.values.field("at").to_numpy(), known.values.field("component").to_pylist()
+            group[at] = [numbers.setdefault(c, len(ids) + len(numbers)) for c in component]
         of = group[members >> 1]
         mixed = np.flatnonzero(np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts))
         ends = np.r_[starts[1:], len(members)]
@@ -274,21 +324,26 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, lost_eac
                 continue
             i, j = np.triu_indices(n, 1)
             ok = (g[i] != g[j]) & (4 * np.minimum(s[i], s[j]) >= 3 * np.maximum(s[i], s[j]))
-            pairs.append(e[i[ok]] * len(ids) + e[j[ok]])
-        code = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            i, j = e[i[ok]], e[j[ok]]
+            swap = sizes[i] > sizes[j]
+            pairs.append(np.where(swap, j, i) * len(ids) + np.where(swap, i, j))
+        code, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
         a, b = np.divmod(code, len(ids))
+        least = _least_shared(a, b, sizes, usable) if not level else np.zeros(len(a), np.int64)
         who, times = np.unique(np.concatenate(lost), return_counts=True) if lost else (np.zeros(0, np.int64),) * 2
         name = lambda at: [x.tobytes() for x in ids[at]]
         return pa.RecordBatch.from_arrays(
             [pa.array(name(a) + name(who >> 1), pa.binary()), pa.array(name(b) + [None] * len(who), pa.binary()),
              pa.array([None] * len(a) + (who & 1).tolist(), pa.int32()),
-             pa.array([None] * len(a) + (times * lost_each).tolist(), pa.int64())], ["a", "b", "low", "lost"])
+             pa.array(np.r_[shared, times * lost_each], pa.int64()),
+             pa.array(least.tolist() + [None] * len(who), pa.int64())], ["a", "b", "low", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pairs_of(row)
-    return joined.mapInArrow(run, "a binary, b binary, low int, lost long")
+            for i in range(batch.num_rows):  # a bucket at a time: its arrays are large
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "usable", "starts", "members")}
+                yield pairs_of(row, batch.column("known")[i])
+    return joined.mapInArrow(run, "a binary, b binary, low int, n long, least long")
 
 
 def word_set(text: bytes) -> frozenset:
@@ -297,11 +352,12 @@ def word_set(text: bytes) -> frozenset:
 
 
 def contents(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame:
-    """(set_key, text) of the entities in ``needed`` (a): one document's text each
-    (more if rows repeat its id)."""
+    """(set_key, text) of the entities in ``needed`` (a): one document's text each (more if
+    rows repeat its id).  Texts that cannot be wanted are left out before the shuffle."""
     keeper = sets.join(needed.select(F.col("a").alias("k")).distinct(), F.col("set_key") == F.col("k"), "left_semi")
-    keeper = keeper.groupBy("set_key").agg(F.min("doc_id").alias("at"))
-    texts = _texts(docs).join(keeper.select("at").distinct(), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
+    keeper = shared_table(keeper.groupBy("set_key").agg(F.min("doc_id").alias("at")), "join-keepers")
+    texts, _ = parted(_texts(docs), "doc_id", keeper.select("at"))
+    texts = texts.join(keeper.select("at").distinct(), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0):
@@ -360,6 +416,7 @@ def _rare_runs(texts: DataFrame, buckets: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, np.diff(group["shingle"].to_numpy()) != 0])
         return pd.DataFrame([{"bucket": int(key[0]), "ids": b"".join(ids),
                               "sizes": np.array([sizes[x] for x in ids], np.uint32).tobytes(),
+                              "usable": np.zeros(len(ids), np.uint32).tobytes(),
                               "starts": starts.astype(np.int64).tobytes(),
                               "members": group["at"].to_numpy(np.int32).tobytes()}])
     return (prefix.select("id", "n", "x.shingle", F.pmod(F.col("x.shingle"), F.lit(buckets)).cast("int").alias("bucket"))
@@ -372,29 +429,30 @@ def links(docs: DataFrame, sets: DataFrame, run_cost: float = RUN_COST, buckets:
     if buckets is None:
         shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(10 * shingles / BUCKET_BYTES))
-    texts, open_ids, edges, parts = _texts(docs), None, None, None
+    texts, edges, parts, texts_of = _texts(docs), None, None, None
     for level in range(3):
         cost = run_cost if level < 2 else math.inf
         found = collect_runs(pack(texts, level, buckets)) if level < 2 else _rare_runs(texts, buckets)
         runs = shared_table(found, "join-runs")
         if parts is None:
             tried = shared_table(first_partners(runs), "join-tried")
-            content = shared_table(contents(docs, sets, _members(runs)), "join-texts")
-            edges = shared_table(linked(tried, content), "join-linked")
+            edges = shared_table(linked(tried, _contents_of(docs, sets, tried)), "join-linked")
             parts = shared_table(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
-        rest = shared_table(open_pairs(runs, parts, cost, 1 + level), "join-open")
-        pairs = rest.where("b is not null").select("a", "b").distinct()
-        if level == 0:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        else:  # the texts of the runs met so far do not cover these
-            content = texts_of
-        more = shared_table(linked(pairs, content), "join-linked")
-        if not more.isEmpty():
+        rest = shared_table(open_pairs(runs, parts, cost, level), "join-open")
+        lost = rest.where("b is null").groupBy("a").agg(
+            F.sum(F.when(F.col("low") == 0, F.col("n"))).alias("lost"),
+            F.sum(F.when(F.col("low") == 1, F.col("n"))).alias("lost_low")).withColumnRenamed("a", "k")
+        pairs = rest.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+        if not level:
+            pairs = (pairs.where("n >= least").unionByName(
+                pairs.where("n < least").join(lost, F.col("a") == F.col("k")).where("n >= least - coalesce(lost, 0)")
+                .select("a", "b", "n", "least")))
+        pairs = shared_table(pairs.select("a", "b"), "join-pairs")
+        if not pairs.isEmpty():
+            content = texts_of if level else _contents_of(docs, sets, pairs)
+            more = shared_table(linked(pairs, content), "join-linked")
             edges = edges.unionByName(more)
             parts = shared_table(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
-        lost = rest.where("b is null").groupBy("a").agg(
-            F.sum(F.when(F.col("low") == 0, F.col("lost"))).alias("lost"),
-            F.sum(F.when(F.col("low") == 1, F.col("lost"))).alias("lost_low")).withColumnRenamed("a", "k")
         if level == 2:
             break
         if level == 0:
@@ -403,17 +461,17 @@ def links(docs: DataFrame, sets: DataFrame, run_cost: float = RUN_COST, buckets:
             room = _room(texts_of)
         unsettled = room.join(lost, F.col("set_key") == F.col("k"), "left").where(
             "slack < coalesce(lost, 0) or slack_low < coalesce(lost_low, 0)").select(F.col("set_key").alias("a"))
-        open_ids = shared_table(unsettled, "join-unsettled")
-        if open_ids.isEmpty():
+        unsettled = shared_table(unsettled, "join-unsettled")
+        if unsettled.isEmpty():
             break
-        texts_of = shared_table(contents(docs, sets, open_ids), "join-unsettled-texts")
+        texts_of = shared_table(contents(docs, sets, unsettled), "join-unsettled-texts")
         texts = texts_of
     return parts
 
 
-def _members(runs: DataFrame) -> DataFrame:
-    return runs.select(F.explode(F.expr(
-        "transform(sequence(0, cast(octet_length(ids) / 16 as int) - 1), i -> substring(ids, i * 16 + 1, 16))")).alias("a")).distinct()
+def _contents_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    return shared_table(contents(docs, sets, ends), "join-texts")
 
 
 def _room(texts: DataFrame) -> DataFrame:
@@ -421,17 +479,18 @@ def _room(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0):
             sets = [s for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]) if len(s)]
-            room = [([signatures(s, b, 1)[1] - most - 1 for b, most in roles(len(s))] + [1 << 30])[:2] for s in sets]
+            own, low = rooms(sets, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([r[0] for r in room], pa.int32()),
-                 pa.array([r[1] for r in room], pa.int32())], ["set_key", "slack", "slack_low"])
+                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array(own, pa.int32()), pa.array(low, pa.int32())],
+                ["set_key", "slack", "slack_low"])
     return texts.select("text").mapInArrow(run, "set_key binary, slack int, slack_low int").distinct()
 
 
 def jaccard_join(docs: DataFrame, run_cost: float = RUN_COST, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    sets = shared_table(describe(docs), "join-sets")
-    parts = links(docs, sets, run_cost, buckets)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        sets = shared_table(describe(docs), "join-sets")
+        parts = links(docs, sets, run_cost, buckets)
     rep = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     placed = rep.join(parts, F.col("set_key") == F.col("node"), "left").withColumn(
         "part", F.coalesce("component", "set_key"))
@@ -445,6 +504,8 @@ def jaccard_join(docs: DataFrame, run_cost: float = RUN_COST, buckets: int | Non
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component (the one with its smallest id),
     all columns kept; rows without words and rows without an id stay."""
-    found = jaccard_join(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = shared_table(jaccard_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+                        .distinct(), "join-gone")
+    doubtful, stay = parted(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone)
+    kept = doubtful.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return stay.unionByName(kept).select(*docs.columns)

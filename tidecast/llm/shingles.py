@@ -42,6 +42,12 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (by sorting: faster here than np.unique's hashing)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def shingle_sets(texts: list[list[bytes]], width: int = WIDTH) -> list[np.ndarray]:
     """Per text its distinct shingles, sorted; with fewer words than ``width``
     the whole sequence is the one shingle; no words, no shingles."""
@@ -52,7 +58,7 @@ def shingle_sets(texts: list[list[bytes]], width: int = WIDTH) -> list[np.ndarra
     for end, n in zip(ends.tolist(), lengths.tolist(), strict=True):
         start = end - n
         if n >= width:
-            out.append(np.unique(spans[start:end - width + 1]))
+            out.append(distinct(spans[start:end - width + 1]))
         elif n:
             out.append(mix(windows(hashes[start:end], n) + np.uint64(n)))
         else:
