@@ -42,3 +42,16 @@ def test_kept_documents_and_empty_table(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in brute(ROWS) if r[3]), key=str)
     assert X.exact_dedup(docs.limit(0)).count() == 0 and X.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_registered_query_matches_its_sql(spark):
+    import duckdb
+
+    from tidecast.llm import catalog
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(catalog.oracle_sql()["op5_exact_dedup"])
+    names = [c[0] for c in want.description]
+    got = catalog.queries()["op5_exact_dedup"](spark, sf)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
