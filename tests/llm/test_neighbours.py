@@ -51,3 +51,13 @@ def test_recall_on_embeddings(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[q] & {j for _, j in w}) for q, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_more_clusters_than_entry_nodes(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(160, 8)) * 100  # 30 vectors each, so all links stay inside; few entries reach them
+    rows = [(i, (centres[i % 160] + rng.normal(size=8) * 0.01).astype(np.float32).tolist()) for i in range(4800)]
+    want = brute(rows)
+    got = answers(spark, rows, entries=8)
+    hits = sum(len({j for _, j in got.get(q, ())} & {j for _, j in w}) for q, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))

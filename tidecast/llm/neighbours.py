@@ -12,10 +12,12 @@ many visitors meet at one node and one pass is bounded; a hub's further
 visitors meet in further groups of the same pass, drawn by a hash, so none is
 left out.
 
-Queries walk the graph: from the nearest of a bounded set of entry nodes a beam
-of best nodes is expanded, all queries at once by joins on the graph, until a
-query's beam holds no node that was not expanded.  Distances are Euclidean in
-double precision on the original vectors; the graph is built in single precision.
+Queries walk the graph: from its own node, the nodes beside it along the sorted
+projections and the nearest of a bounded set of entry nodes a beam of best nodes
+is expanded, all queries at once by joins on the graph, until no query's beam
+holds a node that was not expanded.  The entry nodes only shorten the walk: a
+query's own node reaches its neighbours in any table.  Distances are Euclidean in
+double precision on the original vectors; the graph is built on single-precision vectors.
 
 Defined results: vectors that are null, all zero or hold a null or non-finite
 component take no part, neither as queries nor as candidates; a vec_id that is
@@ -40,12 +42,11 @@ K = 20               # neighbours of a node in the graph
 PROJECTIONS = 4      # sorted runs of the first graph
 BLOCK = 512          # nodes of a sorted run that are compared with one another
 VISITORS = 64        # nodes that meet in one group of a pass
-PASSES = 4           # NN-descent passes at most; it ends before when few links change
-SETTLED = 0.02
+SETTLED = 0.02       # NN-descent ends when no more than this share of the links changes in a pass
+SIDE = 4             # nodes on each side along a projection from which a query starts
 ENTRIES = 512        # entry nodes (twice as many at most): bounded, so they are sent to every task
 BEAM = 512
 EXPAND = 96          # beam nodes a query expands in a step
-STEPS = 16
 COPIES = 16          # smallest vec_ids that a node keeps for an answer of up to COPIES - 1 places
 
 
@@ -78,6 +79,7 @@ def _nearest_lists(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.nda
     n = len(ids)
     if n < 2:
         return ids[:0], ids[:0], np.zeros(0)
+    vectors = vectors.astype(float)  # the differences below would drown single precision in tight clusters
     square = (vectors ** 2).sum(1)
     far = square[:, None] + square[None, :] - 2 * (vectors @ vectors.T)
     np.fill_diagonal(far, np.inf)
@@ -88,13 +90,25 @@ def _nearest_lists(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.nda
     return ids[rows], ids[at], np.sqrt(np.maximum(far[rows, at], 0)).astype(float)
 
 
+def _beside(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, neighbour, distance) of the asked rows and the SIDE rows before and after each."""
+    shift = np.r_[-SIDE:0, 1:SIDE + 1]
+    at = np.repeat(np.flatnonzero(asked), len(shift))
+    other = at + np.tile(shift, int(asked.sum()))
+    inside = (other >= 0) & (other < len(ids))
+    at, other = at[inside], other[inside]
+    return ids[at], ids[other], np.sqrt(((vectors[at].astype(float) - vectors[other]) ** 2).sum(1))
+
+
 LINKS = "node long, neighbour long, distance double"
 
 
-def _links_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    node, neighbour, distance = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(neighbour, pa.int64()), pa.array(distance)],
-                                      ["node", "neighbour", "distance"])
+def _links_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+                 beside: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    node, neighbour, distance = (np.concatenate(x) for x in zip(*found, beside, strict=True))
+    start = np.arange(len(node)) >= len(node) - len(beside[0])
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(neighbour, pa.int64()), pa.array(distance),
+                                       pa.array(start)], ["node", "neighbour", "distance", "start"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,29 +117,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _keep_nearest(links: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("node").orderBy("distance", "neighbour")
-    return links.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    links = links.groupBy("node", "neighbour").agg(F.min("distance").alias("distance"), F.max("start").alias("start"))
+    return links.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) | F.col("start"))
 
 
 def first_graph(points: DataFrame, dimension: int, k: int, projections: int, seed: int) -> DataFrame:
+    """Links of the nodes (node, vector, asked) to their nearest in the sorted runs; those
+    of rank above ``k`` only lead an asked node to the ones beside it (start)."""
     rng = np.random.default_rng(seed)
     parts = None
     for _ in range(projections):
         direction = rng.normal(size=dimension).tolist()
         along = F.aggregate(F.zip_with("vector", F.array(*[F.lit(x) for x in direction]), lambda a, b: a * b),
                             F.lit(0.0), lambda s, x: s + x)
-        run = points.select("node", "vector", along.alias("along")).repartitionByRange("along").sortWithinPartitions("along")
+        run = points.select("node", "vector", "asked", along.alias("along")).repartitionByRange("along").sortWithinPartitions("along")
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tail = None  # blocks overlap by half, so that no pair is cut at a border
             for batch in batches:
-                ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                part = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
                 if tail is not None:
-                    ids, vectors = np.concatenate([tail[0], ids]), np.concatenate([tail[1], vectors])
+                    part = tuple(np.concatenate(x) for x in zip(tail, part, strict=True))
+                ids, vectors, asked = part
                 found = [_nearest_lists(ids[i:i + BLOCK], vectors[i:i + BLOCK], k)
                          for i in range(0, max(1, len(ids) - BLOCK // 2), BLOCK // 2)]
-                yield _links_batch(found)
-                tail = ids[-(BLOCK // 2):], vectors[-(BLOCK // 2):]
-        found = run.select("node", "vector").mapInArrow(blocks, LINKS)
+                yield _links_batch(found, _beside(ids, vectors, asked))
+                tail = tuple(x[-(BLOCK // 2):] for x in part)
+        found = run.select("node", "vector", "asked").mapInArrow(blocks, LINKS + ", start boolean")
         parts = found if parts is None else parts.unionByName(found)
     return _keep_nearest(parts, k).withColumn("fresh", F.lit(True))
 
@@ -147,7 +165,7 @@ def descent_pass(graph: DataFrame, points: DataFrame, k: int, visitors: int, tur
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         ids, fresh, worst = group["who"].to_numpy(), group["fresh"].to_numpy(bool), group["worst"].to_numpy()
-        vectors = np.stack(group["vector"].to_numpy())
+        vectors = np.stack(group["vector"].to_numpy()).astype(float)
         square = (vectors ** 2).sum(1)
         far = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (vectors @ vectors.T), 0))
         better = (far < worst[:, None]) & (fresh[:, None] | fresh[None, :])
@@ -163,21 +181,26 @@ def descent_pass(graph: DataFrame, points: DataFrame, k: int, visitors: int, tur
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def build_graph(points: DataFrame, k: int = K, passes: int = PASSES, seed: int = 11) -> DataFrame:
-    """node, neighbour, distance: each node's approximate k nearest."""
+def build_graph(points: DataFrame, k: int = K, passes: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """node, neighbour, distance: each node's approximate k nearest, joined until they settle
+    (or for ``passes`` passes); and node, neighbour: where asked nodes start besides."""
     first = points.select(F.size("vector").alias("d")).first()
-    graph = shared_table(first_graph(points, first["d"] if first else 1, k, PROJECTIONS, seed), "graph")
-    for turn in range(passes):
+    found = shared_table(first_graph(points, first["d"] if first else 1, k, PROJECTIONS, seed), "graph")
+    beside = found.where("start").select("node", "neighbour")
+    graph, points, turn = found.where(F.col("rank") <= k).drop("start"), points.select("node", "vector"), 0
+    while passes is None or turn < passes:  # distances only fall, so the lists settle
         graph = shared_table(descent_pass(graph, points, k, VISITORS, turn), "graph")
         changed, links = graph.agg(F.sum(F.col("fresh").cast("long")), F.count(F.lit(1))).first()
         if not links or changed <= SETTLED * links:
             break
-    return graph
+        turn += 1
+    return graph, beside
 
 
-def search(queries: DataFrame, points: DataFrame, graph: DataFrame, beam: int = BEAM, steps: int = STEPS,
+def search(queries: DataFrame, points: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = BEAM,
            entries: int = ENTRIES) -> DataFrame:
-    """queries (query_id, vector) -> query_id, node, distance: each query's beam of nearest nodes."""
+    """queries (query_id, vector), each with nodes in starts (query_id, node) besides the entry
+    nodes -> query_id, node, distance: each query's beam of nearest nodes."""
     share = 1.3 * entries / max(1, points.count())
     drawn = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * share) + 1
     chosen = points.where(drawn).limit(2 * entries).select("node", "vector").collect()  # at most 2 * ENTRIES rows
@@ -207,36 +230,46 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, beam: int =
         return group.assign(expanded=~left | todo, todo=todo)
 
     rows = "query_id long, node long, distance double, expanded boolean, todo boolean"
+    asked = queries.select(F.col("query_id").alias("q"), F.col("vector").alias("asked"))
+    there = points.select(F.col("node").alias("n"), "vector")
+    apart = F.sqrt(F.aggregate(F.zip_with("asked", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+    def met(reached: DataFrame) -> DataFrame:
+        return (reached.join(there, F.col("node") == F.col("n")).join(asked, F.col("query_id") == F.col("q"))
+                .select("query_id", "node", apart.alias("distance"), F.lit(False).alias("expanded"), F.lit(False).alias("todo")))
+
     first = queries.select("query_id", "vector").mapInArrow(start, "query_id long, node long, distance double")
-    walk = first.withColumn("expanded", F.lit(False)).withColumn("todo", F.lit(False))
+    walk = first.withColumn("expanded", F.lit(False)).withColumn("todo", F.lit(False)).unionByName(met(starts))
     walk = shared_table(walk.groupBy("query_id").applyInPandas(lambda g: merge(g), rows), "walk")
     out = graph.select(F.col("node").alias("from"), F.col("neighbour").alias("to"))
     links = shared_table(out.unionByName(out.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct(),
                          "walk-links")
-    asked = queries.select(F.col("query_id").alias("q"), F.col("vector").alias("asked"))
-    there = points.select(F.col("node").alias("n"), "vector")
-    apart = F.sqrt(F.aggregate(F.zip_with("asked", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    for _ in range(steps):
+    while True:  # a node is expanded once and beams only draw nearer, so the walk ends
         todo = walk.where("todo").select("query_id", "node")
         if todo.isEmpty():
             break
-        reached = todo.join(links, F.col("node") == F.col("from")).select("query_id", "to").distinct()
-        new = (reached.join(there, F.col("to") == F.col("n")).join(asked, F.col("query_id") == F.col("q"))
-               .select("query_id", F.col("n").alias("node"), apart.alias("distance"),
-                       F.lit(False).alias("expanded"), F.lit(False).alias("todo")))
-        walk = shared_table(walk.unionByName(new).groupBy("query_id").applyInPandas(lambda g: merge(g), rows), "walk")
+        reached = todo.join(links, F.col("node") == F.col("from")).select("query_id", F.col("to").alias("node")).distinct()
+        walk = shared_table(walk.unionByName(met(reached)).groupBy("query_id").applyInPandas(lambda g: merge(g), rows), "walk")
     return walk.select("query_id", "node", "distance")
 
 
-def nearest(rows: DataFrame, is_query, places: int = 10, graph_k: int = K, passes: int = PASSES) -> DataFrame:
+def nearest(rows: DataFrame, is_query, places: int = 10, graph_k: int = K, passes: int | None = None,
+            entries: int = ENTRIES) -> DataFrame:
     """For every row of ``rows`` (vec_id, embedding) that the column ``is_query`` marks its
     ``places`` nearest others: query_id, rank, vec_id, score."""
     vectors = shared_table(usable(rows), "vectors")
     points = shared_table(nodes(vectors, max(COPIES, places + 1)), "nodes")
-    single = points.select("node", F.col("vector").cast("array<float>").alias("vector"))
-    graph = build_graph(single, graph_k, passes)
     queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "vector").distinct()
-    found = search(queries, points.select("node", "vector"), graph)
+    # by a hash of the vector: one more node for a query, if hashes clash, is only one more start
+    place = queries.select("query_id", F.xxhash64("vector").alias("place"))
+    own = shared_table(points.select("node", F.xxhash64("vector").alias("at")).join(place, F.col("at") == F.col("place"))
+                       .select("query_id", "node"), "own-nodes")
+    marked = own.select(F.col("node").alias("of")).distinct().withColumn("asked", F.lit(True))
+    single = points.join(marked, F.col("node") == F.col("of"), "left").select(
+        "node", F.col("vector").cast("array<float>").alias("vector"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    graph, beside = build_graph(single, graph_k, passes)
+    starts = own.unionByName(own.join(beside, "node").select("query_id", F.col("neighbour").alias("node"))).distinct()
+    found = search(queries, points.select("node", "vector"), graph, starts, entries=entries)
     answer = (found.join(points.select(F.col("node").alias("n"), F.explode("vec_ids").alias("vec_id")), F.col("node") == F.col("n"))
               .where("vec_id <> query_id"))
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
