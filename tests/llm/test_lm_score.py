@@ -86,3 +86,22 @@ def test_training_lowers_the_loss():
     p = gru.initial(np.bincount(stream, minlength=gru.VOCABULARY))
     text = stream[:31]
     assert gru.score(gru.train(p, stream), [text])[0] > gru.score(p, [text])[0] + 5
+
+
+def test_every_training_text_is_learned(spark):
+    order = np.random.default_rng(4).permutation(60)
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    texts = [" ".join(f"w{i}x{k}" for k in order) + " " for i in ids]
+    rows = [(i, t * 250) for i, t in zip(ids, texts, strict=True)]  # each text has an order of its own words
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for r in L.score_documents(frame).collect():  # production parameters; untrained weights are near the base
+        assert r.score > 0.8 * r.base_score, r.doc_id
+
+
+def test_no_id_of_a_stream_is_left_out():
+    rng = np.random.default_rng(6)
+    p = gru.initial(rng.integers(1, 50, gru.VOCABULARY))
+    stream = rng.integers(2, 40, gru.LANES * gru.WINDOW + gru.LANES - 1)
+    other = stream.copy()
+    other[-1] = 900
+    assert not np.array_equal(gru.train(p, stream)["w"], gru.train(p, other)["w"])

@@ -162,10 +162,13 @@ def train(p: Params, stream: np.ndarray, rate: float = 0.004) -> Params:
     p = {k: v.copy() for k, v in p.items()}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     h, step = np.zeros((lanes, HIDDEN), np.float32), 0
-    for t in range(0, length, WINDOW):
-        grads, _, h = window_gradients(p, before[t:t + WINDOW], targets[t:t + WINDOW], h)
+    windows = [(before[t:t + WINDOW], targets[t:t + WINDOW]) for t in range(0, length, WINDOW)]
+    if lanes * length < len(stream):  # the few ids beyond equal lanes follow the last lane
+        windows.append((stream[lanes * length - 1:-1, None], stream[lanes * length:, None]))
+    for inputs, wanted in windows:
+        grads, _, h = window_gradients(p, inputs, wanted, h[-inputs.shape[1]:])
         step += 1
-        scale = 1 / (lanes * min(WINDOW, length - t))
+        scale = 1 / wanted.size
         for k, g in grads.items():
             g *= scale
             np.clip(g, -0.5, 0.5, out=g)

@@ -7,9 +7,9 @@ its training texts from the same weights, and the weights are averaged by an
 aggregation over their positions.  A word outside the vocabulary costs the
 model's "unknown" times its share (count + 1) among the words outside.
 
-``TRAIN_SHARE`` of the training texts (chosen by a hash of the id, a fresh
-share each round) goes through backpropagation; it is a share, not a cap, so
-what is learned grows with the corpus, while the counts cover every text.
+Every training text goes through backpropagation once in each round.  Callers
+may pass a smaller ``share`` of the texts (chosen by a hash of the id, a fresh
+share each round); the registered query does not.
 
 The counts of FREQUENT words (a fixed number) are sent to the scoring tasks;
 all rarer words of a text are matched by a join on their 64-bit hash.
@@ -36,8 +36,8 @@ from .jaccard_join import chunks
 from .shingles import hashed_words, words
 
 FREQUENT = 32_768
-ROUNDS = 3
-TRAIN_SHARE = 0.04  # of the training texts, in each round
+ROUNDS = 1
+TRAIN_SHARE = 1.0   # of the training texts, in each round
 PIECE_BYTES = 8 << 20
 HELD_OUT = 2        # remainder of crc32(doc_id) modulo 7
 
@@ -80,7 +80,7 @@ class Frequent:
 
 def train_model(texts: DataFrame, frequent: Frequent, start: gru.Params, rounds: int = ROUNDS,
                 share: float = TRAIN_SHARE) -> gru.Params:
-    """Rounds of data-parallel training on a share of (doc_id, text)."""
+    """Rounds of data-parallel training on (doc_id, text), or a share of them."""
     model = start
     for turn in range(rounds):
         drawn = F.pmod(F.xxhash64(F.lit(turn), "doc_id"), F.lit(10_000)) < int(10_000 * share)
@@ -90,8 +90,8 @@ def train_model(texts: DataFrame, frequent: Frequent, start: gru.Params, rounds:
             for part in chunks(batches, 0, PIECE_BYTES):
                 hashes, lengths = hashed_words([words(t) for t in part.column(0).to_pylist()])
                 ids, _ = frequent.look_up(hashes)
-                streams.append(np.insert(ids, np.cumsum(lengths), gru.END))
-            stream = np.concatenate(streams) if streams else np.zeros(0, np.int64)
+                streams.append(np.insert(ids.astype(np.int16), np.cumsum(lengths), gru.END))  # a partition's ids are held at once
+            stream = np.concatenate(streams) if streams else np.zeros(0, np.int16)
             if len(stream):
                 values = gru.flat(gru.train(model, stream))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float32()),
