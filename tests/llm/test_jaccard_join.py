@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidecast.llm import components as C
@@ -71,3 +73,41 @@ def test_components(spark):
     found = {r.node: r.component for r in C.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert C.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pairs_within_a_component_are_not_built():
+    group = np.zeros(20_000, np.int64)
+    group[[5, 70, 900]] = 1, 2, 2
+    tracemalloc.start()
+    found = [pair for i, j in X.cross_pairs(group, 1000) for pair in zip(i.tolist(), j.tolist(), strict=True)]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert len(found) == len(set(found)) == 3 * 19_997 + 2
+    assert all(i < j and group[i] != group[j] for i, j in found)
+
+
+def test_crowded_shingles_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(X, "RARE_BLOCK", 3)
+    rows = made_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prefixes = X._rare_prefixes(X._texts(docs))
+    assert prefixes.where("crowd > 9").count()
+    alone = spark.createDataFrame([], "node binary, component binary")
+    pairs = X._dealt_pairs(prefixes, alone)
+    content = X._texts(docs).rdd.map(lambda r: bytes(r.text)).collect()
+    sets = {X.set_key(s): w for t in content for s, w in [(X.shingle_sets([X.words(t)])[0], X.word_set(t))] if len(s)}
+    crowd = {}
+    for r in prefixes.where("crowd is not null").collect():
+        crowd.setdefault(r.shingle, set()).add(bytes(r.id))
+    first = {}
+    for r in prefixes.collect():
+        first.setdefault(bytes(r.id), {})[r.shingle] = r.at
+    want = set()
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                both = set(first[a]) & set(first[b])
+                if min(both, key=lambda x: first[a][x]) in crowd:
+                    want.add(frozenset((a, b)))
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in pairs.collect()}
+    assert want and want <= got

@@ -11,7 +11,7 @@ up too many pairs for its members ("hot") are not used.  A document is settled
 while more than H usable segments are left.  Unsettled documents go to a second
 partition with one-deletion neighbourhoods (a segment then bears one difference
 and counts twice), and those unsettled there to a join on their rarest
-shingles, which has no skipping.  A pair is lost only if both documents were
+shingles, which has no skipping (crowded shingles are dealt as pairs of blocks).  A pair is lost only if both documents were
 unsettled, and then the next step meets it: the join is exact at every size.
 
 Signatures are dealt to buckets in packed arrays; a bucket's task sorts its
@@ -46,6 +46,8 @@ from .shingles import WIDTH, distinct, mix, shingle_sets, words
 SEGMENTS, DELETION_SEGMENTS = 0.40, 0.30  # segments per largest size of a band
 RUN_COST = 32        # a run is hot with more than so many open pairs per member
 BUCKET_BYTES = 16 << 20
+PAIR_BLOCK = 1 << 20  # pairs that a task holds at once
+RARE_BLOCK = 1024     # members of a rare shingle's block; larger runs are dealt as pairs of blocks
 ARROW_ROWS = 1000     # rows that a Python task receives at once
 CHUNK = 8192         # texts whose signatures are packed together
 BATCH_BYTES = 4 << 20
@@ -199,6 +201,7 @@ def pack(texts: DataFrame, level: int, buckets: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "bucket int, body binary")
 
 
+OPEN = "a binary, b binary, low int, n long, least long"
 RUNS = "bucket int, ids binary, sizes binary, usable binary, starts binary, members binary"
 
 
@@ -284,6 +287,25 @@ def first_partners(runs: DataFrame) -> DataFrame:
     return best.where("3 * best.shared >= best.least").select(F.col("best.a").alias("a"), "b")
 
 
+def cross_pairs(group: np.ndarray, most: int = PAIR_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of members in different groups, about ``most`` at a time; pairs
+    within a group are never built."""
+    order = np.argsort(group, kind="stable")
+    sorted_ = group[order]
+    after = np.searchsorted(sorted_, sorted_, side="right")  # where the later groups begin
+    count = len(group) - after
+    ends, start = np.cumsum(count), 0
+    while start < len(group):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + most, side="right")))
+        times = count[start:stop]
+        i = np.repeat(np.arange(start, stop), times)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + after[i]
+        i, j = order[i], order[j]
+        yield np.minimum(i, j), np.maximum(i, j)
+        start = stop
+
+
 def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: int) -> DataFrame:
     """All pairs of a run in different components, a no larger than b, with how many of the
     bucket's runs they share and must share at least; and what hot runs cost their members:
@@ -313,7 +335,7 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: i
         of = group[members >> 1]
         mixed = np.flatnonzero(np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts))
         ends = np.r_[starts[1:], len(members)]
-        pairs, lost = [], []
+        pairs, lost, held = [], [], 0
         for r in mixed:
             part = members[starts[r]:ends[r]]
             e = np.unique(part >> 1)
@@ -322,11 +344,19 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: i
             if (n * n - int((each.astype(np.int64) ** 2).sum())) / 2 > run_cost * n:
                 lost.append(part)
                 continue
-            i, j = np.triu_indices(n, 1)
-            ok = (g[i] != g[j]) & (4 * np.minimum(s[i], s[j]) >= 3 * np.maximum(s[i], s[j]))
-            i, j = e[i[ok]], e[j[ok]]
-            swap = sizes[i] > sizes[j]
-            pairs.append(np.where(swap, j, i) * len(ids) + np.where(swap, i, j))
+            for i, j in cross_pairs(g):
+                ok = 4 * np.minimum(s[i], s[j]) >= 3 * np.maximum(s[i], s[j])
+                i, j = e[i[ok]], e[j[ok]]
+                swap = sizes[i] > sizes[j]
+                pairs.append(np.where(swap, j, i) * len(ids) + np.where(swap, i, j))
+                held += len(i)
+                if held >= 4 * PAIR_BLOCK:  # the counts of a pair's batches are summed later
+                    yield batch_of(row, pairs, [])
+                    pairs, held = [], 0
+        yield batch_of(row, pairs, lost)
+
+    def batch_of(row: dict, pairs: list, lost: list):
+        ids, sizes, usable, _, _ = _open(row)
         code, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
         a, b = np.divmod(code, len(ids))
         least = _least_shared(a, b, sizes, usable) if not level else np.zeros(len(a), np.int64)
@@ -342,8 +372,8 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: i
         for batch in batches:
             for i in range(batch.num_rows):  # a bucket at a time: its arrays are large
                 row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "usable", "starts", "members")}
-                yield pairs_of(row, batch.column("known")[i])
-    return joined.mapInArrow(run, "a binary, b binary, low int, n long, least long")
+                yield from pairs_of(row, batch.column("known")[i])
+    return joined.mapInArrow(run, OPEN)
 
 
 def word_set(text: bytes) -> frozenset:
@@ -389,8 +419,10 @@ def linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _rare_runs(texts: DataFrame, buckets: int) -> DataFrame:
-    """Last step: the runs of entities that share one of their rarest shingles (prefix of n - ceil(3n/4) + 1)."""
+def _rare_prefixes(texts: DataFrame) -> DataFrame:
+    """Last step: every entity's rarest shingles (prefix of n - ceil(3n/4) + 1) as id, n, at
+    (the place in its order of rarity) and shingle, and how many prefixes hold it (crowd,
+    null if no more than RARE_BLOCK)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0):
             for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]):
@@ -402,8 +434,43 @@ def _rare_runs(texts: DataFrame, buckets: int) -> DataFrame:
     often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("shingle", "of")
     ranked = tokens.join(often, F.col("shingle") == F.col("of")).groupBy("id", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("all", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("x"))
-
+    prefix = shared_table(ranked.select("id", "n", F.posexplode(F.slice(
+        "all", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("at", "x")).select("id", "n", "at", "x.shingle"), "join-prefixes")
+    large = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > RARE_BLOCK)
+    large = F.broadcast(large.withColumnRenamed("shingle", "of"))  # a thousandth of the prefixes at most
+    return shared_table(prefix.join(large, F.col("shingle") == F.col("of"), "left").drop("of"), "join-prefixes")
+
+
+def _dealt_pairs(prefixes: DataFrame, components: DataFrame) -> DataFrame:
+    """The open pairs of crowded shingles.  Each pair of member blocks is a group of its own;
+    the places of the shared shingle bound what two sets can share from there on."""
+    crowded = prefixes.where("crowd is not null").withColumn("blocks", F.ceil(F.col("crowd") / RARE_BLOCK)).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = crowded.join(components, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "at", "part")
+
+    def meet(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["n", "id"]).reset_index(drop=True)  # the smaller set of a pair comes first
+        ids, block = group["id"].to_numpy(), group["block"].to_numpy()
+        n, part = group["n"].to_numpy(np.int64), pd.factorize(group["part"])[0]
+        rest = n - group["at"].to_numpy(np.int64)
+        a, b = [], []
+        for k in range(len(ids)):
+            far = slice(k + 1, int(np.searchsorted(3 * n, 4 * n[k], side="right")))
+            ok = (part[far] != part[k]) & (7 * np.minimum(rest[far], rest[k]) >= 3 * (n[far] + n[k]))
+            if key[1] != key[2]:  # pairs within a block are another group's
+                ok &= block[far] != block[k]
+            found = k + 1 + np.flatnonzero(ok)
+            a += [ids[k]] * len(found)
+            b += ids[found].tolist()
+        return pd.DataFrame({"a": a, "b": b, "low": pd.array([None] * len(a), "Int32"), "n": np.ones(len(a), np.int64),
+                             "least": np.zeros(len(a), np.int64)})
+    return dealt.groupBy("shingle", "i", "j").applyInPandas(meet, OPEN)
+
+
+def _rare_runs(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """The runs of entities that share an uncrowded shingle of their prefixes."""
     def gather(key, group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].drop_duplicates().sort_values().tolist()
         place = {x: i for i, x in enumerate(ids)}
@@ -419,7 +486,7 @@ def _rare_runs(texts: DataFrame, buckets: int) -> DataFrame:
                               "usable": np.zeros(len(ids), np.uint32).tobytes(),
                               "starts": starts.astype(np.int64).tobytes(),
                               "members": group["at"].to_numpy(np.int32).tobytes()}])
-    return (prefix.select("id", "n", "x.shingle", F.pmod(F.col("x.shingle"), F.lit(buckets)).cast("int").alias("bucket"))
+    return (prefixes.where("crowd is null").select("id", "n", "shingle", F.pmod("shingle", F.lit(buckets)).cast("int").alias("bucket"))
             .groupBy("bucket").applyInPandas(gather, RUNS))
 
 
@@ -432,13 +499,15 @@ def links(docs: DataFrame, sets: DataFrame, run_cost: float = RUN_COST, buckets:
     texts, edges, parts, texts_of = _texts(docs), None, None, None
     for level in range(3):
         cost = run_cost if level < 2 else math.inf
-        found = collect_runs(pack(texts, level, buckets)) if level < 2 else _rare_runs(texts, buckets)
+        prefixes = _rare_prefixes(texts) if level == 2 else None
+        found = collect_runs(pack(texts, level, buckets)) if level < 2 else _rare_runs(prefixes, buckets)
         runs = shared_table(found, "join-runs")
         if parts is None:
             tried = shared_table(first_partners(runs), "join-tried")
             edges = shared_table(linked(tried, _contents_of(docs, sets, tried)), "join-linked")
             parts = shared_table(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
-        rest = shared_table(open_pairs(runs, parts, cost, level), "join-open")
+        rest = open_pairs(runs, parts, cost, level)
+        rest = shared_table(rest.unionByName(_dealt_pairs(prefixes, parts)) if level == 2 else rest, "join-open")
         lost = rest.where("b is null").groupBy("a").agg(
             F.sum(F.when(F.col("low") == 0, F.col("n"))).alias("lost"),
             F.sum(F.when(F.col("low") == 1, F.col("n"))).alias("lost_low")).withColumnRenamed("a", "k")
