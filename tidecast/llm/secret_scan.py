@@ -2,11 +2,12 @@
 
 Two kinds of finding.  Base rules are patterns: assignments to a credential
 name, access keys and long hexadecimal runs.  The entropy rule takes candidate
-strings (maximal runs of key characters), classes each by its alphabet and
-slides a window over it; the window's Shannon entropy follows from the change
+strings (maximal runs of key characters) and slides each class's window over the
+maximal stretches of its alphabet in them; the window's Shannon entropy follows from the change
 that the incoming and the outgoing character make to sum(c * log2(c)) over the
 character counts c, so no window is counted anew.  Candidates on the allow-list
-are suppressed; base findings never are.
+are suppressed; of one that holds a placeholder or counting run, the parts
+between slashes are candidates of their own.  Base findings are never suppressed.
 
 Positions are code points, end exclusive.  A pattern's matches and the pieces
 between them (the same pattern as separator) give the positions without a
@@ -40,6 +41,7 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 #: Candidates that are no secrets: no digit at all (words, paths, identifiers), one repeated
 #: character, counting or alphabet runs, placeholders, UUIDs, dates and numbers with separators.
+PARTS = "[A-Za-z0-9+_-]{20,}"  # between slashes
 ALLOW = (
     "[^0-9]*",
     r"(.)\1*",
@@ -52,7 +54,7 @@ ALLOW = (
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """Candidates that match ``alphabet`` whole, the window and its least entropy in bits."""
+    """Stretches of ``alphabet``, the window and its least entropy in bits."""
 
     kind: str
     alphabet: str
@@ -60,8 +62,9 @@ class EntropyClass:
     bits: float
 
 
+# No window is longer than the shortest candidate.  24 characters of 4.0 bits hold 20 of 3.6 at the least.
 CLASSES = (EntropyClass("entropy_hex", "[0-9a-fA-F]+", 20, 2.75),
-           EntropyClass("entropy_base64", "[A-Za-z0-9+/_-]+", 24, 4.0))
+           EntropyClass("entropy_base64", "[A-Za-z0-9+/_-]+", 20, 3.6))
 
 BLOCK = 256
 
@@ -133,26 +136,53 @@ def high_entropy(text: Column, window: int, bits: float) -> Column:
 
 
 def entropy_spans(text: Column, classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Spans of the candidates' high-entropy stretches (first to last passing window)."""
+    """Spans of the candidates' high-entropy stretches (first to last passing window).  The
+    last class's alphabet is that of candidates; the stretches of a class before it are
+    found inside them and reported where no stretch of the last class covers them."""
+    *inner, last = classes
+
     def suppressed(s: Column) -> Column:
         out = F.lit(False)
         for pattern in allow:
             out = out | s.rlike(rf"\A(?:{pattern})\z")
         return out
 
+    def moved(found: Column, by: Column) -> Column:
+        return F.transform(found, lambda x: F.struct((by + x["start"]).alias("start"), x["text"].alias("text")))
+
+    def parts(m: Column) -> Column:
+        holds = [pattern for pattern in allow if pattern.startswith("(?i).*")]
+        held = F.lit(False)
+        for pattern in holds:
+            held = held | m["text"].rlike(rf"\A(?:{pattern})\z")
+        return F.when(held, moved(matches(m["text"], PARTS), m["start"])).otherwise(F.array(m))
+
+    def spans_of(c: EntropyClass):
+        def spans(m: Column) -> Column:
+            window = F.transform(F.array(m), lambda x: F.struct(
+                x["start"].alias("at"), high_entropy(x["text"], c.window, c.bits).alias("w")))
+            return F.transform(F.filter(window, lambda x: x["w"]["high"] > 0), lambda x: F.struct(
+                (x["at"] + x["w"]["low"]).alias("start"), F.lit(KINDS.index(c.kind)).alias("kind"),
+                (x["at"] + x["w"]["high"]).alias("end")))
+        return spans
+
+    none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
+
     def judge(m: Column) -> Column:
-        none = F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))
-        window, kind = none, F.lit(-1)
-        for c in reversed(classes):
-            fits = m["text"].rlike(rf"\A{c.alphabet}\z")
-            window = F.when(fits, high_entropy(m["text"], c.window, c.bits)).otherwise(window)
-            kind = F.when(fits, F.lit(KINDS.index(c.kind))).otherwise(kind)
-        return F.struct(m["start"].alias("start"), kind.alias("kind"), window.alias("window"))
-
-    open_ = F.filter(matches(text, CANDIDATE), lambda m: ~suppressed(m["text"]))
-    judged = F.filter(F.transform(open_, judge), lambda m: m["window"]["high"] > 0)
-    return F.transform(judged, lambda m: F.struct((m["start"] + m["window"]["low"]).alias("start"), m["kind"].alias("kind"),
-                                                  (m["start"] + m["window"]["high"]).alias("end")))
+        whole = F.lit(False)
+        for c in inner:
+            whole = whole | m["text"].rlike(rf"\A{c.alphabet}\z")
+        out = F.when(whole, none).otherwise(spans_of(last)(m))
+        for c in inner:
+            run = c.alphabet.removesuffix("+") + "{%d,}" % c.window
+            stretches = F.filter(moved(matches(m["text"], run), m["start"]), lambda x: ~suppressed(x["text"]))
+            found = F.flatten(F.transform(stretches, spans_of(c)))
+            out = F.transform(F.array(F.struct(out.alias("out"), found.alias("more"))), lambda x: F.concat(x["out"], F.filter(
+                x["more"], lambda n: ~F.exists(x["out"], lambda o: (o["start"] <= n["start"]) & (o["end"] >= n["end"])))))[0]
+        return out
+
+    open_ = F.filter(F.flatten(F.transform(matches(text, CANDIDATE), parts)), lambda m: ~suppressed(m["text"]))
+    return F.flatten(F.transform(open_, judge))
 
 
 def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
