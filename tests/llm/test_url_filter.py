@@ -90,3 +90,20 @@ def test_tokens_are_few(spark):
     url = "http://h/" + "/".join(map(str, range(5000))) + "?" + "&".join(f"k{i}=1" for i in range(500))
     [row] = spark.createDataFrame([(url,)], "url string").select(U.tokens(F.col("url")).alias("t")).collect()
     assert len(list(chain(row.t))) <= 11
+
+
+def test_whole_urls_are_mined(spark):
+    shapes = ["http://a{i}.mid.b.net/a/b/c/{w}/e", "http://x.{w}.y.b.net/p", "http://b.net/q?{w}=1&k{c}=2"]
+    for shape in shapes:  # the telling part is a late segment, a middle label or one of several parameters
+        rows = [(i, shape.format(i=i, c="abcdefgh"[i % 8], w="good" if i % 2 else "bad"), "allow" if i % 2 else "block") for i in range(80)]
+        mined, kinds = U.mine(spark.createDataFrame(rows, "page_id long, url string, label string"))
+        new = [shape.format(i="new", c="zz", w=w) for w in ("good", "bad")]
+        got = U.match(spark.createDataFrame([(u,) for u in new], "url string"), mined, kinds)
+        assert {r.url: (r.label, r.confidence) for r in got.collect()} == {new[0]: ("allow", 1.0), new[1]: ("block", 1.0)}
+
+
+def test_parts_that_always_come_together_are_one_item(spark):
+    deep = "/".join("s" + c for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(f"http://h.net/{deep}/{'yes' if i % 2 else 'no'}", "allow" if i % 2 else "block") for i in range(40)]
+    mined, _ = U.mine(spark.createDataFrame(rows, "url string, label string"))
+    assert {(r.rule_id, r.label) for r in mined.collect()} == {("segment:yes", "allow"), ("segment:no", "block")}

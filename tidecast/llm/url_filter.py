@@ -1,8 +1,9 @@
 """URL filters by mined association rules.
 
-Every URL becomes a small set of tokens (scheme, registrable end of the host,
-leading host label, path segments with digits folded, file ending, query
-parameter names, fragment).  FP-growth over labelled URLs, each with its label
+Every URL becomes a set of tokens (scheme, every host label, path segment and query parameter name with digits folded, file
+ending, first digit, fragment).  Tokens without enough support are dropped and
+tokens that stand in the same labelled URLs are one item, named by the smallest
+of them.  FP-growth over labelled URLs, each with its label
 as one more item, finds the frequent combinations; those whose consequent is a
 label, with enough support and confidence and no simpler rule that is as good,
 are the filter.  Matching goes through an inverted index: a rule is filed under
@@ -55,40 +56,63 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """The URL's tokens: at most one of each kind, so a URL has few."""
+    """The URL's distinct tokens: one for each host label, path segment and query parameter
+    name (digits folded in the last two), wherever it stands, and one of each other kind."""
     url = F.coalesce(url, F.lit(""))
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    end = F.regexp_extract(host, r"([^.]+\.[^.]+)\z", 1)
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    folded = F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "0"))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    names = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(
-        F.split(query, "&"), lambda s: F.substring_index(s, "=", 1)), lambda s: s != ""))), "+")
 
     def token(kind: str, value: Column) -> Column:
         return F.when(F.length(value) > 0, F.concat(F.lit(kind + ":"), value))
 
-    digit = F.regexp_extract(path, r"\A[^0-9]*([0-9])", 1)
-    return F.array_compact(F.array_distinct(F.array(
-        token("scheme", ascii_lower(F.regexp_extract(url, r"(?s)\A(.*?)://", 1))),
-        token("top", F.regexp_extract(host, r"([^.]+)\z", 1)), token("site", end),
-        token("label", F.when(F.size(labels) > 2, labels[0])),
-        token("first", F.get(folded, F.lit(0))), token("second", F.get(folded, F.lit(1))),
-        token("third", F.get(folded, F.lit(2))), token("digit", digit),
-        token("ending", ascii_lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})\z", 1))),
-        token("names", names), token("fragment", F.when(F.contains(url, F.lit("#")), F.lit("yes"))))))
+    def each(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda s: token(kind, s))
 
+    def folded(values: Column) -> Column:
+        return F.transform(values, lambda s: F.regexp_replace(s, "[0-9]+", "0"))
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    digit = F.regexp_extract(path, r"\A[^0-9]*([0-9])", 1)
+    names = F.transform(F.split(query, "&"), lambda s: F.substring_index(s, "=", 1))
+    return F.array_compact(F.array_distinct(F.concat(
+        F.array(token("scheme", ascii_lower(F.regexp_extract(url, r"(?s)\A(.*?)://", 1))),
+                token("digit", digit),
+                token("ending", ascii_lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})\z", 1))),
+                token("fragment", F.when(F.contains(url, F.lit("#")), F.lit("yes")))),
+        each("label", F.split(host, r"\.")), each("segment", folded(F.split(path, "/"))), each("name", folded(names)))))
+
+
+def kinds_of(labelled: DataFrame, min_support: float) -> DataFrame:
+    """token, kind: the tokens with enough support among the labelled rows (url), each under
+    the smallest token of those that stand in the same URLs.  Such tokens are one item to
+    mine: rules with one or the other have the same support and confidence, and all their
+    combinations would be exponentially many."""
+    least = F.lit(min_support * labelled.count())
+    each = labelled.groupBy("url").agg(F.count(F.lit(1)).alias("n")).withColumn("token", F.explode(tokens(F.col("url"))))
+    seen = each.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor(F.xxhash64("url")).alias("one"),
+                                     F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("two"))
+    often = shared_table(seen.where(F.col("n") >= F.ceil(least)), "url-tokens")
+    alike = often.groupBy("n", "one", "two").agg(F.min("token").alias("kind"))
+    return shared_table(often.join(alike, ["n", "one", "two"]).select("token", "kind"), "url-kinds")
+
+
+def with_kinds(urls: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Distinct urls (url) -> url, tokens: the kinds of each URL's tokens, without infrequent ones."""
+    each = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    return each.join(kinds, "token").groupBy("url").agg(F.sort_array(F.collect_set("kind")).alias("tokens"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """(url, label) -> rule_id, antecedent, label, confidence, support, of rules that no
-    simpler rule for the same label equals in confidence."""
+    simpler rule for the same label equals in confidence; and the ``kinds_of`` the tokens."""
     spark = labelled.sparkSession
-    items = labelled.where("label is not null").select(
-        F.array_append(tokens(F.col("url")), F.concat(F.lit("="), F.col("label"))).alias("items"))
+    labelled = labelled.where("label is not null")
+    kinds = kinds_of(labelled, min_support)
+    known = with_kinds(labelled.select("url").distinct(), kinds).withColumnRenamed("url", "of")
+    items = labelled.join(known, F.col("url") == F.col("of"), "left").select(F.array_append(
+        F.coalesce("tokens", F.expr("cast(array() as array<string>)")), F.concat(F.lit("="), F.col("label"))).alias("items"))
     schema = "antecedent array<string>, label string, confidence double, support double"
     if items.isEmpty():
-        return spark.createDataFrame([], "rule_id string, " + schema)
+        return spark.createDataFrame([], "rule_id string, " + schema), kinds
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where("consequent[0] like '=%'").where(
         ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))))
@@ -100,7 +124,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     beaten = (rules.withColumn("token", F.explode("antecedent")).join(simpler, "token")
               .where("label = of and as_sure >= confidence and size(less) < size(antecedent)")
               .where(F.size(F.array_except("less", "antecedent")) == 0).select("rule_id", "label").distinct())
-    return shared_table(rules.join(beaten, ["rule_id", "label"], "left_anti"), "url-rules")
+    return shared_table(rules.join(beaten, ["rule_id", "label"], "left_anti"), "url-rules"), kinds
 
 
 def index(rules: DataFrame) -> DataFrame:
@@ -112,10 +136,10 @@ def index(rules: DataFrame) -> DataFrame:
     return rules.join(filed, ["rule_id", "label"]).withColumn("token", F.col("best.token")).drop("best")
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, kinds: DataFrame) -> DataFrame:
     """Distinct (url) -> url, label, confidence, rule_id of the most confident matching rule
     (then the one with more tokens, more support, the smaller text)."""
-    found = (urls.select("url", tokens(F.col("url")).alias("tokens")).withColumn("token", F.explode("tokens"))
+    found = (with_kinds(urls, kinds).withColumn("token", F.explode("tokens"))
              .join(index(rules), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0))
     best = F.max_by(F.struct("label", "confidence", "rule_id"),
                     F.struct("confidence", F.size("antecedent"), "support", F.hash("rule_id"), "rule_id", "label"))
@@ -130,8 +154,8 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
         "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
     labelled = rows.where("fixed is not null").select("url", F.col("fixed.verdict").alias("label"))
-    mined = mine(labelled)
-    best = match(rows.where("fixed is null and url is not null").select("url").distinct(), mined).select(
+    mined, kinds = mine(labelled)
+    best = match(rows.where("fixed is null and url is not null").select("url").distinct(), mined, kinds).select(
         F.col("url").alias("of"), F.col("label"), "confidence", F.col("rule_id").alias("mined"))
     open_ = F.when(F.col("fixed").isNull(), F.col("url"))
     return rows.join(best, open_ == F.col("of"), "left").select(
