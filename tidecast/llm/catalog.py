@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, license_scan, lm_score, mixture, neighbours, piece_codec, prefix_trie, quality_rules, secret_scan, url_filter
+from . import exact_dedup, hard_negatives, jaccard_join, license_scan, lm_score, mixture, neighbours, piece_codec, prefix_trie, quality_rules, secret_scan, simhash, url_filter
 from .common import table
 from .oracle import ORACLES
 
@@ -55,13 +55,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_license_scan, op4_quality_rules, op5_exact_dedup, op6_secret_scan, op7_jaccard_join, op8_piece_codec,
-                                    op9_mix_sources, op10_neighbours, op12_prefix_trie)}
+                                    op9_mix_sources, op10_neighbours, op11_simhash, op12_prefix_trie, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
