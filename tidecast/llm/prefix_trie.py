@@ -65,7 +65,8 @@ def ordered_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     along = Window.partitionBy("conv_id").orderBy("part")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.sum("here").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")
-    return turns, runs.select("conv_id", "part", "first", before.alias("before"), F.sum("here").over(whole).alias("n"))
+    runs = runs.select("conv_id", "part", "first", before.alias("before"), F.sum("here").over(whole).alias("n"))
+    return turns, shared_table(runs, "trie-runs")
 
 
 def taken(conv_id: Column) -> Column:
@@ -160,8 +161,19 @@ def located(pending: DataFrame, nodes: DataFrame, halvings: int) -> DataFrame:
     return found.withColumn("leave", F.when(F.col("e").isNull(), F.col("a")).otherwise(F.col("a") + F.size(same)))
 
 
-def insert(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes after one batch, and the strings that wait for the next."""
+def chosen(found: DataFrame) -> DataFrame:
+    """The located strings with ``leads``: whether one is inserted now.  Of those that leave the
+    trie at one place by one turn it is the one with the smallest hash."""
+    step = prefix(F.col("leave") + 1)
+    group = [(F.col("d0") + F.col("leave") + 1).alias("gd"), step["a"].alias("g1"), step["b"].alias("g2")]
+    luck = F.struct(F.xxhash64("s1", "s2").alias("luck"), "s1", "s2")
+    firsts = found.where(F.col("leave") < F.col("m")).groupBy(*group).agg(F.min(luck).alias("first"))
+    firsts = firsts.select(F.col("first.s1").alias("s1"), F.col("first.s2").alias("s2"), F.lit(True).alias("leads"))
+    return found.join(firsts, ["s1", "s2"], "left")
+
+
+def grown(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with edges split where strings leave or end, and with the leaders as leaves."""
     end = prefix(F.col("e"), "node_path")
     splits = found.where(F.col("leave") < F.col("e")).select(
         (F.col("d0") + F.col("e")).alias("depth"), end["a"].alias("x1"), end["b"].alias("x2"), "leave")
@@ -171,15 +183,8 @@ def insert(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = F.array_sort(F.concat(F.coalesce("cuts", F.array().cast("array<int>")), F.array("e")))
     starts = F.concat(F.array("p"), F.slice(ends, 1, F.size(ends) - 1))
     pieces = cut.select("d0", "r1", "r2", "r3", "path", F.inline(F.arrays_zip(starts.alias("p"), ends.alias("e"))))
-    step = prefix(F.col("leave") + 1)
-    more = found.where(F.col("leave") < F.col("m")).withColumns(
-        {"gd": F.col("d0") + F.col("leave") + 1, "g1": step["a"], "g2": step["b"]})
-    leaders = more.groupBy("gd", "g1", "g2").agg(F.min(F.struct(F.xxhash64("s1", "s2").alias("luck"), "s1", "s2")).alias("first"))
-    leaders = leaders.select(F.col("first.s1").alias("s1"), F.col("first.s2").alias("s2"))
-    leaves = more.join(leaders, ["s1", "s2"], "left_semi").select(
-        "d0", "r1", "r2", "r3", "path", F.col("leave").alias("p"), F.col("m").alias("e"))
-    wait = more.join(leaders, ["s1", "s2"], "left_anti").select("d0", "r1", "r2", "r3", "m", "path", "s1", "s2")
-    return pieces.unionByName(leaves), wait
+    leaves = found.where("leads").select("d0", "r1", "r2", "r3", "path", F.col("leave").alias("p"), F.col("m").alias("e"))
+    return pieces.unionByName(leaves)
 
 
 def build(strings: DataFrame) -> DataFrame:
@@ -192,61 +197,61 @@ def build(strings: DataFrame) -> DataFrame:
     halvings = int(longest or 0).bit_length()
     while not pending.isEmpty():
         found = shared_table(located(pending, nodes, halvings), "trie-located")
-        grown, wait = insert(nodes, found)
-        nodes, pending = shared_table(grown, "trie-nodes"), shared_table(wait, "trie-pending")
+        found = shared_table(chosen(found), "trie-chosen")
+        nodes = shared_table(grown(nodes, found), "trie-nodes")
+        pending = found.where((F.col("leave") < F.col("m")) & F.col("leads").isNull()).select(*pending.columns)
     return nodes
 
 
 # --- members and subtrees -----------------------------------------------------------------
 
 def _id_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (depth, x1, x2, conv_id) -> the decimal ids of a node, so many a row."""
-    names = [*NODE, "first", "ids"]
+    """Sorted (depth, x1, x2, conv_id, w) -> the decimal ids of a node, so many a row."""
+    names = [*NODE, "low", "n", "w", "ids"]
+    schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [("ids", pa.string())])
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         keys = list(zip(*columns[:3], strict=True))
         rows, start = [], 0
         for i in range(1, len(keys) + 1):
             if i == len(keys) or keys[i] != keys[start] or i - start == LONG_LIST:
-                rows.append((*keys[start], columns[3][start], ",".join(map(str, columns[3][start:i]))))
+                ids = columns[3][start:i]
+                rows.append(dict(zip(names, (*keys[start], ids[0], len(ids), columns[4][start], ",".join(map(str, ids))), strict=True)))
                 start = i
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows],
-                                         schema=pa.schema([(n, pa.int64()) for n in names[:4]] + [("ids", pa.string())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (depth, x1, x2, first, ids) -> the SHA-256 of each node's list, as a stream."""
-    schema = pa.schema([(n, pa.int64()) for n in NODE] + [("ends_sha256", pa.string())])
-    now, state = None, None
+    """Sorted (depth, x1, x2, low, n, w, ids) -> a row a node, its list hashed as a stream."""
+    names = [*NODE, "low", "n", "w", "ends_sha256"]
+    schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [("ends_sha256", pa.string())])
+    now, state = None, None  # a node's first row with the count so far, and its running digest
     for batch in batches:
         done = []
         for row in batch.to_pylist():
-            key = tuple(row[n] for n in NODE)
-            if key != now:
-                if now is not None:
-                    done.append((*now, state.hexdigest()))
-                now, state = key, hashlib.sha256(row["ids"].encode())
-            else:
-                state.update(b"," + row["ids"].encode())
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema=schema)
+            ids = row.pop("ids").encode()
+            if now is not None and all(row[n] == now[n] for n in NODE):
+                now["n"] += row["n"]
+                state.update(b"," + ids)
+                continue
+            if now is not None:
+                done.append(now | {"ends_sha256": state.hexdigest()})
+            now, state = row, hashlib.sha256(ids)
+        yield pa.RecordBatch.from_pylist(done, schema=schema)
     if now is not None:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*now, state.hexdigest()), strict=True))], schema=schema)
+        yield pa.RecordBatch.from_pylist([now | {"ends_sha256": state.hexdigest()}], schema=schema)
 
 
 def end_lists(ends: DataFrame) -> DataFrame:
-    """Conversations by the node where they end (depth, x1, x2, conv_id, w) -> per node n, low
-    (smallest conv_id), w (bytes up to it) and ends_sha256.  Long lists are sorted by range,
-    joined to texts in parallel and hashed text by text, in constant memory."""
-    counts = shared_table(ends.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("low"), F.max("w").alias("w")), "trie-ends")
-    both = look_up(ends.select(*NODE, "conv_id"), counts.select(*NODE, "n"), NODE)
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
-    short = both.where(F.col("n") <= LONG_LIST).groupBy(*NODE).agg(F.sha2(ids, 256).alias("ends_sha256"))
-    long = both.where(F.col("n") > LONG_LIST).select(*NODE, "conv_id")
-    texts = long.repartitionByRange(*NODE, "conv_id").sortWithinPartitions(*NODE, "conv_id").mapInArrow(
-        _id_texts, "depth long, x1 long, x2 long, first long, ids string")
-    long = texts.repartition(*NODE).sortWithinPartitions(*NODE, "first").mapInArrow(
-        _digests, "depth long, x1 long, x2 long, ends_sha256 string")
-    return counts.join(short.unionByName(long), NODE)
+    """Conversations by the node where they end (depth, x1, x2, conv_id, w) -> per node low
+    (smallest conv_id), n, w (bytes up to it) and ends_sha256.  The ids are sorted by range,
+    joined to texts in parallel and hashed text by text, in constant memory: one node's list
+    of any length is a few rows in the second step."""
+    order = [*NODE, "conv_id"]
+    texts = ends.select(*order, "w").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        _id_texts, "depth long, x1 long, x2 long, low long, n long, w long, ids string")
+    return texts.repartition(*NODE).sortWithinPartitions(*NODE, "low").mapInArrow(
+        _digests, "depth long, x1 long, x2 long, low long, n long, w long, ends_sha256 string")
 
 
 def subtree_sums(tree: DataFrame) -> DataFrame:
@@ -254,16 +259,20 @@ def subtree_sums(tree: DataFrame) -> DataFrame:
     ``low`` and the sums of the others over their subtrees.  Step i adds the sums of the nodes
     whose ancestor at distance 2^i one is: as many steps as the depth has binary digits."""
     sums = ("n", "ww", "bytes", "leaves")
+    at = [f"a_{c}" for c in NODE]
     while True:
-        up = tree.where(F.col("up").isNotNull())
-        if up.isEmpty():
+        climbing = tree.where(F.col("up").isNotNull())
+        if climbing.isEmpty():
             return tree.drop("up")
-        gained = up.groupBy(*[F.col("up")[c].alias(c) for c in NODE]).agg(
+        gained = climbing.groupBy(*[F.col("up")[c].alias(c) for c in NODE]).agg(
             F.min("low").alias("g_low"), *[F.sum(c).alias(f"g_{c}") for c in sums])
-        above = tree.where(F.col("up").isNotNull()).select(*[F.col(c).alias(f"a_{c}") for c in NODE], F.col("up").alias("above"))
-        climbing = up.select(*NODE, *[F.col("up")[c].alias(f"a_{c}") for c in NODE])
-        climbed = look_up(climbing, above, [f"a_{c}" for c in NODE]).select(*NODE, "above")
-        tree = shared_table(tree.join(gained, NODE, "left").join(climbed, NODE, "left").select(
+        # many nodes may have one ancestor: its row is copied, a node asks for the copy its hash names
+        above = climbing.select(*[F.col(c).alias(f"a_{c}") for c in NODE], F.col("up").alias("above"),
+                                F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("way"))
+        own = [F.coalesce(F.col("up")[c], F.lit(-1) if c == "depth" else F.col(c)).alias(f"a_{c}") for c in NODE]
+        tree = tree.select("*", *own, F.pmod(F.xxhash64("x1", "x2"), F.lit(WAYS)).cast("int").alias("way"))
+        climbed = tree.join(above, [*at, "way"], "left").join(gained, NODE, "left")
+        tree = shared_table(climbed.select(
             *NODE, F.col("above").alias("up"), F.least("low", "g_low").alias("low"),
             *[(F.col(c) + F.coalesce(f"g_{c}", F.lit(0))).alias(c) for c in sums]), "trie-sums")
 
