@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import config
@@ -42,9 +42,9 @@ def _as_date(v) -> Column:
     return v if isinstance(v, Column) else F.to_date(F.lit(str(v)))
 
 
-def feature_columns(price: str = "close") -> list[Column]:
-    """Lags and trailing row averages of ``price`` over ``series_window``."""
-    w = series_window()
+def feature_columns(price: str = "close", window: WindowSpec | None = None) -> list[Column]:
+    """Lags and trailing row averages of ``price`` over ``window`` (a whole series)."""
+    w = window or series_window()
     cols = [F.lag(price, k).over(w).alias(f"lag{k}") for k in config.LAGS]
     cols += [F.avg(price).over(w.rowsBetween(-(k - 1), 0)).alias(f"ma{k}")
              for k in config.MOVING_AVERAGES]
@@ -74,13 +74,16 @@ def build_features(prices: DataFrame, start=None, end=None,
     base = restrict(prices, start, end, tickers)
     feats = base.select("ticker", "date", F.col("close").alias("price"), *carry,
                         *feature_columns())
-    if warm_up:
-        feats = feats.where(F.col("lag100").isNotNull() & F.col("ma100").isNotNull())
-    return feats
+    return feats.where(warmed_up()) if warm_up else feats
+
+
+def warmed_up() -> Column:
+    """P5: the row lies behind the warm-up."""
+    return F.col("lag100").isNotNull() & F.col("ma100").isNotNull()
 
 
 def add_targets(features: DataFrame, horizons: Iterable[int], keep_invalid: bool = False,
-                extra: dict[str, Column] | None = None) -> DataFrame:
+                extra: dict[str, Column] | None = None, window: WindowSpec | None = None) -> DataFrame:
     """W8 + P6: ``target = price`` *h* rows ahead, one row per (ticker, horizon, date).
 
     One ``lead`` per distinct horizon is computed in one window node over the
@@ -92,7 +95,7 @@ def add_targets(features: DataFrame, horizons: Iterable[int], keep_invalid: bool
 
     A ``horizons array<int>`` column on ``features`` restricts each ticker to
     the horizons it asked for.  ``extra`` adds window columns (over
-    ``series_window``) computed in the same node.
+    ``window``, by default ``series_window``) computed in the same node.
     """
     hs = sorted({int(h) for h in horizons})
     if not hs:
@@ -100,7 +103,7 @@ def add_targets(features: DataFrame, horizons: Iterable[int], keep_invalid: bool
     bad = [h for h in hs if h < 1 or h > config.MAX_HORIZON]
     if bad:
         raise ValueError(f"horizons out of range 1..{config.MAX_HORIZON}: {bad}")
-    w = series_window()
+    w = window or series_window()
     restricted = "horizons" in features.columns
     keep = ["ticker", "date", "price", *config.FEATURE_COLUMNS]
     carried = [c for c in features.columns if c not in keep]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import calendar, quality, versions
 from ..functions.instants import ensure_utc, utc_instant
-from ..operators import business_calendar, evaluate, features, forecast, freshness, ols, registry, split
+from ..operators import business_calendar, evaluate, features, forecast, freshness, halo, ols, registry, split
 from ..schema import missing_columns
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import fixtures, registry_store
@@ -78,6 +78,22 @@ def q_features(spark, sf):
     return _feature_projection(features.build_features(fixture_prices(spark, sf)))
 
 
+def _one_series_features(spark, sf):
+    return halo.build_features(fixtures.one_series(spark, sf), block_rows=fixtures.BLOCK_ROWS, bucket_days=fixtures.BUCKET_DAYS)
+
+
+def q_features_one_series(spark, sf):
+    """W1-W7 on a single series, cut into blocks with a halo."""
+    return _feature_projection(_one_series_features(spark, sf))
+
+
+def q_targets_one_series(spark, sf):
+    """W8 likewise; horizons up to more rows than a block has."""
+    t = halo.add_targets(_one_series_features(spark, sf), (*fixtures.HORIZONS, 100), block_rows=fixtures.BLOCK_ROWS,
+                         bucket_days=fixtures.BUCKET_DAYS)
+    return t.select("ticker", _i64("forecast_days").alias("forecast_days"), "date", "price", "target")
+
+
 def q_features_in_range(spark, sf):
     f = features.build_features(fixture_prices(spark, sf), start="1997-01-01", end="2000-12-31",
                                 tickers=fixtures.requests(spark, sf))
@@ -581,6 +597,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _QUERIES = {
     "features": q_features,
     "features_in_range": q_features_in_range,
+    "features_one_series": q_features_one_series,
+    "targets_one_series": q_targets_one_series,
     "latest_date": q_latest_date,
     "sufficiency_guard": q_sufficiency_guard,
     "training_window": q_training_window,

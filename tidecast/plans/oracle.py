@@ -376,6 +376,12 @@ def oracle_sql() -> dict[str, str]:
                                                 "date <= DATE '2000-12-31' AND ticker IN (SELECT ticker FROM req)")],
                                    f"SELECT ticker, date, price, lag1, lag5, lag20, lag100, {_ma_proj()} "
                                    f"FROM ({features_sql('rng')})")
+    one = b + [("one", f"SELECT '{fx.ONE_TICKER}' AS ticker, date, max(close) AS close FROM prices GROUP BY date"),
+               ("one_feat", features_sql("one"))]
+    q["features_one_series"] = _with(one, f"SELECT ticker, date, price, lag1, lag5, lag20, lag100, {_ma_proj()} FROM one_feat")
+    q["targets_one_series"] = _with(one, "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT ticker, CAST({h} AS BIGINT) AS forecast_days, date, price, lead(price, {h}) OVER ({W}) AS target FROM one_feat"
+        for h in (*fx.HORIZONS, 100)) + ") WHERE target IS NOT NULL")
     q["latest_date"] = _with(b, f"SELECT t.ticker, l.latest_date, CASE WHEN l.latest_date IS NULL THEN "
                                 f"'{config.INSUFFICIENT_DATA}' END AS error_code FROM (SELECT DISTINCT ticker FROM req) t "
                                 f"LEFT JOIN (SELECT ticker, max(date) AS latest_date FROM prices GROUP BY ticker) l "

@@ -22,6 +22,8 @@ from .prices import fixture_prices
 
 # --- fixed values: fixture parameters ----------------------------------------
 HORIZONS = (5, 10, 30)
+ONE_TICKER = "ALL"
+BLOCK_ROWS, BUCKET_DAYS = 64, 128    # small, so that the one series is cut into many blocks
 NO_DATA_TICKER = "ZZZZ"
 AS_OF = "2001-12-31"                 # every series ends 2001-09-24 .. 2001-11-04
 NOW = "2001-12-31 22:00:00"          # UTC; 17:00 New York, after the close
@@ -64,6 +66,12 @@ def line_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("close", 150.0 + F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
 
 
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as a single series, the day's highest price: one key holds every row."""
+    p = fixture_prices(spark, sf_dir)
+    return p.groupBy("date").agg(F.max("close").alias("close")).select(F.lit(ONE_TICKER).alias("ticker"), "date", "close")
+
+
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-history source: one series per event type over 30 days."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
