@@ -2,17 +2,14 @@
 
 The fit needs only centred second moments of the training rows, which are
 algebraic aggregates (partial + final merge), so a key of any size is
-reduced without holding its rows.  Two shapes:
-
-* ``moments`` / ``fit`` - ``groupBy(keys)``: one row per model.
-* ``fit_over_rows`` - the same moments as whole-partition window
-  aggregates, so every row carries its model's coefficients and the
-  held-out rows are scored in the same stage, with no join back.
+reduced without holding its rows, and the elimination runs on one row a key.
+Held-out rows meet their model through ``packed``: one row a ticker with all its
+models, joined on the ticker alone, which is how the rows are partitioned already.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -22,11 +19,9 @@ KEYS = ("ticker", "forecast_days")
 P = config.N_SLOTS
 
 
-def _moment_exprs(train: Column | None) -> dict[str, Column]:
-    def v(name: str) -> Column:
-        return F.col(name) if train is None else F.when(train, F.col(name))
-    xs = [v(f"x{i}") for i in range(P)]
-    y = v("y")
+def _moment_exprs() -> dict[str, Column]:
+    xs = [F.col(f"x{i}") for i in range(P)]
+    y = F.col("y")
     out: dict[str, Column] = {}
     for i in range(P):
         for j in range(i, P):
@@ -41,9 +36,8 @@ def _moment_exprs(train: Column | None) -> dict[str, Column]:
 
 def moments(training_rows: DataFrame, keys=KEYS) -> DataFrame:
     """A3 sufficient statistics per key (rows given are the training rows)."""
-    exprs = _moment_exprs(None)
     return training_rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[e.alias(n) for n, e in exprs.items()])
+        F.count(F.lit(1)).alias("n"), *[e.alias(n) for n, e in _moment_exprs().items()])
 
 
 def solve(df: DataFrame) -> DataFrame:
@@ -59,13 +53,17 @@ def fit(training_rows: DataFrame, keys=KEYS) -> DataFrame:
     return solve(moments(training_rows, keys)).drop(*linalg.moment_names(P))
 
 
-def fit_over_rows(split_rows: DataFrame, keys=KEYS) -> DataFrame:
-    """Every row gets its key's ``w0..w3, intercept`` fitted on the rows
-    with ``is_test = false``; rows of unsplittable keys get nulls."""
-    w = Window.partitionBy(*keys)
-    train = ~F.col("is_test")
-    with_m = split_rows.withColumns({n: e.over(w) for n, e in _moment_exprs(train).items()})
-    return solve(with_m).drop(*linalg.moment_names(P))
+def packed(models: DataFrame) -> DataFrame:
+    """``(ticker, models map<forecast_days, struct>)``: at most ``MAX_HORIZON`` models a ticker."""
+    names = [*[f"w{i}" for i in range(P)], "intercept"]
+    entry = F.struct("forecast_days", F.struct(*names))
+    return models.groupBy("ticker").agg(F.map_from_entries(F.collect_list(entry)).alias("models"))
+
+
+def with_model(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows of (ticker, forecast_days, ...) with their key's ``w0..w3, intercept`` (null without a model)."""
+    found = rows.join(packed(models), "ticker", "left").withColumn("_m", F.col("models")[F.col("forecast_days")])
+    return found.select(*rows.columns, "_m.*")
 
 
 def predict(df: DataFrame, out: str = "yhat") -> DataFrame:

@@ -2,8 +2,9 @@
 
 Plan shape (see ``explain``): the requested-ticker join shuffles prices by
 ``ticker`` once; the feature window, the target window, the split windows
-over ``(ticker, forecast_days)``, the moment windows and the metrics
-aggregate all reuse that partitioning (local sorts only).  Nothing is
+over ``(ticker, forecast_days)``, the moment aggregate, the join of rows with
+their ticker's models and the metrics aggregate all reuse that partitioning
+(local sorts only).  Nothing is
 collected except the list of distinct horizons (at most ``MAX_HORIZON``
 integers, needed to lay out the ``lead`` columns).  Jobs and queries run the
 same plan: the request table is always joined.
@@ -89,8 +90,13 @@ def split_rows(prices: DataFrame, horizons, requested: DataFrame | None = None,
 
 def fit_and_score(rows: DataFrame) -> DataFrame:
     """A3-A9 per key: coefficients fitted on train rows, metrics on test rows,
-    plus counts the run log needs (``n_feat``, ``n``, ``n_bad``)."""
-    return _score(ols.predict(ols.fit_over_rows(rows)))
+    plus counts the run log needs (``n_feat``, ``n``, ``n_bad``).
+
+    Two passes over the rows behind one price exchange: the moments of the train rows are
+    reduced and solved on one row a key, then every row meets its ticker's models and one
+    aggregate makes the counts and the errors."""
+    models = ols.fit(rows.where(~F.col("is_test")))
+    return _score(ols.predict(ols.with_model(rows, models)))
 
 
 def _score(fitted: DataFrame) -> DataFrame:
