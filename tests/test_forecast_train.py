@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 
 import numpy as np
@@ -161,3 +162,29 @@ def test_unlisted_horizon_is_rejected(spark):
     res = train.train_all(prices, req, "2020-12-31", now="2020-12-31 22:00:00", horizons=[5])
     log = {r.forecast_days: (r.status, r.error_code) for r in res.run_log.collect()}
     assert log == {5: ("completed", None), 7: ("failed", "HORIZON_NOT_LISTED")}
+
+
+@pytest.mark.parametrize("size", [10, 99, 100])
+def test_recursion_equals_a_plain_loop(spark, size):
+    """Short and full histories, every tier, horizons over many chunks of the state."""
+    rng = random.Random(size)
+    rows, want = [], {}
+    for h in (1, 5, 19, 20, 21, 41, 365):
+        hist = [round(rng.uniform(50, 150), 2) for _ in range(size)]
+        w = [rng.uniform(-0.2, 0.4) for _ in range(4)]
+        rows.append((f"T{h}", h, date(2001, 1, 5), hist, *w, 3.0))
+        names = (config.SHORT_TERM_FEATURES if h <= 5 else config.MEDIUM_TERM_FEATURES if h <= 20 else config.LONG_TERM_FEATURES)
+        line = list(hist)
+        for _ in range(h):
+            def value(name):
+                k = int(name[3:] if name.startswith("lag") else name[2:])
+                return line[max(len(line) - k, 0)] if name.startswith("lag") else sum(line[-k:]) / len(line[-k:])
+            line.append(3.0 + sum(c * value(n) for c, n in zip(w, names)))
+        want[f"T{h}"] = line[size:]
+    schema = "ticker string, forecast_days int, latest_date date, hist array<double>, w0 double, w1 double, w2 double, w3 double, intercept double"
+    got = {}
+    for r in forecast.recursive_forecast(spark.createDataFrame(rows, schema)).orderBy("ticker", "step").collect():
+        got.setdefault(r.ticker, []).append(r.predicted_price)
+    assert got.keys() == want.keys()
+    for t in want:
+        assert got[t] == pytest.approx(want[t], rel=1e-12)

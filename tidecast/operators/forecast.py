@@ -3,8 +3,9 @@
 Serving state per series is its newest <= 100 feature-frame prices, cut by a
 window *before* they are collected, so every ``collect_list`` holds at most
 100 values whatever the series length.  The recursion is a Catalyst
-``aggregate`` over ``sequence(1, h)``: state is <= 100 + h doubles, one row
-per (series, horizon), no Python and no shuffle.
+``aggregate`` over ``sequence(1, h)``, one row per (series, horizon), no Python
+and no shuffle.  Its state is a running sum per moving average and the predictions in
+chunks, so a step costs the same however many came before it.
 """
 
 from __future__ import annotations
@@ -104,34 +105,100 @@ def serving_feature_columns(arr: Column) -> dict[str, Column]:
     return {name: array_feature(arr, name) for name in config.FEATURE_COLUMNS}
 
 
-def next_prediction(arr: Column, forecast_days: Column) -> Column:
-    """T11 on serving features: ``intercept + sum w_i * feature_i(arr)``
-    with the tier's features (the long tier has three)."""
+def tier_prediction(forecast_days: Column, feature) -> Column:
+    """``intercept + sum w_i * feature(name_i)`` with the tier's features (the long
+    tier has three)."""
     def tier(names):
         out = F.col("intercept")
         for i, name in enumerate(names):
-            out = out + F.col(f"w{i}") * array_feature(arr, name)
+            out = out + F.col(f"w{i}") * feature(name)
         return out
     return (F.when(forecast_days <= config.SHORT_TERM_MAX_HORIZON, tier(config.SHORT_TERM_FEATURES))
             .when(forecast_days <= config.MEDIUM_TERM_MAX_HORIZON, tier(config.MEDIUM_TERM_FEATURES))
             .otherwise(tier(config.LONG_TERM_FEATURES)))
 
 
+def next_prediction(arr: Column, forecast_days: Column) -> Column:
+    """T11 on the serving features of a price array."""
+    return tier_prediction(forecast_days, lambda name: array_feature(arr, name))
+
+
+# --- the recursion's state (R3) ------------------------------------------------
+# The series at a step is ``hist`` followed by the predictions so far.  ``hist`` is never
+# copied; the predictions are kept in chunks, of which a step copies at most one, and the
+# moving averages as running sums, so a step costs the same however long the series is.
+
+CHUNK = 20
+
+
+def first_state(hist: Column) -> Column:
+    """``s{k}``: the sum of the newest min(k, size) prices; no predictions yet."""
+    def total(k: int) -> Column:
+        newest = F.slice(hist, F.greatest(F.size(hist) - k + 1, F.lit(1)), k)
+        return F.aggregate(newest, F.lit(0.0), lambda acc, x: acc + x)
+    return F.struct(F.size(hist).alias("n"), *[total(k).alias(f"s{k}") for k in config.MOVING_AVERAGES],
+                    F.array().cast("array<double>").alias("chunk"), F.array().cast("array<array<double>>").alias("chunks"))
+
+
+def from_end(hist: Column, state: Column, k: int) -> Column:
+    """The k-th price from the end, clamped to the oldest when there are fewer."""
+    at = F.greatest(state["n"] - k, F.lit(0))
+    ahead = at - F.size(hist)
+    chunk, place = F.floor(ahead / CHUNK).cast("int"), ahead % CHUNK
+    return (F.when(ahead < 0, hist[at])
+            .when(chunk < F.size(state["chunks"]), state["chunks"][chunk][place])
+            .otherwise(state["chunk"][place]))
+
+
+def state_feature(hist: Column, state: Column, name: str) -> Column:
+    """R1 from the state: one price, or a running sum over its count."""
+    k = int(name[3:] if name.startswith("lag") else name[2:])
+    if name.startswith("lag"):
+        return from_end(hist, state, k)
+    return state[f"s{k}"] / F.least(F.lit(k), state["n"])
+
+
+def next_state(hist: Column, state: Column, price: Column, forecast_days: Column) -> Column:
+    """The state after ``price`` has become the newest: it enters the sums that the tier
+    uses, and the price that is then k + 1 rows back leaves them."""
+    def total(k: int) -> Column:
+        gone = F.when(state["n"] >= k, from_end(hist, state, k)).otherwise(0.0)
+        return F.when(F.array_contains(features.tier_features(forecast_days), f"ma{k}"), state[f"s{k}"] + price - gone)
+    full = F.size(state["chunk"]) == CHUNK - 1
+    grown = F.concat(state["chunk"], F.array(price))
+    return F.struct(
+        (state["n"] + 1).alias("n"), *[total(k).alias(f"s{k}") for k in config.MOVING_AVERAGES],
+        F.when(full, F.array().cast("array<double>")).otherwise(grown).alias("chunk"),
+        F.when(full, F.concat(state["chunks"], F.array(grown))).otherwise(state["chunks"]).alias("chunks"))
+
+
+def predictions(hist: Column, forecast_days: Column) -> Column:
+    """The next ``forecast_days`` prices, each predicted from the newest ones before it.
+
+    The step's price is bound once (the one-element ``transform``), not written out in
+    every place that uses it."""
+    def step(state: Column, _: Column) -> Column:
+        price = tier_prediction(forecast_days, lambda name: state_feature(hist, state, name))
+        return F.element_at(F.transform(F.array(price), lambda p: next_state(hist, state, p, forecast_days)), 1)
+
+    end = F.aggregate(F.sequence(F.lit(1), forecast_days), first_state(hist), step)
+    joined = F.transform(F.array(end), lambda e: F.concat(F.flatten(e["chunks"]), e["chunk"]))
+    return F.element_at(joined, 1)
+
+
 def recursive_forecast(df: DataFrame, business_calendar: DataFrame | None = None) -> DataFrame:
     """Rows ``(ticker, forecast_days, latest_date, hist, w0..w3, intercept)``
     -> one row per step ``(ticker, forecast_days, step, date, predicted_price)``.
 
-    Each step predicts from the newest prices and appends the prediction as
-    the newest price; dates are the next ``forecast_days`` business days
+    Each step predicts from the newest prices (``predictions``) and takes the
+    prediction as the newest price; dates are the next ``forecast_days`` business days
     after ``latest_date`` (T2): by the built-in US rules, or - given a
     calendar table ``(date, is_business_day, bd_index)`` such as
     ``business_calendar.calendar_between`` or a user's own - by the J4
     equi-join on ``bd_index``.
     """
     fd = F.col("forecast_days")
-    grown = F.aggregate(F.sequence(F.lit(1), fd), F.col("hist"),
-                        lambda acc, _: F.concat(acc, F.array(next_prediction(acc, fd))))
-    preds = F.slice(grown, F.size("hist") + 1, fd)
+    preds = predictions(F.col("hist"), fd)
     if business_calendar is not None:
         steps = df.select("ticker", "forecast_days", "latest_date",
                           F.posexplode(preds).alias("_pos", "predicted_price"))
