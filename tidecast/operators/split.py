@@ -56,19 +56,38 @@ def last_fold(df: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE, keys=K
     })
 
 
-def all_folds(df: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE, keys=KEYS) -> DataFrame:
-    """One row per (row, fold it belongs to) with ``role`` train/test.
+def fold_intervals(df: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE, keys=KEYS) -> DataFrame:
+    """W10 as two numbers a row, none of which fans out: ``test_fold``, the fold that the
+    row is tested in (null: none), and ``first_train_fold``, the first of the folds that train
+    on it (it and all later ones; null: none).
 
-    Folds a row does not belong to are dropped before the rows fan out.
-    Fan-out is at most ``n_splits`` per row (a parameter, not data).
-    """
+    With ``q = floor((n - i) / ts)`` whole folds after the row, it is tested in fold
+    ``n_splits - q`` and trained on from the next fold on."""
     k = n_splits_for(test_size)
     out = number_rows(df, keys).where(F.col("n") > k)
-    ts = F.floor(F.col("n") / F.lit(k + 1))
-    def member(fold: Column) -> Column:
-        start = F.col("n") - (F.lit(k) - fold + 1) * ts
-        role = F.when(F.col("i") <= start, F.lit("train")).when(F.col("i") <= start + ts, F.lit("test"))
-        return F.struct(fold.alias("fold"), role.alias("role"))
-
-    roles = F.filter(F.transform(F.sequence(F.lit(1), F.lit(k)), member), lambda m: m["role"].isNotNull())
-    return out.select("*", F.inline(roles))
+    later = F.floor((F.col("n") - F.col("i")) / F.floor(F.col("n") / F.lit(k + 1))).cast("int")
+    return out.withColumns({
+        "test_fold": F.when(later < k, F.lit(k) - later),
+        "first_train_fold": F.when(later >= 1, F.greatest(F.lit(k + 1) - later, F.lit(1))),
+    })
+
+
+def expand_folds(intervals: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE) -> DataFrame:
+    """One row per (row, fold it belongs to) with ``role`` train/test."""
+    k = n_splits_for(test_size)
+
+    def member(fold: Column, role: str) -> Column:
+        return F.struct(fold.alias("fold"), F.lit(role).alias("role"))
+    trained = F.when(F.col("first_train_fold").isNotNull(), F.transform(
+        F.sequence(F.col("first_train_fold"), F.lit(k)), lambda f: member(f, "train")))
+    tested = F.when(F.col("test_fold").isNotNull(), F.array(member(F.col("test_fold"), "test")))
+    none = F.array().cast("array<struct<fold:int,role:string>>")
+    return intervals.select("*", F.inline(F.concat(F.coalesce(trained, none), F.coalesce(tested, none)))).drop(
+        "test_fold", "first_train_fold")
+
+
+def all_folds(df: DataFrame, test_size: float = config.DEFAULT_TEST_SIZE, keys=KEYS) -> DataFrame:
+    """One row per (row, fold it belongs to) with ``role`` train/test.
+
+    Fan-out is at most ``n_splits`` per row (a parameter, not data)."""
+    return expand_folds(fold_intervals(df, test_size, keys), test_size)

@@ -24,9 +24,10 @@ from ..operators import business_calendar, evaluate, features, forecast, freshne
 from ..schema import missing_columns
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import fixtures, registry_store
+from ..sources.book_store import BookTables
 from ..sources.prices import daily_close, fixture_prices
 from . import forecast as fplan
-from . import jobs, report, train
+from . import incremental, jobs, report, train
 
 MA = ("ma5", "ma20", "ma100")
 LAG = ("lag1", "lag5", "lag20", "lag100")
@@ -148,6 +149,13 @@ def q_last_fold_split(spark, sf):
                                     _i64("i").alias("i"), _i64("n").alias("n"), "is_test")
 
 
+def q_fold_intervals(spark, sf):
+    """W10 without fan-out: which fold tests a row, and from which fold on it is trained on."""
+    return split.fold_intervals(_slots(spark, sf)).select(
+        "ticker", _i64("forecast_days").alias("forecast_days"), "date", _i64("i").alias("i"),
+        _i64("test_fold").alias("test_fold"), _i64("first_train_fold").alias("first_train_fold"))
+
+
 def q_all_folds_split(spark, sf):
     return split.all_folds(_slots(spark, sf)).select(
         "ticker", _i64("forecast_days").alias("forecast_days"), _i64("fold").alias("fold"),
@@ -173,7 +181,21 @@ def q_ols_moments(spark, sf):
 
 
 def q_ols_coefficients(spark, sf):
-    fit = ols.fit(_split(spark, sf).where(~F.col("is_test")))
+    return _coefficients(ols.fit(_split(spark, sf).where(~F.col("is_test"))))
+
+
+def q_ols_incremental(spark, sf):
+    """The same coefficients, carried from an earlier day to the year's end by moments."""
+    tables = BookTables(spark, f"{checkpoint_dir(spark)}/book-{uuid.uuid4().hex}")
+    prices = fixture_prices(spark, sf)
+    first, *later = fixtures.BOOK_DAYS
+    book = incremental.start(prices, first, fixtures.HORIZONS, tables)
+    for day in later:
+        book = incremental.advance(book, prices, day, tables)
+    return _coefficients(incremental.models(book))
+
+
+def _coefficients(fit: DataFrame) -> DataFrame:
     names = features.tier_features(F.col("forecast_days"))
     coefs = F.array(*[F.col(f"w{i}") for i in range(4)])
     pairs = F.arrays_zip(names.alias("feature"), F.slice(coefs, 1, F.size(names)).alias("value"))
@@ -421,6 +443,30 @@ def q_predict_named(spark, sf):
                     F.array_join("features_used", ",").alias("features_used"))
 
 
+def q_predict_named_status(spark, sf):
+    """Named versions of which some are not stored, and some are incomplete: one row a request."""
+    reg = fixtures.registry(spark, sf)
+    number = F.substring("ticker", 2, 9).cast("int")
+    models = reg.models.withColumn("intercept", F.when(number % 3 != 0, F.col("intercept")))
+    named = reg.models.where((F.col("trained_at") == utc_instant(fixtures.RUN1_TRAINED_AT)) & (F.col("forecast_days") == 5))
+    req = named.select("ticker", F.when(number % 4 == 1, F.concat("version", F.lit("0"))).otherwise(F.col("version")).alias("version"),
+                       F.lit(fixtures.AS_OF).cast("date").alias("date"))
+    p = fplan.predict_named(fixture_prices(spark, sf), models, req, fixtures.HISTORY_DAYS, fixtures.AS_OF)
+    return p.select("ticker", "version", "date", "status", "error_code", F.round("predicted_price", 2).alias("predicted_price"))
+
+
+def q_forecast_files(spark, sf):
+    """Forecasts written by the jobs, one horizon read back."""
+    root = f"{checkpoint_dir(spark)}/forecasts-{uuid.uuid4().hex}"
+    prices, req = fixture_prices(spark, sf), fixtures.requests(spark, sf)
+    jobs.run_training(spark, prices, req, f"{root}/registry", as_of=fixtures.AS_OF, now=datetime.fromisoformat(fixtures.NOW),
+                      horizons=fixtures.HORIZONS)
+    jobs.run_forecast(spark, prices, req, f"{root}/registry", f"{root}/out", as_of=fixtures.AS_OF, history_days=fixtures.HISTORY_DAYS)
+    f = registry_store.read_forecasts(spark, f"{root}/out", horizons=[10])
+    return f.select("ticker", _i64("forecast_days").alias("forecast_days"), _i64("step").alias("step"),
+                    "date", F.round("predicted_price", 2).alias("predicted_price"))
+
+
 def _forecasts(spark, sf):
     return fplan.forecast_all(fixture_prices(spark, sf), fixtures.requests(spark, sf),
                               _year_end_models(spark, sf), fixtures.AS_OF, fixtures.HISTORY_DAYS)
@@ -606,8 +652,10 @@ _QUERIES = {
     "feature_slots": q_feature_slots,
     "last_fold_split": q_last_fold_split,
     "all_folds_split": q_all_folds_split,
+    "fold_intervals": q_fold_intervals,
     "ols_moments": q_ols_moments,
     "ols_coefficients": q_ols_coefficients,
+    "ols_incremental": q_ols_incremental,
     "model_metrics": q_model_metrics,
     "last_train_date": q_last_train_date,
     "train_all_models": q_train_all_models,
@@ -643,5 +691,7 @@ _QUERIES = {
     "ols_collinear": q_ols_collinear,
     "forecast_collinear": q_forecast_collinear,
     "predict_named": q_predict_named,
+    "predict_named_status": q_predict_named_status,
+    "forecast_files": q_forecast_files,
     "daily_close": q_daily_close,
 }

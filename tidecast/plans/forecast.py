@@ -85,12 +85,26 @@ def forecast_all(prices: DataFrame, requests: DataFrame, latest_models: DataFram
 
 def predict_named(prices: DataFrame, models: DataFrame, requests: DataFrame,
                   history_days: int = config.FORECAST_HISTORY_DAYS, as_of=None) -> DataFrame:
-    """R2 for a request table ``(ticker, version, date)``: the prediction of the
-    named model version, the given date echoed; a version that is not stored
-    or not usable gives no row."""
-    named = models.where(~quality.incomplete_model()).join(requests.select("ticker", "version", "date"), ["ticker", "version"])
+    """R2 for a request table ``(ticker, version, date)``: one row per request, with the
+    prediction of the named model version and the given date echoed.
+
+    ``status`` is ok or error; ``error_code`` is MODEL_NOT_FOUND (no such version is stored),
+    MODEL_CORRUPTED (it is incomplete), DUPLICATE_DAYS or INSUFFICIENT_DATA (no serving history,
+    or fewer than 10 feature rows); a request in error has no prediction."""
+    stored = models.withColumn("_unusable", quality.incomplete_model()).dropDuplicates(["ticker", "version"])
+    named = requests.select("ticker", "version", "date").join(stored, ["ticker", "version"], "left")
     hist = fc.history_arrays(prices.join(requests.select("ticker").distinct(), "ticker", "left_semi"), history_days, as_of)
-    return fc.single_prediction(named.join(hist, "ticker"), date="date")
+    code = (F.when(F.col("_unusable").isNull(), F.lit(config.MODEL_NOT_FOUND))
+            .when(F.col("_unusable"), F.lit(config.MODEL_CORRUPTED))
+            .when(F.col("n_dup") > 0, F.lit(config.DUPLICATE_DAYS))
+            .when(F.coalesce(F.col("n_hist"), F.lit(0)) < config.MIN_FEATURE_ROWS, F.lit(config.INSUFFICIENT_DATA)))
+    judged = named.join(hist, "ticker", "left").withColumn("error_code", code)
+    usable = judged.where(F.col("error_code").isNull())
+    good = fc.single_prediction(usable, date="date").withColumns({"status": F.lit("ok"), "error_code": F.lit(None).cast("string")})
+    bad = judged.where(F.col("error_code").isNotNull()).select(
+        "ticker", "forecast_days", "version", "date", F.lit(None).cast("double").alias("predicted_price"),
+        F.lit(None).cast("array<string>").alias("features_used"), F.lit("error").alias("status"), "error_code")
+    return good.unionByName(bad)
 
 
 def history_plus_forecast(history_tail: DataFrame, forecasts: DataFrame) -> DataFrame:

@@ -411,6 +411,12 @@ LEFT JOIN cnt c ON c.ticker = t.ticker AND c.frame = w.frame""")
   CASE WHEN i <= n - ({K} - f.fold + 1) * floor(n / {K + 1}) THEN 'train' ELSE 'test' END AS role
 FROM tw_num CROSS JOIN (VALUES {', '.join(f'({f})' for f in range(1, K + 1))}) f(fold)
 WHERE n > {K} AND i <= n - ({K} - f.fold + 1) * floor(n / {K + 1}) + floor(n / {K + 1})""")
+    q["fold_intervals"] = _with(tw, f"""SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, date, CAST(i AS BIGINT) AS i,
+  CAST(max(CASE WHEN i > start AND i <= start + ts THEN fold END) AS BIGINT) AS test_fold,
+  CAST(min(CASE WHEN i <= start THEN fold END) AS BIGINT) AS first_train_fold
+FROM (SELECT *, n - ({K} - f.fold + 1) * floor(n / {K + 1}) AS start, floor(n / {K + 1}) AS ts
+      FROM tw_num CROSS JOIN (VALUES {', '.join(f'({f})' for f in range(1, K + 1))}) f(fold) WHERE n > {K})
+GROUP BY ticker, forecast_days, date, i""")
     centred = [f"c{i}{j}" for i in range(4) for j in range(i, 4)] + [f"b{i}" for i in range(4)]
     sums = ", ".join(f"CAST(sum(CAST(round({c}, 4) AS DECIMAL(18, 4))) AS DOUBLE) AS s{c[1:] if c != 'y' else 'y'}"
                      for c in ("x0", "x1", "x2", "x3", "y"))
@@ -432,6 +438,7 @@ WHERE n > {K} AND i <= n - ({K} - f.fold + 1) * floor(n / {K + 1}) + floor(n / {
     coef_rows.append("SELECT ticker, forecast_days, 'intercept', round(intercept, 2) FROM tw_coef")
     q["ols_coefficients"] = _with(tw, "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, feature, "
                                       "coefficient FROM (" + "\nUNION ALL\n".join(coef_rows) + ")")
+    q["ols_incremental"] = q["ols_coefficients"]
     q["model_metrics"] = _with(tw, f"SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
                                    f"{_metrics_proj()} FROM tw_fit")
     q["last_train_date"] = _with(tw, "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
@@ -652,6 +659,18 @@ FROM (SELECT r.ticker, CAST(r.forecast_days AS BIGINT) AS forecast_days, l.versi
   DATE '{fx.AS_OF}' + CAST(length(m.ticker) AS INTEGER) AS date,
   round({_pred('h.hist', 'm.')}, 2) AS predicted_price, {_tier_names()} AS features_used
 FROM r1_models m JOIN sv_hist h ON h.ticker = m.ticker WHERE m.forecast_days = 30""")
+    part = "CAST(substr(m.ticker, 2) AS INTEGER)"
+    code = f"CASE WHEN {part} % 4 = 1 THEN '{config.MODEL_NOT_FOUND}' WHEN {part} % 3 = 0 THEN '{config.MODEL_CORRUPTED}' " \
+           f"WHEN coalesce(h.n_hist, 0) < {config.MIN_FEATURE_ROWS} THEN '{config.INSUFFICIENT_DATA}' END"
+    q["predict_named_status"] = _with(reg + serving_ctes(fx.HISTORY_DAYS), f"""SELECT ticker, version, date,
+  CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS status, error_code,
+  CASE WHEN error_code IS NULL THEN round(p, 2) END AS predicted_price
+FROM (SELECT m.ticker, CASE WHEN {part} % 4 = 1 THEN concat(m.version, '0') ELSE m.version END AS version,
+        DATE '{fx.AS_OF}' AS date, {code} AS error_code, {_pred('h.hist', 'm.')} AS p
+      FROM r1_models m LEFT JOIN sv_hist h ON h.ticker = m.ticker WHERE m.forecast_days = 5)""")
+    q["forecast_files"] = _with(forecast_ctes(), "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, "
+                                                 "CAST(step AS BIGINT) AS step, date, round(predicted_price, 2) AS predicted_price "
+                                                 "FROM fc WHERE forecast_days = 10")
     q["daily_close"] = """SELECT event_type AS ticker, CAST(ts AS DATE) AS date, value AS close FROM events
 QUALIFY row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1"""
     return q

@@ -22,10 +22,11 @@ from .prices import fixture_prices
 
 # --- fixed values: fixture parameters ----------------------------------------
 HORIZONS = (5, 10, 30)
+AS_OF = "2001-12-31"                 # every series ends 2001-09-24 .. 2001-11-04
 ONE_TICKER = "ALL"
+BOOK_DAYS = ("2001-09-14", "2001-10-19", "2001-11-30", AS_OF)   # day-by-day training: start and steps
 BLOCK_ROWS, BUCKET_DAYS = 64, 128    # small, so that the one series is cut into many blocks
 NO_DATA_TICKER = "ZZZZ"
-AS_OF = "2001-12-31"                 # every series ends 2001-09-24 .. 2001-11-04
 NOW = "2001-12-31 22:00:00"          # UTC; 17:00 New York, after the close
 HISTORY_DAYS = 900                   # the default 180 leaves no feature rows here
 RUN1_AS_OF = "2001-06-29"

@@ -88,6 +88,12 @@ def write_forecasts(forecasts: DataFrame, path: str, mode: str = "overwrite") ->
     rows.write.mode(mode).partitionBy("forecast_days").parquet(path)
 
 
+def read_forecasts(spark: SparkSession, path: str, horizons=None) -> DataFrame:
+    """Forecasts as written; with ``horizons`` only their partitions are read."""
+    rows = spark.read.schema(schema.FORECAST).parquet(path)
+    return rows if horizons is None else rows.where(F.col("forecast_days").isin([int(h) for h in horizons]))
+
+
 # --- latest snapshot ---------------------------------------------------------------
 
 def _fs(spark: SparkSession, path: str):
