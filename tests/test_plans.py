@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from tidecast.operators import features
@@ -111,3 +112,40 @@ def test_fan_out_equals_the_requested_pairs(spark, price_table):
     assert "array_contains" not in optimized[:optimized.index("Generate")]  # filtered before the rows fan out
     feats = features.build_features(train.training_window(p, fixtures.AS_OF), tickers=req)
     assert rows.count() == feats.count()
+
+
+def test_yearly_layout_reads_the_window_only(spark, tmp_path):
+    """Folders outside the look-back window are pruned, and the prices are still not shuffled."""
+    from tidecast.sources import write_yearly_prices
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        prices = fixture_prices(spark, SF001)
+        write_yearly_prices(prices, "prices_yearly_test", 8, path=str(tmp_path / "py"))
+        py = read_prices(spark, "prices_yearly_test", fmt="table")
+        window = train.training_window(py, "2000-06-30")
+        years = {r[0] for r in window.select(F.regexp_extract(F.input_file_name(), "year=(\\d+)", 1)).distinct().collect()}
+        assert years == {"1997", "1998", "1999", "2000"}
+        assert "PartitionFilters: [isnotnull(year" in _plan(window) and window.drop("year").exceptAll(
+            train.training_window(prices, "2000-06-30")).isEmpty()
+        res = train.train_all(py, fixtures.requests(spark, SF001), fixtures.AS_OF, now=fixtures.NOW, horizons=fixtures.HORIZONS)
+        assert _ticker_exchanges(res.models) == 1  # the requested horizons; no price row is shuffled
+        want = train.train_all(prices, fixtures.requests(spark, SF001), fixtures.AS_OF, now=fixtures.NOW, horizons=fixtures.HORIZONS)
+        assert res.models.select("version", "train_samples").exceptAll(want.models.select("version", "train_samples")).isEmpty()
+        tail = fc.history_tail(py, fixtures.HISTORY_DAYS, fixtures.AS_OF)
+        assert tail.exceptAll(fc.history_tail(prices, fixtures.HISTORY_DAYS, fixtures.AS_OF)).isEmpty() and not tail.isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS prices_yearly_test")
+
+
+def test_look_ups_read_their_buckets(spark, tmp_path):
+    from tidecast.sources import registry_store as store
+    root = str(tmp_path / "reg")
+    store.append_models(fixtures.registry(spark, SF001).models, root)
+    req = spark.createDataFrame([("S1", 5), ("S7", 30)], "ticker string, forecast_days int")
+    found = store.read_models_of(spark, root, req)
+    scan = [line for line in _plan(found).splitlines() if "PartitionFilters" in line and "bucket" in line]
+    listed = re.search(r"PartitionFilters: \[(?:isnotnull\(bucket#\d+\), )?\(?bucket#\d+ (?:IN \(([\d,]+)\)|= (\d+))", scan[0])
+    assert listed and len((listed[1] or listed[2]).split(",")) <= 2
+    want = store.read_models(spark, root).join(req, ["ticker", "forecast_days"], "left_semi").select("version")
+    assert sorted(found.select("version").collect()) == sorted(want.collect()) and found.count() == 4

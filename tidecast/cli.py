@@ -114,7 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 args, args.out)
         print(f"{models.count()} model version(s)", file=sys.stderr)
     elif args.command == "get":
-        _result(registry.get(store.read_models(spark, args.registry), _requests(spark, args),
+        _result(registry.get(store.read_models_of(spark, args.registry, _requests(spark, args)), _requests(spark, args),
                              store.read_tombstones(spark, args.registry)), args, args.out)
     elif args.command == "delete":
         _result(jobs.run_delete(spark, _requests(spark, args), args.registry, deleted_at=now), args, args.out)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources.prices import in_range
 
 
 def series_window() -> Window:
@@ -28,11 +29,7 @@ def restrict(prices: DataFrame, start=None, end=None, tickers: DataFrame | None
     a ``left_semi`` join keeps the requested series.  Its exchange on
     ``ticker`` is the same one the windows need.
     """
-    out = prices
-    if start is not None:
-        out = out.where(F.col("date") >= _as_date(start))
-    if end is not None:
-        out = out.where(F.col("date") <= _as_date(end))
+    out = in_range(prices, None if start is None else _as_date(start), None if end is None else _as_date(end))
     if tickers is not None:
         out = out.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
     return out

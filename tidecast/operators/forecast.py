@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import calendar
 from . import features
+from ..sources.prices import in_range
 from .business_calendar import next_business_days_via_calendar
 
 KEYS = ("ticker", "forecast_days")
@@ -38,11 +39,11 @@ def serving_frame(prices: DataFrame, history_days: int = config.FORECAST_HISTORY
     partitions and row groups are skipped and full history is neither sorted
     nor buffered.
     """
-    src = prices if as_of is None else prices.where(F.col("date") <= _date(as_of))
+    src = in_range(prices, end=None if as_of is None else _date(as_of))
     latest = src.groupBy("ticker").agg(F.max("date").alias("latest_date"))
     oldest = latest.agg(F.date_sub(F.min("latest_date"), history_days)).scalar()
     ends = latest.select(F.col("ticker").alias("_of"), "latest_date")
-    recent = src.where(F.col("date") >= oldest)
+    recent = in_range(src, start=oldest)
     ranged = (recent.join(ends, F.col("ticker") == F.col("_of")).drop("_of")
               .where(F.col("date") >= F.date_sub(F.col("latest_date"), history_days)))
     whole = features.series_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -25,7 +25,7 @@ from ..schema import missing_columns
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import fixtures, registry_store
 from ..sources.book_store import BookTables
-from ..sources.prices import daily_close, fixture_prices
+from ..sources.prices import daily_close, fixture_prices, read_prices, write_yearly_prices
 from . import forecast as fplan
 from . import incremental, jobs, report, train
 
@@ -132,6 +132,25 @@ def q_training_window(spark, sf):
     return train.training_window(fixture_prices(spark, sf), fixtures.AS_OF).select("ticker", "date", "close")
 
 
+def q_training_window_years(spark, sf):
+    """S1 from the two-level layout: the window of an earlier day, other years' folders unread."""
+    name = f"prices_{uuid.uuid4().hex}"
+    write_yearly_prices(fixture_prices(spark, sf), name, 8, path=f"{checkpoint_dir(spark)}/{name}")
+    window = train.training_window(read_prices(spark, name, fmt="table"), fixtures.RUN1_AS_OF)
+    return window.select("ticker", "date", "close")
+
+
+def q_registry_look_up(spark, sf):
+    """S7 in files: the requested keys' versions, read from their buckets."""
+    root = f"{checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    reg = fixtures.registry(spark, sf)
+    registry_store.append_models(reg.models, root)
+    registry_store.append_tombstones(reg.tombstones, root)
+    look = _lookups(reg.models.where((F.col("forecast_days") != 5) & (F.substring("ticker", 2, 9).try_cast("int") % 5 == 2)))
+    g = registry.get(registry_store.read_models_of(spark, root, look), look, registry_store.read_tombstones(spark, root))
+    return g.select("ticker", _i64("forecast_days").alias("forecast_days"), "last_trained_time", "status", "error_code", "version")
+
+
 # --- W8 P6 P7 P8 P9 W9 W10 ------------------------------------------------------
 
 def q_targets_multi_horizon(spark, sf):
@@ -446,7 +465,7 @@ def q_predict_named(spark, sf):
 def q_predict_named_status(spark, sf):
     """Named versions of which some are not stored, and some are incomplete: one row a request."""
     reg = fixtures.registry(spark, sf)
-    number = F.substring("ticker", 2, 9).cast("int")
+    number = F.substring("ticker", 2, 9).try_cast("int")
     models = reg.models.withColumn("intercept", F.when(number % 3 != 0, F.col("intercept")))
     named = reg.models.where((F.col("trained_at") == utc_instant(fixtures.RUN1_TRAINED_AT)) & (F.col("forecast_days") == 5))
     req = named.select("ticker", F.when(number % 4 == 1, F.concat("version", F.lit("0"))).otherwise(F.col("version")).alias("version"),
@@ -648,6 +667,8 @@ _QUERIES = {
     "latest_date": q_latest_date,
     "sufficiency_guard": q_sufficiency_guard,
     "training_window": q_training_window,
+    "training_window_years": q_training_window_years,
+    "registry_look_up": q_registry_look_up,
     "targets_multi_horizon": q_targets_multi_horizon,
     "feature_slots": q_feature_slots,
     "last_fold_split": q_last_fold_split,

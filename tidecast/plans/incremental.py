@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import features, halo, moments, split
 from ..sources.book_store import BookTables
+from ..sources.prices import in_range
 
 KEYS = ("ticker", "forecast_days")
 ROWS_A_BLOCK = 64
@@ -88,7 +89,7 @@ def start(prices: DataFrame, as_of, horizons: Iterable[int], tables: BookTables,
           test_size: float = config.DEFAULT_TEST_SIZE, lookback_days: int = config.TRAIN_LOOKBACK_DAYS) -> Book:
     """The book as of a day, from the whole history up to it."""
     hs = sorted({int(h) for h in horizons})
-    numbered = halo.positions(prices.where(F.col("date") <= _date(as_of)).select("ticker", "date", "close"))
+    numbered = halo.positions(in_range(prices, end=_date(as_of)).select("ticker", "date", "close"))
     tail = tables.keep(newest_rows(numbered, max(hs)), "tail")
     rows, _ = tables.append(_numbered(closed_rows(numbered, hs), F.lit(0)), as_of)
     early = F.col("date") < F.date_sub(_date(as_of), lookback_days)
@@ -115,9 +116,9 @@ def advance(book: Book, prices: DataFrame, as_of, tables: BookTables, test_size:
     """The book as of a later day.  Of ``prices`` only the days after ``book.as_of`` and the
     days that drop out of the window are read."""
     was, now = _date(book.as_of), _date(as_of)
-    days = prices.select("ticker", "date", "close")
-    fresh = days.where((F.col("date") > was) & (F.col("date") <= now))
-    dropped = days.where((F.col("date") >= F.date_sub(was, lookback_days)) & (F.col("date") < F.date_sub(now, lookback_days)))
+    names = ("ticker", "date", "close")
+    fresh = in_range(prices, F.date_add(was, 1), now).select(*names)
+    dropped = in_range(prices, F.date_sub(was, lookback_days), F.date_sub(now, lookback_days + 1)).select(*names)
 
     # the new rows' numbers go on where the tail ends; series that begin now start at 0
     ends = book.tail.groupBy("ticker").agg((F.max("pos") + 1).alias("_next"))

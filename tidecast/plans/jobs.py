@@ -46,7 +46,7 @@ def latest_models(spark: SparkSession, root: str, use_snapshot: bool = True) ->
     known = snap if since is None else snap.unionByName(since)
     deleted = cut_lineage(snap.join(tombs, list(registry.VERSION_KEY), "left_semi").select(*registry.MODEL_KEY))
     if not deleted.isEmpty():
-        older = models.join(deleted.distinct(), list(registry.MODEL_KEY), "left_semi")
+        older = store.read_models_of(spark, root, deleted)
         known = known.unionByName(older)
     return registry.latest(known, tombs)
 
@@ -114,7 +114,7 @@ def run_delete(spark: SparkSession, requests: DataFrame, registry_root: str,
     ensure_utc(spark)
     store.require_root(spark, registry_root)
     deleted_at = deleted_at or datetime.now(timezone.utc).replace(tzinfo=None)
-    models, tombs = store.read_models(spark, registry_root), store.read_tombstones(spark, registry_root)
+    models, tombs = store.read_models_of(spark, registry_root, requests), store.read_tombstones(spark, registry_root)
     new_tombs, outcome = registry.delete(models, requests, deleted_at, tombs)
     outcome = cut_lineage(outcome)
     store.append_tombstones(new_tombs, registry_root)  # readers apply them to any snapshot

@@ -399,6 +399,9 @@ LEFT JOIN cnt c ON c.ticker = t.ticker AND c.frame = w.frame""")
     q["training_window"] = _with(b, f"SELECT ticker, date, close FROM prices WHERE date <= DATE '{fx.AS_OF}' "
                                     f"AND date >= DATE '{fx.AS_OF}' - {config.TRAIN_LOOKBACK_DAYS}")
 
+    q["training_window_years"] = _with(b, f"SELECT ticker, date, close FROM prices WHERE date <= DATE '{fx.RUN1_AS_OF}' "
+                                          f"AND date >= DATE '{fx.RUN1_AS_OF}' - {config.TRAIN_LOOKBACK_DAYS}")
+
     tw = b + train_ctes("tw", fx.AS_OF, restrict=False, guard=False)
     q["targets_multi_horizon"] = _with(tw, "SELECT ticker, CAST(forecast_days AS BIGINT) AS forecast_days, date, "
                                            "price, target FROM tw_xy")
@@ -469,6 +472,9 @@ GROUP BY ticker, forecast_days, date, i""")
                f"UNION ALL SELECT ticker, forecast_days, {_api('trained_at + INTERVAL 1 SECOND')} FROM reg "
                f"WHERE forecast_days = 5")
     q["registry_get"] = _with(reg, _lookup_result(lookups))
+    some = (f"SELECT ticker, forecast_days, {_api('trained_at')} AS last_trained_time FROM reg "
+            f"WHERE forecast_days <> 5 AND CAST(substr(ticker, 2) AS INTEGER) % 5 = 2")
+    q["registry_look_up"] = _with(reg, f"SELECT * EXCLUDE (mae) FROM ({_lookup_result(some)})")
     dels = (f"SELECT ticker, forecast_days, {_api('trained_at')} AS last_trained_time FROM r2_models "
             f"WHERE forecast_days IN (5, {fx.DELETED_HORIZON})")
     q["registry_delete"] = _with(reg, f"""SELECT q.ticker, CAST(q.forecast_days AS BIGINT) AS forecast_days,

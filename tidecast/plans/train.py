@@ -23,6 +23,7 @@ from .. import outcomes as texts
 from ..functions import quality, versions
 from ..functions.instants import utc_instant
 from ..operators import evaluate, features, freshness, ols, split
+from ..sources.prices import in_range
 
 KEYS = ("ticker", "forecast_days")
 
@@ -45,7 +46,7 @@ def training_window(prices: DataFrame, as_of, lookback_days: int = config.TRAIN_
     windows and reach the scan as pushed filters.
     """
     d = _date(as_of)
-    return prices.where((F.col("date") <= d) & (F.col("date") >= F.date_sub(d, lookback_days)))
+    return in_range(prices, F.date_sub(d, lookback_days), d)
 
 
 def requested_horizons(requests: DataFrame) -> DataFrame:

@@ -8,24 +8,39 @@ the three-column projection down into the scan.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataFetchError
 from ..schema import require_columns
 
+YEAR = "year"  # the folder column of ``write_yearly_prices``
+
 
 def normalize_prices(df: DataFrame, ticker: str = "ticker", date: str = "date",
                      close: str = "close") -> DataFrame:
-    """Project the three columns; ``DATE(date)`` accepts a date or a timestamp."""
+    """Project the three columns; ``DATE(date)`` accepts a date or a timestamp.  A
+    source laid out by year (``write_yearly_prices``) keeps the column that prunes it."""
     require_columns(df, (ticker, date, close))
     return df.select(
         F.col(ticker).cast("string").alias("ticker"),
         F.to_date(F.col(date)).alias("date"),
         F.col(close).cast("double").alias("close"),
+        *[F.col(c) for c in df.columns if c == YEAR],
     )
 
 
+def in_range(prices: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """``start <= date <= end``; in a source laid out by year also by its folders, so that
+    those outside the range are not listed (bounds known only at run time prune then)."""
+    for bound, later in ((start, True), (end, False)):
+        if bound is not None:
+            prices = prices.where(F.col("date") >= bound if later else F.col("date") <= bound)
+            if YEAR in prices.columns:
+                prices = prices.where(F.col(YEAR) >= F.year(bound) if later else F.col(YEAR) <= F.year(bound))
+    return prices
+
+
 def read_prices(spark: SparkSession, source: str, fmt: str = "parquet",
                 options: dict | None = None, **columns) -> DataFrame:
     """Read prices from a path (``fmt`` = parquet/orc/csv/json/...) or, with
@@ -62,6 +77,21 @@ def write_bucketed_prices(prices: DataFrame, table: str, num_buckets: int, path:
     w.saveAsTable(table)
 
 
+def write_yearly_prices(prices: DataFrame, table: str, num_buckets: int, path: str | None = None,
+                        mode: str = "overwrite") -> None:
+    """Two levels: a folder per year, in each the tickers in ``num_buckets`` buckets.
+
+    A look-back window of three years reads three or four folders of any history, and
+    what it reads still lies by ticker, so the price rows are not shuffled (a bucket's files of
+    several years make one task).  A new day touches the newest folder only."""
+    rows = normalize_prices(prices.drop(YEAR)).withColumn(YEAR, F.year("date"))
+    w = (rows.repartition(num_buckets, "ticker").sortWithinPartitions(YEAR, "ticker", "date")
+         .write.mode(mode).partitionBy(YEAR).bucketBy(num_buckets, "ticker").sortBy("ticker", "date").format("parquet"))
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
+
+
 def daily_close(ticks: DataFrame, ts: str = "ts", ticker: str = "ticker",
                 price: str = "price", day: str | None = None) -> DataFrame:
     """Reduce several rows per ticker and day to the day's last price (by

@@ -2,7 +2,8 @@
 
 Layout under one registry root (any Hadoop-compatible path):
 
-* ``models/``     append-only model versions (``schema.MODEL``);
+* ``models/bucket=<b>/`` append-only model versions (``schema.MODEL``), by a hash of
+  (ticker, forecast_days): look-ups read the buckets of their keys alone;
 * ``tombstones/`` append-only deletions (``schema.TOMBSTONE``);
 * ``run_log/``    append-only training run records (``schema.RUN_LOG``);
 * ``latest/snapshot=<time>-<id>/`` a cache: the newest live version per key
@@ -22,8 +23,9 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from .. import schema
 from ..errors import RegistryNotFound
@@ -56,8 +58,28 @@ def _conform(df: DataFrame, struct) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in struct.fields])
 
 
+KEY_BUCKETS = 16
+_STORED_MODEL = StructType([*schema.MODEL.fields]).add("bucket", IntegerType())
+_MODEL_NAMES = [f.name for f in schema.MODEL.fields]
+
+
+def key_bucket() -> Column:
+    """The folder of a key's versions."""
+    return F.pmod(F.xxhash64(F.col("ticker"), F.col("forecast_days").cast("int")), F.lit(KEY_BUCKETS)).cast("int")
+
+
 def read_models(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, _path(root, "models"), schema.MODEL)
+    return _read(spark, _path(root, "models"), _STORED_MODEL).select(*_MODEL_NAMES)
+
+
+def read_models_of(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
+    """The versions of the requested keys.  Only the folders of their buckets are listed
+    for the scan; which those are is at most ``KEY_BUCKETS`` numbers."""
+    keys = requests.select("ticker", F.col("forecast_days").try_cast("int").alias("forecast_days")).where(
+        F.col("ticker").isNotNull() & F.col("forecast_days").isNotNull()).distinct()
+    buckets = sorted(r[0] for r in keys.select(key_bucket()).distinct().collect())
+    rows = _read(spark, _path(root, "models"), _STORED_MODEL).where(F.col("bucket").isin(buckets))
+    return rows.join(keys, ["ticker", "forecast_days"], "left_semi").select(*_MODEL_NAMES)
 
 
 def read_tombstones(spark: SparkSession, root: str) -> DataFrame:
@@ -69,7 +91,8 @@ def read_run_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def append_models(models: DataFrame, root: str) -> None:
-    _conform(models, schema.MODEL).write.mode("append").parquet(_path(root, "models"))
+    rows = _conform(models, schema.MODEL).withColumn("bucket", key_bucket())
+    rows.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(_path(root, "models"))
 
 
 def append_tombstones(tombstones: DataFrame, root: str) -> None:
