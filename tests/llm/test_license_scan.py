@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidecast.llm import license_scan as L
@@ -76,3 +77,49 @@ def test_documents(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in L.scan(docs).collect():
         assert {m.template for m in r.matches} >= brute(texts[r.doc_id])
+
+
+def test_every_repeat_is_a_match():
+    plans = L.make_plans(L.TEMPLATES)
+    short = min(L.TEMPLATES, key=lambda n: len(L.split(L.TEMPLATES[n].encode())))
+    long = max(L.TEMPLATES, key=lambda n: len(L.split(L.TEMPLATES[n].encode())))
+    for name in (short, long):
+        notice = L.TEMPLATES[name]
+        n = len(L.split(notice.encode()))
+        for copies in (1, 2, 5):
+            text = ("before it " + " ".join([notice] * copies) + " and after").encode()
+            got = [m[1:3] for m in L.scan_batch([text], plans)[0] if m[0] == name]
+            assert got == [(2 + i * n, 2 + (i + 1) * n) for i in range(copies)], (name, copies)
+
+
+def test_five_hundred_templates():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    templates = {f"L{i}": " ".join(rng.choices(words, k=rng.choice([20, 60, 300]))) for i in range(500)}
+    plans = L.make_plans(templates)
+    picked = rng.sample(sorted(templates), 12)
+    texts = [" ".join([*rng.choices(words, k=50), templates[n], *rng.choices(words, k=50)]).encode() for n in picked]
+    for name, matches in zip(picked, L.scan_batch(texts, plans), strict=True):
+        size = len(templates[name].split())
+        assert [m[:3] for m in matches] == [(name, 50, 50 + size)] and matches[0][3] == 1.0
+
+
+def test_only_windows_that_cannot_match_are_skipped():
+    """With every window kept the matches are the same."""
+    rng = random.Random(8)
+    plans = L.make_plans(L.TEMPLATES)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            words = rng.choice(list(L.TEMPLATES.values())).split()
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = "other"
+            parts += words + [f"x{rng.randrange(50)}" for _ in range(rng.randrange(12))]
+        texts.append(" ".join(parts).encode())
+    got = L.scan_batch(texts, plans)
+    keep, L.promising = L.promising, lambda spans, starts, plan, containment: np.arange(len(starts))
+    try:
+        assert L.scan_batch(texts, plans) == got and any(got)
+    finally:
+        L.promising = keep

@@ -109,27 +109,63 @@ def _salts(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def promising(spans: np.ndarray, starts: np.ndarray, plan: Plan, containment: float) -> np.ndarray:
+    """The windows that hold as many template shingles as any match needs.  A position is
+    looked at closely only if its hash's low bits are those of some template shingle."""
+    known = np.unique(np.concatenate(plan.shingles))
+    low = np.zeros(1 << 16, bool)
+    low[known & np.uint64(0xFFFF)] = True
+    maybe = np.flatnonzero(low[spans & np.uint64(0xFFFF)])
+    at = maybe[np.isin(spans[maybe], known)]
+    held = np.searchsorted(at, starts + plan.spans) - np.searchsorted(at, starts)
+    return np.flatnonzero(held >= max(1, enough(containment, min(map(len, plan.shingles)))))
+
+
+def enough(containment: float, shingles: int) -> int:
+    """How many of a template's shingles are that share of them."""
+    return math.ceil(containment * shingles - 1e-9)
+
+
 def candidates(spans: np.ndarray, starts: np.ndarray, plan: Plan) -> np.ndarray:
     """Rows (window, template) that share a MinHash band; ``spans``: the shingles of a whole
     batch, ``starts``: where each window begins in them (all windows plan.spans long)."""
     pairs: list[np.ndarray] = []
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    for salt in _salts(plan.bands):
-        value = mix(spans ^ salt)
-        least, reach = value, 1  # running minima over plan.spans shingles by doubling
-        while 2 * reach <= plan.spans:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        rest = plan.spans - reach
-        here = np.minimum(least[starts], least[starts + rest])
-        for t, shingles in enumerate(plan.shingles):
-            hit = np.flatnonzero(here == mix(shingles ^ salt).min())
-            if len(hit):
-                pairs.append(np.stack([hit, np.full(len(hit), t)], 1))
+    some = max(1, (1 << 20) // plan.spans)  # windows at once
+    salts = _salts(plan.bands)
+    # band by band the templates' values, sorted: a window's value is looked up in them
+    values = np.array([[mix(shingles ^ salt).min() for shingles in plan.shingles] for salt in salts], np.uint64)
+    order = np.argsort(values, axis=1, kind="stable")
+    for i in range(0, len(starts), some):
+        inside = spans[starts[i:i + some, None] + np.arange(plan.spans)]
+        for band, salt in enumerate(salts):
+            here = mix(inside ^ salt).min(axis=1)
+            row = values[band, order[band]]
+            first, last = np.searchsorted(row, here, "left"), np.searchsorted(row, here, "right")
+            hit = np.flatnonzero(last > first)
+            many = (last - first)[hit]
+            place = np.repeat(first[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pairs.append(np.stack([np.repeat(hit, many) + i, order[band, place]], 1))
     return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
 
 
+def stretches(part: np.ndarray, template: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(first, last, distinct) of the runs of a window's positions that hold ``need`` distinct
+    shingles of a template, none of them twice: at a repeat a run ends, and the next one
+    starts behind the earlier place of the shingle that repeats.  Runs may overlap."""
+    out, run = [], {}  # shingle -> position, in order of position
+    for at in np.flatnonzero(np.isin(part, template)).tolist():
+        shingle = int(part[at])
+        if shingle in run:
+            if len(run) >= need:
+                out.append((next(iter(run.values())), next(reversed(run.values())), len(run)))
+            earlier = run[shingle]
+            run = {k: v for k, v in run.items() if v > earlier}
+        run[shingle] = at
+    if len(run) >= need:
+        out.append((next(iter(run.values())), next(reversed(run.values())), len(run)))
+    return out
+
+
 def scan_batch(texts: list[bytes], plans: list[Plan], containment: float = CONTAINMENT) -> list[list[tuple]]:
     """Per text its matches (template, first word, end word, containment), ordered."""
     found = [split(t) for t in texts]
@@ -150,14 +186,13 @@ def scan_batch(texts: list[bytes], plans: list[Plan], containment: float = CONTA
         starts = firsts[of] + step * plan.stride
         starts = np.minimum(starts, len(spans) - plan.spans)
         matches: dict[tuple[int, int], dict[tuple[int, int], float]] = {}
-        for w, t in candidates(spans, starts, plan).tolist():
-            part = spans[starts[w]:starts[w] + plan.spans]
-            held = np.flatnonzero(np.isin(part, plan.shingles[t]))
-            share = len(np.unique(part[held])) / len(plan.shingles[t])
-            if share >= containment:
-                first = int(starts[w] - firsts[of[w]])
-                place = (first + int(held[0]), first + int(held[-1]) + plan.width)
-                matches.setdefault((int(of[w]), t), {})[place] = share
+        close = promising(spans, starts, plan, containment)
+        for c, t in candidates(spans, starts[close], plan).tolist():
+            w = close[c]
+            first = int(starts[w] - firsts[of[w]])
+            size = len(plan.shingles[t])
+            for a, b, distinct in stretches(spans[starts[w]:starts[w] + plan.spans], plan.shingles[t], enough(containment, size)):
+                matches.setdefault((int(of[w]), t), {})[first + a, first + b + plan.width] = distinct / size
         for (doc, t), places in matches.items():
             taken: list[tuple[int, int]] = []
             for (a, b), share in sorted(places.items(), key=lambda x: (-x[1], x[0][1] - x[0][0], x[0])):
