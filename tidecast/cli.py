@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .operators import registry
+from .operators import business_calendar, registry, sessions
 from .plans import jobs
 from .session import build_session
 from .sources import read_prices
@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--status-out", help="forecast: folder for the status of every request")
     p.add_argument("--max-horizon", type=int, default=config.MAX_HORIZON, help="largest horizon a request may name")
     p.add_argument("--task-id", action="append", help="runs: only these task or run ids")
+    p.add_argument("--calendar", help="Parquet table (date, is_business_day) to use instead of the built-in US business days")
     p.add_argument("--show", type=int, default=0, help="with --out: rows to preview")
     args = p.parse_args(argv)
     spark = spark or build_session()
@@ -82,14 +83,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.error("--prices is required")
         prices = read_prices(spark, args.prices, fmt=args.prices_format)
         req = _requests(spark, args).select("ticker", "forecast_days")
+        market = sessions.sessions(spark.read.parquet(args.calendar)) if args.calendar else None
         if args.command == "train":
             _result(jobs.run_training(spark, prices, req, args.registry, as_of=args.as_of, now=now,
-                                      max_horizon=args.max_horizon), args, args.out)
+                                      max_horizon=args.max_horizon, market_sessions=market), args, args.out)
         else:
             if not args.out:
                 p.error("--out is required")
             _result(jobs.run_forecast(spark, prices, req, args.registry, args.out, as_of=args.as_of,
-                                      history_days=args.history_days, max_horizon=args.max_horizon),
+                                      history_days=args.history_days, max_horizon=args.max_horizon,
+                                      business_calendar=business_calendar.numbered(spark.read.parquet(args.calendar)) if args.calendar else None),
                     args, args.status_out)
         return 0
     store.require_root(spark, args.registry)

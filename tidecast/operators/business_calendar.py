@@ -35,6 +35,12 @@ def calendar_between(span: DataFrame, start: str = "start", end: str = "end") ->
                     (F.col("_in_year") + F.col("_offset")).alias("bd_index")))
 
 
+def numbered(days: DataFrame) -> DataFrame:
+    """A user's calendar ``(date, is_business_day)`` with the running ``bd_index`` (one row a day)."""
+    so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a calendar of one country: days, not data
+    return days.select("date", "is_business_day", F.sum(F.col("is_business_day").cast("long")).over(so_far).alias("bd_index"))
+
+
 def calendar_for(df: DataFrame, date_col: str = "date", pad_days: int = 0) -> DataFrame:
     """Calendar spanning the dates of ``df`` (plus ``pad_days`` after)."""
     span = df.agg(F.min(date_col).alias("start"), F.date_add(F.max(date_col), pad_days).alias("end"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import calendar, quality
-from . import registry
+from . import registry, sessions
 
 
 def is_stale(trained_at: Column, now: Column) -> Column:
@@ -29,15 +29,22 @@ def is_stale(trained_at: Column, now: Column) -> Column:
             .otherwise(trained_at < close_before))
 
 
-def needs_training(requests: DataFrame, latest_models: DataFrame | None, now: Column) -> DataFrame:
+def needs_training(requests: DataFrame, latest_models: DataFrame | None, now: Column,
+                   market_sessions: DataFrame | None = None) -> DataFrame:
     """Requests ``(ticker, forecast_days)`` + ``needs_training`` and the
-    latest model's ``version`` / ``trained_at`` (null when none)."""
+    latest model's ``version`` / ``trained_at`` (null when none).
+
+    ``market_sessions`` (``sessions.sessions`` of any calendars) replaces the built-in US
+    rules; requests may then name their ``country``."""
     if latest_models is None:
         return requests.withColumns({"version": F.lit(None).cast("string"),
                                      "trained_at": F.lit(None).cast("timestamp"),
                                      "needs_training": F.lit(True)})
     lm = latest_models.where(~quality.incomplete_model()).select(*registry.MODEL_KEY, "version", "trained_at")
     out = requests.join(lm, list(registry.MODEL_KEY), "left")
+    if market_sessions is not None:
+        dated = sessions.with_clock(out, now, market_sessions)
+        return dated.withColumn("needs_training", sessions.is_stale(F.col("trained_at"), now)).select(*out.columns, "needs_training")
     return out.withColumn("needs_training", is_stale(F.col("trained_at"), now))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import calendar, quality, versions
 from ..functions.instants import ensure_utc, utc_instant
-from ..operators import business_calendar, evaluate, features, forecast, freshness, halo, ols, registry, split
+from ..operators import business_calendar, evaluate, features, forecast, freshness, halo, ols, registry, sessions, split
 from ..schema import missing_columns
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import fixtures, registry_store
@@ -346,6 +346,29 @@ def q_needs_training_instants(spark, sf):
     return out
 
 
+def q_needs_training_calendars(spark, sf):
+    """T8 by two calendars: requests name a country, sessions come from a table."""
+    reg = fixtures.registry(spark, sf)
+    lat = cut_lineage(registry.latest(reg.models, reg.tombstones))
+    table = cut_lineage(sessions.sessions(fixtures.calendars(spark, sf)))
+    out = None
+    for now in fixtures.INSTANTS:
+        one = freshness.needs_training(fixtures.with_country(fixtures.requests(spark, sf)), lat, utc_instant(now), table).select(
+            F.lit(now).alias("now"), "country", "ticker", _i64("forecast_days").alias("forecast_days"), "needs_training")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_next_sessions(spark, sf):
+    """T2, T3 and J4 in join form, by two calendars."""
+    latest = fixtures.with_country(fixture_prices(spark, sf).groupBy("ticker").agg(F.max("date").alias("latest_date")))
+    table = sessions.sessions(fixtures.calendars(spark, sf))
+    last = sessions.clocks(latest.select("country", F.col("latest_date").alias("today")), table).select(
+        "country", F.col("today").alias("latest_date"), "last_business_day")
+    days = sessions.next_sessions(latest, table, F.lit(30)).join(last, ["country", "latest_date"])
+    return days.select("ticker", "country", "latest_date", "last_business_day", _i64("step").alias("step"), "date")
+
+
 # --- corrupt versions; the registry in files ------------------------------------------
 
 def q_registry_corrupt(spark, sf):
@@ -688,6 +711,8 @@ _QUERIES = {
     "version_strings": q_version_strings,
     "needs_training": q_needs_training,
     "skip_report": q_skip_report,
+    "needs_training_calendars": q_needs_training_calendars,
+    "next_sessions": q_next_sessions,
     "business_calendar": q_business_calendar,
     "next_business_days": q_next_business_days,
     "last_business_day": q_last_business_day,

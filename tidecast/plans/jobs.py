@@ -60,7 +60,8 @@ def compact(spark: SparkSession, root: str) -> str:
 
 def run_training(spark: SparkSession, prices: DataFrame, requests: DataFrame, registry_root: str,
                  as_of=None, now: datetime | None = None, horizons=None,
-                 test_size: float = config.DEFAULT_TEST_SIZE, max_horizon: int = config.MAX_HORIZON) -> DataFrame:
+                 test_size: float = config.DEFAULT_TEST_SIZE, max_horizon: int = config.MAX_HORIZON,
+                 market_sessions: DataFrame | None = None) -> DataFrame:
     """Train stale requests, append new versions and one run-log row per
     request (with the job's duration).  Returns the run log as written.
 
@@ -71,7 +72,7 @@ def run_training(spark: SparkSession, prices: DataFrame, requests: DataFrame, re
     as_of = as_of or market_day(now)
     current = latest_models(spark, registry_root)
     res = train_all(prices, requests, as_of, now=now, latest_models=current, horizons=horizons,
-                    test_size=test_size, materialize=cut_lineage, max_horizon=max_horizon)
+                    test_size=test_size, materialize=cut_lineage, max_horizon=max_horizon, market_sessions=market_sessions)
     if not res.models.isEmpty():  # nothing trained: no files
         store.append_models(res.models, registry_root)
         if store.uncovered_files(spark, registry_root) >= config.FILES_BEFORE_SNAPSHOT:

@@ -245,17 +245,17 @@ def registry_ctes() -> list[tuple[str, str]]:
             ])
 
 
-def clock_cte(now: str = fx.NOW) -> tuple[str, str]:
+def clock_cte(now: str = fx.NOW, bd=is_bd) -> tuple[str, str]:
     """One row: now (timestamptz), today (NY date), today's close and the
     close of the last business day before today."""
     today = f"CAST({_ny(f'TIMESTAMP {chr(39)}{now}{chr(39)}')} AS DATE)"
     close = f"timezone('{TZ}', CAST(d AS TIMESTAMP) + INTERVAL 16 HOUR + INTERVAL 30 MINUTE)"
     return ("clock", f"""SELECT {_utc(f"TIMESTAMP '{now}'")} AS now_tz, today,
-  {is_bd('today')} AS today_is_bd,
+  {bd('today')} AS today_is_bd,
   (SELECT {close} FROM (SELECT today AS d)) AS close_today,
   (SELECT {close} FROM (SELECT max(d) AS d FROM (
       SELECT CAST(unnest(generate_series(today - 10, today - 1, INTERVAL 1 DAY)) AS DATE) AS d) c
-   WHERE {is_bd('d')})) AS close_before
+   WHERE {bd('d')})) AS close_before
 FROM (SELECT {today} AS today)""")
 
 
@@ -640,6 +640,27 @@ LEFT JOIN ev_nfeat nf ON nf.ticker = r.ticker""")
         f"FROM req r LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days CROSS JOIN clock{i} k"
         for i, now in enumerate(fx.INSTANTS))
     q["needs_training_instants"] = _with(reg + [(f"clock{i}", clock_cte(now)[1]) for i, now in enumerate(fx.INSTANTS)], stale_at)
+    def other_bd(d: str) -> str:
+        return f"(isodow({d}) NOT IN (5, 6) AND NOT (month({d}) = 12 AND day({d}) = 31))"
+    xx = fx.OTHER_COUNTRY
+    land = f"CASE WHEN coalesce(TRY_CAST(substr({{t}}.ticker, 2) AS INTEGER), 0) % 2 = 1 THEN 'US' ELSE '{xx}' END"
+    both = [(f"{c}{i}", clock_cte(now, bd)[1]) for i, now in enumerate(fx.INSTANTS) for c, bd in (("us", is_bd), ("ot", other_bd))]
+    by_land = "\nUNION ALL\n".join(
+        f"SELECT '{now}' AS now, {land.format(t='r')} AS country, r.ticker, CAST(r.forecast_days AS BIGINT) AS forecast_days, {STALE} AS needs_training "
+        f"FROM req r LEFT JOIN latest l ON l.ticker = r.ticker AND l.forecast_days = r.forecast_days "
+        f"JOIN (SELECT 'US' AS land, * FROM us{i} UNION ALL SELECT '{xx}', * FROM ot{i}) k ON k.land = {land.format(t='r')}"
+        for i, now in enumerate(fx.INSTANTS))
+    q["needs_training_calendars"] = _with(reg + both, by_land)
+    q["next_sessions"] = _with(b + [
+        ("latest_dates", f"SELECT ticker, {land.format(t='prices')} AS country, max(date) AS latest_date FROM prices GROUP BY 1, 2"),
+        ("cal", f"SELECT d, {is_bd('d')} AS us, {other_bd('d')} AS ot FROM (SELECT CAST(unnest(generate_series("
+                f"(SELECT min(date) FROM prices), DATE '{fx.CALENDAR_END}', INTERVAL 1 DAY)) AS DATE) AS d)"),
+        ("open_days", f"SELECT 'US' AS country, d FROM cal WHERE us UNION ALL SELECT '{xx}', d FROM cal WHERE ot")],
+        """SELECT l.ticker, l.country, l.latest_date,
+  (SELECT max(d) FROM open_days p WHERE p.country = l.country AND p.d < l.latest_date) AS last_business_day,
+  row_number() OVER (PARTITION BY l.ticker ORDER BY o.d) AS step, o.d AS date
+FROM latest_dates l JOIN open_days o ON o.country = l.country AND o.d > l.latest_date
+QUALIFY step <= 30""")
     corrupt = (f"(l.trained_at = TIMESTAMP '{fx.RUN2_TRAINED_AT}' AND l.forecast_days = 30 "
                "AND CAST(substr(l.ticker, 2) AS INTEGER) % 3 = 0)")
     q["registry_corrupt"] = _with(reg + serving_ctes(fx.HISTORY_DAYS), f"""SELECT ticker, forecast_days, version,

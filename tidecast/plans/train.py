@@ -155,7 +155,8 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
               latest_models: DataFrame | None = None, horizons=None,
               test_size: float = config.DEFAULT_TEST_SIZE,
               lookback_days: int = config.TRAIN_LOOKBACK_DAYS,
-              materialize=None, max_horizon: int = config.MAX_HORIZON) -> TrainResult:
+              materialize=None, max_horizon: int = config.MAX_HORIZON,
+              market_sessions: DataFrame | None = None) -> TrainResult:
     """B1: validate -> staleness -> window -> features -> split -> fit ->
     metrics, for all requests at once.
 
@@ -167,7 +168,8 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
     per-request outcome table before it fans out into ``models`` and
     ``run_log`` (a job passes a reliable checkpoint so that writing both
     does not run the training plan twice).  ``max_horizon``: the largest
-    horizon that a valid request may name.
+    horizon that a valid request may name.  ``market_sessions``: sessions of another
+    calendar than the built-in one, for the staleness check.
 
     Returns lazy ``models`` (registry rows) and ``run_log`` (one row per
     request: completed / skipped / failed with an error code).
@@ -184,7 +186,7 @@ def train_all(prices: DataFrame, requests: DataFrame, as_of, now=None,
         clean = clean.where(listed)
     # staleness is decided once: the outcome table below carries it, so a
     # job that appends to the registry never re-reads it for the run log
-    checked = freshness.needs_training(clean, latest_models, now_c)
+    checked = freshness.needs_training(clean, latest_models, now_c, market_sessions)
     if materialize is not None:  # one row per request: cheap to pin down first
         checked = materialize(checked)
     stale = checked.where(F.col("needs_training")).select(*KEYS)

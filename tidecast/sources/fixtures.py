@@ -24,6 +24,7 @@ from .prices import fixture_prices
 HORIZONS = (5, 10, 30)
 AS_OF = "2001-12-31"                 # every series ends 2001-09-24 .. 2001-11-04
 ONE_TICKER = "ALL"
+OTHER_COUNTRY, CALENDAR_END = "XX", "2002-03-31"
 BOOK_DAYS = ("2001-09-14", "2001-10-19", "2001-11-30", AS_OF)   # day-by-day training: start and steps
 BLOCK_ROWS, BUCKET_DAYS = 64, 128    # small, so that the one series is cut into many blocks
 NO_DATA_TICKER = "ZZZZ"
@@ -73,6 +74,22 @@ def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("date").agg(F.max("close").alias("close")).select(F.lit(ONE_TICKER).alias("ticker"), "date", "close")
 
 
+def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calendars over the span of the prices and the instants: the built-in one, and one
+    that works from Sunday to Thursday and closes on the last day of the year."""
+    from ..operators import sessions
+    span = fixture_prices(spark, sf_dir).agg(F.min("date").alias("start"), F.lit(CALENDAR_END).cast("date").alias("end"))
+    us = sessions.united_states(span)
+    d = F.col("date")
+    open_day = ~F.dayofweek(d).isin(6, 7) & ~((F.month(d) == 12) & (F.dayofmonth(d) == 31))
+    return us.unionByName(us.select(F.lit(OTHER_COUNTRY).alias("country"), "date", open_day.alias("is_business_day")))
+
+
+def with_country(rows: DataFrame) -> DataFrame:
+    odd = F.coalesce(F.substring("ticker", 2, 9).try_cast("int"), F.lit(0)) % 2 == 1
+    return rows.withColumn("country", F.when(odd, F.lit("US")).otherwise(F.lit(OTHER_COUNTRY)))
+
+
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-history source: one series per event type over 30 days."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
