@@ -1,10 +1,11 @@
 """A gated recurrent language model in numpy with a class-factored softmax.
 
-Word ids lie in CLASSES classes of equal size by frequency; the probability of
-a word is that of its class times its share in the class, so a step costs two
-short softmaxes.  Training runs truncated backpropagation over windows of a
-token stream in parallel lanes and carries the state from window to window;
-scoring carries it through a whole document.
+Word ids lie in ``side`` classes of ``side`` members by frequency; the
+probability of a word is that of its class times its share in the class, so a
+step costs two short softmaxes.  The side grows with the counted words (see
+``side_for``).  Training runs truncated backpropagation over windows of a token
+stream in parallel lanes and carries the state from window to window; scoring
+carries it through a whole document.
 """
 
 from __future__ import annotations
@@ -12,41 +13,49 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 24
-CLASSES = 32
-MEMBERS = 32
-VOCABULARY = CLASSES * MEMBERS  # with the two below
+LEAST_SIDE = 32
+VOCABULARY = LEAST_SIDE ** 2    # the smallest vocabulary, with the two below
 END, UNKNOWN = 0, 1             # ids of the end of a text and of words outside the vocabulary
-LANES, WINDOW = 32, 16          # of training
-SCORE_LANES, SCORE_WINDOW = 256, 64
+LANES, MOST_LANES = 32, 512     # of training: more lanes where a stream has STEPS windows for each
+WINDOW, STEPS = 16, 256
+RATE = 0.004                    # with LANES lanes; grows as the root of their number
+SCORE_LANES, SCORE_WINDOW = 512, 16
 
 Params = dict[str, np.ndarray]
-SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "n": (HIDDEN,), "c": (HIDDEN, CLASSES),
-          "cb": (CLASSES,), "w": (CLASSES, HIDDEN, MEMBERS), "wb": (CLASSES, MEMBERS)}
+
+
+def side_for(distinct: int) -> int:
+    """Classes, and members of a class, for so many different words: the vocabulary is their
+    square root, so that weights sent to every task stay small (40 MB for 10^10 words)."""
+    return max(LEAST_SIDE, int(np.ceil(distinct ** 0.25)))
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    return {"x": (side * side, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "n": (HIDDEN,), "c": (HIDDEN, side),
+            "cb": (side,), "w": (side, HIDDEN, side), "wb": (side, side)}
 
 
 def initial(counts: np.ndarray, seed: int = 1) -> Params:
-    """Small random weights; the output starts from the ids' counts, as a unigram model."""
+    """Small random weights; the output starts from the ids' counts (the square of a side), as a unigram model."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.normal(size=s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
+    side = int(round(len(counts) ** 0.5))
+    p = {k: (rng.normal(size=s) * 0.1).astype(np.float32) for k, s in shapes(side).items()}
     p["n"][:] = 0
     p["x"][:, HIDDEN:2 * HIDDEN] += 1.0  # at first most of the state is kept
-    share = (counts + 0.5).reshape(CLASSES, MEMBERS)
+    share = (counts + 0.5).reshape(side, side)
     p["cb"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
     p["wb"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     return p
 
 
 def flat(p: Params) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+    return np.concatenate([x.ravel() for x in p.values()])
 
 
-def shaped(values: np.ndarray) -> Params:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = np.asarray(values[at:at + n], np.float32).reshape(s)
-        at += n
-    return out
+def shaped(values: np.ndarray, like: Params) -> Params:
+    """The weights of ``flat`` as views of ``values``."""
+    cuts = np.cumsum([x.size for x in like.values()])[:-1]
+    return {k: part.reshape(x.shape) for (k, x), part in zip(like.items(), np.split(values, cuts), strict=True)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,120 +71,137 @@ def states(p: Params, inputs: np.ndarray, h: np.ndarray, keep: list | None = Non
     state ``h`` before; a lane starts anew where its input is END."""
     out = np.empty((*inputs.shape, HIDDEN), np.float32)
     for t, ids in enumerate(inputs):
-        h = np.where((ids == END)[:, None], np.float32(0), h)
+        if (ended := ids == END).any():
+            h = np.where(ended[:, None], h.dtype.type(0), h)
         x, g = p["x"][ids], h @ p["u"]
         gate = _sigmoid(x[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
         r, z = gate[:, :HIDDEN], gate[:, HIDDEN:]
         m = g[:, 2 * HIDDEN:] + p["n"]
         new = np.tanh(x[:, 2 * HIDDEN:] + r * m)
         if keep is not None:
-            keep.append((h, r, z, m, new))
+            keep.append((h, gate, m, new))
         h = new + z * (h - new)
         out[t] = h
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
-
-
-def _log_total(x: np.ndarray) -> np.ndarray:
-    """log(sum(exp(x))) of each row; the maximum is only taken off where exp could overflow."""
-    if not len(x) or x.max() < 60:
-        return np.log(np.exp(x).sum(axis=-1))
-    top = x.max(axis=-1)
-    return np.log(np.exp(x - top[:, None]).sum(axis=-1)) + top
+def _exp_total(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x (less each row's maximum where exp could overflow), exp(x) and the rows' sums."""
+    if len(x) and x.max() >= 60:
+        x = x - x.max(axis=-1, keepdims=True)
+    e = np.exp(x)
+    return x, e, e @ np.ones(x.shape[-1], x.dtype)  # much faster than a sum over short rows
 
 
 def log_probability(p: Params, h: np.ndarray, targets: np.ndarray, grads: Params | None = None):
     """Natural log-probabilities of ``targets`` [n] in the states ``h`` [n, HIDDEN]; with
     ``grads`` also adds the output weights' gradients of the summed loss and returns that of h."""
-    cls, member = np.divmod(targets, MEMBERS)
+    classes, _, members = p["w"].shape
+    order = np.argsort(targets, kind="stable")  # the rows of a class lie together
+    h, targets = h[order], targets[order]
+    cls, member = np.divmod(targets, members)
     rows = np.arange(len(targets))
     by_class = h @ p["c"] + p["cb"]
     dh = None
-    if grads is None:
-        out = (by_class[rows, cls] - _log_total(by_class)).astype(np.float64)
-    else:
-        by_class = _log_softmax(by_class)
-        out = by_class[rows, cls].astype(np.float64)
-        d = np.exp(by_class)
+    by_class, d, total = _exp_total(by_class)
+    out = (by_class[rows, cls] - np.log(total)).astype(np.float64)
+    if grads is not None:
+        d /= total[:, None]
         d[rows, cls] -= 1
         grads["c"] += h.T @ d
-        grads["cb"] += d.sum(0)
+        grads["cb"] += np.ones(len(d), d.dtype) @ d
         dh = d @ p["c"].T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[cuts[c]:cuts[c + 1]]
-        if not len(at):
+    cuts = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+    for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a == b:
             continue
-        mine, inner = h[at], np.arange(len(at))
-        within = mine @ p["w"][c] + p["wb"][c]
-        if grads is None:
-            out[at] += within[inner, member[at]] - _log_total(within)
-        else:
-            within = _log_softmax(within)
-            out[at] += within[inner, member[at]]
-            d = np.exp(within)
-            d[inner, member[at]] -= 1
+        mine, wanted, inner = h[a:b], member[a:b], rows[:b - a]
+        within, d, total = _exp_total(mine @ p["w"][c] + p["wb"][c])
+        out[a:b] += within[inner, wanted] - np.log(total)
+        if grads is not None:
+            d /= total[:, None]
+            d[inner, wanted] -= 1
             grads["w"][c] += mine.T @ d
-            grads["wb"][c] += d.sum(0)
-            dh[at] += d @ p["w"][c].T
+            grads["wb"][c] += np.ones(len(d), d.dtype) @ d
+            dh[a:b] += d @ p["w"][c].T
+    back = np.empty_like(order)
+    back[order] = rows
+    out = out[back]
+    dh = dh[back] if dh is not None else None
     return (out, dh) if grads is not None else out
 
 
-def window_gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[Params, float, np.ndarray]:
-    """Gradients of the summed loss of one window, the loss, and the state after it."""
+def window_gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray,
+                     grads: Params | None = None) -> tuple[Params, float, np.ndarray]:
+    """Gradients of the summed loss of one window (added to ``grads``), the loss, and the state after it."""
     kept: list = []
     after = states(p, inputs, h, kept)
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    grads = grads or {k: np.zeros_like(v) for k, v in p.items()}
     logs, dh_out = log_probability(p, after.reshape(-1, HIDDEN), targets.ravel(), grads)
     dh_out = dh_out.reshape(after.shape)
     back = np.zeros_like(h)
-    dx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+    dx = np.empty((*inputs.shape, 3 * HIDDEN), p["u"].dtype)  # by gate: r, z, new
+    dg = np.empty_like(dx)
     for t in range(len(inputs) - 1, -1, -1):
-        before, r, z, m, new = kept[t]
+        before, gate, m, new = kept[t]
+        r, z = gate[:, :HIDDEN], gate[:, HIDDEN:]
         dh = dh_out[t] + back
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * m * r * (1 - r)
-        dm = dnew * r
-        dx[t] = np.concatenate([dr, dz, dnew], 1)
-        dg = np.concatenate([dr, dz, dm], 1)
-        grads["u"] += before.T @ dg
-        grads["n"] += dm.sum(0)
-        back = np.where((inputs[t] == END)[:, None], np.float32(0), dg @ p["u"].T + dh * z)
-    np.add.at(grads["x"], inputs.ravel(), dx.reshape(-1, 3 * HIDDEN))
+        carried = dh * z
+        dnew = dx[t, :, 2 * HIDDEN:]
+        np.multiply(dh - carried, 1 - new * new, out=dnew)
+        np.multiply(dnew, m, out=dx[t, :, :HIDDEN])
+        np.multiply(dh, before - new, out=dx[t, :, HIDDEN:2 * HIDDEN])
+        dx[t, :, :2 * HIDDEN] *= gate * (1 - gate)
+        dg[t, :, :2 * HIDDEN] = dx[t, :, :2 * HIDDEN]
+        np.multiply(dnew, r, out=dg[t, :, 2 * HIDDEN:])
+        back = dg[t] @ p["u"].T
+        back += carried
+        back[inputs[t] == END] = 0
+    dx, dg = dx.reshape(-1, 3 * HIDDEN), dg.reshape(-1, 3 * HIDDEN)
+    grads["u"] += np.concatenate([k[0] for k in kept]).T @ dg
+    grads["n"] += np.ones(len(dg), dg.dtype) @ dg[:, 2 * HIDDEN:]
+    ids = inputs.ravel()
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    grads["x"][ids[order][first]] += np.add.reduceat(dx[order], first, axis=0)
     return grads, -float(logs.sum()), after[-1]
 
 
-def train(p: Params, stream: np.ndarray, rate: float = 0.004) -> Params:
+def train(p: Params, stream: np.ndarray) -> Params:
     """One pass of truncated backpropagation over a stream of ids (texts end with END), by Adam."""
-    lanes = max(1, min(LANES, len(stream) // WINDOW))
+    lanes = min(MOST_LANES, max(LANES, len(stream) // (WINDOW * STEPS)), max(1, len(stream) // WINDOW))
     length = len(stream) // lanes
     if not length:
         return p
+    rate = RATE * max(1.0, lanes / LANES) ** 0.5
     targets = stream[:lanes * length].reshape(lanes, length).T
     before = np.r_[END, stream[:-1]][:lanes * length].reshape(lanes, length).T
-    p = {k: v.copy() for k, v in p.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    values = flat(p)
+    p = shaped(values, p)  # views: one update changes all weights
+    first, second, g, size = (np.zeros_like(values) for _ in range(4))
+    grads = shaped(g, p)
     h, step = np.zeros((lanes, HIDDEN), np.float32), 0
     windows = [(before[t:t + WINDOW], targets[t:t + WINDOW]) for t in range(0, length, WINDOW)]
     if lanes * length < len(stream):  # the few ids beyond equal lanes follow the last lane
         windows.append((stream[lanes * length - 1:-1, None], stream[lanes * length:, None]))
     for inputs, wanted in windows:
-        grads, _, h = window_gradients(p, inputs, wanted, h[-inputs.shape[1]:])
+        g[:] = 0
+        _, _, h = window_gradients(p, inputs, wanted, h[-inputs.shape[1]:], grads)
         step += 1
-        scale = 1 / wanted.size
-        for k, g in grads.items():
-            g *= scale
-            np.clip(g, -0.5, 0.5, out=g)
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            ahead = first[k] / (1 - 0.9 ** step)
-            p[k] -= rate * ahead / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)
+        g *= 1 / wanted.size
+        np.clip(g, -0.5, 0.5, out=g)
+        first *= 0.9
+        first += np.multiply(g, 0.1, out=size)
+        g *= g
+        g *= 0.01
+        second *= 0.99
+        second += g
+        np.sqrt(second, out=size)
+        size *= 1 / (1 - 0.99 ** step) ** 0.5
+        size += 1e-6
+        np.divide(first, size, out=size)
+        size *= rate / (1 - 0.9 ** step)
+        values -= size
     return p
 
 

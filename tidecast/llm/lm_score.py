@@ -1,7 +1,8 @@
 """Language-model scores of whole documents.
 
 Counts of all training words come from one aggregation.  The most frequent
-words form the recurrent model's vocabulary (see ``gru``); it is trained data-
+words form the recurrent model's vocabulary, which grows as the square root of
+the number of different words (at least 1,024; see ``gru``); it is trained data-
 parallel: in every round each partition runs truncated backpropagation over
 its training texts from the same weights, and the weights are averaged by an
 aggregation over their positions.  A word outside the vocabulary costs the
@@ -11,8 +12,8 @@ Every training text goes through backpropagation once in each round.  Callers
 may pass a smaller ``share`` of the texts (chosen by a hash of the id, a fresh
 share each round); the registered query does not.
 
-The counts of FREQUENT words (a fixed number) are sent to the scoring tasks;
-all rarer words of a text are matched by a join on their 64-bit hash.
+The counts of FREQUENT words (or of the vocabulary, if it is larger) are sent to
+the scoring tasks; all rarer words of a text are matched by a join on their 64-bit hash.
 
 Defined results: null or empty text is the end token alone; a null doc_id is
 hashed as the empty text; rows that repeat an id count and score on their own;
@@ -24,16 +25,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import crc_mod, shared_table
 from .jaccard_join import chunks
-from .shingles import hashed_words, words
+from .shingles import words
 
 FREQUENT = 32_768
 ROUNDS = 1
@@ -47,11 +50,27 @@ def _prepared(docs: DataFrame) -> DataFrame:
                        (crc_mod("doc_id", 7) == HELD_OUT).alias("held_out"))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, computed once a word."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' words, all texts in a row, and the texts' lengths in words."""
+    split = [words(t) for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    hashes = map(_Hashes().__getitem__, chain.from_iterable(split))
+    return np.fromiter(hashes, np.uint64, int(lengths.sum())), lengths
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(text) -> word (64-bit hash), c.  Words are counted per batch before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0, PIECE_BYTES):
-            hashes, _ = hashed_words([words(t) for t in part.column(0).to_pylist()])
+            hashes, _ = hashed_words(part.column(0).to_pylist())
             word, count = np.unique(hashes.view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count, pa.int64())], ["word", "c"])
     return texts.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -60,13 +79,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Frequent:
     """Counts and vocabulary ids of the most frequent words, by hash."""
 
-    def __init__(self, rows: list[tuple[int, int]]):
+    def __init__(self, rows: list[tuple[int, int]], vocabulary: int):
         hashes = np.array([w for w, _ in rows], np.int64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.counts = np.array([c for _, c in rows], np.int64)[order]
         ids = np.arange(len(rows)) + 2  # in order of frequency, after END and UNKNOWN
-        self.ids = np.where(ids < gru.VOCABULARY, ids, gru.UNKNOWN)[order]
+        self.ids = np.where(ids < vocabulary, ids, gru.UNKNOWN)[order]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary id and count of each word; count -1: not among the frequent."""
@@ -88,19 +107,19 @@ def train_model(texts: DataFrame, frequent: Frequent, start: gru.Params, rounds:
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             streams = []
             for part in chunks(batches, 0, PIECE_BYTES):
-                hashes, lengths = hashed_words([words(t) for t in part.column(0).to_pylist()])
+                hashes, lengths = hashed_words(part.column(0).to_pylist())
                 ids, _ = frequent.look_up(hashes)
-                streams.append(np.insert(ids.astype(np.int16), np.cumsum(lengths), gru.END))  # a partition's ids are held at once
-            stream = np.concatenate(streams) if streams else np.zeros(0, np.int16)
+                streams.append(np.insert(ids.astype(np.int32), np.cumsum(lengths), gru.END))  # a partition's ids are held at once
+            stream = np.concatenate(streams) if streams else np.zeros(0, np.int32)
             if len(stream):
                 values = gru.flat(gru.train(model, stream))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float32()),
                                                   pa.array(np.full(len(values), len(stream)), pa.int64())], ["at", "value", "n"])
         parts = texts.where(drawn).select("text").mapInArrow(run, "at int, value float, n long")
         mean = parts.groupBy("at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
-        values = mean.toPandas()  # one row per weight: a fixed number
+        values = mean.toPandas()  # one row per weight
         if len(values):
-            model = gru.shaped(values.sort_values("at")["value"].to_numpy())
+            model = gru.shaped(values.sort_values("at")["value"].to_numpy(np.float32), model)
     return model
 
 
@@ -112,18 +131,20 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, share: float = TRAIN_
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = learned.count()
     n, v = total + ends, distinct + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent_words).collect()  # a fixed number of rows
-    frequent = Frequent([tuple(r) for r in top])
-    inside = [c for _, c in top[:gru.VOCABULARY - 2]]
+    vocabulary = gru.side_for(distinct) ** 2
+    # a fixed number of rows, or one for each word of the vocabulary (the square root of the words)
+    top = counts.orderBy(F.desc("c"), "word").limit(max(frequent_words, vocabulary - 2)).collect()
+    frequent = Frequent([tuple(r) for r in top], vocabulary)
+    inside = [c for _, c in top[:vocabulary - 2]]
     outside, kinds = total - sum(inside), distinct - len(inside)
-    by_id = np.zeros(gru.VOCABULARY)
+    by_id = np.zeros(vocabulary)
     by_id[gru.END], by_id[gru.UNKNOWN], by_id[2:2 + len(inside)] = ends, outside, inside
     model = train_model(learned, frequent, gru.initial(by_id), rounds, share)
     base_unit, outside_unit, end_log = math.log10(n + v + 1), math.log10(outside + kinds + 1), math.log10(ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 1, PIECE_BYTES):
-            hashes, lengths = hashed_words([words(t) for t in part.column(1).to_pylist()])
+            hashes, lengths = hashed_words(part.column(1).to_pylist())
             ids, found = frequent.look_up(hashes)
             of = np.repeat(np.arange(len(lengths)), lengths)
             logs = np.log10(np.maximum(found, 0) + 1.0)
