@@ -29,6 +29,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -148,6 +149,62 @@ def first_graph(points: DataFrame, dimension: int, k: int, projections: int, see
     return _keep_nearest(parts, k).withColumn("fresh", F.lit(True))
 
 
+def packed(points: DataFrame) -> DataFrame:
+    """node and its vector's single-precision numbers as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _cut(batch.column(1).flatten(), batch.column(1).offsets)],
+                                             ["node", "body"])
+    return points.select("node", "vector").mapInArrow(run, "node long, body binary")
+
+
+def _cut(numbers: pa.Array, offsets: pa.Array) -> pa.Array:
+    at = (offsets.to_numpy() - offsets[0].as_py()) * 4
+    body = numbers.to_numpy(zero_copy_only=False).astype(np.float32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body)])
+
+
+def _meetings(k: int):
+    """Guests sorted by (at, part) -> for every guest its ``k`` nearest of its group that are nearer
+    than its worst neighbour, of pairs with a fresh guest."""
+    def pairs(who: np.ndarray, fresh: np.ndarray, worst: np.ndarray, vectors: np.ndarray):
+        vectors = vectors.astype(float)  # the differences below would drown single precision in tight clusters
+        square = (vectors ** 2).sum(1)
+        far = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (vectors @ vectors.T), 0))
+        better = (far < worst[:, None]) & (fresh[:, None] | fresh[None, :])
+        np.fill_diagonal(better, False)
+        far[~better] = np.inf
+        if len(who) > k:  # a list has k places: a guest's k nearest of each group hold all that can enter it
+            far[far > np.partition(far, k - 1, axis=1)[:, k - 1:k]] = np.inf
+        a, b = np.nonzero(far < np.inf)
+        return who[a], who[b], far[a, b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None  # the last group of a batch may go on in the next one
+        for batch in chain(batches, [None]):
+            rows = tail
+            if batch is not None and batch.num_rows:
+                body = b"".join(batch.column(5).to_pylist())
+                rows = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)),
+                        np.frombuffer(body, np.float32).reshape(batch.num_rows, -1))
+                if tail is not None:
+                    rows = tuple(np.concatenate(x) for x in zip(tail, rows, strict=True))
+            if rows is None:
+                continue
+            at, part, who, fresh, worst, vectors = rows
+            cuts = np.r_[0, np.flatnonzero((np.diff(at) != 0) | (np.diff(part) != 0)) + 1, len(at)]
+            if batch is not None:
+                tail = tuple(x[cuts[-2]:] for x in rows)
+                cuts = cuts[:-1]
+            found = [pairs(who[a:b], fresh[a:b], worst[a:b], vectors[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())
+                     if b - a > 1 and fresh[a:b].any()]
+            if found:
+                node, neighbour, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(neighbour, pa.int64()),
+                                                  pa.array(distance)], ["node", "neighbour", "distance"])
+    return run
+
+
 def descent_pass(graph: DataFrame, points: DataFrame, k: int, visitors: int, turn: int) -> DataFrame:
     """One pass: neighbours of neighbours join, at least one of a pair over a fresh link."""
     forward = graph.select(F.col("node").alias("at"), F.col("neighbour").alias("who"), "fresh")
@@ -159,21 +216,13 @@ def descent_pass(graph: DataFrame, points: DataFrame, k: int, visitors: int, tur
         "part", F.pmod(F.xxhash64(F.lit(turn), "who"), F.ceil(F.col("crowd") / visitors)))
     worst = graph.groupBy("node").agg(F.max("distance").alias("worst"), F.count(F.lit(1)).alias("n")).select(
         F.col("node").alias("w"), F.when(F.col("n") < k, float("inf")).otherwise(F.col("worst")).alias("worst"))
-    known = points.join(worst, F.col("node") == F.col("w"), "left").select("node", "vector", F.coalesce(
+    # a group in which nobody came over a fresh link has met before
+    met = dealt.where("fresh").select(F.col("at").alias("a"), F.col("part").alias("p")).distinct()
+    dealt = dealt.join(met, (F.col("at") == F.col("a")) & (F.col("part") == F.col("p")), "left_semi")
+    known = points.join(worst, F.col("node") == F.col("w"), "left").select("node", "body", F.coalesce(
         "worst", F.lit(float("inf"))).alias("worst"))
-    guests = dealt.join(known, F.col("who") == F.col("node")).select("at", "part", "who", "fresh", "vector", "worst")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        ids, fresh, worst = group["who"].to_numpy(), group["fresh"].to_numpy(bool), group["worst"].to_numpy()
-        vectors = np.stack(group["vector"].to_numpy()).astype(float)
-        square = (vectors ** 2).sum(1)
-        far = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (vectors @ vectors.T), 0))
-        better = (far < worst[:, None]) & (fresh[:, None] | fresh[None, :])
-        np.fill_diagonal(better, False)
-        a, b = np.nonzero(better)
-        return pd.DataFrame({"node": ids[a], "neighbour": ids[b], "distance": far[a, b].astype(float)})
-
-    found = guests.groupBy("at", "part").applyInPandas(lambda g: meet(g), LINKS)
+    guests = dealt.join(known, F.col("who") == F.col("node")).select("at", "part", "who", "fresh", "worst", "body")
+    found = guests.repartition("at", "part").sortWithinPartitions("at", "part").mapInArrow(_meetings(k), LINKS)
     merged = graph.select("node", "neighbour", "distance", F.lit(False).alias("fresh")).unionByName(
         found.withColumn("fresh", F.lit(True)))
     merged = merged.groupBy("node", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
@@ -187,7 +236,7 @@ def build_graph(points: DataFrame, k: int = K, passes: int | None = None, seed:
     first = points.select(F.size("vector").alias("d")).first()
     found = shared_table(first_graph(points, first["d"] if first else 1, k, PROJECTIONS, seed), "graph")
     beside = found.where("start").select("node", "neighbour")
-    graph, points, turn = found.where(F.col("rank") <= k).drop("start"), points.select("node", "vector"), 0
+    graph, points, turn = found.where(F.col("rank") <= k).drop("start"), shared_table(packed(points), "packed"), 0
     while passes is None or turn < passes:  # distances only fall, so the lists settle
         graph = shared_table(descent_pass(graph, points, k, VISITORS, turn), "graph")
         changed, links = graph.agg(F.sum(F.col("fresh").cast("long")), F.count(F.lit(1))).first()
