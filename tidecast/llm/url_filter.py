@@ -157,7 +157,11 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     mined, kinds = mine(labelled)
     best = match(rows.where("fixed is null and url is not null").select("url").distinct(), mined, kinds).select(
         F.col("url").alias("of"), F.col("label"), "confidence", F.col("rule_id").alias("mined"))
-    open_ = F.when(F.col("fixed").isNull(), F.col("url"))
-    return rows.join(best, open_ == F.col("of"), "left").select(
+    # rows that a fixed rule decides, or without a url, go round the join: they would share one null key
+    waiting = F.col("fixed").isNull() & F.col("url").isNotNull()
+    nothing = [F.lit(None).cast(best.schema[c].dataType).alias(c) for c in best.columns]
+    met = rows.where(waiting).join(best, F.col("url") == F.col("of"), "left").unionByName(
+        rows.where(~waiting).select("*", *nothing))
+    return met.select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"),
         F.coalesce("fixed.verdict", "label", F.lit(default)).alias("verdict"), "mined", "confidence")
