@@ -16,7 +16,9 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from tidecast.llm import exact_dedup, jaccard_join, mixture, piece_codec, quality_rules  # noqa: E402
-from tidecast.llm.common import shared_table, table  # noqa: E402
+from tidecast.llm.common import arrow_rows, shared_table, table  # noqa: E402
+
+ARROW_ROWS = 1000  # documents that a Python task of the last stage receives at once
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and round_trip of every document in the mix."""
-    return piece_codec.encode(docs)
+    with arrow_rows(spark, ARROW_ROWS):
+        return shared_table(piece_codec.encode(docs), "stage-encoded")
 
 
 STAGES = [

@@ -25,6 +25,23 @@ def test_matches_library(library):
             assert P.decode(values[a:b].tolist(), vocabulary) == library.decode(library.encode(t)), t
 
 
+def test_units_met_before_are_not_indexed_again(library, monkeypatch):
+    vocabulary, indexed = P.Vocabulary.read(), []
+    whole = P.encode_units
+    monkeypatch.setattr(P, "encode_units", lambda units, v: indexed.append(list(units)) or whole(units, v))
+    batches = [["a rare word", "  b  c", ""], EDGE, ["word a", "c rare x😀"], [], ["b a"]]
+    for most in (0, 3, 10_000):
+        encoder = P.Encoder(vocabulary, most)
+        indexed.clear()
+        for texts in batches:
+            values, offsets = encoder(texts)
+            assert [values[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == library.encode(texts)
+            assert len(encoder.known) == len(encoder.counts) and encoder.counts.sum() == len(encoder.values)
+        met = [u for part in indexed for u in part]
+        assert most < 10_000 or len(met) == len(set(met))
+        assert most or not encoder.known.keys() - {"▁b", "▁a"}  # forgotten but for the last batch's
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's distinct units (a run of spaces and the word after it; no piece goes
-on past such a boundary) are concatenated and indexed by a suffix array over
-packed character codes.  Every piece of the vocabulary is looked up by binary
-search, which gives the range of its occurrences; the occurrences are edges,
-sorted by position into a table.  Relaxation then settles every unit: starting
+Texts are cut into units (a run of spaces and the word after it; no piece goes
+on past such a boundary).  A task keeps the ids of up to KEPT_UNITS units that it
+met; a batch's distinct units that are not among them are concatenated and indexed
+by a suffix array over packed character codes.  Every piece of the vocabulary is
+looked up by binary search, which gives the range of its occurrences; the
+occurrences are edges, laid by position into a table.  Relaxation then settles every unit: starting
 from single characters, the adjacent pair whose joint edge ranks best is merged
 until no pair has an edge (the model is a merge model, so that order, and not
 the best sum of scores, gives the library's pieces).  All units of a batch take
@@ -27,7 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 48              # units of more characters are relaxed with a heap
-INDEX_CHARS = 400_000  # characters that one suffix array indexes
-CHUNK_BYTES = 6 << 20
+INDEX_CHARS = 100_000  # characters that one suffix array indexes
+CHUNK_BYTES = 2 << 20  # of texts that a task splits at once
+BLOCK_UNITS = 8_000    # units that are relaxed side by side
+KEPT_UNITS = 200_000   # above that a task forgets the units that its last batch did not use
 NONE = np.int32(2**31 - 1)
 
 
@@ -84,6 +87,15 @@ class Vocabulary:
             chars[row, :len(self.pieces[i])] = list(map(ord, self.pieces[i]))
         return ids, chars, np.array([len(self.pieces[i]) for i in ids])
 
+    @cached_property
+    def alphabet(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' distinct characters, and ``codes``'s characters as places in them (from 1; 0 pads)."""
+        _, chars, _ = self.codes
+        letters, at = np.unique(chars, return_inverse=True)
+        if len(letters) and not letters[0]:
+            return letters[1:], at.reshape(chars.shape).astype(np.int32)
+        return letters, at.reshape(chars.shape).astype(np.int32) + 1
+
     @cached_property
     def outputs(self) -> list[bytes]:
         out = [p.replace(SPACE, " ").encode() for p in self.pieces]
@@ -96,39 +108,41 @@ def edges(points: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Table [position, length] -> id of the piece that matches there, or -1.
 
     ``points``: code points of the concatenated units, 0 between them."""
-    ids, chars, lengths = vocabulary.codes
+    ids, _, lengths = vocabulary.codes
+    letters, spelled = vocabulary.alphabet
     width, n = vocabulary.width, len(points)
-    alphabet = np.intersect1d(points, chars)
-    alphabet = alphabet[alphabet > 0]
     table = np.full((n, width + 2), -1, np.int32)  # the last column stays empty: longer than any piece
-    if not len(alphabet):
+    code_of = np.zeros(0x110000, np.uint32)
+    code_of[points] = 1
+    code_of[0] = 0
+    used = np.flatnonzero(code_of[letters])
+    if not len(used):
         return table
-
-    def coded(x: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(alphabet, x), len(alphabet) - 1)
-        return np.where(alphabet[at] == x, at + 1, 0).astype(np.uint64)
-
-    text, piece = coded(points), coded(chars)
-    inside = np.arange(width) < lengths[:, None]
-    present = ((piece > 0) | ~inside).all(axis=1)
+    code_of[points] = 0
+    code_of[letters[used]] = np.arange(1, len(used) + 1)
+    text = code_of[points].astype(np.uint64)
+    small = np.zeros(len(letters) + 1, np.uint64)
+    small[used + 1] = np.arange(1, len(used) + 1)
+    piece = small[spelled]
+    present = ((piece > 0) | (spelled == 0)).all(axis=1)
     ids, piece, lengths = ids[present], piece[present], lengths[present]
-    bits = int(len(alphabet)).bit_length()
+    bits = int(len(used)).bit_length()
     per = 63 // bits
-    padded = np.concatenate([text, np.zeros(width + per, np.uint64)])
+    levels = -(-width // per)
+    padded = np.concatenate([text, np.zeros(levels * per, np.uint64)])
 
     # suffix array of the positions that hold a known character, by packed words of `per` characters
+    word = np.zeros(n, np.uint64)
+    for j in range(per):
+        word <<= np.uint64(bits)
+        word |= padded[j:j + n]
     at = np.flatnonzero(text)
-    levels, order_keys = -(-width // per), []
-    for level in range(levels):
-        word = np.zeros(len(at), np.uint64)
-        for j in range(level * per, (level + 1) * per):
-            word = (word << np.uint64(bits)) | padded[at + j]
-        order_keys.append(word)
-    order = np.lexsort(order_keys[::-1])
-    suffixes = at[order]
+    word = word[at]
+    order = np.argsort(word)
+    word, suffixes = word[order], at[order]
 
     # binary search: per level the class of equal prefixes, then the range of the last, partial word
-    group = np.zeros(len(at), np.int64)         # classes of the suffixes in order
+    group = np.zeros(len(suffixes), np.int64)   # classes of the suffixes in order
     holds = np.zeros(len(ids), np.int64)        # class of each piece so far
     alive = np.ones(len(ids), bool)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,12 +151,20 @@ def edges(points: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
             wanted = np.zeros(group[-1] + 1 if len(group) else 0, bool)
             wanted[holds[alive]] = True
             on = wanted[group]
-            order, suffixes, group = order[on], suffixes[on], group[on]
-            if not len(order):
+            suffixes, group = suffixes[on], group[on]
+            if not len(suffixes):
                 break
-        word = order_keys[level][order]
-        known = np.unique(word) if level else word[np.r_[True, word[1:] != word[:-1]]]
-        code = group * (len(known) + 1) + np.searchsorted(known, word)
+            word = np.zeros(len(suffixes), np.uint64)
+            for j in range(level * per, (level + 1) * per):
+                word = (word << np.uint64(bits)) | padded[suffixes + j]
+            order = np.lexsort((word, group))
+            suffixes, group, word = suffixes[order], group[order], word[order]
+        if level:
+            known, place = np.unique(word, return_inverse=True)
+        else:
+            place = np.cumsum(np.r_[False, word[1:] != word[:-1]])
+            known = word[np.r_[True, place[1:] != place[:-1]]]
+        code = group * (len(known) + 1) + place
         low = np.zeros(len(ids), np.uint64)
         for j in range(per):
             k = level * per + j
@@ -164,8 +186,6 @@ def edges(points: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     size = np.zeros(len(vocabulary.pieces), np.int64)
     size[ids] = lengths
     where, which = (np.concatenate(x) for x in zip(*found, strict=True))
-    by_place = np.argsort(where, kind="stable")  # edges by position
-    where, which = where[by_place], which[by_place]
     table[where, size[which]] = which
     return table
 
@@ -175,31 +195,40 @@ def relax(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rank_of: n
     is left: (unit, start, end) of the symbols, ordered."""
     over = table.shape[1] - 1
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def ranked(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs first..middle..last; an empty second symbol lies beyond the unit's end."""
+        length = np.minimum(last - first, over)
+        length[last == middle] = over
+        return rank_of[table[first, length]]
+
     by_length = np.argsort(lengths, kind="stable")
     by_length = by_length[lengths[by_length] <= LONG]
-    for block in np.array_split(by_length, max(1, -(-len(by_length) // 20_000))):
+    for block in np.array_split(by_length, max(1, -(-len(by_length) // BLOCK_UNITS))):
         unit, most = block, int(lengths[block].max(initial=0))
         bounds = starts[unit][:, None] + np.minimum(np.arange(most + 1), lengths[unit][:, None])
+        rank = ranked(bounds[:, :-2], bounds[:, 1:-1], bounds[:, 2:])
         while len(unit):
-            if bounds.shape[1] > 2:
-                length = np.minimum(bounds[:, 2:] - bounds[:, :-2], over)
-                length[bounds[:, 2:] == bounds[:, 1:-1]] = over  # beyond the unit's end
-                rank = rank_of[table[bounds[:, :-2], length]]
+            row = np.arange(len(unit))
+            if rank.shape[1]:
                 best = rank.argmin(axis=1)
-                open_ = rank[np.arange(len(unit)), best] < NONE
+                open_ = rank[row, best] < NONE
             else:
                 open_ = np.zeros(len(unit), bool)
             if not open_.all():
                 done = bounds[~open_]
                 row, col = np.nonzero(done[:, 1:] > done[:, :-1])
                 out.append((unit[~open_][row], done[row, col], done[row, col + 1]))
-                unit, bounds = unit[open_], bounds[open_]
+                unit, bounds, rank = unit[open_], bounds[open_], rank[open_]
                 if not len(unit):
                     break
-                best = best[open_]
+                best, row = best[open_], np.arange(len(unit))
             keep = np.ones(bounds.shape, bool)
-            keep[np.arange(len(unit)), best + 1] = False
+            keep[row, best + 1] = False
             bounds = bounds[keep].reshape(len(unit), -1)
+            rank = rank[keep[:, 1:-1]].reshape(len(unit), -1)
+            if rank.shape[1]:  # only the pairs that the merged symbol is part of have changed
+                for at in (np.maximum(best - 1, 0), np.minimum(best, rank.shape[1] - 1)):
+                    rank[row, at] = ranked(bounds[row, at], bounds[row, at + 1], bounds[row, at + 2])
     for u in np.flatnonzero(lengths > LONG):
         cuts = _relax_long(table, int(starts[u]), int(lengths[u]), rank_of)
         out.append((np.full(len(cuts) - 1, u), cuts[:-1], cuts[1:]))
@@ -279,19 +308,60 @@ def _parts(units: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+class _Numbers(dict):
+    """Numbers units in the order in which they are met."""
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        return number
+
+
+class Encoder:
+    """Encodes batch after batch and keeps the ids of units that it met."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = KEPT_UNITS):
+        self.vocabulary, self.most = vocabulary, most
+        self.known = _Numbers()
+        self.values = np.zeros(0, np.int32)     # the ids of all known units in a row
+        self.counts = np.zeros(0, np.int64)     # and the number of each unit's
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and the offsets of the texts in them."""
+        units, before = self.vocabulary.units, len(self.known)
+        codes, lengths = [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                marked = SPACE + t.replace(" ", SPACE)
+                split = units.findall(marked) if units else [marked]
+                codes.append(np.fromiter(map(self.known.__getitem__, split), np.int32, len(split)))
+                lengths[i] = len(split)
+        codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        values, counts = encode_units(list(islice(self.known, before, None)), self.vocabulary)
+        self.values, self.counts = np.concatenate([self.values, values]), np.concatenate([self.counts, counts])
+        ends = np.r_[0, np.cumsum(self.counts[codes])]
+        found = self._ids(codes), ends[np.r_[0, np.cumsum(lengths)]]
+        if len(self.known) > self.most:
+            self._forget(codes)
+        return found
+
+    def _ids(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of the known units ``codes`` in a row."""
+        many = self.counts[codes]
+        first = (np.cumsum(self.counts) - self.counts)[codes]
+        ends = np.cumsum(many)
+        return self.values[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _forget(self, codes: np.ndarray) -> None:
+        """Keeps the units ``codes`` alone."""
+        used = np.flatnonzero(np.bincount(codes, minlength=len(self.known)))
+        names = list(self.known)
+        self.known = _Numbers((names[i], k) for k, i in enumerate(used.tolist()))
+        self.values, self.counts = self._ids(used), self.counts[used]
+
+
 def encode_batch(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in a row and the offsets of the texts in them."""
-    marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-    split = [vocabulary.units.findall(m) for m in marked] if vocabulary.units else [[m] if m else [] for m in marked]
-    known: dict[str, int] = {}
-    codes = np.array([known.setdefault(u, len(known)) for u in chain.from_iterable(split)], np.int64)
-    values, counts = encode_units(list(known), vocabulary)
-    offsets = np.r_[0, np.cumsum(counts)]
-    many = counts[codes] if len(codes) else np.zeros(0, np.int64)
-    ends = np.cumsum(many)
-    at = np.repeat(offsets[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
-    per_text = np.r_[0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
-    return values[at.astype(np.int64)], np.r_[0, ends][per_text]
+    return Encoder(vocabulary)(texts)
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
@@ -318,10 +388,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     vocabulary = Vocabulary.read(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary)
         for batch in batches:
             for part in _pieces(batch, 1):
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                values, offsets = encode_batch(texts, vocabulary)
+                values, offsets = encoder(texts)
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 same = [decode(values[a:b].tolist(), vocabulary) == t.replace(SPACE, " ")
                         for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts, strict=True)]
