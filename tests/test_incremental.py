@@ -89,3 +89,19 @@ def test_merge_and_take_out(spark):
         assert r["sum"][c] == pytest.approx(r.whole[c], rel=1e-9, abs=1e-8)
         assert r.rest[c] == pytest.approx(r.a[c], rel=1e-7, abs=1e-6)
         assert r.same[c] == r.a[c] and r.none[c] == 0
+
+
+def test_history_is_numbered_once_and_stored_rows_stay_where_they_lie(spark, tmp_path, monkeypatch):
+    prices, lookback = _prices(spark).cache(), 150
+    day = date(2000, 1, 1) + timedelta(days=860)
+    tables = BookTables(spark, str(tmp_path))
+    numbered, positions = [], incremental.halo.positions
+    monkeypatch.setattr(incremental.halo, "positions", lambda rows: numbered.append(rows) or positions(rows))
+    book = incremental.start(prices, day, HORIZONS, tables, lookback_days=lookback)
+    written = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert len(numbered) == 1 and {"numbered", "ranges"} <= written  # read back, not made again for each use
+    wanted = book.state.select("ticker", "forecast_days", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    found = incremental._rows_in(book.rows, wanted, tables)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(r.ticker, r.forecast_days, v) for r in wanted.collect() for v in range(r.a, r.b + 1)}
+    assert want and {(r.ticker, r.forecast_days, r.v) for r in found.collect()} == want

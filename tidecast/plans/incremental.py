@@ -89,7 +89,7 @@ def start(prices: DataFrame, as_of, horizons: Iterable[int], tables: BookTables,
           test_size: float = config.DEFAULT_TEST_SIZE, lookback_days: int = config.TRAIN_LOOKBACK_DAYS) -> Book:
     """The book as of a day, from the whole history up to it."""
     hs = sorted({int(h) for h in horizons})
-    numbered = halo.positions(in_range(prices, end=_date(as_of)).select("ticker", "date", "close"))
+    numbered = tables.keep(halo.positions(in_range(prices, end=_date(as_of)).select("ticker", "date", "close")), "numbered")
     tail = tables.keep(newest_rows(numbered, max(hs)), "tail")
     rows, _ = tables.append(_numbered(closed_rows(numbered, hs), F.lit(0)), as_of)
     early = F.col("date") < F.date_sub(_date(as_of), lookback_days)
@@ -97,18 +97,20 @@ def start(prices: DataFrame, as_of, horizons: Iterable[int], tables: BookTables,
     ranged = rows.join(firsts, "ticker").groupBy(*KEYS).agg(
         F.max("v").alias("last"),
         (F.count_if(F.col("pos") < F.col("first_pos") + WARM_UP) + 1).alias("lo"))
-    ranged = _train_range(ranged, test_size)
+    ranged = tables.keep(_train_range(ranged, test_size), "ranges")
     used = rows.join(ranged.select(*KEYS, "lo", "hi"), list(KEYS)).where(F.col("v").between(F.col("lo"), F.col("hi")))
     state = ranged.join(moments.of_rows(used).withColumn("m", moments.as_struct()).select(*KEYS, "m"), list(KEYS), "left")
     state = state.select(*KEYS, "lo", "hi", "last", F.coalesce("m", moments.nothing()).alias("m"))
     return Book(tail, firsts, rows, tables.keep(state, "state"), as_of, hs)
 
 
-def _rows_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``v`` lies in their key's ``a..b``; only the blocks that hold some are read."""
+def _rows_in(rows: DataFrame, wanted: DataFrame, tables: BookTables) -> DataFrame:
+    """The rows whose ``v`` lies in their key's ``a..b``; only the blocks that hold some are read.
+    The keys' blocks are written first: by their size Spark broadcasts them where it can, and
+    the rows then meet them where they lie."""
     blocks = wanted.where(F.col("a") <= F.col("b")).withColumn("block", F.explode(F.sequence(
         F.floor(F.col("a") / ROWS_A_BLOCK), F.floor(F.col("b") / ROWS_A_BLOCK))))
-    return rows.join(blocks, [*KEYS, "block"]).where(F.col("v").between(F.col("a"), F.col("b")))
+    return rows.join(tables.keep(blocks, "blocks"), [*KEYS, "block"]).where(F.col("v").between(F.col("a"), F.col("b")))
 
 
 def advance(book: Book, prices: DataFrame, as_of, tables: BookTables, test_size: float = config.DEFAULT_TEST_SIZE,
@@ -144,7 +146,7 @@ def advance(book: Book, prices: DataFrame, as_of, tables: BookTables, test_size:
     # a dropped day, and a row closed behind the warm-up, each move the first row by one at most
     near = old.select(*KEYS, F.col("lo").alias("a"), F.least(F.col("lo") + F.col("moved") - 1, F.col("last")).alias("b"),
                       (F.col("first_pos") + WARM_UP).alias("from_pos"))
-    behind = _rows_in(rows, near).where(F.col("pos") < F.col("from_pos")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("behind"))
+    behind = _rows_in(rows, near, tables).where(F.col("pos") < F.col("from_pos")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("behind"))
     ranged = old.join(behind, list(KEYS), "left").select(
         *KEYS, F.col("lo").alias("lo_was"), F.col("hi").alias("hi_was"), (F.col("lo") + F.coalesce("behind", F.lit(0))).alias("lo"), "last", "m")
     ranged = tables.keep(_train_range(ranged, test_size), "ranges")
@@ -153,8 +155,8 @@ def advance(book: Book, prices: DataFrame, as_of, tables: BookTables, test_size:
     none = F.col("hi") < F.col("lo")
     out = ranged.where(~none).select(*KEYS, F.col("lo_was").alias("a"), F.least(F.col("hi_was"), F.col("lo") - 1).alias("b"))
     into = ranged.where(~none).select(*KEYS, F.greatest(F.col("hi_was") + 1, F.col("lo")).alias("a"), F.col("hi").alias("b"))
-    away = moments.of_rows(_rows_in(rows, out)).withColumn("away", moments.as_struct()).select(*KEYS, "away")
-    came = moments.of_rows(_rows_in(rows, into)).withColumn("came", moments.as_struct()).select(*KEYS, "came")
+    away = moments.of_rows(_rows_in(rows, out, tables)).withColumn("away", moments.as_struct()).select(*KEYS, "away")
+    came = moments.of_rows(_rows_in(rows, into, tables)).withColumn("came", moments.as_struct()).select(*KEYS, "came")
     state = ranged.join(away, list(KEYS), "left").join(came, list(KEYS), "left")
     state = state.withColumn("m", moments.without(F.col("m"), F.col("away")))
     state = state.withColumn("m", moments.merged(F.col("m"), F.col("came")))
