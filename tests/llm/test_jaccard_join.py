@@ -111,3 +111,31 @@ def test_crowded_shingles_are_dealt(spark, monkeypatch):
                     want.add(frozenset((a, b)))
     got = {frozenset((bytes(r.a), bytes(r.b))) for r in pairs.collect()}
     assert want and want <= got
+
+
+def test_copies_short_of_the_threshold_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(200), 8):  # about 38 of 196 shingles: similarity 0.68 with the base
+            copy[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared, whole = [], X.linked
+    monkeypatch.setattr(X, "linked", lambda pairs, content: compared.append(pairs.count()) or whole(pairs, content))
+    got = sorted(map(tuple, X.jaccard_join(docs).collect()))
+    assert got == sorted((i, n, c) for i, n, c in brute(rows))
+    assert sum(compared) < 5 * len(rows)  # of 7,140 pairs
+
+
+def test_sets_with_one_number_are_both_kept(spark):
+    keys = [bytes([2] * 8 + [last] * 8) for last in (1, 3)] + [bytes([4] * 16)]  # numbers are of the first half
+    met = spark.createDataFrame([(0, X.numbers(np.array([keys[0], keys[2]], "V16")).tobytes(), np.array([0], np.int64).tobytes(),
+                                  np.array([0, 2], np.int32).tobytes())], X.MET)
+    room = spark.createDataFrame([(bytearray(k), 10, 5, 0, 0) for k in keys],
+                                 "set_key binary, n_shingles long, usable int, slack int, slack_low int")
+    run = X.hopeful(met, room, 3).first()
+    assert [bytes(run.ids)[i:i + 16] for i in (0, 16, 32)] == keys
+    assert np.frombuffer(run.members, np.int32).tolist() == [0, 2, 4]

@@ -16,9 +16,13 @@ unsettled, and then the next step meets it: the join is exact at every size.
 
 Signatures are dealt to buckets in packed arrays; a bucket's task sorts its
 numbers and keeps the runs of equal signatures.  Equal sets are one entity
-(128-bit key).  First every entity is compared with the one entity that it
-shares most signatures with, and linked entities become components; then all
-pairs of a run that lie in different components are compared.  A comparison
+(128-bit key).  Buckets and entities exchange packed messages (``answered``).
+An entity leaves the runs of a band in which it shares fewer signatures with
+others than with any similar set.  First every entity is compared with one that
+shares most of its signatures, and linked entities become components; then all
+pairs of a run that lie in different components are compared, except pairs that
+are both unsettled, which the next step meets.  There a set's shingles that no
+other unsettled set has bound what it can share with any of them.  A comparison
 reads both whole texts and intersects their shingles as words, not hashes.
 
 Defined results: null or empty text has no shingles and links with nothing
@@ -46,6 +50,7 @@ from .shingles import WIDTH, distinct, mix, shingle_sets, words
 SEGMENTS, DELETION_SEGMENTS = 0.40, 0.30  # segments per largest size of a band
 RUN_COST = 32        # a run is hot with more than so many open pairs per member
 BUCKET_BYTES = 16 << 20
+PART_ENTITIES = 1 << 14  # entities whose messages a task holds at once
 PAIR_BLOCK = 1 << 20  # pairs that a task holds at once
 RARE_BLOCK = 1024     # members of a rare shingle's block; larger runs are dealt as pairs of blocks
 ARROW_ROWS = 1000     # rows that a Python task receives at once
@@ -167,8 +172,14 @@ def describe(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, SETS)
 
 
+def numbers(keys: np.ndarray) -> np.ndarray:
+    """64-bit numbers of set keys, even: the last bit tells the role."""
+    return np.ascontiguousarray(keys).view(np.uint64)[::2] & ~np.uint64(1)
+
+
 def pack(texts: DataFrame, level: int, buckets: int) -> DataFrame:
-    """The signatures of all texts (binary column ``text``) as (bucket, body)."""
+    """The signatures of all texts (binary column ``text``) as (bucket, body): signatures,
+    and the number (with the role) of the set of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0):
             known: dict[bytes, np.ndarray] = {}
@@ -178,73 +189,206 @@ def pack(texts: DataFrame, level: int, buckets: int) -> DataFrame:
             if not known:
                 continue
             sets = list(known.values())
-            size = np.array([len(x) for x in sets], np.uint32)
-            todo = [(i, low, band) for i, n in enumerate(size.tolist()) for low, (band, _) in enumerate(roles(n))]
+            todo = [(i, low, band) for i, x in enumerate(sets) for low, (band, _) in enumerate(roles(len(x)))]
             which, low, band = (np.array(x, np.int64) for x in zip(*todo, strict=True))
             key, owner = signatures([sets[i] for i in which.tolist()], band, level)
-            member = (2 * which + low)[owner].astype(np.uint16)
-            usable = (capacities(sets, np.array([band_of(n) for n in size.tolist()]), level)).astype(np.uint32)
-            id_list = np.array(list(known), dtype="V16")
+            number = (numbers(np.array(list(known), dtype="V16"))[which] | low.astype(np.uint64))[owner]
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            key, member, bucket = key[order], member[order], bucket[order]
+            key, number, bucket = key[order], number[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            names, bodies = [], []
-            for k, m, b in zip(np.split(key, cuts), np.split(member, cuts), bucket[np.r_[0, cuts]], strict=True):
-                here = distinct(m >> 1)
-                local = np.searchsorted(here, m >> 1)
-                local = (2 * local + (m & 1)).astype(np.uint16)
-                head = np.array([len(here), len(k)], np.uint32)
-                names.append(int(b))
-                bodies.append(b"".join(x.tobytes() for x in (head, id_list[here], size[here], usable[here], k, local)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+            key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, 2:])  # 48 bits: a bucket is one of many
+            bodies = [k.tobytes() + n.tobytes() for k, n in zip(np.split(key, cuts), np.split(number, cuts), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[np.r_[0, cuts]], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
     return texts.select("text").mapInArrow(run, "bucket int, body binary")
 
 
 OPEN = "a binary, b binary, low int, n long, least long"
-RUNS = "bucket int, ids binary, sizes binary, usable binary, starts binary, members binary"
+RUNS = "bucket int, ids binary, sizes binary, usable binary, scores binary, starts binary, members binary"
+MET = "bucket int, ids binary, starts binary, members binary"
+
+
+def _whole_runs(run: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of members sorted by run, the runs of two or more that are not all of the lower role
+    (two sets that both have it meet in their own band)."""
+    if not len(run):
+        return run, member
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    count = np.diff(np.r_[starts, len(run)])
+    keep = np.repeat((count > 1) & (np.minimum.reduceat(member & 1, starts) == 0), count)
+    return run[keep], member[keep]
 
 
 def _runs_of(bucket: int, bodies: list[bytes]) -> dict | None:
-    """The runs of equal signatures in a bucket that two or more entities share."""
-    keys, members, ids, sizes, usable, base = [], [], [], [], [], 0
-    for body in bodies:
-        n_ids, n = np.frombuffer(body, np.uint32, 2).tolist()
-        ids.append(np.frombuffer(body, "V16", n_ids, 8))
-        sizes.append(np.frombuffer(body, np.uint32, n_ids, 8 + 16 * n_ids))
-        usable.append(np.frombuffer(body, np.uint32, n_ids, 8 + 20 * n_ids))
-        keys.append(np.frombuffer(body, np.uint64, n, 8 + 24 * n_ids))
-        members.append(np.frombuffer(body, np.uint16, n, 8 + 24 * n_ids + 8 * n).astype(np.int64) + 2 * base)
-        base += n_ids
-    key, member = np.concatenate(keys), np.concatenate(members)
+    """The runs of equal signatures in a bucket that two or more entities share; ids are numbers."""
+    keys = np.concatenate([np.frombuffer(body, np.uint8, len(body) // 14 * 6).reshape(-1, 6) for body in bodies])
+    number = np.concatenate([np.frombuffer(body, np.uint64, offset=len(body) // 14 * 6) for body in bodies])
+    key = np.zeros((len(keys), 8), np.uint8)
+    key[:, 2:] = keys
+    key = key.view(np.uint64).ravel()
     order = np.argsort(key)
-    key, member = key[order], member[order]
+    key, number = key[order], number[order]
     same = key[1:] == key[:-1]
     keep = np.r_[False, same] | np.r_[same, False]
-    key, member = key[keep], member[keep]
+    key, number = key[keep], number[keep]
     if not len(key):
         return None
-    rows = distinct(member >> 1)
-    name, first, of = np.unique(np.concatenate(ids)[rows], return_index=True, return_inverse=True)
-    size, usable = np.concatenate(sizes)[rows][first], np.concatenate(usable)[rows][first]
-    entity = 2 * of[np.searchsorted(rows, member >> 1)] + (member & 1)
+    name = distinct(number >> np.uint64(1))
+    entity = 2 * np.searchsorted(name, number >> np.uint64(1)) + (number & np.uint64(1)).astype(np.int64)
     run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
     run, entity = np.divmod(distinct(run * (2 * len(name)) + entity), 2 * len(name))  # copies in several pieces count once
-    count = np.bincount(run)
-    run_ok = (count > 1)[run]
-    run, entity = run[run_ok], entity[run_ok]
+    run, entity = _whole_runs(run, entity)
     if not len(run):
         return None
+    here = distinct(entity >> 1)
+    entity = 2 * np.searchsorted(here, entity >> 1) + (entity & 1)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    return {"bucket": bucket, "ids": name.tobytes(), "sizes": size.tobytes(), "usable": usable.tobytes(),
+    return {"bucket": bucket, "ids": (name[here] << np.uint64(1)).tobytes(),
             "starts": starts.astype(np.int64).tobytes(), "members": entity.astype(np.int32).tobytes()}
 
 
 def collect_runs(packed: DataFrame) -> DataFrame:
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         found = _runs_of(int(key[0]), group["body"].tolist())
-        return pd.DataFrame([found] if found else [], columns=[c.split()[0] for c in RUNS.split(", ")])
-    return packed.groupBy("bucket").applyInPandas(run, RUNS)
+        return pd.DataFrame([found] if found else [], columns=[c.split()[0] for c in MET.split(", ")])
+    return packed.groupBy("bucket").applyInPandas(run, MET)
+
+
+def answered(runs: DataFrame, facts: DataFrame, parts: int, answer) -> DataFrame:
+    """(of, told): per bucket of ``runs`` the answers to its entities (16-byte keys or 8-byte
+    numbers in ``ids``).  Questions (with how many runs of the bucket hold the entity, by role) and
+    ``facts`` (first column: the key) meet in packed arrays in ``parts`` parts by a key's number;
+    ``answer(asked, own, low, facts, keys)`` gets a part's ids and total counts and returns the
+    asked places that have an answer, and a matrix of bytes with a row for each."""
+    width = 16 if "usable" in runs.columns else 8
+
+    def part_of(ids: np.ndarray) -> np.ndarray:
+        number = numbers(ids) if ids.dtype.itemsize == 16 else ids.view(np.uint64)
+        return ((number >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+
+    def dealt(part: np.ndarray):
+        order = np.argsort(part, kind="stable")
+        return [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(1)[i].as_py(), f"V{width}")
+                count = np.bincount(np.frombuffer(batch.column(2)[i].as_py(), np.int32), minlength=2 * len(ids)).astype(np.int32)
+                part = part_of(ids)
+                lots = dealt(part)
+                bodies = [x.astype(np.int32).tobytes() + ids[x].tobytes() + count[2 * x].tobytes() + count[2 * x + 1].tobytes() for x in lots]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(part[x[0]]) for x in lots], pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(lots), pa.int32()),
+                     pa.array(bodies, pa.binary())], ["part", "bucket", "body"])
+
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = part_of(np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16"))
+            lots = dealt(part)
+            bodies = []
+            for x in lots:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.take(pa.array(x)))
+                bodies.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[x[0]]) for x in lots], pa.int32()), pa.array([-1] * len(lots), pa.int32()),
+                 pa.array(bodies, pa.binary())], ["part", "bucket", "body"])
+
+    def meet(key, group: pd.DataFrame) -> pd.DataFrame:
+        known = [pa.ipc.open_stream(body).read_all() for body in group.loc[group["bucket"] < 0, "body"]]
+        group = group[group["bucket"] >= 0]
+        if not known or not len(group):
+            return pd.DataFrame([], columns=["of", "body"])
+        known = pa.concat_tables(known)
+        at, ids, own, low, ends = [], [], [], [], [0]
+        for body in group["body"]:
+            n = len(body) // (width + 12)
+            at.append(np.frombuffer(body, np.int32, n))
+            ids.append(np.frombuffer(body, f"V{width}", n, 4 * n))
+            own.append(np.frombuffer(body, np.int32, n, (4 + width) * n))
+            low.append(np.frombuffer(body, np.int32, n, (8 + width) * n))
+            ends.append(ends[-1] + n)
+        name, of = np.unique(np.concatenate(ids), return_inverse=True)
+        count = [np.bincount(of, np.concatenate(x), len(name)) for x in (own, low)]
+        keys = np.frombuffer(b"".join(known.column(0).to_pylist()), "V16")
+        place, told = answer(name, *count, known, keys)
+        at = np.concatenate(at)
+        order = np.argsort(place, kind="stable")
+        place, told = place[order], told[order]
+        first, times = np.searchsorted(place, of), 0
+        times = np.searchsorted(place, of, side="right") - first
+        out = []
+        for a, b, bucket in zip(ends, ends[1:], group["bucket"].tolist(), strict=False):
+            k = times[a:b]
+            if k.any():
+                row = np.repeat(first[a:b], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                out.append((bucket, np.repeat(at[a:b], k).tobytes() + told[row].tobytes()))
+        return pd.DataFrame(out, columns=["of", "body"])
+
+    kind = "part int, bucket int, body binary"
+    messages = runs.select("bucket", "ids", "members").mapInArrow(ask, kind).unionByName(facts.mapInArrow(state, kind))
+    return messages.groupBy("part").applyInPandas(meet, "of int, body binary").groupBy("of").agg(F.collect_list("body").alias("told"))
+
+
+def _heard(told: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and answers (rows of ``width`` bytes) of a bucket's messages, in the order of places."""
+    n = [len(x) // (4 + width) for x in told]
+    at = np.concatenate([np.frombuffer(x, np.int32, k) for x, k in zip(told, n, strict=True)])
+    rows = np.concatenate([np.frombuffer(x, np.uint8, offset=4 * k).reshape(k, width) for x, k in zip(told, n, strict=True)])
+    order = np.lexsort((*rows.T[15::-1], at))
+    return at[order], rows[order]
+
+
+ENTITY = np.dtype([("key", "V16"), ("size", "<u4"), ("usable", "<u4"), ("score", "<f4"), ("own", "?"), ("low", "?")])
+
+
+def hopeful(runs: DataFrame, room: DataFrame, parts: int) -> DataFrame:
+    """The runs with keys for numbers, without the roles of entities that share no more signatures
+    than ``slack`` (a similar set shares more).  ``room``: set_key, n_shingles, usable, slack, slack_low."""
+    def judge(name, own, low, facts, keys):
+        number = numbers(keys)
+        name = name.view(np.uint64)
+        order = np.argsort(name)
+        at = np.minimum(np.searchsorted(name[order], number), len(name) - 1)
+        asked = np.flatnonzero(name[order][at] == number)
+        place = order[at[asked]]
+        n, usable, slack, slack_low = (facts.column(c).to_numpy()[asked] for c in range(1, 5))
+        out = np.zeros(len(asked), ENTITY)
+        out["key"], out["size"], out["usable"] = keys[asked], n, usable
+        out["score"] = own[place] / np.maximum(usable, 1)
+        out["own"], out["low"] = own[place] > slack, low[place] > slack_low
+        keep = out["own"] | out["low"]
+        return place[keep], out[keep].view(np.uint8).reshape(-1, ENTITY.itemsize)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("bucket", "starts", "members", "told")}
+                at, known = _heard(row["told"], ENTITY.itemsize)
+                known = known.reshape(-1).view(ENTITY)
+                member, starts = np.frombuffer(row["members"], np.int32).astype(np.int64), np.frombuffer(row["starts"], np.int64)
+                run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(member)]))
+                first = np.searchsorted(at, member >> 1)
+                times = np.searchsorted(at, member >> 1, side="right") - first  # more than one: sets with one number
+                entity = np.repeat(first, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                run, low = np.repeat(run, times), np.repeat(member & 1, times)
+                alive = np.where(low == 1, known["low"][entity], known["own"][entity])
+                run, member = _whole_runs(run[alive], (2 * entity + low)[alive])
+                if not len(run):
+                    continue
+                here = distinct(member >> 1)
+                member = 2 * np.searchsorted(here, member >> 1) + (member & 1)
+                starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+                known = known[here]
+                fields = (known["key"], known["size"], known["usable"], known["score"], starts.astype(np.int64), member.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in fields)],
+                                                 [c.split()[0] for c in RUNS.split(", ")])
+    told = answered(runs, room.select("set_key", "n_shingles", "usable", "slack", "slack_low"), parts, judge)
+    return runs.join(told, F.col("bucket") == F.col("of")).mapInArrow(kept, RUNS)
 
 
 def _open(row: dict) -> tuple[np.ndarray, ...]:
@@ -260,15 +404,18 @@ def _least_shared(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, usable: np.nd
 
 
 def first_partners(runs: DataFrame) -> DataFrame:
-    """(a, b): for an entity b the first entity a of those runs that it shares most often, if
-    they share enough to look similar.  A first guess that need not be complete."""
+    """(a, b): for an entity b the leading entity a of those runs that it shares most often, if
+    they share enough to look similar; the lead has the largest part of its signatures in runs
+    (the original among its copies).  A first guess that need not be complete."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "usable", "starts", "members")}
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "usable", "scores", "starts", "members")}
                 ids, sizes, usable, starts, members = _open(row)
                 entity = members >> 1
-                lead = np.repeat(np.minimum.reduceat(entity, starts), np.diff(np.r_[starts, len(entity)]))
+                by_score = np.argsort(-np.frombuffer(row["scores"], np.float32), kind="stable")  # ids are sorted
+                rank = np.argsort(by_score)
+                lead = np.repeat(by_score[np.minimum.reduceat(rank[entity], starts)], np.diff(np.r_[starts, len(entity)]))
                 near = (entity != lead) & (4 * np.minimum(sizes[entity], sizes[lead]) >= 3 * np.maximum(sizes[entity], sizes[lead]))
                 code, shared = np.unique(entity[near] * len(ids) + lead[near], return_counts=True)
                 if not len(code):
@@ -306,32 +453,29 @@ def cross_pairs(group: np.ndarray, most: int = PAIR_BLOCK) -> Iterator[tuple[np.
         start = stop
 
 
-def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: int) -> DataFrame:
+def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: int, parts: int) -> DataFrame:
     """All pairs of a run in different components, a no larger than b, with how many of the
     bucket's runs they share and must share at least; and what hot runs cost their members:
-    rows (a, b, low, n, least), pairs with b and costs without."""
+    rows (a, b, low, n, least), pairs with b and costs without.  Past level 0 ``usable`` is
+    what a set shares with any others at most, and pairs that need more are left out."""
     lost_each = 1 + level
 
-    def name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, ids in zip(batch.column(0), batch.column(1), strict=True):
-                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids.as_buffer()) // 16, [None, ids.as_buffer()])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), bucket.as_py(), np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)),
-                     ids.cast(pa.binary())], ["bucket", "at", "id"])
+    def component_of(name, own, low, facts, keys):
+        order = np.argsort(name)
+        at = np.minimum(np.searchsorted(name[order], keys), len(name) - 1)
+        asked = np.flatnonzero(name[order][at] == keys)
+        component = np.frombuffer(b"".join(facts.column(1).take(pa.array(asked)).to_pylist()), np.uint8).reshape(-1, 16)
+        return order[at[asked]], component
 
-    named = runs.select("bucket", "ids").mapInArrow(name_rows, "bucket int, at int, id binary")
-    known = named.join(components, named["id"] == components["node"]).groupBy("bucket").agg(
-        F.collect_list(F.struct("at", "component")).alias("known")).withColumnRenamed("bucket", "of")
-    joined = runs.join(known, F.col("bucket") == F.col("of"), "left").drop("of")
+    told = answered(runs, components.select("node", "component"), parts, component_of)
+    joined = runs.join(told, F.col("bucket") == F.col("of"), "left").drop("of")
 
-    def pairs_of(row: dict, known: pa.Scalar):
+    def pairs_of(row: dict, told: list[bytes] | None):
         ids, sizes, usable, starts, members = _open(row)
         group = np.arange(len(ids))
-        numbers: dict[bytes, int] = {}
-        if known.is_valid:
-            at, component = known.values.field("at").to_numpy(), known.values.field("component").to_pylist()
-            group[at] = [numbers.setdefault(c, len(ids) + len(numbers)) for c in component]
+        if told:
+            at, component = _heard(told, 16)
+            group[at] = len(ids) + np.unique(component.reshape(-1).view("V16"), return_inverse=True)[1]
         of = group[members >> 1]
         mixed = np.flatnonzero(np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts))
         ends = np.r_[starts[1:], len(members)]
@@ -340,13 +484,18 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: i
             part = members[starts[r]:ends[r]]
             e = np.unique(part >> 1)
             g, s = group[e], sizes[e]
+            low = np.ones(len(e), bool)
+            low[np.searchsorted(e, part[part & 1 == 0] >> 1)] = False
             n, (_, each) = len(e), np.unique(g, return_counts=True)
             if (n * n - int((each.astype(np.int64) ** 2).sum())) / 2 > run_cost * n:
                 lost.append(part)
                 continue
             for i, j in cross_pairs(g):
-                ok = 4 * np.minimum(s[i], s[j]) >= 3 * np.maximum(s[i], s[j])
+                ok = (4 * np.minimum(s[i], s[j]) >= 3 * np.maximum(s[i], s[j])) & ~(low[i] & low[j])
                 i, j = e[i[ok]], e[j[ok]]
+                if level:
+                    ok = 7 * np.minimum(usable[i], usable[j]) >= 3 * (sizes[i] + sizes[j])
+                    i, j = i[ok], j[ok]
                 swap = sizes[i] > sizes[j]
                 pairs.append(np.where(swap, j, i) * len(ids) + np.where(swap, i, j))
                 held += len(i)
@@ -372,7 +521,7 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: i
         for batch in batches:
             for i in range(batch.num_rows):  # a bucket at a time: its arrays are large
                 row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "usable", "starts", "members")}
-                yield from pairs_of(row, batch.column("known")[i])
+                yield from pairs_of(row, batch.column("told")[i].as_py())
     return joined.mapInArrow(run, OPEN)
 
 
@@ -419,10 +568,8 @@ def linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _rare_prefixes(texts: DataFrame) -> DataFrame:
-    """Last step: every entity's rarest shingles (prefix of n - ceil(3n/4) + 1) as id, n, at
-    (the place in its order of rarity) and shingle, and how many prefixes hold it (crowd,
-    null if no more than RARE_BLOCK)."""
+def _tokens(texts: DataFrame) -> DataFrame:
+    """The entities' shingles: id, n, shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 0):
             for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]):
@@ -430,7 +577,23 @@ def _rare_prefixes(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([set_key(s)] * len(s), pa.binary()), pa.array([len(s)] * len(s), pa.int32()),
                          pa.array(s.view(np.int64))], ["id", "n", "shingle"])
-    tokens = texts.select("text").mapInArrow(run, "id binary, n int, shingle long").distinct()
+    return texts.select("text").mapInArrow(run, "id binary, n int, shingle long").distinct()
+
+
+def _common(texts: DataFrame) -> DataFrame:
+    """(k, common): how many of a set's shingles occur in another of the texts' sets, for the
+    sets that can be similar to one of those (three quarters of their shingles)."""
+    tokens = _tokens(texts)
+    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("shingle", "of")
+    return (tokens.join(often, F.col("shingle") == F.col("of")).groupBy("id", "n").agg(F.count(F.lit(1)).alias("common"))
+            .where("4 * common >= 3 * n").select(F.col("id").alias("k"), "common"))
+
+
+def _rare_prefixes(texts: DataFrame) -> DataFrame:
+    """Last step: every entity's rarest shingles (prefix of n - ceil(3n/4) + 1) as id, n, at
+    (the place in its order of rarity) and shingle, and how many prefixes hold it (crowd,
+    null if no more than RARE_BLOCK)."""
+    tokens = _tokens(texts)
     often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("shingle", "of")
     ranked = tokens.join(often, F.col("shingle") == F.col("of")).groupBy("id", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
@@ -441,101 +604,138 @@ def _rare_prefixes(texts: DataFrame) -> DataFrame:
     return shared_table(prefix.join(large, F.col("shingle") == F.col("of"), "left").drop("of"), "join-prefixes")
 
 
+def _rare_leads(prefixes: DataFrame, common: DataFrame) -> DataFrame:
+    """(a, b): for an entity b the leading entity a of its prefix's shingles that it meets most
+    often, the lead with the largest part of its shingles in common with others."""
+    scored = prefixes.join(common, F.col("id") == F.col("k")).select(
+        "id", "shingle", F.struct((F.col("common") / F.col("n")).alias("score"), "id").alias("rank"))
+    leads = scored.groupBy("shingle").agg(F.max("rank").alias("lead")).select(F.col("shingle").alias("of"), F.col("lead.id").alias("lead"))
+    found = scored.join(leads, F.col("shingle") == F.col("of")).where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("times"))
+    return found.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("times", "lead")).alias("a")).select("a", "b")
+
+
+def _with_part(prefixes: DataFrame, components: DataFrame) -> DataFrame:
+    return prefixes.join(components, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+
+
+def _near_pairs(n: np.ndarray, at: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the sets that hold a shingle, by size: each, and the larger ones of other components that
+    it can be similar to if this is their first common shingle (what follows it bounds them)."""
+    rest = n - at
+    for k in np.flatnonzero(7 * rest >= 6 * n).tolist():
+        far = slice(k + 1, int(np.searchsorted(3 * n, min(4 * n[k], 7 * rest[k] - 3 * n[k]), side="right")))
+        found = k + 1 + np.flatnonzero((part[far] != part[k]) & (7 * rest[far] >= 3 * (n[far] + n[k])))
+        if len(found):
+            yield k, found
+
+
 def _dealt_pairs(prefixes: DataFrame, components: DataFrame) -> DataFrame:
-    """The open pairs of crowded shingles.  Each pair of member blocks is a group of its own;
+    """The open pairs (a, b) of crowded shingles.  Each pair of member blocks is a group of its own;
     the places of the shared shingle bound what two sets can share from there on."""
     crowded = prefixes.where("crowd is not null").withColumn("blocks", F.ceil(F.col("crowd") / RARE_BLOCK)).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    placed = crowded.join(components, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    dealt = _with_part(crowded, components).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "at", "part")
 
     def meet(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "id"]).reset_index(drop=True)  # the smaller set of a pair comes first
+        group = group.sort_values(["n", "id"])  # the smaller set of a pair comes first
         ids, block = group["id"].to_numpy(), group["block"].to_numpy()
-        n, part = group["n"].to_numpy(np.int64), pd.factorize(group["part"])[0]
-        rest = n - group["at"].to_numpy(np.int64)
         a, b = [], []
-        for k in range(len(ids)):
-            far = slice(k + 1, int(np.searchsorted(3 * n, 4 * n[k], side="right")))
-            ok = (part[far] != part[k]) & (7 * np.minimum(rest[far], rest[k]) >= 3 * (n[far] + n[k]))
+        for k, found in _near_pairs(group["n"].to_numpy(np.int64), group["at"].to_numpy(np.int64), pd.factorize(group["part"])[0]):
             if key[1] != key[2]:  # pairs within a block are another group's
-                ok &= block[far] != block[k]
-            found = k + 1 + np.flatnonzero(ok)
+                found = found[block[found] != block[k]]
             a += [ids[k]] * len(found)
             b += ids[found].tolist()
-        return pd.DataFrame({"a": a, "b": b, "low": pd.array([None] * len(a), "Int32"), "n": np.ones(len(a), np.int64),
-                             "least": np.zeros(len(a), np.int64)})
-    return dealt.groupBy("shingle", "i", "j").applyInPandas(meet, OPEN)
-
-
-def _rare_runs(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """The runs of entities that share an uncrowded shingle of their prefixes."""
-    def gather(key, group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["id"].drop_duplicates().sort_values().tolist()
-        place = {x: i for i, x in enumerate(ids)}
-        sizes = dict(zip(group["id"], group["n"], strict=True))
-        group = group.assign(at=[2 * place[x] for x in group["id"]]).sort_values(["shingle", "at"])
-        count = group.groupby("shingle")["at"].transform("size")
-        group = group[count > 1]
-        if not len(group):
-            return pd.DataFrame([], columns=[c.split()[0] for c in RUNS.split(", ")])
-        starts = np.flatnonzero(np.r_[True, np.diff(group["shingle"].to_numpy()) != 0])
-        return pd.DataFrame([{"bucket": int(key[0]), "ids": b"".join(ids),
-                              "sizes": np.array([sizes[x] for x in ids], np.uint32).tobytes(),
-                              "usable": np.zeros(len(ids), np.uint32).tobytes(),
-                              "starts": starts.astype(np.int64).tobytes(),
-                              "members": group["at"].to_numpy(np.int32).tobytes()}])
-    return (prefixes.where("crowd is null").select("id", "n", "shingle", F.pmod("shingle", F.lit(buckets)).cast("int").alias("bucket"))
-            .groupBy("bucket").applyInPandas(gather, RUNS))
+        return pd.DataFrame({"a": a, "b": b})
+    return dealt.groupBy("shingle", "i", "j").applyInPandas(meet, "a binary, b binary")
+
+
+def _rare_pairs(prefixes: DataFrame, components: DataFrame, buckets: int) -> DataFrame:
+    """The open pairs (a, b) of uncrowded shingles, a bucket of shingles at a time."""
+    def meet(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(part=pd.factorize(group["part"])[0]).sort_values(["shingle", "n", "id"])
+        ids, shingle = group["id"].to_numpy(), group["shingle"].to_numpy()
+        n, at, part = (group[c].to_numpy(np.int64) for c in ("n", "at", "part"))
+        cuts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1], True]).tolist()
+        pairs = set()
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y - x > 1:
+                for k, found in _near_pairs(n[x:y], at[x:y], part[x:y]):
+                    pairs.update((ids[x + k], ids[x + i]) for i in found.tolist())
+        return pd.DataFrame(list(pairs), columns=["a", "b"])
+    rare = _with_part(prefixes.where("crowd is null"), components).select(
+        "id", "n", "at", "shingle", "part", F.pmod("shingle", F.lit(buckets)).cast("int").alias("bucket"))
+    return rare.groupBy("bucket").applyInPandas(meet, "a binary, b binary")
 
 
 def links(docs: DataFrame, sets: DataFrame, run_cost: float = RUN_COST, buckets: int | None = None) -> DataFrame:
     """(entity, component) of all linked entities; ``sets``: the written ``describe`` table."""
     spark = docs.sparkSession
+    shingles, entities = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("set_key")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.ceil(entities / PART_ENTITIES))
     if buckets is None:
-        shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(10 * shingles / BUCKET_BYTES))
-    texts, edges, parts, texts_of = _texts(docs), None, None, None
-    for level in range(3):
-        cost = run_cost if level < 2 else math.inf
-        prefixes = _rare_prefixes(texts) if level == 2 else None
-        found = collect_runs(pack(texts, level, buckets)) if level < 2 else _rare_runs(prefixes, buckets)
-        runs = shared_table(found, "join-runs")
-        if parts is None:
+        buckets = max(least, math.ceil(10 * shingles / BUCKET_BYTES))
+    texts, edges, groups = _texts(docs), None, None
+    room = sets.where("set_key is not null").select(
+        "set_key", "n_shingles", (F.col("slack") + F.floor(F.col("n_shingles") / 3) + 1).cast("int").alias("usable"), "slack", "slack_low").distinct()
+    for level in range(2):
+        met = shared_table(collect_runs(pack(texts, level, buckets)), "join-met")
+        # one-deletion signatures give no bound by their number
+        hope = room if not level else room.withColumns({"slack": F.lit(-1), "slack_low": F.lit(-1)})
+        runs = shared_table(hopeful(met, hope, parts), "join-runs")
+        if not level:
             tried = shared_table(first_partners(runs), "join-tried")
             edges = shared_table(linked(tried, _contents_of(docs, sets, tried)), "join-linked")
-            parts = shared_table(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
-        rest = open_pairs(runs, parts, cost, level)
-        rest = shared_table(rest.unionByName(_dealt_pairs(prefixes, parts)) if level == 2 else rest, "join-open")
+            groups = known = _grouped(edges)
+        rest = shared_table(open_pairs(runs, known, run_cost, level, parts), "join-open")
         lost = rest.where("b is null").groupBy("a").agg(
-            F.sum(F.when(F.col("low") == 0, F.col("n"))).alias("lost"),
-            F.sum(F.when(F.col("low") == 1, F.col("n"))).alias("lost_low")).withColumnRenamed("a", "k")
+            F.coalesce(F.sum(F.when(F.col("low") == 0, F.col("n"))), F.lit(0)).alias("lost"),
+            F.coalesce(F.sum(F.when(F.col("low") == 1, F.col("n"))), F.lit(0)).alias("lost_low"))
+        hot = shared_table(lost.join(room, F.col("set_key") == F.col("a")).select(
+            F.col("a").alias("k"), "lost", "lost_low", F.expr("slack < lost or slack_low < lost_low").alias("open")), "join-hot")
+        unsettled = hot.where("open").select(F.col("k").alias("a"))
         pairs = rest.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
-        if not level:
-            pairs = (pairs.where("n >= least").unionByName(
-                pairs.where("n < least").join(lost, F.col("a") == F.col("k")).where("n >= least - coalesce(lost, 0)")
-                .select("a", "b", "n", "least")))
-        pairs = shared_table(pairs.select("a", "b"), "join-pairs")
+        pairs = shared_table(_to_compare(pairs, hot), "join-pairs")
         if not pairs.isEmpty():
-            content = texts_of if level else _contents_of(docs, sets, pairs)
-            more = shared_table(linked(pairs, content), "join-linked")
-            edges = edges.unionByName(more)
-            parts = shared_table(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
-        if level == 2:
-            break
-        if level == 0:
-            room = sets.where("set_key is not null").select("set_key", "slack", "slack_low").distinct()
-        else:
-            room = _room(texts_of)
-        unsettled = room.join(lost, F.col("set_key") == F.col("k"), "left").where(
-            "slack < coalesce(lost, 0) or slack_low < coalesce(lost_low, 0)").select(F.col("set_key").alias("a"))
-        unsettled = shared_table(unsettled, "join-unsettled")
+            edges, groups = _more(edges, groups, linked(pairs, _contents_of(docs, sets, pairs)))
         if unsettled.isEmpty():
             break
-        texts_of = shared_table(contents(docs, sets, unsettled), "join-unsettled-texts")
-        texts = texts_of
-    return parts
+        texts = shared_table(contents(docs, sets, unsettled), "join-unsettled-texts")
+        common = shared_table(_common(texts), "join-common")
+        if common.isEmpty():
+            break
+        texts = shared_table(texts.join(common.select("k"), F.col("set_key") == F.col("k"), "left_semi"), "join-unsettled-texts")
+        if not level:
+            room = shared_table(_room(texts).join(common, F.col("set_key") == F.col("k")).select(
+                "set_key", "n_shingles", F.col("common").cast("int").alias("usable"), "slack", "slack_low"), "join-room")
+    else:
+        prefixes = _rare_prefixes(texts)
+        edges, groups = _more(edges, groups, linked(_rare_leads(prefixes, common), texts))
+        groups = groups or _grouped(edges)
+        pairs = _dealt_pairs(prefixes, groups).unionByName(_rare_pairs(prefixes, groups, buckets)).distinct()
+        edges, groups = _more(edges, groups, linked(shared_table(pairs, "join-pairs"), texts))
+    return groups or _grouped(edges)
+
+
+def _grouped(edges: DataFrame) -> DataFrame:
+    return shared_table(connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-parts")
+
+
+def _more(edges: DataFrame, groups: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The links with those found; the components, or None if there are new ones to find."""
+    found = shared_table(found, "join-linked")
+    return (edges, groups) if found.isEmpty() else (edges.unionByName(found), None)
+
+
+def _to_compare(pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may share enough signatures, hot runs included, and of which one at
+    least is settled: the next step meets the others.  ``hot``: k, lost, lost_low, open."""
+    of_a = hot.select(F.col("k").alias("__a"), F.col("lost").alias("lost_a"), F.col("open").alias("open_a"))
+    of_b = hot.select(F.col("k").alias("__b"), (F.col("lost") + F.col("lost_low")).alias("lost_b"), F.col("open").alias("open_b"))
+    pairs = pairs.join(of_a, F.col("a") == F.col("__a"), "left").where("n + coalesce(lost_a, 0) >= least").drop("__a")
+    pairs = pairs.join(of_b, F.col("b") == F.col("__b"), "left").where("n + if(lost_a is null or lost_b is null, 0, least(lost_a, lost_b)) >= least")
+    return pairs.where("not (coalesce(open_a, false) and coalesce(open_b, false))").select("a", "b")
 
 
 def _contents_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -550,9 +750,9 @@ def _room(texts: DataFrame) -> DataFrame:
             sets = [s for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]) if len(s)]
             own, low = rooms(sets, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array(own, pa.int32()), pa.array(low, pa.int32())],
-                ["set_key", "slack", "slack_low"])
-    return texts.select("text").mapInArrow(run, "set_key binary, slack int, slack_low int").distinct()
+                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(own, pa.int32()), pa.array(low, pa.int32())], ["set_key", "n_shingles", "slack", "slack_low"])
+    return texts.select("text").mapInArrow(run, "set_key binary, n_shingles long, slack int, slack_low int").distinct()
 
 
 def jaccard_join(docs: DataFrame, run_cost: float = RUN_COST, buckets: int | None = None) -> DataFrame:
