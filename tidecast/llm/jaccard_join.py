@@ -197,7 +197,7 @@ def pack(texts: DataFrame, level: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             key, number, bucket = key[order], number[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, 2:])  # 48 bits: a bucket is one of many
+            key = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, 3:])  # 40 bits of it, among a bucket's
             bodies = [k.tobytes() + n.tobytes() for k, n in zip(np.split(key, cuts), np.split(number, cuts), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[np.r_[0, cuts]], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
     return texts.select("text").mapInArrow(run, "bucket int, body binary")
@@ -221,10 +221,10 @@ def _whole_runs(run: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _runs_of(bucket: int, bodies: list[bytes]) -> dict | None:
     """The runs of equal signatures in a bucket that two or more entities share; ids are numbers."""
-    keys = np.concatenate([np.frombuffer(body, np.uint8, len(body) // 14 * 6).reshape(-1, 6) for body in bodies])
-    number = np.concatenate([np.frombuffer(body, np.uint64, offset=len(body) // 14 * 6) for body in bodies])
+    keys = np.concatenate([np.frombuffer(body, np.uint8, len(body) // 13 * 5).reshape(-1, 5) for body in bodies])
+    number = np.concatenate([np.frombuffer(body, np.uint64, offset=len(body) // 13 * 5) for body in bodies])
     key = np.zeros((len(keys), 8), np.uint8)
-    key[:, 2:] = keys
+    key[:, 3:] = keys
     key = key.view(np.uint64).ravel()
     order = np.argsort(key)
     key, number = key[order], number[order]
