@@ -139,3 +139,36 @@ def test_sets_with_one_number_are_both_kept(spark):
     run = X.hopeful(met, room, 3).first()
     assert [bytes(run.ids)[i:i + 16] for i in (0, 16, 32)] == keys
     assert np.frombuffer(run.members, np.int32).tolist() == [0, 2, 4]
+
+
+def test_own_and_rarest_shingles_without_a_join(spark):
+    rows = made_rows()
+    docs = spark.createDataFrame(rows + [(2000 + k, t) for k, (_, t) in enumerate(rows[:40])], "doc_id long, text string")
+    texts = X._texts(docs)
+    sets = {X.set_key(s): s.tolist() for _, t in rows for s in X.shingle_sets([X.words((t or "").encode())]) if len(s)}
+    df = Counter(x for s in sets.values() for x in s)
+    own = {k: sum(df[x] == 1 for x in s) for k, s in sets.items()}
+    found = X._own(texts)
+    assert {bytes(r.k): (r.own, r.n) for r in found.collect()} == {k: (c, len(sets[k])) for k, c in own.items() if c}
+    rarest = X._rarest(texts, 5)
+    assert {(bytes(r.id), r.n, r["at"], r.shingle % 2 ** 64) for r in rarest.collect()} == {
+        (k, len(s), at, x) for k, s in sets.items() for at, x in enumerate(sorted(s, key=lambda x: (df[x], x))[:len(s) // 4 + 1])}
+    assert rarest.count() == sum(len(s) // 4 + 1 for s in sets.values())
+    for plan in (found, rarest):  # a row for each shingle of each set never passes a join
+        assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_bucket_leave_in_batches(spark, monkeypatch):
+    ids = np.arange(40, dtype=np.uint64).repeat(2).view("V16")
+    run = {"bucket": 0, "ids": ids.tobytes(), "sizes": np.full(40, 8, np.uint32).tobytes(), "usable": np.full(40, 8, np.uint32).tobytes(),
+           "scores": np.zeros(40, np.float32).tobytes(), "starts": np.array([0], np.int64).tobytes(),
+           "members": (2 * np.arange(40)).astype(np.int32).tobytes()}
+    runs = spark.createDataFrame([tuple(run.values())], X.RUNS)
+    monkeypatch.setattr(X, "PAIR_ROWS", 64)
+    none = spark.createDataFrame([], "node binary, component binary")
+    pairs = X.open_pairs(runs, none, 32, 0, 1).where("b is not null").collect()
+    names = [x.tobytes() for x in ids]
+    assert {(bytes(r.a), bytes(r.b)) for r in pairs} == {(names[i], names[j]) for i in range(40) for j in range(i + 1, 40)}
+    assert len(pairs) == 780 and {(r.low, r.n, r.least) for r in pairs} == {(None, 1, 6)}
+    hot = X.open_pairs(runs, none, 1, 0, 1).collect()
+    assert {(bytes(r.a), r.b, r.low, r.n, r.least) for r in hot} == {(x, None, 0, 1, None) for x in names}

@@ -52,6 +52,7 @@ RUN_COST = 32        # a run is hot with more than so many open pairs per member
 BUCKET_BYTES = 16 << 20
 PART_ENTITIES = 1 << 14  # entities whose messages a task holds at once
 PAIR_BLOCK = 1 << 20  # pairs that a task holds at once
+PAIR_ROWS = 1 << 16   # pairs that a task sends on at once
 RARE_BLOCK = 1024     # members of a rare shingle's block; larger runs are dealt as pairs of blocks
 ARROW_ROWS = 1000     # rows that a Python task receives at once
 CHUNK = 8192         # texts whose signatures are packed together
@@ -500,22 +501,22 @@ def open_pairs(runs: DataFrame, components: DataFrame, run_cost: float, level: i
                 pairs.append(np.where(swap, j, i) * len(ids) + np.where(swap, i, j))
                 held += len(i)
                 if held >= 4 * PAIR_BLOCK:  # the counts of a pair's batches are summed later
-                    yield batch_of(row, pairs, [])
+                    yield from batches_of(row, pairs, [])
                     pairs, held = [], 0
-        yield batch_of(row, pairs, lost)
+        yield from batches_of(row, pairs, lost)
 
-    def batch_of(row: dict, pairs: list, lost: list):
+    def batches_of(row: dict, pairs: list, lost: list):
         ids, sizes, usable, _, _ = _open(row)
         code, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
-        a, b = np.divmod(code, len(ids))
-        least = _least_shared(a, b, sizes, usable) if not level else np.zeros(len(a), np.int64)
+        for start in range(0, len(code), PAIR_ROWS):
+            n = shared[start:start + PAIR_ROWS]
+            a, b = np.divmod(code[start:start + PAIR_ROWS], len(ids))
+            least = _least_shared(a, b, sizes, usable) if not level else np.zeros(len(a), np.int64)
+            yield pa.RecordBatch.from_arrays([_keys(ids[a]), _keys(ids[b]), pa.nulls(len(a), pa.int32()), pa.array(n), pa.array(least)],
+                                             ["a", "b", "low", "n", "least"])
         who, times = np.unique(np.concatenate(lost), return_counts=True) if lost else (np.zeros(0, np.int64),) * 2
-        name = lambda at: [x.tobytes() for x in ids[at]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(name(a) + name(who >> 1), pa.binary()), pa.array(name(b) + [None] * len(who), pa.binary()),
-             pa.array([None] * len(a) + (who & 1).tolist(), pa.int32()),
-             pa.array(np.r_[shared, times * lost_each], pa.int64()),
-             pa.array(least.tolist() + [None] * len(who), pa.int64())], ["a", "b", "low", "n", "least"])
+        yield pa.RecordBatch.from_arrays([_keys(ids[who >> 1]), pa.nulls(len(who), pa.binary()), pa.array(who & 1, pa.int32()),
+                                          pa.array(times * lost_each, pa.int64()), pa.nulls(len(who), pa.int64())], ["a", "b", "low", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -568,6 +569,36 @@ def linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _keys(x: np.ndarray) -> pa.Array:
+    """16-byte keys as a binary column, without an object for each."""
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)),
+                                                       pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _own(texts: DataFrame) -> DataFrame:
+    """(k, own, n): how many of a set's n shingles no other of the texts' sets has, where there are
+    any.  A shingle whose holders' least and largest keys agree has one holder: no join is needed,
+    and a shingle of very many sets is reduced before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 0):
+            sets = [s for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]) if len(s)]
+            if sets:
+                length = np.fromiter(map(len, sets), np.int64, len(sets))
+                of = np.repeat(np.arange(len(sets)), length)
+                key = np.frombuffer(b"".join(map(set_key, sets)), np.int64).reshape(-1, 2)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[:, 0], key[:, 1], length[of], np.concatenate(sets).view(np.int64))],
+                                                 ["x", "y", "n", "shingle"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in range(2)], axis=1)
+            yield pa.RecordBatch.from_arrays([_keys(key), batch.column(2), batch.column(3)], ["k", "own", "n"])
+    held = texts.select("text").mapInArrow(run, "x long, y long, n long, shingle long").groupBy("shingle").agg(
+        F.min("x").alias("x"), F.max("x").alias("x2"), F.min("y").alias("y"), F.max("y").alias("y2"), F.max("n").alias("n"))
+    own = held.where("x = x2 and y = y2").groupBy("x", "y").agg(F.count(F.lit(1)).alias("own"), F.max("n").alias("n"))
+    return own.mapInArrow(named, "k binary, own long, n long")
+
+
 def _tokens(texts: DataFrame) -> DataFrame:
     """The entities' shingles: id, n, shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -580,35 +611,85 @@ def _tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "id binary, n int, shingle long").distinct()
 
 
-def _common(texts: DataFrame) -> DataFrame:
-    """(k, common): how many of a set's shingles occur in another of the texts' sets, for the
-    sets that can be similar to one of those (three quarters of their shingles)."""
-    tokens = _tokens(texts)
-    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("shingle", "of")
-    return (tokens.join(often, F.col("shingle") == F.col("of")).groupBy("id", "n").agg(F.count(F.lit(1)).alias("common"))
-            .where("4 * common >= 3 * n").select(F.col("id").alias("k"), "common"))
-
-
-def _rare_prefixes(texts: DataFrame) -> DataFrame:
-    """Last step: every entity's rarest shingles (prefix of n - ceil(3n/4) + 1) as id, n, at
-    (the place in its order of rarity) and shingle, and how many prefixes hold it (crowd,
-    null if no more than RARE_BLOCK)."""
-    tokens = _tokens(texts)
-    often = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("shingle", "of")
-    ranked = tokens.join(often, F.col("shingle") == F.col("of")).groupBy("id", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-    prefix = shared_table(ranked.select("id", "n", F.posexplode(F.slice(
-        "all", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("at", "x")).select("id", "n", "at", "x.shingle"), "join-prefixes")
+LOTS = "lot int, ids binary, sizes binary, of binary, shingles binary, often binary"
+
+
+def _lots(lot: np.ndarray, ids: np.ndarray, sizes: np.ndarray, of: np.ndarray, shingle: np.ndarray, often: np.ndarray) -> list[tuple]:
+    """The shingles (of: the place of each one's set in ``ids``) packed by lot, a row a lot."""
+    order = np.argsort(lot, kind="stable")
+    out = []
+    for x in np.split(order, np.flatnonzero(np.diff(lot[order])) + 1):
+        if len(x):
+            here = distinct(of[x])
+            out.append((int(lot[x[0]]), ids[here].tobytes(), sizes[here].tobytes(), np.searchsorted(here, of[x]).astype(np.int32).tobytes(),
+                        shingle[x].tobytes(), often[x].tobytes()))
+    return out
+
+
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The packed rows of a lot as one: ids, sizes, of, shingles, often."""
+    ids, sizes, of, shingle, often = (
+        [np.frombuffer(x, kind) for x in group[c]]
+        for c, kind in (("ids", "V16"), ("sizes", np.int64), ("of", np.int32), ("shingles", np.uint64), ("often", np.int32)))
+    name, first, place = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+    start = np.cumsum([0, *map(len, ids)])
+    of = np.concatenate([place[x + s] for x, s in zip(of, start, strict=False)])
+    return name, np.concatenate(sizes)[first], of, np.concatenate(shingle), np.concatenate(often)
+
+
+def _rarest(texts: DataFrame, lots: int) -> DataFrame:
+    """Every entity's rarest shingles (prefix of n - ceil(3n/4) + 1) as id, n, at (the place in its
+    order of rarity) and shingle.  The shingles are counted in lots by shingle and ordered in
+    lots by entity, both packed in arrays."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 0):
+            known = {set_key(s): s for s in shingle_sets([words(t) for t in part.column(0).to_pylist()]) if len(s)}
+            if known:
+                length = np.fromiter(map(len, known.values()), np.int64, len(known))
+                shingle = np.concatenate(list(known.values()))
+                rows = _lots((shingle % np.uint64(lots)).astype(np.int32), np.array(list(known), "V16"), length,
+                             np.repeat(np.arange(len(known)), length), shingle, np.zeros(len(shingle), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*rows, strict=True))],
+                                                 [c.split()[0] for c in LOTS.split(", ")])
+
+    def count(key, group: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes, of, shingle, _ = _unpacked(group)
+        order = np.lexsort((of, shingle))
+        of, shingle = of[order], shingle[order]
+        once = np.r_[True, (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])]  # equal sets in several rows count once
+        of, shingle = of[once], shingle[once]
+        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        held = np.diff(np.r_[starts, len(shingle)])
+        lot = ((numbers(ids) >> np.uint64(1)) % np.uint64(lots)).astype(np.int32)
+        return pd.DataFrame(_lots(lot[of], ids, sizes, of, shingle, np.repeat(held, held).astype(np.int32)),
+                            columns=[c.split()[0] for c in LOTS.split(", ")])
+
+    def cut(key, group: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes, of, shingle, often = _unpacked(group)
+        order = np.lexsort((shingle, often, of))
+        of, shingle = of[order], shingle[order]
+        at = np.arange(len(of)) - np.searchsorted(of, of)
+        kept = at <= sizes[of] // 4
+        name = np.array([x.tobytes() for x in ids], object)
+        return pd.DataFrame({"id": name[of[kept]], "n": sizes[of[kept]], "at": at[kept], "shingle": shingle[kept].view(np.int64)})
+    packed = texts.select("text").mapInArrow(pack, LOTS)
+    return packed.groupBy("lot").applyInPandas(count, LOTS).groupBy("lot").applyInPandas(cut, "id binary, n int, at int, shingle long")
+
+
+def _rare_prefixes(texts: DataFrame, lots: int | None = None) -> DataFrame:
+    """Last step: ``_rarest``, and how many prefixes hold the shingle (crowd, null if no more than
+    RARE_BLOCK)."""
+    prefix = shared_table(_rarest(texts, lots or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "join-prefixes")
     large = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > RARE_BLOCK)
     large = F.broadcast(large.withColumnRenamed("shingle", "of"))  # a thousandth of the prefixes at most
     return shared_table(prefix.join(large, F.col("shingle") == F.col("of"), "left").drop("of"), "join-prefixes")
 
 
-def _rare_leads(prefixes: DataFrame, common: DataFrame) -> DataFrame:
+def _rare_leads(prefixes: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): for an entity b the leading entity a of its prefix's shingles that it meets most
     often, the lead with the largest part of its shingles in common with others."""
-    scored = prefixes.join(common, F.col("id") == F.col("k")).select(
-        "id", "shingle", F.struct((F.col("common") / F.col("n")).alias("score"), "id").alias("rank"))
+    scored = prefixes.join(own.select("k", "own"), F.col("id") == F.col("k"), "left").select(
+        "id", "shingle", F.struct((1 - F.coalesce("own", F.lit(0)) / F.col("n")).alias("score"), "id").alias("rank"))
     leads = scored.groupBy("shingle").agg(F.max("rank").alias("lead")).select(F.col("shingle").alias("of"), F.col("lead.id").alias("lead"))
     found = scored.join(leads, F.col("shingle") == F.col("of")).where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("times"))
     return found.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("times", "lead")).alias("a")).select("a", "b")
@@ -702,16 +783,17 @@ def links(docs: DataFrame, sets: DataFrame, run_cost: float = RUN_COST, buckets:
         if unsettled.isEmpty():
             break
         texts = shared_table(contents(docs, sets, unsettled), "join-unsettled-texts")
-        common = shared_table(_common(texts), "join-common")
-        if common.isEmpty():
+        own = shared_table(_own(texts), "join-own")
+        # a similar set has three quarters of a set's shingles
+        texts = shared_table(texts.join(own.where("4 * own > n"), F.col("set_key") == F.col("k"), "left_anti"), "join-unsettled-texts")
+        if texts.isEmpty():
             break
-        texts = shared_table(texts.join(common.select("k"), F.col("set_key") == F.col("k"), "left_semi"), "join-unsettled-texts")
         if not level:
-            room = shared_table(_room(texts).join(common, F.col("set_key") == F.col("k")).select(
-                "set_key", "n_shingles", F.col("common").cast("int").alias("usable"), "slack", "slack_low"), "join-room")
+            room = shared_table(_room(texts).join(own.select("k", "own"), F.col("set_key") == F.col("k"), "left").select(
+                "set_key", "n_shingles", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).cast("int").alias("usable"), "slack", "slack_low"), "join-room")
     else:
-        prefixes = _rare_prefixes(texts)
-        edges, groups = _more(edges, groups, linked(_rare_leads(prefixes, common), texts))
+        prefixes = _rare_prefixes(texts, buckets)
+        edges, groups = _more(edges, groups, linked(_rare_leads(prefixes, own), texts))
         groups = groups or _grouped(edges)
         pairs = _dealt_pairs(prefixes, groups).unionByName(_rare_pairs(prefixes, groups, buckets)).distinct()
         edges, groups = _more(edges, groups, linked(shared_table(pairs, "join-pairs"), texts))
